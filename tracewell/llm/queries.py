@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from tracewell.llm.chat import OP8_SQL, op8_chat_format
+from tracewell.llm.mixing import OP3_SQL, op3_mix_sources
 from tracewell.llm.secrets import op6_secret_scan
+from tracewell.llm.token_counts import op5_token_counts
 from tracewell.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_mix_sources": op3_mix_sources,
+    "op5_token_counts": op5_token_counts,
     "op6_secret_scan": op6_secret_scan,
+    "op8_chat_format": op8_chat_format,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_mix_sources": OP3_SQL,
+    "op8_chat_format": OP8_SQL,
+}

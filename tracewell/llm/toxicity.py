@@ -73,7 +73,7 @@ class SentenceModel:
 
 def fit(
     texts: list[str], labels: list[int], rounds: int = 160, rate: float = 0.15, l1: float = 2e-4, l2: float = 1e-5,
-    bias: float = -5.0, min_docs: int = 3,
+    bias: float = -6.0, min_docs: int = 3,
 ) -> SentenceModel:
     """Proximal Adam on the noisy-or likelihood; both classes weigh the same; rare features are left out."""
     if len(set(labels)) < 2:
@@ -127,13 +127,13 @@ def fit(
 
 def training_sample(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",
-    per_class: int = 2000, max_chars: int = 20_000,
+    per_class: int = 2000, clean_per_toxic: int = 2, max_chars: int = 30_000,
 ) -> DataFrame:
-    """(text, y) of at most ``per_class`` labelled documents of each class.
+    """(text, y) of at most ``per_class`` documents labelled 1 and ``clean_per_toxic`` times as many labelled 0.
 
     A seeded hash of the key picks them, so the sample is spread over all labelled rows. A
     document of more than ``max_chars`` characters is not used for training, which bounds the
-    sample by 2 * per_class * max_chars. The chosen keys are so few that they are broadcast:
+    sample by (1 + clean_per_toxic) * per_class * max_chars. The chosen keys are so few that they are broadcast:
     the documents are not shuffled.
     """
     known = (
@@ -141,10 +141,10 @@ def training_sample(
         .groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("y"))
     )
     spread = F.xxhash64(F.lit(17), "_k")
-    picked = [known.filter(F.col("y") == y).orderBy(spread, "_k").limit(per_class) for y in (0, 1)]
+    picked = [known.filter(F.col("y") == y).orderBy(spread, "_k").limit(n) for y, n in ((0, clean_per_toxic * per_class), (1, per_class))]
     chosen = picked[0].unionByName(picked[1])
     short = docs.filter(F.length(text).between(1, max_chars)).select(F.col(key).alias("_k"), F.col(text).alias("text"))
-    return short.join(F.broadcast(chosen), "_k").orderBy(spread, "_k", "text").limit(4 * per_class).select("text", "y")
+    return short.join(F.broadcast(chosen), "_k").orderBy(spread, "_k", "text").limit(2 * (1 + clean_per_toxic) * per_class).select("text", "y")
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, **how) -> SentenceModel:
