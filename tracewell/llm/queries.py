@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from tracewell.llm.chat import OP8_SQL, op8_chat_format
 from tracewell.llm.mixing import OP3_SQL, op3_mix_sources
+from tracewell.llm.packing import op1_best_fit_packing
 from tracewell.llm.secrets import op6_secret_scan
 from tracewell.llm.token_counts import op5_token_counts
 from tracewell.llm.toxicity import op2_toxicity
+from tracewell.llm.vectors import OP9_SQL, OP10_SQL, op9_embedding_dedup, op10_exact_topk
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
     "op5_token_counts": op5_token_counts,
     "op6_secret_scan": op6_secret_scan,
     "op8_chat_format": op8_chat_format,
+    "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_exact_topk": op10_exact_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": OP3_SQL,
     "op8_chat_format": OP8_SQL,
+    "op9_embedding_dedup": OP9_SQL,
+    "op10_exact_topk": OP10_SQL,
 }
