@@ -9,6 +9,7 @@ from tracewell.llm.secrets import op6_secret_scan
 from tracewell.llm.token_counts import op5_token_counts
 from tracewell.llm.toxicity import op2_toxicity
 from tracewell.llm.vectors import OP9_SQL, OP10_SQL, op9_embedding_dedup, op10_exact_topk
+from tracewell.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op5_token_counts": op5_token_counts,
     "op6_secret_scan": op6_secret_scan,
+    "op7_warc": op7_warc,
     "op8_chat_format": op8_chat_format,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_exact_topk": op10_exact_topk,
@@ -23,6 +25,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": OP3_SQL,
+    "op7_warc": OP7_SQL,
     "op8_chat_format": OP8_SQL,
     "op9_embedding_dedup": OP9_SQL,
     "op10_exact_topk": OP10_SQL,
