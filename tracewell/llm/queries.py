@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tracewell.llm.chat import OP8_SQL, op8_chat_format
 from tracewell.llm.mixing import OP3_SQL, op3_mix_sources
+from tracewell.llm.ngram_join import OP4_SQL, op4_ngram_jaccard_join
 from tracewell.llm.packing import op1_best_fit_packing
 from tracewell.llm.secrets import op6_secret_scan
 from tracewell.llm.token_counts import op5_token_counts
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op3_mix_sources": op3_mix_sources,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_token_counts": op5_token_counts,
     "op6_secret_scan": op6_secret_scan,
     "op7_warc": op7_warc,
@@ -25,6 +27,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mix_sources": OP3_SQL,
+    "op4_ngram_jaccard_join": OP4_SQL,
     "op7_warc": OP7_SQL,
     "op8_chat_format": OP8_SQL,
     "op9_embedding_dedup": OP9_SQL,
