@@ -1,6 +1,733 @@
-"""Registered queries over the given tables, with their SQL."""
+"""Registered queries over the given tables, with their SQL.
+
+A query is registered with the decorator below; the SQL stands beside it and gives the same rows and columns.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracewell.functions import text as X
+from tracewell.operators import catalog, chunking, consolidate, graph, quality, relations, rules, search, tracking
+from tracewell.sources import io
+from tracewell.sources.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: table(spark, sf_dir, name))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---------------------------------------------------------------- chunks and numbering
+
+CHUNKS = """
+chunks AS (
+  SELECT doc_id, (s // 448)::INTEGER AS chunk_no, s::INTEGER AS start, substr(text, s + 1, 512) AS chunk
+  FROM (SELECT doc_id, text, unnest(generate_series(0, CASE WHEN length(text) <= 512 THEN 0 ELSE 448 * ceil((length(text) - 512) / 448.0)::BIGINT END, 448)) AS s
+        FROM documents WHERE length(text) > 0)
+  WHERE length(substr(text, s + 1, 512)) >= 40)"""
+
+
+@query(f"WITH {CHUNKS} SELECT doc_id, chunk_no, start, sha256(chunk) AS hash FROM chunks")
+def chunks_window(t):
+    return chunking.sliding_chunks(t("documents")).select("doc_id", "chunk_no", "start", X.content_hash(F.col("chunk")).alias("hash"))
+
+
+@query(f"""WITH {CHUNKS}, h AS (SELECT c.*, sha256(chunk) AS hash, d.lang, d.source FROM chunks c JOIN documents d USING (doc_id)),
+f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY hash ORDER BY doc_id, chunk_no) = 1)
+SELECT 'lang' AS dimension, coalesce(lang, 'unknown') AS label, count(*) AS n FROM f GROUP BY ALL
+UNION ALL SELECT 'source', coalesce(source, 'unknown'), count(*) FROM f GROUP BY ALL""")
+def chunk_summary(t):
+    docs = t("documents").select("doc_id", "lang", "source", "text")
+    chunks = chunking.sliding_chunks(docs).select("doc_id", "chunk_no", X.content_hash(F.col("chunk")).alias("hash"))
+    first = chunks.groupBy("hash").agg(F.min(F.struct("doc_id", "chunk_no")).alias("f")).select("f.doc_id")
+    return catalog.summarise(first.join(docs.select("doc_id", "lang", "source"), "doc_id"), ["lang", "source"])
+
+
+@query("""WITH f AS (SELECT doc_id, md5(text) AS h FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1)
+SELECT doc_id, h, format('CHK_{:06d}', row_number() OVER (ORDER BY doc_id)) AS number FROM f""")
+def dedup_renumber(t):
+    docs = t("documents").filter("text IS NOT NULL").select("doc_id", F.md5("text").alias("h"))
+    return catalog.renumber(catalog.dedup_first(docs, ["h"], ["doc_id"]), ["doc_id"])
+
+
+@query("""SELECT md5(text) AS h, min(doc_id) AS doc_id, list_sort(list_distinct(list(source))) AS sources FROM documents
+WHERE trim(md5(text)) <> '' GROUP BY md5(text)""")
+def merge_duplicates(t):
+    docs = t("documents").filter("text IS NOT NULL").select(F.md5("text").alias("h"), "doc_id", F.array("source").alias("sources"))
+    return catalog.merge_duplicates(docs, "h", "doc_id", ["sources"])
+
+
+@query("""SELECT 'lang' AS dimension, coalesce(lang, 'unknown') AS label, count(*) AS n FROM documents GROUP BY ALL
+UNION ALL SELECT 'source', coalesce(source, 'unknown'), count(*) FROM documents GROUP BY ALL""")
+def summary_sets(t):
+    return catalog.summarise(t("documents"), ["lang", "source"])
+
+
+@query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20 + 1 AS batch FROM documents")
+def fixed_batches(t):
+    return catalog.fixed_batches(t("documents").select("doc_id", "source"), ["doc_id"], 20, ["source"])
+
+
+@query("""WITH RECURSIVE d AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+s AS (SELECT doc_id, source, n_chars, r, 1::BIGINT AS batch, 1 AS k, n_chars AS total FROM d WHERE r = 1
+  UNION ALL SELECT d.doc_id, d.source, d.n_chars, d.r,
+    CASE WHEN s.k >= 20 OR s.total + d.n_chars > 15000 THEN s.batch + 1 ELSE s.batch END,
+    CASE WHEN s.k >= 20 OR s.total + d.n_chars > 15000 THEN 1 ELSE s.k + 1 END,
+    CASE WHEN s.k >= 20 OR s.total + d.n_chars > 15000 THEN d.n_chars ELSE s.total + d.n_chars END
+  FROM s JOIN d ON d.source IS NOT DISTINCT FROM s.source AND d.r = s.r + 1)
+SELECT doc_id, source, n_chars, batch FROM s""")
+def budget_batches(t):
+    return catalog.budget_batches(t("documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 20, 15000)
+
+
+@query("""SELECT doc_id, source || '-' || format('{:03d}', row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS number FROM documents WHERE source IS NOT NULL""")
+def number_within(t):
+    docs = t("documents").filter("source IS NOT NULL").select("doc_id", "source")
+    return catalog.number_within(docs, "source", ["doc_id"], F.col("source")).select("doc_id", "number")
+
+
+@query("""SELECT doc_id, CASE WHEN lang IS NULL THEN 'missing lang' WHEN trim(lang) = '' THEN 'empty lang' WHEN text IS NULL THEN 'missing text' WHEN trim(text) = '' THEN 'empty text' END AS reject_reason FROM documents""")
+def validate_records(t):
+    return catalog.validate_records(t("documents"), ["lang", "text"]).select("doc_id", "reject_reason")
+
+
+@query("""SELECT l_orderkey AS item, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1""")
+def duplicate_ids(t):
+    return catalog.duplicate_ids(t("lineitem").select(F.col("l_orderkey").alias("item")), "item")
+
+
+@query("""SELECT count(*) AS rows, count(lang) AS labelled_lang, count(source) AS labelled_source, 1000::BIGINT AS declared,
+count(*) = 1000 AND count(lang) = count(*) AND count(source) = count(*) AS consistent FROM documents""")
+def totals_check(t):
+    return catalog.totals_check(t("documents"), 1000, ["lang", "source"])
+
+
+# ---------------------------------------------------------------- change sets
+
+CHANGES = """
+ch AS (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'DELETE' WHEN 1 THEN 'MODIFY' ELSE 'INSERT' END AS a, 'X' AS s FROM orders WHERE o_orderkey % 7 IN (0, 1, 2)
+  UNION ALL SELECT -o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'INSERT' ELSE 'DELETE' END, 'N' FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey > 0)"""
+
+
+def _changes(t):
+    o = t("orders").select("o_orderkey")
+    k = F.col("o_orderkey")
+    own = o.filter(k % 7 < 3).filter(k >= 0).select(k, F.when(k % 7 == 0, "DELETE").when(k % 7 == 1, "MODIFY").otherwise("INSERT").alias("action"), F.lit("X").alias("o_orderstatus"))
+    new = o.filter((k % 11 == 0) & (k > 0)).select((-k).alias("o_orderkey"), F.when(k % 2 == 0, "INSERT").otherwise("DELETE").alias("action"), F.lit("N").alias("o_orderstatus"))
+    return catalog.apply_changes(t("orders").select("o_orderkey", "o_orderstatus"), own.unionByName(new), "o_orderkey", ["o_orderstatus"])
+
+
+@query(f"""WITH {CHANGES}
+SELECT o.o_orderkey, CASE WHEN a = 'MODIFY' THEN s ELSE o_orderstatus END AS o_orderstatus FROM orders o LEFT JOIN ch USING (o_orderkey) WHERE a IS DISTINCT FROM 'DELETE'
+UNION ALL SELECT o_orderkey, s FROM ch WHERE a = 'INSERT' AND o_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
+def apply_changes(t):
+    return _changes(t)[0]
+
+
+@query(f"""WITH {CHANGES} SELECT ch.o_orderkey, a AS action, CASE WHEN a = 'INSERT' THEN 'already present' ELSE 'not present' END AS error
+FROM ch LEFT JOIN orders o USING (o_orderkey) WHERE (a = 'INSERT') = (o.o_orderstatus IS NOT NULL)""")
+def change_errors(t):
+    return _changes(t)[1]
+
+
+@query("""SELECT doc_id, 'no document' AS problem FROM (SELECT DISTINCT doc_id FROM labels) WHERE doc_id NOT IN (SELECT doc_id FROM documents)
+UNION ALL SELECT doc_id, 'not listed' FROM (SELECT DISTINCT doc_id FROM documents) WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def dangling(t):
+    return catalog.dangling(t("labels").select("doc_id"), t("documents").select("doc_id"), "doc_id")
+
+
+@query("SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)")
+def keep_existing(t):
+    return catalog.keep_existing(t("labels").select("doc_id", "quality"), t("documents"), "doc_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_docs(t):
+    return catalog.missing_docs(t("documents").select("doc_id"), t("labels"), "doc_id")
+
+
+@query("""WITH i AS (SELECT doc_id AS item_id, doc_id // 50 AS batch_number, 'completed' AS status FROM documents),
+m AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))
+SELECT item_id, batch_number, CASE WHEN item_id IN (SELECT * FROM m) THEN 'pending' ELSE status END AS status,
+bool_or(item_id IN (SELECT * FROM m)) OVER (PARTITION BY batch_number) AS affected FROM i""")
+def affected_batches(t):
+    items = t("documents").select(F.col("doc_id").alias("item_id"), F.floor(F.col("doc_id") / 50).alias("batch_number"), F.lit("completed").alias("status"))
+    gone = t("documents").join(t("labels"), "doc_id", "left_anti").select(F.col("doc_id").alias("item_id"))
+    return catalog.affected_batches(items, gone)
+
+
+@query("""WITH a AS (SELECT doc_id, count(*) AS n, min('doc' || (doc_id % 5)) AS nm FROM labels GROUP BY doc_id)
+SELECT coalesce(d.doc_id, a.doc_id) AS doc_id, coalesce(n, 0) AS n_docs, CASE WHEN d.doc_id IS NULL THEN 'unknown' WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate' WHEN nm <> 'doc' || (d.doc_id % 6) THEN 'wrong name' END AS problem
+FROM documents d FULL JOIN a ON a.doc_id = d.doc_id""")
+def audit_documents(t):
+    name = lambda m: F.concat(F.lit("doc"), (F.col("doc_id") % m).cast("string"))
+    return catalog.audit_documents(t("documents").select("doc_id", name(6).alias("name")), t("labels").select("doc_id", name(5).alias("file")), "doc_id", "name", "file")
+
+
+@query("""WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n FROM documents)
+SELECT doc_id, source, greatest(n - 5, 0) AS overflow FROM r WHERE r <= 5""")
+def cap_with_overflow(t):
+    return catalog.cap_with_overflow(t("documents").select("doc_id", "source", "n_chars"), "source", [F.desc("n_chars"), "doc_id"], 5).select("doc_id", "source", "overflow")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, lang")
+def rank_counts(t):
+    return catalog.rank_counts(t("documents"), "lang")
+
+
+@query("""SELECT DISTINCT url AS path FROM pages WHERE url IS NOT NULL AND NOT regexp_matches(url, '\\?') AND NOT contains(url, '/de/')""")
+def exclude_paths(t):
+    pages = t("pages").select(F.col("url").alias("path"))
+    return catalog.changed_files(catalog.exclude_paths(pages, "path", globs=("*[?]*",), dirs=("de",)), pages.limit(0))
+
+
+# ---------------------------------------------------------------- relations
+
+CUST_PART = """
+a AS (SELECT DISTINCT c_nationkey AS s, o_orderkey AS m FROM customer JOIN orders ON c_custkey = o_custkey),
+b AS (SELECT DISTINCT l_orderkey AS m, l_suppkey AS c FROM lineitem)"""
+
+
+def _cust_orders(t):
+    rows = t("customer").select("c_custkey", "c_nationkey").join(t("orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return rows.select(F.col("c_nationkey").alias("source"), F.col("o_orderkey").alias("target"))
+
+
+@query(f"WITH {CUST_PART} SELECT s AS source, list_sort(list(DISTINCT c)) AS targets FROM a JOIN b USING (m) GROUP BY s")
+def compose_nation_supplier(t):
+    items = t("lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_suppkey").alias("target"))
+    return relations.compose_relations(_cust_orders(t), items)
+
+
+@query("""SELECT c_custkey AS source, coalesce(list_sort(list(DISTINCT l_partkey) FILTER (l_partkey IS NOT NULL)), []) AS targets
+FROM customer JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 49 GROUP BY 1""")
+def compose_keep_empty(t):
+    orders = t("orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target"))
+    items = t("lineitem").filter("l_quantity > 49").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"))
+    known = orders.join(t("customer").select(F.col("c_custkey").alias("source")), "source", "left_semi")
+    return relations.compose_relations(known, items, keep_empty=True)
+
+
+@query("SELECT l_partkey AS part, list_sort(list(DISTINCT l_suppkey)) AS targets FROM lineitem GROUP BY 1")
+def adjacency(t):
+    return relations.adjacency(t("lineitem").select(F.col("l_partkey").alias("part"), "l_suppkey"), "part", "l_suppkey")
+
+
+@query("SELECT l_suppkey AS source, list_sort(list(DISTINCT l_partkey)) AS targets FROM lineitem GROUP BY 1")
+def inverted(t):
+    rel = relations.adjacency(t("lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target")))
+    return relations.invert(rel)
+
+
+@query("""WITH o AS (SELECT doc_id::VARCHAR AS k, list_sort(list(DISTINCT toxic)) AS targets FROM labels GROUP BY 1), d AS (SELECT DISTINCT doc_id::VARCHAR AS k FROM documents WHERE doc_id % 2 = 0)
+SELECT coalesce(d.k, o.k) AS doc_id, coalesce(targets, []) AS targets, CASE WHEN d.k IS NULL THEN 'observed' WHEN o.k IS NULL THEN 'known' ELSE 'both' END AS origin FROM d FULL JOIN o ON d.k = o.k""")
+def known_and_observed(t):
+    seen = t("labels").select("doc_id", F.array("toxic").alias("targets"))
+    return relations.merge_known_and_observed(t("documents").filter("doc_id % 2 = 0").select("doc_id"), seen, "doc_id")
+
+
+@query("""WITH l AS (SELECT doc_id, list_sort(list(DISTINCT CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END)) AS s FROM labels GROUP BY 1)
+SELECT d.doc_id, coalesce(s, []) AS source_interfaces FROM documents d LEFT JOIN l USING (doc_id)""")
+def attach_lineage(t):
+    lineage = t("labels").select("doc_id", F.array(F.when(F.col("quality") == 1, "good").otherwise("poor")).alias("interfaces"))
+    return relations.attach_lineage(t("documents").select("doc_id"), lineage, "doc_id")
+
+
+@query(r"""WITH r AS (SELECT DISTINCT 'REQ-' || item_id AS req_id FROM benchmark), t AS (SELECT DISTINCT doc_id AS task_id, 'REQ-' || (doc_id % 60) AS req_id FROM documents)
+SELECT coalesce(r.req_id, t.req_id) AS req_id, task_id, CASE WHEN task_id IS NULL THEN 'no task' WHEN r.req_id IS NULL THEN 'unknown requirement' END AS gap FROM r FULL JOIN t ON r.req_id = t.req_id""")
+def coverage_matrix(t):
+    req = t("benchmark").select(F.concat(F.lit("REQ-"), F.col("item_id").cast("string")).alias("req_id"))
+    tasks = t("documents").select(F.col("doc_id").alias("task_id"), F.format_string("implements REQ-%d and REQ-%d", F.col("doc_id") % 60, F.col("doc_id") % 60).alias("text"))
+    return relations.coverage_matrix(req, tasks, r"(REQ-\d+)")
+
+
+@query("""SELECT n_nationkey AS src, n_regionkey + 1000 AS dst, CASE WHEN n_nationkey % 3 = 0 THEN 'knows' ELSE 'in' END AS relation,
+CASE WHEN n_nationkey % 3 = 0 THEN 'unknown relation' END AS problem FROM nation
+UNION ALL SELECT c_custkey + 2000, c_nationkey, 'in', 'end type not allowed' FROM customer""")
+def check_ontology(t):
+    nations, regions, cust = t("nation"), t("region"), t("customer")
+    nodes = nations.select(F.col("n_nationkey").cast("long").alias("id"), F.lit("nation").alias("type_id"))
+    nodes = nodes.unionByName(regions.select((F.col("r_regionkey") + 1000).cast("long").alias("id"), F.lit("region").alias("type_id")))
+    nodes = nodes.unionByName(cust.select((F.col("c_custkey") + 2000).alias("id"), F.lit("customer").alias("type_id")))
+    rel = F.when(F.col("n_nationkey") % 3 == 0, "knows").otherwise("in")
+    edges = nations.select(F.col("n_nationkey").cast("long").alias("src"), (F.col("n_regionkey") + 1000).cast("long").alias("dst"), rel.alias("relation"))
+    edges = edges.unionByName(cust.select((F.col("c_custkey") + 2000).alias("src"), F.col("c_nationkey").cast("long").alias("dst"), F.lit("in").alias("relation")))
+    types = lambda v: F.array(F.lit(v))
+    ontology = regions.limit(1).select(F.lit("in").alias("relation"), types("nation").alias("from_types"), types("region").alias("to_types"), F.lit(True).alias("directional"))
+    return relations.check_ontology(edges, nodes, ontology)
+
+
+@query("""SELECT r_name AS source, list_sort(list(DISTINCT c_custkey::VARCHAR)) AS targets FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
+def trace_region_customer(t):
+    nation = t("nation").join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    e1 = nation.select(F.col("r_name").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"), F.lit("has").alias("relation"))
+    e2 = t("customer").select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.col("c_custkey").cast("string").alias("dst"), F.lit("serves").alias("relation"))
+    return relations.trace(e1.unionByName(e2), ["has", "serves"])
+
+
+@query("""SELECT o_orderkey, bool_or(l_returnflag = 'A') AS A, bool_or(l_returnflag = 'N') AS N, bool_or(l_returnflag = 'R') AS R, count(DISTINCT l_returnflag) AS present
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1
+UNION ALL SELECT o_orderkey, false, false, false, 0 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+def artifact_matrix(t):
+    items = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("artefact"))
+    out = relations.artifact_matrix(t("orders").select("o_orderkey"), items, ["A", "N", "R"], "o_orderkey")
+    return out.withColumn("present", F.col("present").cast("long"))
+
+
+@query("SELECT DISTINCT p_partkey AS root_symbol FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
+def missing_roots(t):
+    return relations.missing_roots(t("part").select(F.col("p_partkey").alias("root_symbol")), t("lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("root_symbol")))
+
+
+# ---------------------------------------------------------------- search
+
+
+def _instances(t):
+    return t("documents").select(
+        F.concat(F.lit("DOC_"), F.col("doc_id").cast("string")).alias("id"), F.col("lang").alias("type_id"), F.col("source").alias("name"), "doc_id", "text",
+        F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("frontmatter"), F.create_map(F.lit("Text"), "text").alias("sections"),
+    )
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND source IN ('src1', 'src2')")
+def filter_instances(t):
+    return search.filter_instances(_instances(t), {"Language": "en", "source": ["src1", "src2"]}, {"Language": "lang"}).select("doc_id")
+
+
+@query("""WITH w AS (SELECT DISTINCT coalesce(source, '') AS ref FROM documents UNION SELECT 'DOC_' || doc_id FROM documents WHERE doc_id % 3 = 0)
+SELECT ref, CASE WHEN ref IN (SELECT 'DOC_' || doc_id FROM documents) THEN ref ELSE (SELECT min('DOC_' || doc_id) FROM documents WHERE source = ref) END AS id FROM w WHERE ref <> ''""")
+def resolve_instance(t):
+    docs = _instances(t)
+    wanted = docs.select(F.col("name").alias("ref")).union(docs.filter("doc_id % 3 = 0").select("id")).distinct().filter("ref <> ''")
+    return search.resolve_instance(wanted, docs).select("ref", "id")
+
+
+@query("SELECT 'DOC_' || doc_id AS id, md5(text) AS Text, lang AS Language FROM documents")
+def instance_view(t):
+    return search.instance_view(_instances(t), [("Text", "text"), ("Language", "lang")]).withColumn("Text", F.md5("Text"))
+
+
+@query("SELECT coalesce(lang, 'unknown') AS type_id, count(*) AS n FROM documents GROUP BY 1")
+def kb_stats(t):
+    return search.kb_stats(_instances(t))
+
+
+@query("""SELECT 'DOC_' || doc_id AS id, CASE WHEN doc_id % 10 = 3 THEN ['missing Owner', 'id pattern'] ELSE ['missing Owner'] END AS findings FROM documents WHERE lang IN ('en', 'de')
+UNION ALL SELECT 'DOC_' || doc_id, CASE WHEN doc_id % 10 = 3 THEN ['missing Owner', 'enum lang', 'id pattern'] ELSE ['missing Owner', 'enum lang'] END FROM documents WHERE lang NOT IN ('en', 'de')""")
+def instance_checks(t):
+    docs = _instances(t).filter("type_id IS NOT NULL").withColumn("preamble", F.lit(""))
+    return search.kb_validate(search.instance_checks(docs, ["lang", "Owner"], {"lang": ["en", "de"]}, r"^DOC_\d*[0-24-9]$", ["Text"]))
+
+
+KEYWORDS = ["the", "password", "une"]
+
+
+@query("""SELECT w AS word, doc_id, CASE WHEN p > 41 THEN '...' ELSE '' END || substr(text, greatest(p - 40, 1), least(p + length(w) + 39, length(text)) - greatest(p - 40, 1) + 1)
+|| CASE WHEN p + length(w) + 39 < length(text) THEN '...' ELSE '' END AS snippet
+FROM (SELECT doc_id, text, w, strpos(lower(text), w) AS p FROM documents, unnest(['the', 'password', 'une']) AS u(w)) WHERE p > 0""")
+def keyword_search(t):
+    return search.keyword_search(t("documents"), "doc_id", "text", KEYWORDS)
+
+
+@query("""SELECT doc_id, CASE WHEN lang = 'de' THEN 'excluded type' WHEN coalesce(trim(text), '') = '' THEN 'empty' WHEN length(trim(text)) < 400 THEN 'too short' END AS skip_reason FROM documents""")
+def index_entries(t):
+    return search.index_entries(t("documents"), "text", F.coalesce("lang", F.lit("")), 400, ("de",)).select("doc_id", "skip_reason")
+
+
+VECTORS_SQL = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 16),
+s AS (SELECT query_id, vec_id, list_dot_product(q, embedding::DOUBLE[]) AS s FROM q, embeddings WHERE {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, round(s, 4) AS score FROM r WHERE rank <= 10 AND s >= 0.3"""
+
+
+def _vector_query(t, scope=None):
+    asked = t("embeddings").filter("vec_id < 16").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return search.vector_search(t("embeddings"), asked, "vec_id", "embedding", 10, 0.3, scope)
+
+
+@query(VECTORS_SQL.format(where="true"))
+def vector_topk(t):
+    return _vector_query(t)
+
+
+@query(VECTORS_SQL.format(where="label IN (1, 2, 3)"))
+def vector_scoped(t):
+    return _vector_query(t, F.col("label").isin(1, 2, 3))
+
+
+@query("""SELECT 'run1' AS run, count(*) AS entries, count(DISTINCT text) AS distinct_texts, count(DISTINCT text) AS new, 0::BIGINT AS reused FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 0
+UNION ALL SELECT 'run2', count(*), count(DISTINCT text), count(DISTINCT text) - (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 2 = 0),
+(SELECT count(DISTINCT text) FROM documents WHERE doc_id % 2 = 0) FROM documents WHERE text IS NOT NULL""")
+def index_incremental(t):
+    from tracewell.sources.shared import new_path
+
+    docs = t("documents").select("doc_id", "text")
+    spark = docs.sparkSession
+    store = io.VectorStore(spark, new_path(spark, "store"), "hashing", "plain")
+    first = search.build_index(docs.filter("doc_id % 2 = 0"), store).withColumn("run", F.lit("run1"))
+    return first.unionByName(search.build_index(docs, store).withColumn("run", F.lit("run2")))
+
+
+@query("""WITH q AS (SELECT lower(p_name) AS q FROM part WHERE p_partkey <= 5), n AS (SELECT p_partkey, lower(p_name) AS n FROM part),
+x AS (SELECT q, p_partkey, list_distinct(list_filter(regexp_extract_all(q, '[a-z0-9_]+'), lambda w: length(w) >= 2)) AS a, list_distinct(list_filter(regexp_extract_all(n, '[a-z0-9_]+'), lambda w: length(w) >= 2)) AS b, n FROM q, n)
+SELECT q AS query, p_partkey, round(0.5 * (contains(n, q) OR contains(replace(n, ' ', ''), replace(q, ' ', '')))::INT + CASE WHEN len(a) > 0 AND len(b) > 0 THEN 0.3 * len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) ELSE 0 END, 6) AS score
+FROM (SELECT DISTINCT * FROM x)""")
+def fuzzy_native(t):
+    asked = t("part").filter("p_partkey <= 5").select(F.lower("p_name").alias("query")).distinct()
+    rows = t("part").select("p_partkey", "p_name").join(F.broadcast(asked), F.lit(True))
+    return rows.select("query", "p_partkey", F.round(search.fuzzy_lower_score(F.col("query"), F.col("p_name")), 6).alias("score"))
+
+
+@query()
+def fuzzy_topk(t):
+    asked = t("part").filter("p_partkey <= 5").select(F.col("p_name").alias("query"))
+    return search.fuzzy_search(t("part").select("p_partkey", "p_name"), asked, 10, "p_partkey", "p_name")
+
+
+# ---------------------------------------------------------------- rules and gates
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)apache license|all rights reserved') THEN 'licence' WHEN regexp_matches(text, '(?i)password|api_?key') THEN 'credential' WHEN regexp_matches(text, '[!?]{2}') THEN 'noise' ELSE 'unknown' END AS label,
+CASE WHEN regexp_matches(text, '(?i)apache license|all rights reserved') THEN 0.7 WHEN regexp_matches(text, '(?i)password|api_?key') THEN 0.65 WHEN regexp_matches(text, '[!?]{2}') THEN 0.6 ELSE 0.0 END AS confidence FROM documents""")
+def classify_first(t):
+    found = [("r1", "text", "(?i)apache license|all rights reserved", "licence", 0.7), ("r2", "text", "(?i)password|api_?key", "credential", 0.65), ("r3", "text", "[!?]{2}", "noise", 0.6)]
+    return rules.classify_first_match(t("documents"), found).select("doc_id", "label", "confidence")
+
+
+WEIGHTED = [("buyer", "optional", "purchase", 0.9), ("buyer", "exclude", "error", 0.0), ("visitor", "optional", "view|click", 0.6), ("new", "required", "signup", 0.8)]
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'buyer' WHEN 'view' THEN 'visitor' WHEN 'click' THEN 'visitor' WHEN 'signup' THEN 'new' ELSE 'unknown' END AS label,
+CASE event_type WHEN 'purchase' THEN 0.9 WHEN 'view' THEN 0.6 WHEN 'click' THEN 0.6 WHEN 'signup' THEN 0.8 ELSE 0.0 END::DOUBLE AS confidence FROM events""")
+def classify_weighted(t):
+    table_ = t("events").sparkSession.createDataFrame(WEIGHTED, "label string, kind string, pattern string, confidence double")
+    return rules.classify_weighted(t("events"), table_, "event_id", "event_type")
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'sales' WHEN 'error' THEN 'support' END AS domain, CASE event_type WHEN 'purchase' THEN 'buy' WHEN 'error' THEN 'fail' END AS "function" FROM events""")
+def tag_semantics(t):
+    table_ = t("events").sparkSession.createDataFrame([(1, "purch", "sales", "buy"), (2, "err", "support", "fail")], "priority int, pattern string, domain string, function string")
+    return rules.tag_semantics(t("events"), table_, "event_id", "event_type")
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https:') THEN 'secure' ELSE 'plain' END AS type, coalesce(nullif(regexp_extract(url, '^([^/]+)/', 1), ''), 'root') AS module FROM pages WHERE url IS NOT NULL""")
+def normalise_catalogue(t):
+    pages = t("pages").filter("url IS NOT NULL").select("page_id", "url", F.regexp_extract("url", "^([a-zA-Z]+):", 1).alias("scheme"))
+    return rules.normalise_catalogue(pages, "scheme", "url", {"https": "secure", "http": "plain"}, {}).select("page_id", "type", "module")
+
+
+@query("""SELECT user_id, event_type, CASE WHEN event_type IN ('view', 'click') THEN 'system' WHEN event_type IN (SELECT event_type FROM events WHERE event_id < 3) THEN 'local' ELSE 'external' END AS kind, count(*) AS n FROM events GROUP BY ALL""")
+def classify_imports(t):
+    e = t("events").select("event_id", "user_id", F.col("event_type").alias("module"))
+    out = rules.classify_imports(e, e.filter("module IN ('view', 'click')"), e.filter("event_id < 3"))
+    return out.groupBy("user_id", F.col("module").alias("event_type"), "kind").agg(F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT source, CASE WHEN lang IN ('de', 'fr') THEN 'c' WHEN lang = 'es' THEN 'cpp' ELSE 'python' END AS language, count(*) AS n FROM documents GROUP BY ALL),
+f AS (SELECT source, CASE WHEN language IN ('c', 'cpp') AND max(n) FILTER (language = 'c') OVER w > 0 AND max(n) FILTER (language = 'cpp') OVER w > 0
+  THEN CASE WHEN max(n) FILTER (language = 'cpp') OVER w >= max(n) FILTER (language = 'c') OVER w THEN 'cpp' ELSE 'c' END ELSE language END AS language, n FROM n WINDOW w AS (PARTITION BY source)),
+s AS (SELECT source, language, sum(n)::BIGINT AS files, sum(n) * CASE WHEN language = 'c' THEN 0.8 ELSE 1.0 END::DOUBLE AS score FROM f GROUP BY source, language)
+SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, language) = 1""")
+def language_vote(t):
+    lang = F.when(F.col("lang").isin("de", "fr"), "c").when(F.col("lang") == "es", "cpp").otherwise("python")
+    return rules.language_vote(t("documents").select("source", lang.alias("language")), "source", "language")
+
+
+@query("""SELECT source, round_even(count(*) * 1.05 * 0.9, 0)::BIGINT AS lower, round_even(count(*) * 1.05 * 1.3, 0)::BIGINT AS upper,
+CASE WHEN count(text) FILTER (lang = 'en') < greatest(5, round_even(count(*) * 1.05 * 0.9, 0)) THEN 'too_few' ELSE 'pass' END AS status FROM documents GROUP BY source""")
+def quantity_gate(t):
+    rows = t("documents").groupBy("source").agg((F.count("*") * 1.05).alias("estimated"), F.count(F.when(F.col("lang") == "en", F.col("text"))).alias("actual"))
+    rows = rows.withColumn("baseline", F.lit(5)).withColumn("list_ok", F.lit(True))
+    return quality.quantity_gate(rows).select("source", "lower", "upper", "status")
+
+
+@query("""WITH b AS (SELECT source, greatest(1, ceil(sum(n_chars) * 0.002))::BIGINT AS baseline, greatest(1, ceil(sum(n_chars) * 0.001))::BIGINT AS floor_ FROM documents GROUP BY source),
+h AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY kind) AS ord FROM (SELECT source, lang AS kind, count(*) AS hits FROM documents GROUP BY ALL)),
+e AS (SELECT h.*, baseline, floor_, sum(hits) OVER w AS t, count(*) OVER w AS k, round_even(baseline * hits / sum(hits) OVER w, 0)::BIGINT AS e0 FROM h JOIN b USING (source) WINDOW w AS (PARTITION BY source)),
+g AS (SELECT *, greatest(0, baseline - sum(e0) OVER (PARTITION BY source)) AS gap FROM e),
+f AS (SELECT *, (e0 + gap // k + CASE WHEN ord - 1 < gap % k THEN 1 ELSE 0 END)::BIGINT AS e1 FROM g)
+SELECT source, kind, ord::INTEGER AS ord, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY e1 DESC, ord) = 1 THEN greatest(e1, floor_) ELSE e1 END AS estimate, baseline FROM f""")
+def estimate_counts(t):
+    from pyspark.sql import Window
+
+    hits = t("documents").groupBy("source", F.col("lang").alias("kind")).agg(F.count("*").alias("hits"))
+    hits = hits.withColumn("ord", F.row_number().over(Window.partitionBy("source").orderBy("kind")))
+    return quality.estimate_counts(t("documents").select("source", F.col("n_chars").alias("lines")), hits, "source")
+
+
+RESPONSES = """'```json\n{"score": ' || quality * 3 || ', "inconsistencies": []}\n```'"""
+
+
+@query("SELECT doc_id, (CASE WHEN doc_id % 3 = 0 THEN quality * 3 WHEN doc_id % 3 = 1 THEN quality + 1 ELSE toxic END)::INTEGER AS score FROM labels")
+def score_in_text(t):
+    q, x = F.col("quality"), F.col("toxic")
+    text = (
+        F.when(F.col("doc_id") % 3 == 0, F.format_string('Verdict:\n```json\n{"score": %d, "note": "ok"}\n```', q * 3))
+        .when(F.col("doc_id") % 3 == 1, F.format_string("Usefulness (scores ONLY): %d of 4", q + 1))
+        .otherwise(F.format_string("I would give it a %d .", x))
+    )
+    return t("labels").select("doc_id", X.score_in_text(text).alias("score"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (quality + toxic) * 40.0 + 10 ELSE 95.0 END::DOUBLE AS score, CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'fail' END AS status,
+false AS passed FROM labels""")
+def total_score(t):
+    text = F.when(F.col("doc_id") % 2 == 0, F.format_string('{"scores": {"a": {"score": 3}, "total": %d}, "status": "OK"}', (F.col("quality") + F.col("toxic")) * 40 + 10))
+    text = text.otherwise(F.lit("# report\ntotal_score: 0.95\nstatus: pass\nstatus: FAIL\n"))
+    return t("labels").select("doc_id", X.total_score(text).alias("s")).select("doc_id", "s.*")
+
+
+@query("""SELECT o_orderkey, CASE WHEN n IS NULL THEN 100.0 ELSE 100.0 - least(100, p) END::DOUBLE AS score FROM orders LEFT JOIN
+(SELECT l_orderkey, count(*) AS n, sum(CASE l_returnflag WHEN 'A' THEN 5 WHEN 'R' THEN 50 ELSE 0 END) AS p FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
+def severity_score(t):
+    sev = F.when(F.col("l_returnflag") == "A", "Small").when(F.col("l_returnflag") == "R", "Major").otherwise("Minor")
+    found = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(F.struct(F.lit("x").alias("inconsistency"), sev.alias("severity"))).alias("i"))
+    return t("orders").select("o_orderkey").join(found, "o_orderkey", "left").select("o_orderkey", quality.severity_score(F.col("i")).alias("score"))
+
+
+@query("""SELECT doc_id AS case_id, quality * 3 / 4.0 AS functional_correctness, CASE WHEN doc_id % 5 > 0 THEN toxic * 2 / 4.0 END AS usefulness, 0.8 AS code_judge,
+CASE WHEN doc_id % 5 > 0 THEN round_even((quality * 3 / 4.0 + toxic * 2 / 4.0 + 0.8) / 3, 4) END AS mean FROM labels""")
+def judge_metric(t):
+    l = t("labels").select(F.col("doc_id").alias("case_id"), "quality", "toxic")  # noqa: E741
+    rows = l.select("case_id", F.lit("functional_correctness").alias("metric"), (F.col("quality") * 3.0).alias("score"))
+    rows = rows.unionByName(l.filter("case_id % 5 > 0").select("case_id", F.lit("usefulness").alias("metric"), (F.col("toxic") * 2.0).alias("score")))
+    return quality.judge_metric(rows.unionByName(l.select("case_id", F.lit("code_judge").alias("metric"), F.lit(80.0).alias("score"))))
+
+
+@query("""SELECT user_id, round_even(sum(CASE event_type WHEN 'view' THEN 0.2 WHEN 'click' THEN 0.3 ELSE 0 END * 100), 2)::DOUBLE AS total,
+CASE WHEN round_even(sum(CASE event_type WHEN 'view' THEN 0.2 WHEN 'click' THEN 0.3 ELSE 0 END * 100), 2) >= 95 THEN 'pass' WHEN round_even(sum(CASE event_type WHEN 'view' THEN 0.2 WHEN 'click' THEN 0.3 ELSE 0 END * 100), 2) >= 80 THEN 'warning' ELSE 'fail' END AS verdict
+FROM events GROUP BY user_id""")
+def rubric_score(t):
+    dims = t("events").select("user_id", F.col("event_type").alias("dimension"), F.lit(100.0).alias("score"))
+    return quality.rubric_score(dims, "user_id", {"view": 0.2, "click": 0.3})
+
+
+@query("""WITH m AS (SELECT md5(text) AS k, CASE WHEN quality = 1 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence, source AS note, source FROM documents JOIN labels USING (doc_id) WHERE source IS NOT NULL AND text IS NOT NULL)
+SELECT k, max(confidence) AS confidence, min(note) FILTER (confidence = mx) AS note, list_sort(list(DISTINCT source)) AS sources, CASE WHEN max(confidence) >= 0.9 THEN 'high' ELSE 'low' END AS tier
+FROM (SELECT *, max(confidence) OVER (PARTITION BY k) AS mx FROM m) GROUP BY k""")
+def merge_best(t):
+    rows = t("documents").join(t("labels"), "doc_id").filter("source IS NOT NULL AND text IS NOT NULL").select(
+        F.md5("text").alias("k"), F.when(F.col("quality") == 1, 0.9).otherwise(0.6).alias("confidence"), F.col("source").alias("note"), F.array("source").alias("sources")
+    )
+    return catalog.merge_best(rows, "k", "confidence", "note", ["sources"])
+
+
+@query("""SELECT doc_id, list_sort(list_filter([CASE WHEN NOT contains(coalesce(text, ''), 'the') THEN 'has the' END, CASE WHEN contains(coalesce(text, ''), '!!') THEN 'no shouting' END,
+CASE WHEN len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) < 2 THEN 'two numbers' END, CASE WHEN length(coalesce(text, '')) < 500 THEN 'long enough' END, 'heading'], lambda x: x IS NOT NULL)) AS errors FROM documents""")
+def contract_check(t):
+    rows = [("has the", "token", "the", 0), ("no shouting", "forbidden", "!!", 0), ("two numbers", "pattern", "[0-9]+", 2), ("long enough", "min_chars", "", 500), ("heading", "heading", "Overview of everything", 0)]
+    table_ = t("documents").sparkSession.createDataFrame(rows, "rule string, kind string, pattern string, least int")
+    return quality.contract_check(t("documents"), table_, "doc_id", "text")
+
+
+@query("""SELECT doc_id, term, severity, len(regexp_extract_all(lower(text), '\\b' || term || '\\b'))::INTEGER AS n FROM documents, (VALUES ('the', 'low'), ('with', 'high')) AS v(term, severity)
+WHERE len(regexp_extract_all(lower(text), '\\b' || term || '\\b')) > 0""")
+def ambiguity_findings(t):
+    return quality.ambiguity_findings(t("documents").filter("text IS NOT NULL"), "doc_id", "text", [("the", "low"), ("with", "high")])
+
+
+@query("""WITH l AS (SELECT o_orderstatus AS track, o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'done' END AS s FROM orders WHERE o_orderkey < 1000)
+SELECT track, count(*) FILTER (s = 'done') AS done, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'pending') AS pending, list_sort(list(k) FILTER (s = 'failed')) AS failed_ids, false AS passed FROM l GROUP BY track""")
+def todo_gate(t):
+    s = F.when(F.col("o_orderkey") % 5 == 0, "failed").when(F.col("o_orderkey") % 5 == 1, "pending").otherwise("DONE")
+    return quality.todo_gate(t("orders").filter("o_orderkey < 1000").select(F.col("o_orderstatus").alias("track"), F.col("o_orderkey").alias("k"), s.alias("s")), "track", "k", "s")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS path, l_linenumber AS line, max(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS h FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2),
+m AS (SELECT *, line - row_number() OVER (PARTITION BY path ORDER BY line) AS g FROM l WHERE h = 0), r AS (SELECT path, min(line) AS a, max(line) AS b FROM m GROUP BY path, g),
+x AS (SELECT path, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS gaps FROM r GROUP BY path)
+SELECT path, sum(h)::BIGINT AS covered, count(*) AS total, round_even(100.0 * sum(h) / count(*), 2)::DOUBLE AS percent, round_even(100.0 * sum(h) / count(*), 2) >= 80 AS passed, coalesce(max(gaps), '') AS gaps FROM l LEFT JOIN x USING (path) GROUP BY path""")
+def incremental_coverage(t):
+    lines = t("lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), (F.col("l_returnflag") == "N").cast("int").alias("hits"))
+    return quality.incremental_coverage(lines, t("orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("path")))
+
+
+SHINGLES = r"""
+w AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+st AS (SELECT doc_id, list_sort(list(s)) AS st FROM sh GROUP BY doc_id), rep AS (SELECT st, min(doc_id) AS doc_id, len(st) AS n FROM st GROUP BY st),
+sr AS (SELECT sh.* FROM sh JOIN rep USING (doc_id)),
+cm AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sr x JOIN sr y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL)"""
+
+
+@query(f"WITH {SHINGLES} SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM cm JOIN rep x ON x.doc_id = a JOIN rep y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.8")
+def near_duplicates(t):
+    return quality.near_duplicates(t("documents").select("doc_id", "text"), "doc_id", "text")
+
+
+@query(f"""WITH RECURSIVE {SHINGLES},
+p AS (SELECT a, b FROM cm JOIN rep x ON x.doc_id = a JOIN rep y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.8),
+l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT doc_id AS a, doc_id AS b FROM rep UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+g AS (SELECT a AS doc_id, min(b) AS g FROM reach GROUP BY a)
+SELECT g AS doc_id, list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)) AS sources FROM g JOIN documents USING (doc_id) GROUP BY g""")
+def consolidate_documents(t):
+    docs = t("documents").select("doc_id", "text", "source")
+    sets = docs.select("doc_id", quality.word_shingles(F.col("text")).alias("s")).filter(F.size("s") > 0)
+    first = sets.groupBy("s").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    entities = docs.join(first, "doc_id", "left_semi").select("doc_id", F.array_compact(F.array("source")).alias("sources"))
+    match = lambda now: quality.near_duplicates(docs.join(now.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text")
+    return consolidate.consolidate(entities, match, "doc_id", "doc_id", ["sources"])
+
+
+# ---------------------------------------------------------------- graph
+
+
+def _geo_edges(t):
+    n = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"), F.lit("in_region").alias("relation"))
+    c = t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"), F.lit("in_nation").alias("relation"))
+    o = t("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"), F.lit("by").alias("relation"))
+    return n.unionByName(c).unionByName(o)
+
+
+GEO = """g AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 'in_region' AS relation FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'in_nation' FROM customer
+UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'by' FROM orders), u AS (SELECT src AS a, dst AS b FROM g UNION SELECT dst, src FROM g)"""
+
+
+@query(f"WITH RECURSIVE {GEO}, w AS (SELECT 'r0' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN u ON u.a = w.node WHERE depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+def bfs(t):
+    edges = _geo_edges(t)
+    return graph.bfs_subgraph(edges, t("region").filter("r_regionkey = 0").select(F.concat(F.lit("r"), "r_regionkey").alias("id")), 3)
+
+
+@query(f"""WITH RECURSIVE {GEO}, p AS (SELECT 'c' || c_custkey AS a, 'c1' AS b FROM customer WHERE c_custkey <= 6 AND c_custkey > 1),
+w AS (SELECT DISTINCT a, a AS node, 0 AS d FROM p UNION SELECT w.a, u.b, d + 1 FROM w JOIN u ON u.a = w.node WHERE d < 6 AND u.b NOT LIKE 'o%')
+SELECT p.a, p.b, min(d) AS hops FROM p JOIN w ON w.a = p.a AND w.node = p.b GROUP BY 1, 2""")
+def shortest_path(t):
+    pairs = t("customer").filter("c_custkey <= 6 AND c_custkey > 1").select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.lit("c1").alias("b"))
+    return graph.shortest_paths(_geo_edges(t).filter("relation <> 'by'"), pairs, 6).select("a", "b", "hops")
+
+
+@query(f"""WITH {GEO}, b AS (SELECT 'n' || n_nationkey AS id, n_name AS label FROM nation WHERE contains(lower(n_name), 'an') ORDER BY 1 LIMIT 1),
+x AS (SELECT src AS id, 'out' AS way, relation, dst AS other FROM g UNION ALL SELECT dst, 'in', relation, src FROM g)
+SELECT id, way, relation, other, label, count(*) OVER () AS degree FROM x JOIN b USING (id)""")
+def explain(t):
+    nodes = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("label"))
+    return graph.explain_node(nodes, _geo_edges(t), "an")
+
+
+@query(f"""WITH RECURSIVE {GEO}, d AS (SELECT src AS id FROM g UNION SELECT dst FROM g),
+w AS (SELECT id, 0 AS l FROM d WHERE id LIKE 'r%' UNION SELECT src, l + 1 FROM w JOIN g ON g.dst = w.id) SELECT id, max(l) AS layer FROM w GROUP BY id""")
+def topo_layers(t):
+    e = _geo_edges(t)
+    return graph.topo_layers(e.select(F.col("src").alias("id")).union(e.select("dst")), e)
+
+
+@query("""SELECT 'o' || o_orderkey AS root, 'o' || o_orderkey AS node, 0 AS depth FROM orders
+UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 1 FROM orders UNION ALL SELECT 'o' || o_orderkey, 'n' || c_nationkey, 2 FROM orders JOIN customer ON c_custkey = o_custkey
+UNION ALL SELECT 'o' || o_orderkey, 'r' || n_regionkey, 3 FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
+def call_trees(t):
+    e = _geo_edges(t)
+    roots = graph.call_roots(t("orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id")), e)
+    return graph.call_trees(roots, e).select("root", "node", "depth")
+
+
+@query("""WITH e AS (SELECT 'n' || n_nationkey AS key, n_name AS name, r_name AS cls FROM nation JOIN region ON r_regionkey = n_regionkey)
+SELECT c_custkey AS call_id, key, CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey % 3 = 1 THEN 2 ELSE 3 END AS rule FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey JOIN e ON e.name = n_name""")
+def resolve_names(t):
+    geo = t("nation").join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    elements = geo.select(F.concat(F.lit("n"), "n_nationkey").alias("key"), F.col("n_name").alias("name"), F.col("r_name").alias("class_name"))
+    calls = t("customer").join(geo, F.col("n_nationkey") == F.col("c_nationkey"))
+    name = F.when(F.col("c_custkey") % 3 == 0, F.col("n_name")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("self."), "n_name")).otherwise(F.concat("r_name", F.lit("::"), "n_name"))
+    return graph.resolve_names(calls.select(F.col("c_custkey").alias("call_id"), name.alias("name"), F.col("r_name").alias("scope")), elements)
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE length(b.text) > 0")
+def mention_edges(t):
+    return graph.mention_edges(t("documents"), t("benchmark"))
+
+
+@query("""SELECT DISTINCT lower(w) AS token FROM (SELECT unnest(regexp_extract_all(p_name, '[A-Za-z]+')) AS w FROM part) WHERE length(w) BETWEEN 3 AND 30 AND NOT regexp_matches(w, '[a-z][A-Z]|[A-Z]{2}')""")
+def vocabulary(t):
+    return graph.vocabulary(t("part").select(F.col("p_name").alias("label")))
+
+
+@query("""SELECT doc_id, lang FROM (SELECT doc_id, lang, sum(n_chars + 1) OVER (PARTITION BY lang ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT doc_id, lang, length(text) AS n_chars FROM documents WHERE text IS NOT NULL)) WHERE s <= 80000""")
+def budgeted_context(t):
+    return graph.budgeted_context(t("documents").filter("text IS NOT NULL").select("doc_id", "lang", "text"), "lang", ["doc_id"], "text", 20000).select("doc_id", "lang")
+
+
+# ---------------------------------------------------------------- tracking
+
+STATUS = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'unknown' END"
+
+
+def _events(t):
+    s = F.col("event_type")
+    status = F.when(s == "signup", "pending").when(s == "view", "processing").when(s == "purchase", "completed").when(s == "error", "failed").otherwise("unknown")
+    return t("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), F.col("value").alias("seconds"))
+
+
+@query(f"""WITH e AS (SELECT user_id, {STATUS} AS s FROM events) SELECT user_id, count(*) AS total, count(*) FILTER (s = 'pending') AS pending, count(*) FILTER (s = 'processing') AS processing, count(*) FILTER (s = 'completed') AS completed, count(*) FILTER (s = 'failed') AS failed,
+count(*) FILTER (s IN ('completed', 'failed')) AS processed, round_even(100.0 * count(*) FILTER (s IN ('completed', 'failed')) / count(*), 2)::DOUBLE AS percent FROM e GROUP BY user_id""")
+def progress(t):
+    return tracking.progress(_events(t), ["user_id"])
+
+
+@query(f"""WITH e AS (SELECT user_id, value, {STATUS} AS s FROM events) SELECT user_id, round(avg(value) FILTER (s = 'completed'), 6) AS mean_seconds, count(*) FILTER (s NOT IN ('completed', 'failed')) AS "left",
+round(avg(value) FILTER (s = 'completed') * count(*) FILTER (s NOT IN ('completed', 'failed')), 3) AS eta_seconds FROM e GROUP BY user_id""")
+def eta(t):
+    return tracking.eta(_events(t), ["user_id"])
+
+
+@query(f"""WITH e AS (SELECT user_id, {STATUS} AS s FROM events) SELECT user_id, CASE WHEN bool_and(s = 'pending') THEN 'pending' WHEN bool_or(s IN ('processing', 'pending')) THEN 'processing' WHEN bool_or(s = 'completed') THEN 'completed' ELSE 'failed' END AS status FROM e GROUP BY user_id""")
+def group_status(t):
+    return tracking.group_status(_events(t), "user_id")
+
+
+@query(f"""WITH e AS (SELECT user_id AS batch_number, {STATUS} AS s FROM events) SELECT batch_number, count(*) AS total, count(*) FILTER (s = 'completed') AS done, CASE WHEN count(*) FILTER (s = 'completed') = count(*) THEN 'completed' ELSE 'incomplete' END AS status FROM e GROUP BY 1""")
+def recount_batches(t):
+    return tracking.recount_batches(_events(t).withColumnRenamed("user_id", "batch_number"))
+
+
+@query(f"SELECT user_id, event_id, {STATUS} AS status FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_state(t):
+    return tracking.latest_per_key(_events(t), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "status")
+
+
+@query("""WITH f AS (SELECT user_id, event_type AS stage, min({'a': ts, 'b': event_id}) AS m FROM events GROUP BY ALL) SELECT user_id, list(stage ORDER BY m) AS stages FROM f GROUP BY user_id""")
+def stage_list(t):
+    return tracking.accumulate_distinct(t("events").withColumnRenamed("event_type", "stage"), "user_id", "stage", ["ts", "event_id"])
+
+
+@query("""WITH v AS (SELECT user_id, event_id, event_type = 'purchase' AS p FROM events WHERE event_type IN ('purchase', 'error')),
+l AS (SELECT user_id, max(event_id) FILTER (p) AS lastp, max(event_id) AS e FROM v GROUP BY 1)
+SELECT user_id, count(*) FILTER (NOT p AND event_id > coalesce(lastp, -1)) AS attempts, CASE WHEN lastp = e THEN 'CONVERGED' WHEN count(*) FILTER (NOT p AND event_id > coalesce(lastp, -1)) >= 3 THEN 'EXHAUSTED' ELSE 'RETRY' END AS outcome FROM v JOIN l USING (user_id) GROUP BY user_id, lastp, e""")
+def attempts(t):
+    v = t("events").filter("event_type IN ('purchase', 'error')").select("user_id", F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("passed"))
+    return tracking.attempt_counter(v, "user_id")
+
+
+@query("""WITH o AS (SELECT o_orderpriority, o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'processing' ELSE 'completed' END AS s FROM orders),
+m AS (SELECT *, min(CASE s WHEN 'pending' THEN 0 WHEN 'processing' THEN 1 END) OVER (PARTITION BY o_orderpriority) AS m FROM o WHERE s <> 'completed')
+SELECT o_orderpriority, o_orderkey FROM m WHERE (m = 0) = (s = 'pending') QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) <= 3""")
+def next_work(t):
+    s = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "processing").otherwise("completed")
+    rows = t("orders").select("o_orderpriority", "o_orderkey", s.alias("status"))
+    return tracking.next_work(rows, ["o_orderpriority"], catalog.order_by_numeric_id(rows, "o_orderkey"), 3).select("o_orderpriority", "o_orderkey")
+
+
+@query("""WITH n AS (SELECT max(ts) AS n FROM events), l AS (SELECT user_id, min(ts) AS a, max(ts) AS b, bool_or(event_type = 'purchase') AS d FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN d THEN 'done' WHEN epoch(n - a) > 864000 THEN 'timeout' WHEN epoch(n - b) > 86400 THEN 'stale' ELSE 'running' END AS state FROM l, n""")
+def stale_sessions(t):
+    e = t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = e.agg(F.max("ts")).first()[0]
+    out = tracking.stale_sessions(e, "user_id", "ts", F.col("event_type") == "purchase", F.lit(now), 86400.0, 864000.0)
+    return out.select("user_id", "state")
+
+
+@query("""SELECT user_id, event_id, row_number() OVER w AS iteration, lead(1) OVER w IS NOT NULL AS followed, CASE WHEN event_type <> 'error' THEN 'stop' WHEN row_number() OVER w >= 3 THEN 'abort' ELSE 'retry' END AS action FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def iteration_history(t):
+    out = tracking.iteration_history(t("events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
+    return out.select("user_id", "event_id", F.col("iteration").cast("long").alias("iteration"), "followed", "action")
