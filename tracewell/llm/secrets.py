@@ -25,9 +25,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs: the same spans as [0-9a-f]+ of 16 or more
 CONTEXT = re.compile(
     r"""(?:password|passwd|passphrase|pwd|pass|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth)"""
-    r"""["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:bearer[\x20]+)?["'`]?([^\s"'`<>,;]+)""",
+    r"""["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:bearer[\x20]+)?["'`]?""",
     re.IGNORECASE | re.ASCII,
 )
+VALUE = re.compile(r"""[^\s"'`<>,;]+""")
 
 # Common passwords and placeholder words, most frequent first.
 COMMON_WORDS = tuple(
@@ -136,10 +137,10 @@ def find_spans(text: str, min_log10_guesses: float, min_length: int, words: dict
     more = []
     if ":" in text or "=" in text:
         for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
-            value = m[1].rstrip(".)]}!?:")
-            end = start + len(value)
-            if len(value) >= min_length and not any(s < end and start < e for _, s, e, _ in base):
+            value = VALUE.match(text, m.end())
+            value = value[0].rstrip(".)]}!?:") if value else ""
+            start, end = m.end(), m.end() + len(value)
+            if len(value) >= min_length and not any(s < end and start < e for _, s, e, _ in base + more):
                 if (cost := guess_cost(value, words)) >= min_log10_guesses:
                     more.append(("guess", start, end, cost))
     found = sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
