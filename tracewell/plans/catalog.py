@@ -731,3 +731,181 @@ def stale_sessions(t):
 def iteration_history(t):
     out = tracking.iteration_history(t("events"), "user_id", ["ts", "event_id"], F.col("event_type") == "error")
     return out.select("user_id", "event_id", F.col("iteration").cast("long").alias("iteration"), "followed", "action")
+
+
+# ---------------------------------------------------------------- Markdown: render known rows, parse them back
+
+
+def _conversation_md(t):
+    turns = t("conversations").select("conv_id", "turn", "role", F.regexp_replace(F.coalesce("text", F.lit("")), r"(?m)^#+\s", "").alias("text"))
+    item = F.concat(F.lit("## "), F.col("role"), F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", item.alias("x")))), lambda s: s["x"]), "")
+    return turns.groupBy("conv_id").agg(F.concat(F.lit("# conversation\nintro\n"), joined).alias("text"))
+
+
+MD_TURNS = """m AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '(?m)^#+\\s', '', 'g') AS text FROM conversations)"""
+
+
+@query(rf"""WITH {MD_TURNS} SELECT conv_id, role || ' ' || turn AS heading, md5(regexp_replace(text, '\s+$', '')) AS body FROM m""")
+def sections_roundtrip(t):
+    sections = X.h2_sections(F.col("text"))
+    return _conversation_md(t).select("conv_id", F.explode(sections).alias("heading", "b")).select("conv_id", "heading", F.md5("b").alias("body"))
+
+
+@query(rf"""WITH {MD_TURNS} SELECT conv_id, 'conversation > ' || role || ' ' || turn AS breadcrumb, md5(trim(regexp_replace(text, '^\s+|\s+$', '', 'g'))) AS body FROM m
+UNION ALL SELECT DISTINCT conv_id, 'conversation', md5('intro') FROM m""")
+def breadcrumbs(t):
+    rows = chunking.heading_sections(_conversation_md(t), "conv_id").filter(F.size("breadcrumb") > 0)
+    return rows.select("conv_id", F.array_join("breadcrumb", " > ").alias("breadcrumb"), F.md5(X.strip(F.col("body"))).alias("body"))
+
+
+@query()
+def chunk_markdown(t):
+    return chunking.chunk_documents(_conversation_md(t), "conv_id").select("conv_id", "chunk_no", "breadcrumb", "location", X.content_hash(F.col("chunk")).alias("hash"))
+
+
+@query("SELECT doc_id, lang, source, 'x' AS extra, md5(coalesce(text, '')) AS body FROM documents")
+def frontmatter_roundtrip(t):
+    text = F.concat(F.lit("---\nlang: "), F.coalesce("lang", F.lit("")), F.lit("\nsource: old\n---\n"), F.coalesce("text", F.lit("")))
+    docs = t("documents").select("doc_id", X.set_front_matter(X.set_front_matter(text, "source", F.coalesce("source", F.lit(""))), "extra", F.lit("x")).alias("t"))
+    fm = X.front_matter(F.col("t"))
+    pick = lambda k: F.try_element_at(fm, F.lit(k)).alias(k)
+    return docs.select("doc_id", pick("lang"), pick("source"), pick("extra"), F.md5(X.body(F.col("t"))).alias("body"))
+
+
+@query("""SELECT n_nationkey AS doc_id, (row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey))::INTEGER AS number, s_name AS title, 'S-' || s_suppkey AS id, 'supplier of ' || n_name AS type, s_suppkey::VARCHAR AS diagram
+FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def fields_roundtrip(t):
+    s = t("supplier").join(t("nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    n = F.format_string("\n### %d. %s\n- **id**: S-%d\n- **type**: supplier  of\n  %s\n\n```plantuml\n%d\n```\n", "r", "s_name", "s_suppkey", "n_name", "s_suppkey")
+    from pyspark.sql import Window
+
+    s = s.withColumn("r", F.row_number().over(Window.partitionBy("n_nationkey").orderBy("s_suppkey")))
+    docs = s.groupBy(F.col("n_nationkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", n.alias("x")))), lambda z: z["x"]), "").alias("text"))
+    return consolidate.entity_blocks(docs, fields=("id", "type")).select("doc_id", "number", "title", "id", "type", "diagram")
+
+
+@query("SELECT r_regionkey AS doc_id, n_name AS cell FROM region JOIN nation ON n_regionkey = r_regionkey")
+def table_roundtrip(t):
+    rows = t("nation").groupBy("n_regionkey").agg(F.array_join(F.collect_list(F.format_string("| %d | %s |", "n_nationkey", "n_name")), "\n").alias("rows"))
+    text = F.concat(F.lit("# a\n| name |\n|---|\n| no |\n\n## Nations\n\n| key | name |\n|---|:-:|\n"), F.col("rows"), F.lit("\n\n## End\n"))
+    return rows.select(F.col("n_regionkey").alias("doc_id"), F.explode(X.table_column(text, "Nations", "name")).alias("cell"))
+
+
+@query("""SELECT o_orderkey AS item, (l_linenumber - 1)::INTEGER AS pos, l_partkey AS part FROM (SELECT o_orderkey, l_partkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey) AS l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey)""")
+def records_roundtrip(t):
+    items = t("lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("part")))).alias("a"))
+    arr = F.to_json(F.transform("a", lambda x: F.struct(x["part"].alias("part"))))
+    text = F.when(F.col("item") % 2 == 0, arr).otherwise(F.concat(F.lit('{"version": 1, "items": '), arr, F.lit("}")))
+    bad = t("region").select(F.lit(-1).cast("long").alias("item"), F.lit('{"items": [').alias("text"))
+    good, _ = io.parse_records(items.select("item", text.alias("text")).unionByName(bad), "part long")
+    return good.select("item", "pos", "part").join(t("orders").select(F.col("o_orderkey").alias("item")), "item", "left_semi")
+
+
+@query("SELECT DISTINCT 'S' || s_suppkey AS entity_id, s_name AS title FROM supplier")
+def lineage_roundtrip(t):
+    e = F.struct(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.col("s_name").alias("title"))
+    listed = t("supplier").filter("s_suppkey % 2 = 0").select(F.to_json(F.struct(F.array(e).alias("entities"))).alias("text"))
+    mapped = t("supplier").filter("s_suppkey % 2 = 1").select(F.to_json(F.create_map(e["entity_id"], F.struct(F.col("s_name").alias("title")))).alias("text"))
+    return io.parse_lineage(listed.unionByName(mapped)).select("entity_id", "title")
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(url), '[\\/:*?"<>|\s]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'unnamed') AS name FROM pages WHERE url IS NOT NULL""")
+def safe_names(t):
+    return t("pages").filter("url IS NOT NULL").select("page_id", X.safe_name(F.col("url")).alias("name"))
+
+
+@query(r"""SELECT event_id, user_id, 'k' AS "key", 1 AS n FROM events WHERE regexp_matches(props, '^\{"k"')""")
+def json_props(t):
+    found = X.json_in_text(F.concat(F.lit("note: "), F.col("props"), F.lit(" end")), "k int")
+    return t("events").select("event_id", "user_id", F.when(found["k"].isNotNull(), "k").alias("key"), F.lit(1).alias("n")).filter("key IS NOT NULL")
+
+
+# ---------------------------------------------------------------- streams over the event table
+
+
+def _stream(t, name):
+    """The table as a file stream: every file of its folder, read once."""
+    batch = t(name)
+    path = batch.inputFiles()[0]
+    folder, file = path.rsplit("/", 1)
+    spark = batch.sparkSession
+    single = not folder.endswith(".parquet")
+    reader = spark.readStream.schema(batch.schema)
+    return reader.option("pathGlobFilter", file).parquet(folder) if single else reader.parquet(folder)
+
+
+def _collect_stream(df, mode):
+    """Run a stream to its end into a shared Parquet table, with the micro-batch number of each row."""
+    from tracewell.sources.shared import new_path
+
+    spark = df.sparkSession
+    path, checkpoint = new_path(spark, "stream-out"), new_path(spark, "stream-state")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def each(batch, n):
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    q = df.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.option("basePath", path).parquet(path)
+
+
+@query(f"""SELECT {STATUS} AS status, count(*) AS items FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) DESC, {STATUS} DESC) = 1) GROUP BY 1""")
+def progress_stream(t):
+    from tracewell.streaming import jobs
+
+    e = _stream(t, "events")
+    s = F.col("event_type")
+    status = F.when(s == "signup", "pending").when(s == "view", "processing").when(s == "purchase", "completed").when(s == "error", "failed").otherwise("unknown")
+    deltas = jobs.progress_stream(e.select(F.col("user_id").alias("item_id"), status.alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")))
+    return _collect_stream(deltas, "append").groupBy("status").agg(F.sum("delta").alias("items")).filter("items > 0")
+
+
+@query(ORACLE_SQL["attempts"].replace("SELECT user_id, count(*) FILTER (NOT p", "SELECT user_id AS key, count(*) FILTER (NOT p"))
+def retry_stream(t):
+    from pyspark.sql import Window
+
+    from tracewell.streaming import jobs
+
+    v = _stream(t, "events").filter("event_type IN ('purchase', 'error')")
+    v = v.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("passed"))
+    out = _collect_stream(jobs.retry_controller(v, key_type="long"), "update")
+    last = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("batch"), F.desc("seq")))
+    return out.withColumn("_r", last).filter("_r = 1").select("key", "attempts", "outcome")
+
+
+@query("""SELECT user_id AS session, 'done' AS state FROM events GROUP BY 1 HAVING bool_or(event_type = 'purchase')""")
+def stale_session_stream(t):
+    from tracewell.streaming import jobs
+
+    e = _stream(t, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("done"))
+    out = _collect_stream(jobs.stale_session_stream(e, 86400, 10**9, key_type="long"), "append")
+    return out.filter("state = 'done'").select("session", "state")
+
+
+@query("""WITH f AS (SELECT user_id, event_type AS s, min({'a': epoch_us(ts), 'b': event_type}) AS m FROM events GROUP BY ALL)
+SELECT user_id AS key, list(s ORDER BY m) AS completed_stages, (SELECT arg_max(event_type, {'a': epoch_us(ts), 'b': event_type}) FROM events e WHERE e.user_id = f.user_id) AS current_stage FROM f GROUP BY user_id""")
+def workflow_stream(t):
+    from tracewell.streaming import jobs
+
+    e = _stream(t, "events").select(
+        F.col("user_id").alias("key"), F.col("event_type").alias("stage"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.lit(True).alias("completed"), F.lit(None).cast("string").alias("flow_mode")
+    )
+    out = _collect_stream(jobs.workflow_state(e, key_type="long"), "update")
+    return out.groupBy("key").agg(F.max_by(F.struct("completed_stages", "current_stage"), "batch").alias("s")).select("key", "s.*")
+
+
+@query(f"""SELECT event_id % 500 AS item_id, {STATUS} AS status FROM events WHERE {STATUS} <> 'unknown' QUALIFY row_number() OVER (PARTITION BY event_id % 500 ORDER BY epoch_us(ts) DESC, {STATUS} DESC) = 1""")
+def status_stream(t):
+    from tracewell.sources.shared import new_path
+    from tracewell.streaming import jobs
+
+    spark = t("events").sparkSession
+    s = F.col("event_type")
+    status = F.when(s == "signup", "pending").when(s == "view", "processing").when(s == "purchase", "completed").when(s == "error", "failed").otherwise("unknown")
+    updates = _stream(t, "events").select((F.col("event_id") % 500).alias("item_id"), status.alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+    items = t("events").select((F.col("event_id") % 500).alias("item_id")).distinct()
+    keyed = jobs.KeyedTable(spark, "status-table", ["item_id"], ["ts", "status"])
+    jobs.status_stream(updates, items, keyed, lambda bad: bad.count(), new_path(spark, "stream-state"), ("pending", "processing", "completed", "failed"))
+    return keyed.read().select("item_id", "status")
