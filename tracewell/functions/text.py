@@ -112,7 +112,7 @@ def table_column(col: Column, section: str, header: str) -> Column:
     below = F.regexp_extract(col, rf"(?s)(?:^|\n)#+ {section}[^\n]*\n(.*?)(?=\n#+ |\z)", 1)
     rows = F.filter(F.split(below, "\n"), lambda x: x.rlike(r"^\s*\|"))
     cells = F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(strip(r), r"^\||\|$", ""), r"\|"), lambda c: strip(c)))
-    at = F.array_position(cells[0], header).cast("int")
+    at = F.array_position(F.get(cells, F.lit(0)), header).cast("int")
     data = F.filter(F.slice(cells, 2, 1_000_000), lambda r: ~F.forall(r, lambda c: c.rlike("^:?-*:?$")))
     return F.when(at > 0, F.transform(data, lambda r: F.get(r, at - 1))).otherwise(F.array().cast("array<string>"))
 
