@@ -75,13 +75,9 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, threshold: float, rows: int
             yield u[cosine >= threshold], v[cosine >= threshold]
 
 
-def _matrix(data: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(data, dtype="<f8").reshape(-1, dim)
-
-
 def link_vectors(
     vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9,
-    block: int = 4096, max_pivots: int = 1024, max_pruned_blocks: int = 20_000,
+    block: int = 8192, max_pivots: int = 1024, max_pruned_blocks: int = 20_000,
 ) -> DataFrame:
     """(key, n_links, component_id, kept): links are pairs of rows with cosine >= ``threshold`` in doubles.
 
@@ -96,7 +92,9 @@ def link_vectors(
     of one node in components; a null key gets null links' component and is kept. Repeated rows link
     with each other. Other columns are left out.
     """
-    raw = vectors.select(F.col(key).cast("long").alias("_id"), F.col(embedding).cast("array<double>").alias("_v"))
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"  # floats travel as they came
+    kind = "<f4" if single else "<f8"
+    raw = vectors.select(F.col(key).cast("long").alias("_id"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("_v"))
     good = usable("_v") & F.exists("_v", lambda x: x != 0) & F.col("_id").isNotNull()
     distinct = (
         raw.filter(good).groupBy("_v").agg(F.min("_id").alias("rep"), F.count("*").alias("n"))
@@ -119,7 +117,7 @@ def link_vectors(
             for d in np.unique(dims):
                 if d in centres:
                     mine = np.flatnonzero(dims == d)
-                    x = np.stack([vs.iloc[i] for i in mine])
+                    x = np.stack([vs.iloc[i] for i in mine]).astype(np.float64)
                     out[mine] = np.argmax((x / np.linalg.norm(x, axis=1, keepdims=True)) @ centres[d].T, axis=1)
             yield pd.Series(out)
 
@@ -131,14 +129,14 @@ def link_vectors(
     placed = near.join(parts, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("rep", "_v"), F.col("parts")))
 
     def bring(dim: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["_v"].to_list()).astype("<f8")
+        x = np.stack(pdf["_v"].to_list()).astype(np.float64)
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         centre = unit.mean(axis=0)
         centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else unit[0]
         radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
         return pd.DataFrame([{
             "dim": dim[0], "block": f"{dim[0]}/{dim[1]}/{dim[2]}", "ids": pdf["rep"].to_numpy("<i8").tobytes(),
-            "ns": pdf["n"].to_numpy("<i8").tobytes(), "data": x.tobytes(), "centre": centre.tolist(), "radius": radius,
+            "ns": pdf["n"].to_numpy("<i8").tobytes(), "data": x.astype(kind).tobytes(), "centre": centre.tolist(), "radius": radius,
         }])
 
     blocks = placed.groupBy("dim", "pivot", "part").applyInPandas(
@@ -183,7 +181,7 @@ def link_vectors(
         pdf = pdf.sort_values("no")
         ids = [np.frombuffer(x, "<i8") for x in pdf["ids"]]
         ns = [np.frombuffer(x, "<i8") for x in pdf["ns"]]
-        xs = [_matrix(x, int(k[0])) for x in pdf["data"]]
+        xs = [np.frombuffer(x, kind).reshape(-1, int(k[0])) for x in pdf["data"]]
         every, weight, shift = np.concatenate(ids), np.concatenate(ns), len(ids[0]) if len(ids) > 1 else 0
         links, labels = np.zeros(len(every)), None
         for u, v in tile_links(xs[0], xs[1] if len(xs) > 1 else None, threshold):
