@@ -1,0 +1,15 @@
+"""Bounds on what one Arrow batch of texts holds in a Python worker."""
+
+from __future__ import annotations
+
+from pyspark.sql import SparkSession
+
+ROWS, BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) -> None:
+    """Lower the session's batch limits where they are higher: texts of 100 kB in batches of 10,000 rows would be a gigabyte."""
+    now = int(spark.conf.get(ROWS))
+    if now <= 0 or now > rows:
+        spark.conf.set(ROWS, str(rows))
+    spark.conf.set(BYTES, str(megabytes << 20))

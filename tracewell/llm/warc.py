@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.batches import bound_batches
 from tracewell.operators.bounded import broadcast_if_small
 from tracewell.sources.shared import new_path, write_shared
 
@@ -219,9 +220,12 @@ def look_up(index: DataFrame, wanted: DataFrame, max_directory: int = 200_000) -
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, payload binary"
 
 
-def read_records(locations: DataFrame, payloads: bool = True) -> DataFrame:
+def read_records(locations: DataFrame, payloads: bool = True, stretch: int = 32 << 20) -> DataFrame:
     """The records at (path, at, size), read by byte range in the order of each file.
 
+    Reads are dealt by stretches of ``stretch`` bytes of a file to the session's number of shuffle partitions:
+    the locations are so small that their own size says nothing about the work.
+
     A response's digest is computed from its payload and must equal the one in its header; a revisit
     has the digest and the length of the payload that it refers to.
     """
@@ -256,7 +260,9 @@ def read_records(locations: DataFrame, payloads: bool = True) -> DataFrame:
     from tracewell.sources.shared import shared_dir
 
     root = shared_dir(locations.sparkSession)
-    near = locations.select("path", "at", "size").repartition("path").sortWithinPartitions("path", "at")
+    tasks = int(locations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = locations.select("path", "at", "size").repartition(tasks, "path", F.floor(F.col("at") / stretch))
+    near = near.sortWithinPartitions("path", "at")
     return near.mapInPandas(run, READ)
 
 
@@ -266,6 +272,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> tuple[DataFram
     Null html is an empty payload, a null URL an empty target; repeated rows are records of their own. Files
     go to ``folder``, by default a new one among the shared tables.
     """
+    bound_batches(pages.sparkSession)
     folder = folder or new_path(pages.sparkSession, "warc")
     locations = write_shared(write_archives(classify_captures(pages), folder), "captures")
     return locations, write_shared(build_index(locations), "capture-index")
