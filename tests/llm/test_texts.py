@@ -233,7 +233,7 @@ def test_plan_uses_few_bins():
     for x in lengths:
         hist[x] = hist.get(x, 0) + 1
     _, bins = packing.plan_bins(hist, 100)
-    assert bins <= max(math.ceil(sum(lengths) / 100), sum(x > 50 for x in lengths)) + 1  # two long ones never share
+    assert bins <= 1.005 * math.ceil(sum(lengths) / 100) + 1
     assert packing.plan_bins({}, 100)[1] == 0
 
 
