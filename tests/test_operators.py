@@ -110,6 +110,11 @@ def test_renumber_is_consecutive(spark, parts):
     assert {r["number"]: r["id"] for r in got} == {f"API-{i + 1:03d}": 3 * i for i in range(1500)}
 
 
+def test_fixed_batches_over_all(spark):
+    df = spark.range(500).repartition(5)
+    assert {r["id"]: r["batch"] for r in catalog.fixed_batches(df, ["id"], 7).collect()} == {i: i // 7 + 1 for i in range(500)}
+
+
 def test_merge_duplicates(spark):
     df = spark.createDataFrame([(" A ", 2, "x", ["q"]), ("a", 1, "y", ["p", "q"]), ("", 3, "z", ["r"]), (None, 4, "w", []), ("b", 5, "v", None)], "k string, o int, v string, s array<string>")
     assert rows(catalog.merge_duplicates(df, "k", "o", ["s"])) == sorted([("a", 1, "y", ["p", "q"]), ("b", 5, "v", [])], key=str)

@@ -40,14 +40,12 @@ def merge_duplicates(df: DataFrame, key: str, order: str, union_cols: list[str],
 
 def merge_best(df: DataFrame, key: str, confidence: str, text: str, union_cols: list[str]) -> DataFrame:
     """One row a key: the most confident text (ties to the smaller text), list columns united, and a tier by confidence."""
-    aggs = [
-        F.max(F.struct(F.col(confidence), F.col(text))).alias("_b"),
-        F.max(confidence).alias(confidence),
-        F.min_by(text, F.struct(-F.col(confidence), F.col(text))).alias(text),
-        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in union_cols],
-    ]
-    tier = F.when(F.col(confidence) >= 0.9, "high").when(F.col(confidence) >= 0.7, "medium").when(F.col(confidence) >= 0.5, "low").otherwise("reject")
-    return df.groupBy(key).agg(*aggs).drop("_b").withColumn("tier", tier)
+    out = df.groupBy(key).agg(F.max(confidence).alias(confidence), F.min_by(text, F.struct(-F.col(confidence), F.col(text))).alias(text))
+    for c in union_cols:
+        items = df.select(key, F.explode_outer(c).alias("_i")).groupBy(key).agg(F.array_sort(F.collect_set("_i")).alias(c))
+        out = out.join(items, key)
+    sure = F.col(confidence)
+    return out.withColumn("tier", F.when(sure >= 0.9, "high").when(sure >= 0.7, "medium").when(sure >= 0.5, "low").otherwise("reject"))
 
 
 def validate_records(df: DataFrame, required: list[str]) -> DataFrame:
@@ -100,9 +98,12 @@ def number_within(df: DataFrame, group: str, order: list, prefix: Column, out: s
     return df.withColumn(out, F.concat(prefix, F.lit("-"), F.format_string("%03d", n)))
 
 
-def fixed_batches(df: DataFrame, order: list, n: int, group: list[str] | None = None, out: str = "batch") -> DataFrame:
-    """Consecutive groups of ``n`` inside each group."""
-    row = F.row_number().over(Window.partitionBy(*(group or [])).orderBy(*order))
+def fixed_batches(df: DataFrame, order: list[str], n: int, group: list[str] | None = None, out: str = "batch") -> DataFrame:
+    """Consecutive groups of ``n`` inside each group, or over the whole table without sorting it in one task."""
+    if not group:
+        numbered = renumber(df, order, "_no", "%d")
+        return numbered.withColumn(out, (F.floor((F.col("_no").cast("long") - 1) / n) + 1).cast("long")).drop("_no")
+    row = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     return df.withColumn(out, (F.floor((row - 1) / n) + 1).cast("long"))
 
 
