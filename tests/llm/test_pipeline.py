@@ -76,3 +76,21 @@ def test_stages_against_direct_versions(spark, sf_dir):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_stages_with_odd_rows(spark, sf_dir):
+    kind = "doc_id long, text string, lang string, source string, n_chars long, size string, class_id int"
+    odd = [
+        (1, None, None, None, None, "x", 1), (2, "", "en", "a", 0, "x", 1), (None, "no key", "en", "a", 6, None, None), (3, "w " * 30_000, "en", "b", 60_000, "x", 1),
+        (4, "same text here", "en", "a", 14, "x", 1), (4, "same text here", "en", "a", 14, "x", 1), (5, "token: Gk3vQz81LmPx", "en", None, 19, "x", 1),
+    ]
+    for rows in (odd, []):
+        docs = spark.createDataFrame(rows, kind)
+        for name, stage in P.STAGES[:-1]:
+            docs = write_shared(stage(spark, docs, sf_dir), "odd-stage")
+            assert docs.columns == [c.split()[0] for c in kind.split(", ")], name
+            if rows and name == "ngram_jaccard_join":
+                assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "2", "3", "4", "5", "None"]
+        if rows:
+            assert "token: Gk3vQz81LmPx" not in {r["text"] for r in docs.collect()}
+        assert (P.STAGES[-1][1](spark, docs, sf_dir).count() > 0) == bool(rows)
