@@ -283,6 +283,13 @@ def test_first_match_order(spark):
     assert [r["label"] for r in rules.classify_first_match(df, found).collect()] == ["unknown", "REST", "MQ", "unknown"]
 
 
+def test_responses_come_before_rules(spark):
+    df = spark.createDataFrame([(1, "route"), (2, "route"), (3, "none")], "id int, body string")
+    answers = spark.createDataFrame([(1, "CLI", 0.9), (1, "MQ", 0.4), (2, None, 1.0)], "id int, label string, confidence double")
+    got = rules.classify_with_responses(df, answers, "id", [("rest", "body", "route", "REST", 0.7)])
+    assert {r["id"]: (r["label"], r["basis"]) for r in got.collect()} == {1: ("CLI", "response"), 2: ("REST", "rest"), 3: ("unknown", "none")}
+
+
 def test_sources_round_trip(spark, tmp_path):
     root = tmp_path / "kb" / "function"
     root.mkdir(parents=True)

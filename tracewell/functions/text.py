@@ -272,3 +272,8 @@ def human_duration(seconds: Column) -> Column:
         .when(s < 3600, F.format_string("%dm %ds", F.floor(s / 60).cast("long"), s % 60))
         .otherwise(F.format_string("%dh %dm", F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long")))
     )
+
+
+def has_heading(col: Column, title: str) -> Column:
+    """Does a heading contain ``title``?"""
+    return F.coalesce(col.rlike(rf"(?m)^#{{1,6}} [^\n]*\Q{title}\E"), F.lit(False))

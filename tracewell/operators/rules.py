@@ -86,3 +86,19 @@ def language_vote(files: DataFrame, group: str, language: str, weights: dict[str
     scored = sums.withColumn("score", F.col("files") * weight)
     best = F.row_number().over(w.orderBy(F.desc("score"), F.asc_nulls_last(language)))
     return scored.withColumn("_r", best).filter("_r = 1").drop("_r")
+
+
+def classify_with_responses(df: DataFrame, responses: DataFrame, key: str, rules: list[tuple[str, str, str, str, float]]) -> DataFrame:
+    """``classify_first_match`` where no answer came; else the label and confidence of the answer.
+
+    ``responses`` (key, label, confidence) is a table of a caller's own classifier; rows without a label count as no answer, and of
+    several answers the most confident holds (ties to the smaller label).
+    """
+    given = responses.filter("label IS NOT NULL").groupBy(key).agg(F.min(F.struct((-F.col("confidence")).alias("c"), "label")).alias("_g"))
+    rows = classify_first_match(df, rules).join(given, key, "left")
+    answered = F.col("_g").isNotNull()
+    return (
+        rows.withColumn("label", F.when(answered, F.col("_g.label")).otherwise(F.col("label")))
+        .withColumn("confidence", F.when(answered, -F.col("_g.c")).otherwise(F.col("confidence")))
+        .withColumn("basis", F.when(answered, "response").otherwise(F.col("basis"))).drop("_g")
+    )

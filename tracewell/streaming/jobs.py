@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from tracewell.operators.catalog import valid_updates
 from tracewell.operators.chunking import sliding_chunks
 from tracewell.operators.search import build_index
-from tracewell.operators.tracking import latest_per_key
+from tracewell.operators.tracking import latest_per_key, stage_gate
 from tracewell.sources.io import VectorStore
 from tracewell.sources.shared import drop_path, new_path
 
@@ -180,6 +180,11 @@ def workflow_state(events: DataFrame, key_type: str = "string") -> DataFrame:
     return events.groupBy("key").transformWithStateInPandas(_Workflow(), schema, "Update", "None")
 
 
+def stage_gate_stream(states: DataFrame, verdicts: DataFrame, workflow: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
+    """Decide for each batch of workflow states whether their stage may be left; verdicts and workflow are read anew for each batch."""
+    return run_once(states, lambda batch, _: sink(stage_gate(batch, verdicts, workflow)), checkpoint)
+
+
 def index_stream(documents: DataFrame, store: VectorStore, checkpoint: str, **chunking) -> StreamingQuery:
     """New documents are cut into chunks, and chunks with an unseen text are embedded and stored."""
     return run_once(documents, lambda batch, _: build_index(sliding_chunks(batch, **chunking), store, text="chunk").collect(), checkpoint)
