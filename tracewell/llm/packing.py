@@ -8,7 +8,6 @@ there. Pieces then look up their place by their rank among the pieces of their l
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,12 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.llm.batches import bound_batches, release_memory
 from tracewell.sources.shared import write_shared
 
-#: White space on both sides of a space: there the split below would part one run of white space.
-SPACE_RUN = re.compile(r"\s \s|\s \Z|\A \s|\A \Z")
-
-
 def fullest(counts: np.ndarray, space: int) -> dict[int, int]:
     """Copies of each length whose sum is the largest that ``space`` allows; longer lengths first.
 
@@ -90,38 +86,57 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> tuple[dict[int, np.nd
 class ByteBpe:
     """Ids of whole texts. A text is cut before its spaces and the ids of each cut are kept.
 
-    The pre-tokenizer never joins what stands before a space with the space, but where white space
-    meets a space on both sides; such texts are encoded whole.
+    The pre-tokenizer starts anew at a space, so cuts have the same ids wherever they stand; new ones
+    are therefore encoded together as one text, whose ids are dealt out again by their lengths in
+    bytes. Where white space follows a space, or the text ends with one, a cut could part one run of
+    white space: such a cut is kept as None and its text encoded whole.
     """
 
-    KEEP = 400_000
+    KEEP = 150_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        size = self.tokenizer.get_vocab_size()
+        # a byte is one character in the entries of a byte-level vocabulary
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
+        self.added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.known: dict[str, bytes | None] = {}
+
+    def _whole(self, text: str) -> np.ndarray:
+        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, dtype="<u4")
+
+    def _learn(self, cuts: list[str]) -> None:
+        """Keep the ids of cuts, each with the space before it."""
+        odd = [c for c in cuts if not c or c[0].isspace()]
+        self.known.update(dict.fromkeys(odd))
+        cuts = [c for c in cuts if c and not c[0].isspace()] if odd else cuts
+        for at in range(0, len(cuts), 4096):
+            some = cuts[at : at + 4096]
+            ids = self._whole(" " + " ".join(some))
+            ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) + 1 for c in some])
+            at_id = np.concatenate([[0], np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1])
+            data = ids.tobytes()
+            self.known.update((c, data[4 * a : 4 * b]) for c, a, b in zip(some, at_id, at_id[1:], strict=False))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > self.KEEP:
             self.known.clear()
-        cuts = [None if SPACE_RUN.search(t) else t.split(" ") for t in texts]
+        cuts = [[] if any(a in t for a in self.added) else t.split(" ") for t in texts]
         known = self.known
-        # the first cut has no space before it
-        new = list({c for x in cuts if x for c in x[1:]}.difference(known))
-        for at in range(0, len(new), 4096):
-            known.update(zip(new[at : at + 4096], self._encode([" " + c for c in new[at : at + 4096]]), strict=True))
+        new: set[str] = set()
+        for x in cuts:
+            new.update(x[1:])  # the first has no space before it
+        self._learn(list(new.difference(known)))
         for text, cut in zip(texts, cuts, strict=True):
-            if cut is None:
-                yield self._encode([text])[0]
+            found = [known[c] for c in cut[1:]]
+            if not cut or None in found:
+                yield self._whole(text).tobytes()
             else:
-                head = self._encode([cut[0]])[0] if cut[0] else b""
-                yield head + b"".join([known[c] for c in cut[1:]])
+                yield (self._whole(cut[0]).tobytes() if cut[0] else b"") + b"".join(found)
 
 
 _ENCODERS: dict[str, ByteBpe] = {}
@@ -140,6 +155,7 @@ def tokenize_pieces(
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     end = np.array([end_id], dtype="<u4").tobytes()
+    bound_batches(docs.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -149,8 +165,8 @@ def tokenize_pieces(
             _ENCODERS[tokenizer] = ByteBpe(tokenizer)
         encode = _ENCODERS[tokenizer]
         for pdf in parts:
-            for at in range(0, len(pdf), 256):
-                some = pdf.iloc[at : at + 256]
+            for at in range(0, len(pdf), 500):  # large enough to learn many cuts at once
+                some = pdf.iloc[at : at + 500]
                 out = []
                 for doc, ids in zip(some["_key"], encode([t or "" for t in some["_text"]]), strict=True):
                     ids += end
@@ -165,6 +181,8 @@ def tokenize_pieces(
                 if isinstance(kind, T.IntegralType):
                     made[key] = made[key].astype("Int64")
                 yield made
+        encode.known = {}  # the worker lives on, and other stages need its memory
+        release_memory()
 
     # one number a column: a null key keeps its rows
     return docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).mapInPandas(run, T.StructType(fields))
