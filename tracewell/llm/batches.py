@@ -13,3 +13,10 @@ def bound_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 8) ->
     if now <= 0 or now > rows:
         spark.conf.set(ROWS, str(rows))
     spark.conf.set(BYTES, str(megabytes << 20))
+
+
+def release_memory() -> None:
+    """Give back what Arrow's pool of this Python worker holds unused; called at the end of a task."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()

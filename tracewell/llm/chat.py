@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.llm.batches import bound_batches
+
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
@@ -111,6 +113,7 @@ def format_chats(
     there; a task holds one conversation at a time, whose prefixes cost the square of its turns.
     """
     masked = frozenset(loss_roles)
+    bound_batches(rows.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.batches import bound_batches, release_memory
 from tracewell.llm.vectors import local_components
 from tracewell.operators.bounded import broadcast_if_small
 from tracewell.operators.components import connected_components
@@ -47,7 +48,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for k, base in enumerate((BASE, INVERSE)):
             x = np.full(size, base, dtype=np.uint64)
             x[0] = 1
@@ -88,7 +89,7 @@ def _shingle_words(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray
     return mix(made), of
 
 
-def shingle_sets(texts: list[str | None], words: int = 5, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], words: int = 5, chunk: int = 1 << 18) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text.
 
     Words are runs of anything but ASCII white space, in lower case; a text of fewer than ``words``
@@ -203,6 +204,7 @@ def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
             made = pd.DataFrame(rows, columns=["doc_id", "n", "d1", "d2", "low"])
             made["doc_id"] = pd.to_numeric(made["doc_id"]).astype("Int64")
             yield made
+        release_memory()
 
     rows = docs.select(F.col(key).cast("long").cast("string").alias("_key"), F.col(text).cast("string").alias("_text"))
     return rows.mapInPandas(_with_ids(run), "doc_id long, n long, d1 long, d2 long, low binary")
@@ -306,6 +308,7 @@ def jaccard_join(
     A text without words (null, empty, white space) has no link and is its own class. A row with a null key takes no
     part and has a null class. Rows that share a key are one node of the classes; repeated rows link with each other.
     """
+    bound_batches(docs.sparkSession)
     sketches = write_shared(sketch_documents(docs, key, text, words), "sketches")
     same = ["n", "d1", "d2"]
     classes = (
@@ -331,6 +334,7 @@ def jaccard_join(
             made = pdf.drop(columns=["text"])
             made["shingles"] = [s.astype("<u8").tobytes() for s, _ in keep]
             yield made[np.array(mine, dtype=bool)]
+        release_memory()
 
     sets = texts.mapInPandas(cut, "rep long, component long, w long, n long, d1 long, blocks int, shingles binary")
     block = F.pmod(F.xxhash64("rep", "d1"), F.col("blocks")).cast("int")

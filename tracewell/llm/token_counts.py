@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.batches import bound_batches
+
 WORD_BREAK = "\t\n\x0b\x0c\r"
 
 
@@ -88,7 +90,7 @@ _AUTOMATA: dict[str, Automaton] = {}
 
 
 def count_tokens(
-    docs: DataFrame, text: str = "text", vocabulary: str | None = None, out: str = "token_counts", keep: int = 400_000
+    docs: DataFrame, text: str = "text", vocabulary: str | None = None, out: str = "token_counts", keep: int = 150_000
 ) -> DataFrame:
     """``docs`` with a struct (n_words, n_tokens, max_word_tokens) for each whole text.
 
@@ -101,6 +103,7 @@ def count_tokens(
     """
     path = vocabulary or default_vocabulary()
     to_space = {ord(c): " " for c in WORD_BREAK}
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("struct<n_words:bigint,n_tokens:bigint,max_word_tokens:bigint>")
     def counts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

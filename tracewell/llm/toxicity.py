@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.batches import bound_batches, release_memory
+
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
@@ -31,7 +34,7 @@ def word_features(word: str) -> list[int]:
 class SentenceModel:
     """Additive word weights and a bias. A word's sum is kept, so a text costs a look-up a word."""
 
-    KEEP = 400_000
+    KEEP = 150_000
 
     def __init__(self, weights: dict[int, float], bias: float, trained: bool = True):
         self.weights, self.bias, self.trained = weights, bias, trained
@@ -93,18 +96,21 @@ def fit(
     words = np.concatenate(word_at)
     of_sentence = np.repeat(np.arange(len(word_at)), [len(x) for x in word_at])
     # features of each distinct word, then those in at least min_docs documents
-    keys, pairs = {}, []
+    of_word, hashes = array("l"), array("l")
     for w, i in vocab.items():
-        pairs += [(i, keys.setdefault(k, len(keys))) for k in word_features(w)]
-    pairs = np.array(pairs)
+        found = word_features(w)
+        of_word.extend([i] * len(found))
+        hashes.extend(found)
+    names, keys = np.unique(np.frombuffer(hashes, dtype=np.int64), return_inverse=True)
+    pairs = np.stack([np.frombuffer(of_word, dtype=np.int64), keys], 1)
     in_docs = np.unique(np.stack([of_doc[of_sentence], words], 1).astype(np.int64) @ np.array([len(vocab), 1]))
     docs_of_word = np.bincount(in_docs % len(vocab), minlength=len(vocab))
-    common = np.bincount(pairs[:, 1], weights=docs_of_word[pairs[:, 0]], minlength=len(keys)) >= min_docs
+    common = np.bincount(pairs[:, 1], weights=docs_of_word[pairs[:, 0]], minlength=len(names)) >= min_docs
     pairs = pairs[common[pairs[:, 1]]]
-    w, b = np.zeros(len(keys)), bias
+    w, b = np.zeros(len(names)), bias
     y = np.array(labels, dtype=float)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    m1, m2, c1, c2 = np.zeros(len(keys)), np.zeros(len(keys)), 0.0, 0.0
+    m1, m2, c1, c2 = np.zeros(len(names)), np.zeros(len(names)), 0.0, 0.0
     for t in range(1, rounds + 1):
         by_word = np.bincount(pairs[:, 0], weights=w[pairs[:, 1]], minlength=len(vocab))
         z = b + np.bincount(of_sentence, weights=by_word[words], minlength=len(word_at))
@@ -113,7 +119,7 @@ def fit(
         pull = np.where(y > 0, -1 / np.maximum(np.expm1(np.minimum(clean, 500)), 1e-9), 1.0) * weight
         g_sentence = pull[of_doc] * p
         g_word = np.bincount(words, weights=g_sentence[of_sentence], minlength=len(vocab))
-        g = np.bincount(pairs[:, 1], weights=g_word[pairs[:, 0]], minlength=len(keys)) + l2 * w
+        g = np.bincount(pairs[:, 1], weights=g_word[pairs[:, 0]], minlength=len(names)) + l2 * w
         gb = g_sentence.sum()
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         c1, c2 = 0.9 * c1 + 0.1 * gb, 0.99 * c2 + 0.01 * gb * gb
@@ -121,8 +127,7 @@ def fit(
         w = w - step * m1 / (1 - 0.9**t)
         w = np.sign(w) * np.maximum(np.abs(w) - np.minimum(step * l1, rate), 0)
         b = b - 0.5 * rate * (c1 / (1 - 0.9**t)) / (math.sqrt(c2 / (1 - 0.99**t)) + 1e-6)
-    names = {i: k for k, i in keys.items()}
-    return SentenceModel({names[i]: float(w[i]) for i in np.flatnonzero(w)}, float(b))
+    return SentenceModel({int(names[i]): float(w[i]) for i in np.flatnonzero(w)}, float(b))
 
 
 def training_sample(
@@ -161,6 +166,7 @@ def score_toxicity(docs: DataFrame, model: SentenceModel, text: str = "text", ou
     """
     kind = "struct<score:double,n_offending:bigint,worst_start:bigint,worst_end:bigint,worst_score:double>"
     weights, bias, trained = model.weights, model.bias, model.trained
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf(kind)
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -174,6 +180,7 @@ def score_toxicity(docs: DataFrame, model: SentenceModel, text: str = "text", ou
                 "worst_end": pd.array([r[3] for r in rows], dtype="Int64"),
                 "worst_score": pd.array([r[4] for r in rows], dtype="Float64"),
             })
+        release_memory()
 
     return docs.withColumn(out, score(F.col(text).cast("string")))
 
