@@ -70,8 +70,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row a piece: its document, its ids' digest and its place in a sequence."""
-    return pack_documents(docs)
+    """One row a piece: its document, its ids' digest and its place in a sequence.
+
+    The workers have run other stages and hold their memory too, so few tokenized cuts are kept, and none after a task.
+    """
+    return pack_documents(docs, keep=150_000, warm=False)
 
 
 STAGES = [

@@ -92,11 +92,11 @@ class ByteBpe:
     white space: such a cut is kept as None and its text encoded whole.
     """
 
-    KEEP = 150_000
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, keep: int):
         from tokenizers import Tokenizer
 
+        self.keep = keep
+
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         # a byte is one character in the entries of a byte-level vocabulary
@@ -123,7 +123,7 @@ class ByteBpe:
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > self.KEEP:
+        if len(self.known) > self.keep:
             self.known.clear()
         cuts = [[] if any(a in t for a in self.added) else t.split(" ") for t in texts]
         known = self.known
@@ -142,12 +142,22 @@ class ByteBpe:
 _ENCODERS: dict[str, ByteBpe] = {}
 
 
+def _encoder(path: str, keep: int) -> ByteBpe:
+    """This worker's encoder; found by name on the executors, so that it outlives a task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = ByteBpe(path, keep)
+    _ENCODERS[path].keep = keep
+    return _ENCODERS[path]
+
+
 def tokenize_pieces(
-    docs: DataFrame, capacity: int, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False
-) -> DataFrame:
+    docs: DataFrame, capacity: int, tokenizer: str, end_id: int = 0, key: str = "doc_id", text: str = "text", with_ids: bool = False,
+    keep: int = 600_000, warm: bool = True,
+) -> DataFrame:
     """(key, piece, start, length, ids_crc32[, ids]): each document's ids and ``end_id``, cut only where longer than ``capacity``.
 
-    All pieces of a cut document but the first have ``capacity`` ids. A null text is empty.
+    All pieces of a cut document but the first have ``capacity`` ids. A null text is empty. A worker keeps the ids of up to
+    about ``keep`` cuts (some 220 bytes each) and, if ``warm``, hands them on to its next task; the result does not depend on it.
     """
     kind = docs.schema[key].dataType
     fields = [T.StructField(key, kind), T.StructField("piece", T.IntegerType())]
@@ -161,9 +171,7 @@ def tokenize_pieces(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = ByteBpe(tokenizer)
-        encode = _ENCODERS[tokenizer]
+        encode = _encoder(tokenizer, keep)
         for pdf in parts:
             for at in range(0, len(pdf), 500):  # large enough to learn many cuts at once
                 some = pdf.iloc[at : at + 500]
@@ -181,7 +189,8 @@ def tokenize_pieces(
                 if isinstance(kind, T.IntegralType):
                     made[key] = made[key].astype("Int64")
                 yield made
-        encode.known = {}  # the worker lives on, and other stages need its memory
+        if not warm:  # the worker lives on, and other stages need its memory
+            encode.known = {}
         release_memory()
 
     # one number a column: a null key keeps its rows
@@ -237,14 +246,15 @@ def default_tokenizer() -> str:
 
 
 def pack_documents(
-    docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = False
-) -> DataFrame:
+    docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, key: str = "doc_id", text: str = "text", with_ids: bool = False,
+    keep: int = 600_000, warm: bool = True,
+) -> DataFrame:
     """One row a piece with its place: (key, piece, start, length, ids_crc32[, ids], sequence_id, offset).
 
     Texts are encoded once, in one pass without a shuffle; the small piece table is written and
     packed. With ``with_ids`` the ids travel along, which is what a trainer reads.
     """
-    made = tokenize_pieces(docs, capacity, tokenizer or default_tokenizer(), key=key, text=text, with_ids=with_ids)
+    made = tokenize_pieces(docs, capacity, tokenizer or default_tokenizer(), key=key, text=text, with_ids=with_ids, keep=keep, warm=warm)
     return pack(write_shared(made, "pieces"), capacity, order=(key, "piece"))
 
 
