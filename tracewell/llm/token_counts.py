@@ -89,6 +89,13 @@ def default_vocabulary() -> str:
 _AUTOMATA: dict[str, Automaton] = {}
 
 
+def _automaton(path: str) -> Automaton:
+    """This worker's automaton; found by name on the executors, so that it outlives a task."""
+    if path not in _AUTOMATA:
+        _AUTOMATA[path] = Automaton(byte_level_vocabulary(path))
+    return _AUTOMATA[path]
+
+
 def count_tokens(
     docs: DataFrame, text: str = "text", vocabulary: str | None = None, out: str = "token_counts", keep: int = 150_000
 ) -> DataFrame:
@@ -107,9 +114,7 @@ def count_tokens(
 
     @F.pandas_udf("struct<n_words:bigint,n_tokens:bigint,max_word_tokens:bigint>")
     def counts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if path not in _AUTOMATA:
-            _AUTOMATA[path] = Automaton(byte_level_vocabulary(path))
-        automaton = _AUTOMATA[path]
+        automaton = _automaton(path)
         known: dict[str, int] = {}
 
         class Known(dict):
