@@ -277,6 +277,27 @@ def test_consolidate_keeps_unmatched_and_unites(spark):
     assert sorted(r["id"] for r in kept.collect()) == [1, 3]
 
 
+def test_consolidated_texts_keep_the_values_of_all_documents(spark):
+    base = [f"w{i}" for i in range(60)]
+    copy, near, other = " ".join(base), " ".join([*base[:-1], "end"]), "an entirely different text"
+    data = [(1, copy, "a"), (2, copy, "b"), (3, copy.upper(), "c"), (4, copy, None), (5, near, "d"), (6, near, "a"), (7, other, None), (8, "", "e"), (9, None, "f"), (10, " \n", None), (None, copy, "g")]
+    data += [(i, copy, f"s{i % 7}") for i in range(100, 400)]
+    got = consolidate.consolidate_texts(spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4), "doc_id", "text", "source", "sources")
+    assert rows(got) == rows(spark.createDataFrame([(1, ["a", "b", "c", "d", *(f"s{i}" for i in range(7))]), (7, []), (8, ["e"]), (9, ["f"]), (10, []), (None, ["g"])], "a long, b array<string>"))
+
+
+def test_consolidate_documents_covers_the_table(spark, sf_dir):
+    from tests.llm.test_pairs import brute_links
+    from tracewell.plans.catalog import QUERIES
+
+    docs = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    _, group = brute_links([(k, t) for k, t, _ in docs])
+    want = {}
+    for i, (_, _, source) in enumerate(docs):
+        want.setdefault(docs[group[i]][0], set()).update({source} - {None})
+    assert {r["doc_id"]: r["sources"] for r in QUERIES["consolidate_documents"](spark, sf_dir).collect()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_first_match_order(spark):
     df = spark.createDataFrame([("test_a.py", "route"), ("a.py", "route kafka"), ("b.py", "kafka"), ("c.py", None)], "file string, body string")
     found = [("skip", "file", "^test_", "", 0.0), ("rest", "body", "route", "REST", 0.7), ("mq", "body", "kafka", "MQ", 0.6)]

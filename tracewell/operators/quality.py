@@ -195,6 +195,11 @@ def word_shingles(text: Column, words: int = 5) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.array(split), grams)[0]))
 
 
+def set_identity(s: Column, names: list[str]) -> list[Column]:
+    """Size and two hashes of a sorted array of shingles: what tells one set from another."""
+    return [c.alias(x) for c, x in zip((F.size(s), F.xxhash64(s), F.xxhash64(F.lit(7), s)), names, strict=True)]
+
+
 def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8, words: int = 5) -> DataFrame:
     """(a, b, similarity): one pair for each link between distinct texts whose word shingles are that similar; exact.
 

@@ -573,12 +573,7 @@ l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT doc_id AS a
 g AS (SELECT a AS doc_id, min(b) AS g FROM reach GROUP BY a)
 SELECT g AS doc_id, list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)) AS sources FROM g JOIN documents USING (doc_id) GROUP BY g""")
 def consolidate_documents(t):
-    docs = t("documents").select("doc_id", "text", "source")
-    sets = docs.select("doc_id", quality.word_shingles(F.col("text")).alias("s")).filter(F.size("s") > 0)
-    first = sets.groupBy("s").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    entities = docs.join(first, "doc_id", "left_semi").select("doc_id", F.array_compact(F.array("source")).alias("sources"))
-    match = lambda now: quality.near_duplicates(docs.join(now.select("doc_id"), "doc_id", "left_semi"), "doc_id", "text")
-    return consolidate.consolidate(entities, match, "doc_id", "doc_id", ["sources"])
+    return consolidate.consolidate_texts(t("documents").select("doc_id", "text", "source"), "doc_id", "text", "source", "sources")
 
 
 # ---------------------------------------------------------------- graph
