@@ -298,6 +298,40 @@ def test_consolidate_documents_covers_the_table(spark, sf_dir):
     assert {r["doc_id"]: r["sources"] for r in QUERIES["consolidate_documents"](spark, sf_dir).collect()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_near_duplicates_have_a_row_for_every_document(spark):
+    from tests.llm.test_pairs import brute_links, near_copies
+
+    crowd = [f"c{i}" for i in range(120)]
+    data = sorted({k: (k, t) for k, t in near_copies() if k is not None}.values())
+    data += [(9000 + i, " ".join([*crowd[: i % 40], "x", *crowd[i % 40 :]])) for i in range(120)] + [(9500, ""), (9501, None), (9502, " \t"), (9503, "one two"), (9504, "ONE  two")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    links, group = brute_links(data)
+    sets = {i: frozenset(quality_shingles(t)) for i, (_, t) in enumerate(data)}
+    rep = {}
+    for i, (k, _) in enumerate(data):
+        rep[sets[i] or k] = min(rep.get(sets[i] or k, k), k)
+    whole = {k: (rep[sets[i] or k], min(data[j][0] for j in range(len(data)) if group[j] == group[i]), len(links[i])) for i, (k, _) in enumerate(data)}
+    for tile in (512, 7):
+        got = quality.near_duplicate_classes(docs, "doc_id", "text", tile_docs=tile).collect()
+        assert {r["doc_id"]: (r["representative"], r["class_id"], r["n_links"]) for r in got} == whole and len(got) == len(data)
+        pairs = quality.near_duplicates(docs, "doc_id", "text", tile_docs=tile).collect()
+        heads = {rep[s]: s for s in sets.values() if s}
+        want = {(a, b): round(len(x & y) / len(x | y), 6) for a, x in heads.items() for b, y in heads.items() if a < b and len(x & y) / len(x | y) >= 0.8}
+        assert {(r["a"], r["b"]): r["similarity"] for r in pairs} == want and len(pairs) == len(want) > 100
+    twice = quality.near_duplicate_classes(docs.union(docs), "doc_id", "text").select("doc_id", "representative", "class_id").distinct()
+    assert {r["doc_id"]: (r["representative"], r["class_id"]) for r in twice.collect()} == {k: v[:2] for k, v in whole.items()}
+    copies = spark.createDataFrame([(i, "the very same words again and again") for i in range(3000)] + [(None, "the very same words again and again")], "doc_id long, text string")
+    got = quality.near_duplicate_classes(copies, "doc_id", "text").groupBy("representative", "class_id", "n_links").count()
+    assert rows(got) == [(0, 0, 2999, 3000), (None, None, 0, 1)]
+
+
+def quality_shingles(text):
+    import re
+
+    w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_first_match_order(spark):
     df = spark.createDataFrame([("test_a.py", "route"), ("a.py", "route kafka"), ("b.py", "kafka"), ("c.py", None)], "file string, body string")
     found = [("skip", "file", "^test_", "", 0.0), ("rest", "body", "route", "REST", 0.7), ("mq", "body", "kafka", "MQ", 0.6)]

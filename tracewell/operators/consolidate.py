@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.text import labelled_field, strip
 from tracewell.operators.catalog import merge_duplicates
 from tracewell.operators.components import connected_components
-from tracewell.operators.quality import near_duplicates, set_identity, word_shingles
+from tracewell.operators.quality import near_duplicate_classes
 from tracewell.sources.shared import write_shared
 
 Matcher = Callable[[DataFrame], DataFrame]
@@ -59,19 +59,20 @@ def consolidate(entities: DataFrame, matcher: Matcher, key: str, order: str, uni
 def consolidate_texts(docs: DataFrame, key: str, text: str, value: str, out: str, max_rounds: int = 3) -> DataFrame:
     """(key, out): one row a class of near-duplicate texts, under its smallest key, with the sorted distinct values of all its documents.
 
-    Every document is an entity. Those of one shingle set are united first, by two aggregates on the set's identity, so copies
+    Every document is an entity. Those of one shingle set are united first, by a distinct and an aggregate, so copies
     cost one row each and no list of documents is held; the representatives are then consolidated. A document without words, or
     without a key, stays a row of its own. Null values are left out of the lists.
     """
-    same = ["_n", "_d1", "_d2"]
-    rows = docs.select(F.col(key), F.col(value).alias("_v"), word_shingles(F.col(text)).alias("_s"))
-    rows = write_shared(rows.select(key, "_v", *set_identity(F.col("_s"), same)), "text-identities")
-    worded = (F.col("_n") > 0) & F.col(key).isNotNull()
-    first = rows.filter(worded).groupBy(*same).agg(F.min(key).alias(key))
-    values = rows.filter(worded & F.col("_v").isNotNull()).select(*same, "_v").distinct().groupBy(*same).agg(F.array_sort(F.collect_list("_v")).alias(out))
+    rows = docs.select(F.col(key), F.col(text), F.col(value).alias("_v"))
+    rows = write_shared(near_duplicate_classes(rows, key, text, keep=("_v",)), "text-classes")
+    worded = (F.col("n_shingles") > 0) & F.col(key).isNotNull()
+    first = rows.filter(worded).select(F.col("representative").alias(key)).distinct()
+    values = rows.filter(worded & F.col("_v").isNotNull()).select(F.col("representative").alias(key), "_v").distinct().groupBy(key).agg(F.array_sort(F.collect_list("_v")).alias(out))
     none = F.array().cast(f"array<{rows.schema['_v'].dataType.simpleString()}>")
-    entities = first.join(values, same, "left").select(key, F.coalesce(out, none).alias(out))
-    match = lambda now: near_duplicates(docs.join(now.select(key), key, "left_semi"), key, text)
+    entities = first.join(values, key, "left").select(key, F.coalesce(out, none).alias(out))
+    links = write_shared(rows.filter("class_id <> representative").select(F.col("class_id").alias("a"), F.col("representative").alias("b")).distinct(), "text-links")
+    present = lambda now, x: now.select(F.col(key).alias(x))
+    match = lambda now: links.join(present(now, "a"), "a", "left_semi").join(present(now, "b"), "b", "left_semi")
     whole = consolidate(entities, match, key, key, [out], max_rounds)
     return whole.unionByName(rows.filter(~worded).select(key, F.array_compact(F.array("_v")).alias(out)))
 

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import labelled, section_body
+from tracewell.operators.bounded import broadcast_if_small
+from tracewell.operators.components import connected_components
+from tracewell.sources.shared import write_shared
 
 # Penalties by severity, weights of the rubric, bounds of the quantity gate.
 PENALTY = {"Small": 5, "Major": 50, "Fatal": 100}
 RUBRIC = {"completeness": 0.2, "correctness": 0.3, "consistency": 0.2, "clarity": 0.1, "traceability": 0.2}
 LOWER, UPPER = 0.9, 1.3
+MAX_BROADCAST = 300_000
 
 
 def severity_score(inconsistencies: Column) -> Column:
@@ -200,26 +209,141 @@ def set_identity(s: Column, names: list[str]) -> list[Column]:
     return [c.alias(x) for c, x in zip((F.size(s), F.xxhash64(s), F.xxhash64(F.lit(7), s)), names, strict=True)]
 
 
-def near_duplicates(docs: DataFrame, key: str, text: str, threshold: float = 0.8, words: int = 5) -> DataFrame:
+def _shingle_rows(docs: DataFrame, key: str, text: str, words: int, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(_k, n, d1, d2, *keep, rep, w) of each row, (rep, w, n, d1, s) of the rows that stand for a set, and (n, d1, d2, rep, w) of each set.
+
+    ``rep`` is the smallest key of the rows with words of one set and ``w`` their number. A row that repeats with its key stands for
+    its set as often. Shingles are written once.
+    """
+    same = ["n", "d1", "d2"]
+    rows = docs.select(F.col(key).alias("_k"), word_shingles(F.col(text), words).alias("s"), *keep)
+    rows = write_shared(rows.select("_k", "s", *set_identity(F.col("s"), same), *keep), "shingle-sets")
+    whole = rows.filter("n > 0 AND _k IS NOT NULL")
+    classes = whole.groupBy(*same).agg(F.min("_k").alias("rep"), F.count("*").alias("w"))
+    classes = write_shared(classes, "set-classes")
+    sets = whole.select(F.col("_k").alias("rep"), *same, "s").join(broadcast_if_small(classes, MAX_BROADCAST), [*same, "rep"])
+    return rows.select("_k", *same, *keep).join(classes, same, "left"), sets.select("rep", "w", "n", "d1", "s"), classes
+
+
+def _compared(sets: DataFrame, threshold: float, compare: Callable, schema: str, tile_docs: int, tile_shingles: int) -> DataFrame:
+    """What ``compare(rows, i, j)`` gives for the linked pairs (i, j) of each tile; every two sets that can be linked share just one tile.
+
+    Two such sets have a shingle in common among the rarest of each (a prefix of 1 - ``threshold`` of the set, by rarity), and
+    their sizes differ by that factor at most. Sets are tied to one head of each such shingle, never to each other, and what is
+    tied together is a group. A group is cut into bands of sizes, of which only neighbours can hold a pair, and a band into
+    blocks; two blocks are one tile of about 2 * ``tile_docs`` sets at most, so a crowd makes more tiles and not larger ones.
+    """
+    from tracewell.llm.batches import bound_batches, release_memory
+    from tracewell.llm.ngram_join import by_key, exact_links
+
+    bound_batches(sets.sparkSession)
+    flat = sets.select("d1", "n", F.explode("s").alias("g"))
+    df = write_shared(flat.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1"), "shared-shingles")
+    own = Window.partitionBy("d1", "n")
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "g"))
+    # a repeated row only makes the prefix of its set longer
+    prefix = flat.join(broadcast_if_small(df, MAX_BROADCAST), "g").withColumn("_p", place).filter(F.col("_p") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+    prefix = write_shared(prefix.select("g", "d1"), "prefixes")
+    heads = write_shared(prefix.groupBy("g").agg(F.min("d1").alias("b")), "heads")
+    groups = connected_components(prefix.join(heads, "g").select(F.col("d1").alias("a"), "b").filter("a <> b").distinct())
+    # a little wider than the factor, so that rounding never puts two sets of that ratio two bands apart
+    band = F.floor(F.log(F.col("n").cast("double")) / (1e-4 - 1.001 * math.log(threshold))).cast("int")
+    members = write_shared(sets.join(groups.withColumnRenamed("node", "d1"), "d1").withColumn("band", band), "group-members")
+    sizes = members.groupBy("component", "band").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
+    blocks = F.greatest(F.ceil(F.col("m") / tile_docs), F.ceil(F.col("t") / tile_shingles)).cast("int")
+    sizes = write_shared(sizes.select("component", "band", blocks.alias("blocks")), "band-sizes")
+    near = lambda by, name: sizes.select("component", (F.col("band") + by).alias("band"), F.col("blocks").alias(name))
+    # the few sizes are joined to each other first: a member needs one lookup
+    sizes = sizes.join(near(-1, "above"), ["component", "band"], "left").join(near(1, "below"), ["component", "band"], "left")
+    members = members.join(write_shared(sizes, "band-blocks"), ["component", "band"])
+    members = members.withColumn("block", F.pmod(F.xxhash64("d1", "rep"), F.col("blocks")).cast("int"))
+    here, mine = F.col("band"), F.col("block")
+    tile = lambda low, i, high, j: F.struct(low.alias("low"), i.cast("int").alias("i"), high.alias("high"), j.cast("int").alias("j"))
+    each = lambda c, f: F.when(F.col(c) > 0, F.transform(F.sequence(F.lit(0), F.col(c) - 1), f)).otherwise(F.array().cast("array<struct<low:int,i:int,high:int,j:int>>"))
+    tiles = F.concat(
+        each("blocks", lambda x: tile(here, F.least(mine, x), here, F.greatest(mine, x))),
+        each("above", lambda x: tile(here, mine, here + 1, x)),
+        each("below", lambda x: tile(here - 1, x, here, mine)),
+    )
+    keys = ["component", "low", "i", "high", "j"]
+    dealt = members.withColumn("_t", F.explode(tiles)).select("component", "_t.*", "band", "block", "rep", "d1", "w", "s")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for pdf in by_key(parts, keys):
+            pdf = pdf.drop_duplicates(["rep", "d1"])
+            at = pdf.iloc[0]
+            one = at["low"] == at["high"] and at["i"] == at["j"]
+            split = 0 if one else int(((pdf["band"] == at["low"]) & (pdf["block"] == at["i"])).sum())
+            if len(pdf) < 2 or (not one and split in (0, len(pdf))):
+                continue
+            i, j = exact_links([np.asarray(x, dtype=np.int64) for x in pdf["s"]], split, threshold)
+            if len(i):
+                out.append(compare(pdf, i, j))
+            if len(out) >= 1000 or sum(map(len, out)) > 100_000:
+                yield pd.concat(out)
+                out = []
+        if out:
+            yield pd.concat(out)
+        release_memory()
+
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "band", "block", "rep").mapInPandas(run, schema)
+
+
+def near_duplicates(
+    docs: DataFrame, key: str, text: str, threshold: float = 0.8, words: int = 5, tile_docs: int = 512, tile_shingles: int = 400_000
+) -> DataFrame:
     """(a, b, similarity): one pair for each link between distinct texts whose word shingles are that similar; exact.
 
-    Texts of one shingle set become one row (the smallest key). Only a prefix of each set, ordered by
-    global rarity, takes part in the candidate join: two sets of that similarity must share a shingle there.
+    Texts of one shingle set are one row here (the smallest key): ``near_duplicate_classes`` has the representative of every
+    row. The pairs of a crowd of distinct texts are the square of it; each is made once.
+    """
+    _, sets, _ = _shingle_rows(docs, key, text, words)
+
+    def compare(pdf: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        rep, held = pdf["rep"].to_numpy(), pdf["s"].to_list()
+        common = np.array([len(np.intersect1d(held[x], held[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], dtype=np.int64)
+        size = np.array([len(s) for s in held], dtype=np.int64)
+        first = rep[i] < rep[j]
+        return pd.DataFrame({"a": np.where(first, rep[i], rep[j]), "b": np.where(first, rep[j], rep[i]), "c": common, "u": size[i] + size[j] - common})
+
+    kind = sets.schema["rep"].dataType.simpleString()
+    found = _compared(sets, threshold, compare, f"a {kind}, b {kind}, c long, u long", tile_docs, tile_shingles)
+    return found.filter("a <> b").select("a", "b", F.round(F.col("c") / F.col("u"), 6).alias("similarity"))
+
+
+def near_duplicate_classes(
+    docs: DataFrame, key: str, text: str, threshold: float = 0.8, words: int = 5, keep: tuple[str, ...] = (), tile_docs: int = 512, tile_shingles: int = 400_000
+) -> DataFrame:
+    """(key, representative, class_id, n_links, n_shingles, *keep): one row for each row of ``docs``; exact up to equal 64-bit hashes.
+
+    ``representative`` is the smallest key with the same word shingles, ``class_id`` the smallest key that links of at least
+    ``threshold`` reach, ``n_links`` the number of a row's links, copies included. Rows are told apart by their texts, so those
+    of a repeated key can have several classes. A text without words is its own class; a row without a key takes no part and has
+    null for both. Tiles give sums of links and a spanning forest, so that no table holds the pairs of a crowd.
     """
-    sets = docs.select(F.col(key).alias("_k"), word_shingles(F.col(text), words).alias("s")).filter(F.size("s") > 0)
-    sets = sets.groupBy("s").agg(F.min("_k").alias("_k"))
-    flat = sets.select("_k", F.size("s").alias("n"), F.explode("s").alias("g"))
-    df = flat.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1")
-    ranked = flat.join(df, "g", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("_k").orderBy("df", "g"))
-    prefix = ranked.withColumn("_p", place).filter(F.col("_p") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).filter("df > 1")
-    left, right = (prefix.select(F.col("g"), F.col("_k").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
-    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = left.join(right, "g").filter(fits).select("a", "b").distinct()
-    full = pairs.join(sets.select(F.col("_k").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("_k").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    sim = common / (F.size("sa") + F.size("sb") - common)
-    return full.select("a", "b", F.round(sim, 6).alias("similarity"), sim.alias("_s")).filter(F.col("_s") >= threshold).drop("_s")
+    from tracewell.llm.vectors import local_components
+
+    rows, sets, classes = _shingle_rows(docs, key, text, words, keep)
+
+    def compare(pdf: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+        d1, w = pdf["d1"].to_numpy(np.int64), pdf["w"].to_numpy(np.float64)
+        links = np.bincount(i, weights=w[j], minlength=len(w)) + np.bincount(j, weights=w[i], minlength=len(w))
+        labels, hit = local_components(len(w), i, j), np.flatnonzero(links)
+        return pd.DataFrame({"d1": d1[hit], "links": links[hit].astype(np.int64), "root": d1[labels[hit]]})
+
+    found = write_shared(_compared(sets, threshold, compare, "d1 long, links long, root long", tile_docs, tile_shingles), "tile-links")
+    whole = classes.select("d1", "rep").join(connected_components(found, "d1", "root").withColumnRenamed("node", "d1"), "d1")
+    whole = write_shared(whole.join(found.groupBy("d1").agg(F.sum("links").alias("links")), "d1"), "linked-sets")
+    first = whole.groupBy("component").agg(F.min("rep").alias("first"))
+    linked = write_shared(whole.join(first, "component").select("d1", "rep", "first", "links"), "set-links")
+    out = rows.join(linked, ["d1", "rep"], "left")
+    part = F.col("_k").isNotNull()
+    return out.select(
+        F.col("_k").alias(key), F.when(part, F.coalesce("rep", "_k")).alias("representative"), F.when(part, F.coalesce("first", "rep", "_k")).alias("class_id"),
+        F.when(part & (F.col("n") > 0), F.coalesce("links", F.lit(0)) + F.col("w") - 1).otherwise(0).cast("long").alias("n_links"),
+        F.col("n").alias("n_shingles"), *keep,
+    )
 
 
 def completion_check(batches: DataFrame, outputs: DataFrame) -> DataFrame:

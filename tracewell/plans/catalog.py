@@ -567,6 +567,17 @@ def near_duplicates(t):
     return quality.near_duplicates(t("documents").select("doc_id", "text"), "doc_id", "text")
 
 
+@query(f"""WITH RECURSIVE {SHINGLES},
+m AS (SELECT st.doc_id, rep.doc_id AS r, count(*) OVER (PARTITION BY rep.doc_id) AS w FROM st JOIN rep USING (st)),
+p AS (SELECT a, b FROM cm JOIN rep x ON x.doc_id = a JOIN rep y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.8),
+l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT doc_id AS a, doc_id AS b FROM rep UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+g AS (SELECT a, min(b) AS g FROM reach GROUP BY a), k AS (SELECT l.a, sum(w) AS k FROM l JOIN (SELECT DISTINCT r, w FROM m) ON r = l.b GROUP BY l.a)
+SELECT doc_id, coalesce(r, doc_id) AS representative, coalesce(g, doc_id) AS class_id, (coalesce(k, 0) + coalesce(w, 1) - 1)::BIGINT AS n_links
+FROM documents LEFT JOIN m USING (doc_id) LEFT JOIN g ON g.a = r LEFT JOIN k ON k.a = r""")
+def near_duplicate_classes(t):
+    return quality.near_duplicate_classes(t("documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", "representative", "class_id", "n_links")
+
+
 @query(f"""WITH RECURSIVE {SHINGLES},
 p AS (SELECT a, b FROM cm JOIN rep x ON x.doc_id = a JOIN rep y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.8),
 l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT doc_id AS a, doc_id AS b FROM rep UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
