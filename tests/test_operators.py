@@ -213,6 +213,76 @@ def test_fuzzy_search_against_difflib(spark):
         assert sorted((-r["score"], r["id"]) for r in got.collect() if r["query"] == q) == sorted((-round(-s, 4), i) for s, i in want)
 
 
+def test_searches_ask_every_hundredth_row_of_the_tables(spark, sf_dir):
+    import numpy as np
+
+    from tracewell.plans.catalog import QUERIES
+
+    t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+    base = {r["vec_id"]: (np.array(r["embedding"], dtype=np.float64), r["label"]) for r in t("embeddings").collect()}
+    asked = [i for i in base if i % 100 == 0]
+    assert max(asked) >= 100
+    for name, ok in (("vector_topk", lambda x: True), ("vector_scoped", lambda x: x in (1, 2, 3))):
+        got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in QUERIES[name](spark, sf_dir).collect()}
+        want = {}
+        for q in asked:
+            best = sorted((-float(sum(base[q][0] * v)), i) for i, (v, label) in base.items() if ok(label))[:10]
+            want |= {(q, n): (i, -s) for n, (s, i) in enumerate(best, 1) if -s >= 0.3}
+        assert set(got) == set(want) and all(got[x][0] == want[x][0] and abs(got[x][1] - want[x][1]) < 1e-4 for x in want)
+    parts = t("part").count()
+    names = {r["p_name"] for r in t("part").filter("p_partkey % 100 = 0").collect()}
+    scores = QUERIES["fuzzy_native"](spark, sf_dir)
+    assert {r["query"] for r in scores.select("query").distinct().collect()} == {x.lower() for x in names}
+    assert scores.count() == scores.select("query", "p_partkey").distinct().count() == parts * len({x.lower() for x in names})
+    assert {r["query"] for r in QUERIES["fuzzy_topk"](spark, sf_dir).collect()} == names
+    docs = t("documents")
+    assert {r["ref"] for r in QUERIES["resolve_instance"](spark, sf_dir).collect()} >= {f"DOC_{r['doc_id']}" for r in docs.collect()}
+    got = {r["a"]: r["hops"] for r in QUERIES["shortest_path"](spark, sf_dir).collect()}
+    edges = [(f"n{r['n_nationkey']}", f"r{r['n_regionkey']}") for r in t("nation").collect()] + [(f"c{r['c_custkey']}", f"n{r['c_nationkey']}") for r in t("customer").collect()]
+    assert got == distances([*edges, *((f"o{r['o_orderkey']}", f"c{r['o_custkey']}") for r in t("orders").collect())], "c1", {f"c{r['c_custkey']}" for r in t("customer").filter("c_custkey % 100 = 0").collect()})
+
+
+def distances(edges, end, wanted):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    at, front, d = {end: 0}, {end}, 0
+    while front:
+        d += 1
+        front = {y for x in front for y in near[x]} - set(at)
+        at |= dict.fromkeys(front, d)
+    return {x: at[x] for x in wanted if x in at}
+
+
+def test_searches_in_small_tiles(spark):
+    import itertools
+
+    rng = random.Random(4)
+    vectors = [(i, [float(rng.randint(-2, 2)) for _ in range(4)]) for i in range(150)]
+    df = spark.createDataFrame(vectors, "id long, v array<float>")
+    got = search.vector_search(df, df.select(F.col("id").alias("query_id"), F.col("v").alias("query_vector")), "id", "v", 5, -99.0, query_block=20, base_block=30)
+    want = {(q, n): i for q, a in vectors for n, (_, i) in enumerate(sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in vectors)[:5], 1)}
+    assert {(r["query_id"], r["rank"]): r["id"] for r in got.collect()} == want
+    names = spark.createDataFrame([(i, " ".join(rng.choices(["vpn", "ipsec", "route", "x1"], k=3))) for i in range(80)], "id long, name string")
+    asked = names.select(F.col("name").alias("query"))
+    whole, cut = (rows(search.fuzzy_search(names, asked, 4, query_block=b, base_block=n)) for b, n in ((512, 4096), (3, 9)))
+    assert whole == cut and len(cut) == 4 * len({q for q, *_ in cut})
+    edges = [(str(rng.randrange(25)), str(rng.randrange(25))) for _ in range(40)]
+    nodes = sorted({x for e in edges for x in e})
+    pairs = [(a, b) for a in nodes for b in nodes[:4]]
+    found = {(r["a"], r["b"]): (r["hops"], r["path"]) for r in graph.shortest_paths(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(pairs, "a string, b string"), 5).collect()}
+    near = {n: {b for a, b in [*edges, *((y, x) for x, y in edges)] if a == n and b != n} for n in nodes}
+    for a, b in itertools.product(nodes, nodes[:4]):
+        d = distances(edges, b, {a}).get(a)
+        assert ((a, b) in found) == (d is not None and d <= 5)
+        if (a, b) in found:
+            paths = [[a]]
+            for _ in range(d):
+                paths = [[*p, n] for p in paths for n in near[p[-1]]]
+            assert found[a, b] == (d, min(p for p in paths if p[-1] == b))
+
+
 def test_incremental_index(spark, tmp_path):
     store = io.VectorStore(spark, str(tmp_path / "store"), "m1", "plain")
     docs = spark.createDataFrame([("a b",), ("a b",), ("c",), (None,)], "text string")

@@ -154,24 +154,36 @@ def touching_edges(edges: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(a, b, hops, path) for each pair that is connected within ``max_depth`` undirected hops; ties to the smallest parent.
+    """(a, b, hops, path) for each pair that is connected within ``max_depth`` undirected hops; ties to the smallest path.
 
-    All pairs advance together; a pair whose end is reached leaves the frontier.
+    Distances are found from each distinct end ``b`` over the whole graph, once for all pairs that share it; all pairs then walk
+    together, each to its smallest neighbour that is one nearer to its end. An end whose pairs are all found is searched no further.
     """
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"))
-    both = write_shared(both.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("to"))).distinct(), "both-ways")
-    front = pairs.select("a", "b").distinct().withColumn("node", F.col("a")).withColumn("path", F.array("a")).withColumn("hops", F.lit(0))
-    front = write_shared(front, "path-front")
-    seen, found = front.select("a", "b", "node"), front.filter("node = b")
+    both = write_shared(both.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("to"))).filter("node <> to").distinct(), "both-ways")
+    pairs = write_shared(pairs.select("a", "b").distinct(), "pairs")
+    front = write_shared(pairs.select("b", F.col("b").alias("node"), F.lit(0).alias("hops")).distinct(), "path-front")
+    seen, wanted = front, pairs
     for d in range(1, max_depth + 1):
-        open_pairs = front.join(found.select("a", "b"), ["a", "b"], "left_anti")
-        new = open_pairs.join(both, "node").select("a", "b", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"), F.lit(d).alias("hops"))
-        new = new.join(seen, ["a", "b", "node"], "left_anti").groupBy("a", "b", "node", "hops").agg(F.min("path").alias("path"))
-        front = write_shared(new.select("a", "b", "node", "path", "hops"), "path-front")
+        wanted = write_shared(wanted.join(front.select("b", F.col("node").alias("a")), ["a", "b"], "left_anti"), "open-pairs")
+        new = front.join(wanted.select("b").distinct(), "b", "left_semi").join(both, "node").select("b", F.col("to").alias("node")).distinct()
+        front = write_shared(new.join(seen.select("b", "node"), ["b", "node"], "left_anti").withColumn("hops", F.lit(d)), "path-front")
         if front.isEmpty():
             break
-        seen, found = seen.unionByName(front.select("a", "b", "node")), found.unionByName(front.filter("node = b"))
-    return found.select("a", "b", "hops", "path")
+        seen = seen.unionByName(front)
+    walk = pairs.join(seen.withColumnRenamed("node", "a"), ["a", "b"]).select("a", "b", "hops", F.col("a").alias("node"), F.array("a").alias("path"))
+    done = None
+    for d in range(max_depth + 1):
+        walk = write_shared(walk, "walks")
+        here = walk.filter(F.col("hops") == d).select("a", "b", "hops", "path")
+        done = here if done is None else done.unionByName(here)
+        walk = walk.filter(F.col("hops") > d)
+        if walk.isEmpty():
+            break
+        nearer = seen.select("b", F.col("node").alias("to"), F.col("hops").alias("_left"))
+        step = walk.join(both, "node").join(nearer, ["b", "to"]).filter(F.col("_left") == F.col("hops") - d - 1)
+        walk = step.groupBy("a", "b", "hops", "path").agg(F.min("to").alias("node")).select("a", "b", "hops", "node", F.concat("path", F.array("node")).alias("path"))
+    return done
 
 
 def seed_nodes(nodes: DataFrame, terms: list[str], k: int = 3) -> DataFrame:

@@ -86,6 +86,20 @@ def kb_stats(df: DataFrame) -> DataFrame:
     return df.groupBy(labelled(F.col("type_id")).alias("type_id")).agg(F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- tiles
+
+QUERY_BLOCK, BASE_BLOCK = 512, 4096
+
+
+def deal_tiles(base: DataFrame, key: str, asked: DataFrame, query: str, query_block: int = QUERY_BLOCK, base_block: int = BASE_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the numbers (_qb, _bb) of their tiles: each query meets each row of the base in one tile of about
+    ``query_block`` queries and ``base_block`` rows. Blocks go by hash; only the two counts come to the driver."""
+    nq, nb = (max(1, -(-df.count() // n)) for df, n in ((asked, query_block), (base, base_block)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    whole = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return base.withColumn("_bb", block(key, nb)).withColumn("_qb", whole(nq)), asked.withColumn("_qb", block(query, nq)).withColumn("_bb", whole(nb))
+
+
 # ---------------------------------------------------------------- keyword and fuzzy
 
 
@@ -106,27 +120,36 @@ def fuzzy_lower_score(query: Column, name: Column) -> Column:
     return 0.5 * inside.cast("double") + 0.3 * token_jaccard(mixed_tokens(query), mixed_tokens(name))
 
 
+def fuzzy_scores(names: DataFrame, queries: DataFrame, key: str = "id", name: str = "name", query: str = "query", query_block: int = QUERY_BLOCK, base_block: int = BASE_BLOCK) -> DataFrame:
+    """(query, key, score): the native score of every distinct query against every name, in tiles; no table is broadcast on purpose."""
+    rows = names.select(F.col(key).alias("_k"), F.col(name).alias("_n"))
+    rows, asked = deal_tiles(rows, "_k", queries.select(F.col(query).alias("_q")).distinct(), "_q", query_block, base_block)
+    return rows.join(asked, ["_qb", "_bb"]).select(F.col("_q").alias(query), F.col("_k").alias(key), F.round(fuzzy_lower_score(F.col("_q"), F.col("_n")), 6).alias("score"))
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(query: pd.Series, name: pd.Series) -> pd.Series:
     """difflib's ratio of (query, name), in this order."""
     return pd.Series([difflib.SequenceMatcher(None, q, n).ratio() for q, n in zip(query, name, strict=True)], dtype=float)
 
 
-def fuzzy_search(names: DataFrame, queries: DataFrame, k: int = 10, key: str = "id", name: str = "name", query: str = "query") -> DataFrame:
+def fuzzy_search(
+    names: DataFrame, queries: DataFrame, k: int = 10, key: str = "id", name: str = "name", query: str = "query", query_block: int = QUERY_BLOCK, base_block: int = BASE_BLOCK
+) -> DataFrame:
     """(query, key, score): the k best of 0.5 substring + 0.3 Jaccard + 0.2 sequence ratio, zero left out, ties by key.
 
     The native part bounds the score from below, and the lengths bound the ratio; only rows whose upper bound reaches the k-th
-    best lower bound are handed to Python. The queries are a stated, small table and go to all tasks.
+    best lower bound are handed to Python. Queries and names meet in tiles, and a rank is cut to ``k`` before rows are shuffled.
     """
-    asked = F.broadcast(queries.select(F.col(query).alias("_q")).filter(F.trim("_q") != "").distinct())
-    rows = names.select(F.col(key).alias("_k"), F.col(name).alias("_n")).join(asked, F.lit(True))
+    asked = write_shared(queries.select(F.col(query).alias("_q")).filter(F.trim("_q") != "").distinct(), "fuzzy-queries")
+    rows, dealt = deal_tiles(names.select(F.col(key).alias("_k"), F.col(name).alias("_n")), "_k", asked, "_q", query_block, base_block)
+    rows = rows.join(dealt, ["_qb", "_bb"]).drop("_qb", "_bb")
     lo = fuzzy_lower_score(F.col("_q"), F.col("_n"))
     a, b = F.length("_q"), F.length("_n")
     hi = F.col("_lo") + 0.4 * F.least(a, b) / F.greatest(a + b, F.lit(1))
     rows = rows.withColumn("_lo", lo).withColumn("_hi", hi)
     rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("_lo"), "_k"))
     floor = rows.select("_q", "_lo", rank.alias("_r"), "_k").filter(F.col("_r") <= k).groupBy(F.col("_q").alias("_fq")).agg(F.min("_lo").alias("_floor"), F.count("*").alias("_c"))
-    floor = F.broadcast(floor)
     close = rows.join(floor, F.col("_q") == F.col("_fq")).filter((F.col("_c") < k) | (F.col("_hi") >= F.col("_floor") - 1e-12))
     scored = close.withColumn("score", F.col("_lo") + 0.2 * sequence_ratio(F.lower("_q"), F.lower("_n"))).filter("score > 0")
     best = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_k"))
@@ -136,28 +159,43 @@ def fuzzy_search(names: DataFrame, queries: DataFrame, k: int = 10, key: str = "
 # ---------------------------------------------------------------- vectors
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k: int = 10, min_score: float = 0.0, scope: Column | None = None, text: str | None = None) -> DataFrame:
+def vector_search(
+    vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k: int = 10, min_score: float = 0.0, scope: Column | None = None, text: str | None = None,
+    query_block: int = QUERY_BLOCK, base_block: int = BASE_BLOCK,
+) -> DataFrame:
     """(query_id, rank, key, score[, snippet]): the k largest dot products, then those of at least ``min_score``.
 
-    ``queries`` (query_id, query_vector) are a stated, small table. Each batch of rows is one matrix product with all queries
-    and gives up its own k best, so the shuffle carries k rows a batch and query. Ties to the smaller key.
+    ``queries`` (query_id, query_vector) and rows meet in tiles: a tile is one matrix product and gives up its own k best of a query,
+    so the shuffle after it carries k rows a tile and query. What a product puts near the k-th place is summed again in a fixed order, so
+    that equal vectors score the same in every tile. Ties to the smaller key. Every query meets every row: the work is their product.
     """
-    asked = [(r["query_id"], np.array(r["query_vector"], dtype=np.float64)) for r in queries.orderBy("query_id").collect()]
+    from tracewell.llm.batches import bound_batches
+    from tracewell.llm.ngram_join import by_key
+
+    bound_batches(vectors.sparkSession)
     rows = vectors.filter(scope) if scope is not None else vectors
-    rows = rows.select(F.col(key).cast("long").alias("_k"), F.col(embedding).cast("array<double>").alias("_v")).filter("_v IS NOT NULL AND _k IS NOT NULL")
+    as_rows = lambda df, i, v: df.select(F.col(i).cast("long").alias("_k"), F.col(v).cast("array<double>").alias("_v")).filter("_v IS NOT NULL AND _k IS NOT NULL")
+    rows, asked = deal_tiles(as_rows(rows, key, embedding), "_k", as_rows(queries, "query_id", "query_vector"), "_k", query_block, base_block)
+    tile = ["_qb", "_bb"]
+    dealt = asked.select(*tile, F.lit(0).alias("_side"), "_k", "_v").unionByName(rows.select(*tile, F.lit(1).alias("_side"), "_k", "_v"))
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, q = [i for i, _ in asked], np.array([v for _, v in asked])
-        for pdf in parts:
-            if not len(pdf) or not len(ids):
+        for pdf in by_key(parts, tile):
+            n = int((pdf["_side"] == 0).sum())
+            if n in (0, len(pdf)):
                 continue
-            score, keys, out = np.stack(pdf["_v"].to_list()) @ q.T, pdf["_k"].to_numpy(), []
-            for j, i in enumerate(ids):
-                top = np.lexsort((keys, -score[:, j]))[:k]
-                out.append(pd.DataFrame({"query_id": i, "_k": keys[top], "_s": score[top, j]}))
+            keys, v, out = pdf["_k"].to_numpy(np.int64), np.stack(pdf["_v"].to_list()), []
+            base, names = v[n:], keys[n:]
+            score = v[:n] @ base.T
+            for j in range(n):
+                s = score[j]
+                near = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-9)
+                exact = np.add.reduce(np.ascontiguousarray((base[near] * v[j]).T), axis=0)
+                top = np.lexsort((names[near], -exact))[:k]
+                out.append(pd.DataFrame({"query_id": keys[j], "_k": names[near][top], "_s": exact[top]}))
             yield pd.concat(out)
 
-    found = rows.mapInPandas(best, "query_id long, _k long, _s double")
+    found = dealt.repartition(*tile).sortWithinPartitions(*tile, "_side", "_k").mapInPandas(best, "query_id long, _k long, _s double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_s"), "_k"))
     top = found.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("_s") >= min_score))
     out = top.select("query_id", "rank", F.col("_k").alias(key), F.round("_s", 4).alias("score"))
