@@ -304,6 +304,21 @@ def test_contract_mutations(spark):
     assert {r["id"]: r["score"] for r in quality.spec_quality(quality.contract_check(docs, rules_, "id", "t")).collect()}[5] == 0.6
 
 
+def test_todo_gate_counts_all_orders(spark, sf_dir):
+    from tracewell.plans.catalog import QUERIES
+
+    from pyspark.sql.types import ArrayType
+
+    orders = [(r["o_orderstatus"], r["o_orderkey"]) for r in spark.read.parquet(f"{sf_dir}/orders.parquet").collect()]
+    gate, failed = QUERIES["todo_gate"](spark, sf_dir), QUERIES["todo_failed"](spark, sf_dir)
+    assert max(k for _, k in orders) >= 1000 and not any(isinstance(f.dataType, ArrayType) for f in gate.schema)
+    want = {t: [sum(x == t and k % 5 in m for x, k in orders) for m in ((2, 3, 4), (0,), (1,))] for t, _ in orders}
+    assert {r["track"]: [r["done"], r["failed"], r["pending"]] for r in gate.collect()} == want and not any(r["passed"] for r in gate.collect())
+    assert rows(failed) == sorted(((t, k) for t, k in orders if k % 5 == 0), key=str)
+    items = spark.createDataFrame([("a", 1, "Done"), ("a", 2, "completed"), ("b", 3, "FAILED")], "track string, k long, s string")
+    assert rows(quality.todo_gate(items, "track", "s")) == [("a", 2, 0, 0, True), ("b", 0, 1, 0, False)] and rows(quality.todo_failed(items, "track", "k", "s")) == [("b", 3)]
+
+
 def test_audits_of_traces_and_assets(spark):
     t = spark.createDataFrame([("leaf", 9, "x"), ("tired", 9, "x"), ("leaf", 2, "x"), ("leaf", 9, " ")], "stopped_reason string, max_depth_achieved int, leaf_evidence string")
     assert [r["problem"] for r in quality.trace_audit(t, 8, ("leaf",)).collect()] == [None, "stop not allowed", "too shallow", "no leaf evidence"]

@@ -99,17 +99,20 @@ def scan_coverage(listed: DataFrame, repo: DataFrame, group: str, path: str, thr
     return rows.withColumn("ratio", ratio).withColumn("low", F.col("ratio") < threshold)
 
 
-def todo_gate(items: DataFrame, track: str, key: str, status: str) -> DataFrame:
-    """Counts and ids by state for each track; a track passes if nothing failed or waits."""
+def todo_gate(items: DataFrame, track: str, status: str) -> DataFrame:
+    """Counts by state for each track; a track passes if nothing failed or waits. ``todo_failed`` has the ids."""
     s = F.lower(status)
-    ids = lambda *v: F.array_sort(F.collect_list(F.when(s.isin(*v), F.col(key))))
     return items.groupBy(track).agg(
         F.count_if(s.isin("done", "completed")).alias("done"), F.count_if(s == "failed").alias("failed"),
-        F.count_if(s.isin("pending", "processing")).alias("pending"), ids("failed").alias("failed_ids"),
-        F.bool_and(~s.isin("failed", "pending", "processing")).alias("passed"),
+        F.count_if(s.isin("pending", "processing")).alias("pending"), F.bool_and(~s.isin("failed", "pending", "processing")).alias("passed"),
     )
 
 
+def todo_failed(items: DataFrame, track: str, key: str, status: str) -> DataFrame:
+    """(track, key) of each failed item, one row each: a track's failures are never one list."""
+    return items.filter(F.lower(status) == "failed").select(track, key)
+
+
 def trace_audit(traces: DataFrame, min_depth: int, allowed: tuple[str, ...], declared: str | None = None) -> DataFrame:
     """``traces`` with ``problem``: a stop that is not allowed, too shallow a trace, or no evidence at the leaf."""
     problem = (

@@ -537,11 +537,20 @@ def ambiguity_findings(t):
     return quality.ambiguity_findings(t("documents").filter("text IS NOT NULL"), "doc_id", "text", [("the", "low"), ("with", "high")])
 
 
+def _todo_items(t):
+    s = F.when(F.col("o_orderkey") % 5 == 0, "failed").when(F.col("o_orderkey") % 5 == 1, "pending").otherwise("DONE")
+    return t("orders").select(F.col("o_orderstatus").alias("track"), F.col("o_orderkey").alias("k"), s.alias("s"))
+
+
 @query("""WITH l AS (SELECT o_orderstatus AS track, o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'done' END AS s FROM orders WHERE o_orderkey < 1000)
 SELECT track, count(*) FILTER (s = 'done') AS done, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'pending') AS pending, list_sort(list(k) FILTER (s = 'failed')) AS failed_ids, false AS passed FROM l GROUP BY track""")
 def todo_gate(t):
-    s = F.when(F.col("o_orderkey") % 5 == 0, "failed").when(F.col("o_orderkey") % 5 == 1, "pending").otherwise("DONE")
-    return quality.todo_gate(t("orders").filter("o_orderkey < 1000").select(F.col("o_orderstatus").alias("track"), F.col("o_orderkey").alias("k"), s.alias("s")), "track", "k", "s")
+    return quality.todo_gate(_todo_items(t), "track", "s")
+
+
+@query("SELECT o_orderstatus AS track, o_orderkey AS k FROM orders WHERE o_orderkey % 5 = 0")
+def todo_failed(t):
+    return quality.todo_failed(_todo_items(t), "track", "k", "s")
 
 
 @query("""WITH l AS (SELECT l_orderkey AS path, l_linenumber AS line, max(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS h FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1, 2),
