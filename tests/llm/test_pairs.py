@@ -206,3 +206,11 @@ def test_warc_of_nothing(spark):
     locations, index = warc.archive_pages(df.limit(0))
     assert locations.count() == 0 and index.count() == 0
     assert warc.read_records(warc.look_up(index, df.limit(0).select(F.lit("k").alias("key")))).count() == 0
+
+
+def test_stated_share_of_missed_pairs():
+    from tracewell.llm.ngram_join import jaccard_join, missed_share
+
+    whole, filtered = missed_share(0.8, 4, 0.9999)
+    assert f"{whole:.1e}" == "7.4e-04" and f"{filtered:.1e}" == "1.3e-04"
+    assert "7.4e-4" in jaccard_join.__doc__ and "1.3e-4" in jaccard_join.__doc__

@@ -135,6 +135,23 @@ def runs_for(threshold: float, depth: int, recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, depth)))
 
 
+def missed_share(threshold: float, depth: int, recall: float, margin: float = 4.0) -> tuple[float, float]:
+    """Chance that a pair at the threshold is missed in nodes that stay crowded to ``depth``, and the part of it due to the sketch filter.
+
+    All runs draw from the same places: given that the pair agrees in m of them, a run keeps it with that share, and m is binomial.
+    """
+    least = threshold - margin * math.sqrt(threshold * (1 - threshold) / PLACES)
+    two, whole, filtered = min(1.0, 1 / threshold - 1), 0.0, 0.0
+    for m in range(PLACES + 1):
+        p, same, lost = math.comb(PLACES, m) * threshold**m * (1 - threshold) ** (PLACES - m), m / PLACES, 0.0
+        for _ in range(depth):
+            x = 1 - same + same * lost
+            lost = (1 - two) * x + two * x * x
+        filtered += p * (m < least * PLACES)
+        whole += p * (1.0 if m < least * PLACES else lost ** runs_for(threshold, depth, recall))
+    return whole, filtered
+
+
 def _children(node: np.ndarray, depth: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(rows, places): one or two sketch places that each row's node draws."""
     draw = mix(node ^ np.uint64(0x51ED270B + depth))
@@ -303,7 +320,9 @@ def jaccard_join(
     that links reach. Texts of one shingle set become one weighted row first, so copies cost nothing. The
     chosen-path recursion proposes groups and each group is compared on whole sets, every pair of it in one tile of
     at most about 2 * ``tile_docs`` documents; a tile gives sums of links and a spanning forest. No similarity below the
-    threshold is ever reported; a pair at the threshold is missed with a chance of 1 - ``recall`` at most.
+    threshold is ever reported. ``recall`` sets the number of runs as if these were independent; they draw from the same
+    sketch places, so a pair at the threshold that only crowded nodes hold to the last level, and that no third document ties
+    together, is missed more often: with the defaults 7.4e-4 of the time (``missed_share``), of which 1.3e-4 by the sketch filter.
 
     A text without words (null, empty, white space) has no link and is its own class. A row with a null key takes no
     part and has a null class. Rows that share a key are one node of the classes; repeated rows link with each other.
