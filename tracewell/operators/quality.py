@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import labelled, section_body
+from tracewell.operators.batches import bound_batches, by_key, first_of_equal, release_memory
 from tracewell.operators.bounded import broadcast_if_small
 from tracewell.operators.components import connected_components
+from tracewell.operators.tiles import TILE, deal_bands, exact_links, local_components, tile_split
 from tracewell.sources.shared import write_shared
 
 # Penalties by severity, weights of the rubric, bounds of the quantity gate.
@@ -233,12 +234,8 @@ def _compared(sets: DataFrame, threshold: float, compare: Callable, schema: str,
 
     Two such sets have a shingle in common among the rarest of each (a prefix of 1 - ``threshold`` of the set, by rarity), and
     their sizes differ by that factor at most. Sets are tied to one head of each such shingle, never to each other, and what is
-    tied together is a group. A group is cut into bands of sizes, of which only neighbours can hold a pair, and a band into
-    blocks; two blocks are one tile of about 2 * ``tile_docs`` sets at most, so a crowd makes more tiles and not larger ones.
+    tied together is a group, which ``deal_bands`` cuts into tiles.
     """
-    from tracewell.llm.batches import bound_batches, release_memory
-    from tracewell.llm.ngram_join import by_key, exact_links
-
     bound_batches(sets.sparkSession)
     flat = sets.select("d1", "n", F.explode("s").alias("g"))
     df = write_shared(flat.groupBy("g").agg(F.count("*").alias("df")).filter("df > 1"), "shared-shingles")
@@ -249,36 +246,14 @@ def _compared(sets: DataFrame, threshold: float, compare: Callable, schema: str,
     prefix = write_shared(prefix.select("g", "d1"), "prefixes")
     heads = write_shared(prefix.groupBy("g").agg(F.min("d1").alias("b")), "heads")
     groups = connected_components(prefix.join(heads, "g").select(F.col("d1").alias("a"), "b").filter("a <> b").distinct())
-    # a little wider than the factor, so that rounding never puts two sets of that ratio two bands apart
-    band = F.floor(F.log(F.col("n").cast("double")) / (1e-4 - 1.001 * math.log(threshold))).cast("int")
-    members = write_shared(sets.join(groups.withColumnRenamed("node", "d1"), "d1").withColumn("band", band), "group-members")
-    sizes = members.groupBy("component", "band").agg(F.count("*").alias("m"), F.sum("n").alias("t"))
-    blocks = F.greatest(F.ceil(F.col("m") / tile_docs), F.ceil(F.col("t") / tile_shingles)).cast("int")
-    sizes = write_shared(sizes.select("component", "band", blocks.alias("blocks")), "band-sizes")
-    near = lambda by, name: sizes.select("component", (F.col("band") + by).alias("band"), F.col("blocks").alias(name))
-    # the few sizes are joined to each other first: a member needs one lookup
-    sizes = sizes.join(near(-1, "above"), ["component", "band"], "left").join(near(1, "below"), ["component", "band"], "left")
-    members = members.join(write_shared(sizes, "band-blocks"), ["component", "band"])
-    members = members.withColumn("block", F.pmod(F.xxhash64("d1", "rep"), F.col("blocks")).cast("int"))
-    here, mine = F.col("band"), F.col("block")
-    tile = lambda low, i, high, j: F.struct(low.alias("low"), i.cast("int").alias("i"), high.alias("high"), j.cast("int").alias("j"))
-    each = lambda c, f: F.when(F.col(c) > 0, F.transform(F.sequence(F.lit(0), F.col(c) - 1), f)).otherwise(F.array().cast("array<struct<low:int,i:int,high:int,j:int>>"))
-    tiles = F.concat(
-        each("blocks", lambda x: tile(here, F.least(mine, x), here, F.greatest(mine, x))),
-        each("above", lambda x: tile(here, mine, here + 1, x)),
-        each("below", lambda x: tile(here - 1, x, here, mine)),
-    )
-    keys = ["component", "low", "i", "high", "j"]
-    dealt = members.withColumn("_t", F.explode(tiles)).select("component", "_t.*", "band", "block", "rep", "d1", "w", "s")
+    members = sets.join(groups.withColumnRenamed("node", "d1"), "d1")
+    members = deal_bands(members, threshold, tile_docs, tile_shingles, ["d1", "rep"])
+    dealt = members.withColumn("_t", F.explode("tiles")).select("component", "_t.*", "band", "block", "rep", "d1", "w", "s")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for pdf in by_key(parts, keys):
-            pdf = pdf.drop_duplicates(["rep", "d1"])
-            at = pdf.iloc[0]
-            one = at["low"] == at["high"] and at["i"] == at["j"]
-            split = 0 if one else int(((pdf["band"] == at["low"]) & (pdf["block"] == at["i"])).sum())
-            if len(pdf) < 2 or (not one and split in (0, len(pdf))):
+        for pdf in by_key(first_of_equal(parts, [*TILE, "rep", "d1"]), TILE):
+            if (split := tile_split(pdf)) is None:
                 continue
             i, j = exact_links([np.asarray(x, dtype=np.int64) for x in pdf["s"]], split, threshold)
             if len(i):
@@ -290,7 +265,7 @@ def _compared(sets: DataFrame, threshold: float, compare: Callable, schema: str,
             yield pd.concat(out)
         release_memory()
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "band", "block", "rep").mapInPandas(run, schema)
+    return dealt.repartition(*TILE).sortWithinPartitions(*TILE, "band", "block", "rep", "d1").mapInPandas(run, schema)
 
 
 def near_duplicates(
@@ -325,8 +300,6 @@ def near_duplicate_classes(
     of a repeated key can have several classes. A text without words is its own class; a row without a key takes no part and has
     null for both. Tiles give sums of links and a spanning forest, so that no table holds the pairs of a crowd.
     """
-    from tracewell.llm.vectors import local_components
-
     rows, sets, classes = _shingle_rows(docs, key, text, words, keep)
 
     def compare(pdf: pd.DataFrame, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:

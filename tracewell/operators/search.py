@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tracewell.functions.text import content_hash, head_snippet, labelled, mixed_tokens, snippet, token_jaccard
+from tracewell.operators.batches import bound_batches, by_key
 from tracewell.sources.io import VectorStore
 from tracewell.sources.shared import write_shared
 
@@ -169,9 +170,6 @@ def vector_search(
     so the shuffle after it carries k rows a tile and query. What a product puts near the k-th place is summed again in a fixed order, so
     that equal vectors score the same in every tile. Ties to the smaller key. Every query meets every row: the work is their product.
     """
-    from tracewell.llm.batches import bound_batches
-    from tracewell.llm.ngram_join import by_key
-
     bound_batches(vectors.sparkSession)
     rows = vectors.filter(scope) if scope is not None else vectors
     as_rows = lambda df, i, v: df.select(F.col(i).cast("long").alias("_k"), F.col(v).cast("array<double>").alias("_v")).filter("_v IS NOT NULL AND _k IS NOT NULL")
