@@ -372,7 +372,7 @@ def test_consolidated_texts_keep_the_values_of_all_documents(spark):
 
 
 def test_consolidate_documents_covers_the_table(spark, sf_dir):
-    from tests.llm.test_pairs import brute_links
+    from tests.models import brute_links
     from tracewell.plans.catalog import QUERIES
 
     docs = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
@@ -384,7 +384,7 @@ def test_consolidate_documents_covers_the_table(spark, sf_dir):
 
 
 def test_near_duplicates_have_a_row_for_every_document(spark):
-    from tests.llm.test_pairs import brute_links, near_copies
+    from tests.models import brute_links, near_copies
 
     crowd = [f"c{i}" for i in range(120)]
     data = sorted({k: (k, t) for k, t in near_copies() if k is not None}.values())
