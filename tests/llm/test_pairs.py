@@ -1,61 +1,19 @@
 """Jaccard join, near-duplicate vectors, top-k and WARC on small tables with odd rows."""
 
 import hashlib
-import random
+import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.models import brute_links, near_copies, shingles
 from tracewell.llm import ngram_join, vectors, warc
 
 # ---------------------------------------------------------------- Jaccard join
 
 
-def shingles(text, n=5):
-    w = (text or "").lower().translate({ord(c): " " for c in "\t\n\x0b\x0c\r"}).split(" ")
-    w = [x for x in w if x]
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
-
-
-def brute_links(rows, t=0.8):
-    sets = [shingles(x) for _, x in rows]
-    links = [set() for _ in rows]
-    for i in range(len(rows)):
-        for j in range(len(rows)):
-            if i != j and sets[i] and sets[j] and rows[i][0] is not None and rows[j][0] is not None:
-                if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-9:
-                    links[i].add(j)
-    group = list(range(len(rows)))
-    for _ in rows:
-        for i, own in enumerate(links):
-            for j in own:
-                group[i] = min(group[i], group[j])
-    return links, group
-
-
-def near_copies():
-    rng = random.Random(8)
-    vocab = [f"w{i}" for i in range(400)]
-    rows, key = [], 0
-    for _ in range(25):
-        base = [rng.choice(vocab) for _ in range(rng.randint(30, 200))]
-        for _ in range(rng.randint(1, 8)):
-            copy = list(base)
-            for _ in range(rng.randint(0, 3)):
-                copy[rng.randrange(len(copy))] = rng.choice(vocab)
-            rows.append((key, " ".join(copy)))
-            key += 1
-    base = [rng.choice(vocab) for _ in range(120)]
-    for i in range(300):  # one crowd of near copies, too large for a node
-        copy = list(base)
-        copy[i % 120] = f"z{i}"
-        rows.append((key, " ".join(copy)))
-        key += 1
-    odd = [(900, None), (901, ""), (902, " \n"), (903, "Two WORDS"), (904, "two\twords"), (905, "two words"), (None, "two words"), (906, "long " * 20_000), (907, "é ß " * 9)]
-    return rows + odd
-
-
 @pytest.mark.parametrize("tile_docs", [64, 512])
 def test_jaccard_join_against_brute_force(spark, tile_docs):
     rows = near_copies()
@@ -77,6 +35,49 @@ def test_jaccard_join_repeated_rows_and_empty(spark):
     assert ngram_join.jaccard_join(df.limit(0)).count() == 0
 
 
+def one_id_on_many_texts():
+    """Rows (id, text) of which several share an id; X ~ X2 and B ~ B2 only."""
+    x, b = [f"x{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    text = lambda w, change: " ".join([*w[:-1], change])
+    return [
+        (3, text(x, "p")), (5, text(x, "q")), (5, text(b, "p")), (7, text(b, "q")), (7, "something else that is like nothing here at all"),
+        (5, "again quite another text under the same number"), (5, text(b, "p")), (5, text(x, "q").upper()),
+    ]
+
+
+def test_rows_that_share_an_id_keep_their_own_links(spark):
+    rows = one_id_on_many_texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links, group = brute_links(rows)
+    smallest = lambda i: min(rows[j][0] for j in range(len(rows)) if group[j] == group[i])
+    want = sorted((k, smallest(i), len(links[i])) for i, (k, _) in enumerate(rows))
+    got = ngram_join.jaccard_join(df)
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got.collect()) == want
+    kept = Counter((r["doc_id"], r["text"]) for r in ngram_join.drop_near_copies(df).collect())
+    # one row of each class: no distinct text goes, and of equal rows one stays
+    assert kept == Counter([rows[0], rows[2], rows[4], rows[5]])
+
+
+def test_recall_against_brute_force(spark):
+    """Links of the whole table of sf0.01 that a comparison of all pairs finds."""
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    by_shingle, sets = {}, {k: shingles(t) for k, t in rows}
+    for k, s in sets.items():
+        for x in s:
+            by_shingle.setdefault(x, []).append(k)
+    common = Counter()
+    for ids in by_shingle.values():
+        common.update((a, b) for i, a in enumerate(ids) for b in ids[i + 1 :])
+    want = Counter()
+    for (a, b), c in common.items():
+        if c >= 0.8 * (len(sets[a]) + len(sets[b]) - c) - 1e-9:
+            want.update([a, b])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.jaccard_join(df).collect()}
+    found = sum(got.values()) / sum(want.values())
+    assert found >= 0.999 and all(got[k] <= want[k] for k in got), found
+
+
 def test_shingle_hashes_do_not_depend_on_neighbours():
     texts = ["a b c d e f", "", None, "x", "a b c d e f", "é è " * 40]
     together = list(ngram_join.shingle_sets(texts))
@@ -121,6 +122,26 @@ def test_links_against_brute_force(spark, block):
     assert vectors.link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_that_share_an_id_keep_their_own_links(spark):
+    rows = [(3, [1.0, 0.0]), (5, [1.0, 0.1]), (5, [-1.0, 0.0]), (5, [0.0, 1.0]), (9, [0.1, 1.0]), (5, [1.0, 0.1]), (1, [0.0, -1e-200]), (8, [0.0, -3e-200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.link_vectors(df).collect())
+    assert got == sorted([(3, 2, 3, True), (5, 2, 3, False), (5, 2, 3, False), (5, 0, 5, True), (5, 1, 5, True), (9, 1, 5, False), (1, 1, 1, True), (8, 1, 1, False)])
+
+
+def test_links_at_the_threshold(spark):
+    """Many pairs within the error bounds of the threshold: those are computed in full precision."""
+    rng = np.random.default_rng(4)
+    angle = np.concatenate([np.zeros(40), np.full(60, np.arccos(0.9))]) + rng.normal(scale=1e-4, size=100)
+    x = np.stack([np.cos(angle), np.sin(angle), *np.zeros((6, 100))], axis=1)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    n = np.linalg.norm(x, axis=1)
+    like = x @ x.T / np.outer(n, n) >= 0.9
+    for block in (16, 8192):
+        got = {r["vec_id"]: r["n_links"] for r in vectors.link_vectors(df, block=block).collect()}
+        assert [got[i] for i in range(100)] == (like.sum(1) - 1).tolist()
+
+
 def test_links_without_pruning(spark):
     x = cloud(200)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
@@ -157,6 +178,16 @@ def test_top_k_of_huge_values(spark):
     df = spark.createDataFrame([(0, [1e12, 1.0]), (1, [1e12, 2.0]), (2, [-1e12, 3.0])], "vec_id long, embedding array<double>")
     got = vectors.top_k_products(df, df.filter("vec_id = 0")).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 2]
+    # sums beyond doubles but within a long are exact; beyond a long they tie at its end
+    rows = [(i, [float(2**45 + i), float(2**20)]) for i in range(40)] + [(50, [1e300, 0.0]), (60, [1e301, 0.0]), (70, []), (80, []), (90, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    top, want = (1 << 63) - 1, []
+    for q in (7, 50, 80):
+        best = sorted((-max(-top, min(top, sum(a * b for a, b in zip(whole[q], w, strict=True)))), i) for i, w in whole.items() if i != q and len(w) == len(whole[q]))
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best[:5])]
+    got = vectors.top_k_products(df, df.filter("vec_id IN (7, 50, 80)"), leaf=4)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == sorted(want)
 
 
 # ---------------------------------------------------------------- WARC
@@ -187,7 +218,7 @@ def test_warc_round_trip(spark):
     assert all(bytes(r["payload"]) == (b"" if r["record_type"] == "revisit" else next((h or "").encode() for p, _, h in rows if p == r["page_id"])) for r in got)
     wanted = spark.createDataFrame([(warc.capture_key(rows[0][1], 4),), (warc.capture_key(rows[0][1], 99),), (warc.capture_key(rows[0][1], 8),)], "key string")
     found = lambda **how: sorted((r["key"], r["path"], r["at"]) for r in warc.look_up(index, wanted, **how).collect())
-    assert len(found()) == 3 and found() == found(max_directory=0)
+    assert len(found()) == 3 and found() == found(max_directory=1, fan=2)
 
 
 def test_index_blocks_are_sorted(spark):
@@ -199,6 +230,19 @@ def test_index_blocks_are_sorted(spark):
     blocks = index.orderBy("first_key").collect()
     assert sum(b["n"] for b in blocks) == 500 and all(a["last_key"] < b["first_key"] for a, b in zip(blocks, blocks[1:], strict=False))
     assert warc.look_up(index, df.select("key", F.lit(1).alias("x"))).count() == 500
+    # several levels of directory, and keys cut so short that ranges overlap
+    deep = warc.look_up(index, df.select("key").union(df.select(F.concat("key", F.lit("0")))), max_directory=3, fan=3, shown=12)
+    assert sorted((r["key"], r["at"]) for r in deep.collect()) == sorted((r[0], r[3]) for r in rows)
+
+
+def test_warc_of_long_payloads_and_urls(spark):
+    rows = [(1, "http://a.example/" + "u" * 100_000, "ü" * 5_000_000), (2, "http://a.example/" + "u" * 100_000, "ü" * 5_000_000), (3, "http://a.example/" + "u" * 99_999 + "v", None)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, payload string, size int")
+    locations, index = warc.archive_pages(df)
+    wanted = locations.select("key", F.lit(0).alias("block"))
+    got = sorted(tuple(r)[:5] for r in warc.read_records(warc.look_up(index, wanted, max_directory=1, fan=2, shown=20)).drop("payload").collect())
+    long = hashlib.sha256(rows[0][2].encode()).hexdigest()
+    assert got == [(1, 10_000_000, long, "response", None), (2, 10_000_000, long, "revisit", 1), (3, 0, hashlib.sha256(b"").hexdigest(), "response", None)]
 
 
 def test_warc_of_nothing(spark):

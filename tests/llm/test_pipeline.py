@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from tests.llm.test_pairs import brute_links
+from tests.models import brute_links
 
 import corpus_pipeline as P
 from tracewell.llm import secrets, toxicity
@@ -30,7 +30,7 @@ def test_stages_against_direct_versions(spark, sf_dir):
     _, group = brute_links(rows)
     assert sorted(unique) == sorted(r for i, r in enumerate(clean) if group[i] == i or rows[group[i]][0] == rows[i][0])
 
-    words = {w: i for i, w in enumerate(secrets.COMMON_WORDS, 1)}
+    words = secrets.Words(secrets.default_dictionary())
     changed = 0
     for a, b in zip(sorted(unique), sorted(masked, key=lambda r: r["doc_id"]), strict=True):
         spans = secrets.find_spans(a["text"] or "", 9.0, 8, words)
@@ -78,6 +78,24 @@ def test_stages_against_direct_versions(spark, sf_dir):
         assert at <= 2048
 
 
+def test_no_distinct_text_is_lost_under_a_repeated_id(spark, sf_dir):
+    from tests.llm.test_pairs import one_id_on_many_texts
+
+    rows = [(k, t, "en", "a", len(t)) for k, t in one_id_on_many_texts()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = P.drop_near_duplicates(spark, docs, sf_dir)
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(rows[i] for i in (0, 2, 4, 5))
+    # mixing: each row as often as its own plan says, whatever its id
+    many = [(7 if i % 2 else None, " ".join(["w"] * (1 + i % 4)), "en", "ab"[i % 3 == 0], i) for i in range(400)]
+    docs = spark.createDataFrame(many, docs.schema)
+    mixed = Counter(tuple(r) for r in P.mix(spark, docs, sf_dir).collect())
+    words = {s: sum(len(r[1].split()) * n for r, n in mixed.items() if r[3] == s) for s in "ab"}
+    total = sum(len(r[1].split()) for r in many)
+    assert set(mixed) <= set(many) and max(mixed.values()) <= 3
+    small = min(total * 5 / 7, 3 * sum(len(r[1].split()) for r in many if r[3] == "a"))
+    assert abs(words["a"] - small) <= 4 and abs(words["b"] - (total - small)) <= 4
+
+
 def test_stages_with_odd_rows(spark, sf_dir):
     kind = "doc_id long, text string, lang string, source string, n_chars long, size string, class_id int"
     odd = [

@@ -9,7 +9,6 @@ of the longer one.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,29 +16,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.batches import bound_batches
+from tracewell.operators.batches import bound_batches
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
 
 # The control strings of the default template.
 HEAD, TAIL = "### ", "</turn>"
-SPECIAL = re.compile(r"\\|#|</turn>")
-ROLE_SPECIAL = re.compile(r"\\|#|</turn>|:")
-TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.DOTALL)
+SPECIAL = ("#", TAIL)
+ROLE_SPECIAL = (*SPECIAL, ":")
 
 
-def escape(text: str, special: re.Pattern = SPECIAL) -> str:
-    r"""A backslash before each control string; ``unescape`` undoes it.
+def escape(text: str, special: tuple[str, ...] = SPECIAL) -> str:
+    r"""A backslash before each backslash and control string; ``unescape`` undoes it. Memory stays in proportion to the text.
 
     >>> escape("### a") == "\\#\\#\\# a"
     True
     """
-    return special.sub(lambda m: "\\" + m[0], text)
+    for s in ("\\", *special):
+        text = text.replace(s, "\\" + s)
+    return text
 
 
-def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+def unescape(text: str, special: tuple[str, ...] = SPECIAL) -> str:
+    """Each control string of an escaped text has its own backslash; what is left are pairs of backslashes."""
+    for s in (*special, "\\"):
+        text = text.replace("\\" + s, s)
+    return text
+
+
+def find_bare(text: str, what: str, at: int) -> int:
+    """Where ``what`` first stands from ``at`` on without its own backslash, or -1: after an even number of them."""
+    while (found := text.find(what, at)) >= 0:
+        width = 64  # a run of backslashes is measured in slices that grow, never character by character
+        while (run := text[max(0, found - width) : found]) and not run.rstrip("\\") and width < found:
+            width *= 8
+        if (len(run) - len(run.rstrip("\\"))) % 2 == 0:
+            return found
+        at = found + 1
+    return -1
 
 
 def marked_turns(turns: list[Turn]) -> str:
@@ -65,10 +80,18 @@ def render_spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple
     return before, spans, rewritten
 
 
+def turn_at(text: str, at: int) -> tuple[int, int, int] | None:
+    """(start and end of the escaped text, end of the turn) of the default template's turn at ``at``; None if there is none."""
+    if not text.startswith(HEAD, at) or (colon := find_bare(text, ": ", at + len(HEAD))) < 0:
+        return None
+    end = find_bare(text, TAIL, colon + 2)
+    return (colon + 2, end, end + len(TAIL) + 1) if end >= 0 and text.startswith("\n", end + len(TAIL)) else None
+
+
 def text_span(rendered: str) -> tuple[int, int]:
-    """Where the escaped text lies in one rendered turn of the default template."""
-    m = TURN.fullmatch(rendered)
-    return m.span(2) if m else (0, len(rendered))
+    """Where the escaped text lies in one rendered turn of the default template; all of it if this is no such turn."""
+    found = turn_at(rendered, 0)
+    return found[:2] if found and found[2] == len(rendered) else (0, len(rendered))
 
 
 FORMATTED = T.StructType([
@@ -110,13 +133,14 @@ def format_chats(
     have a fixed order and all count as turns. A null text or role is empty; rows without a
     conversation id form one conversation with a null id. The mask covers the texts of
     ``loss_roles`` as ``text_at`` finds them in a turn's span. Rows move once, by conversation, and are sorted
-    there; a task holds one conversation at a time, whose prefixes cost the square of its turns.
+    there; a task holds one conversation at a time, whose prefixes cost the square of its turns. Memory is a few times the
+    longest conversation, whatever it escapes.
     """
     masked = frozenset(loss_roles)
     bound_batches(rows.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = []
+        out, chars = [], 0
         for conv_id, turns in _conversations(parts):
             whole, spans, rewritten = render_spans(turns, template)
             found = []
@@ -124,9 +148,10 @@ def format_chats(
                 a, b = text_at(whole[start:end]) if who in masked else (0, 0)
                 found.append({"role": who, "start": start, "end": end, "loss_start": start + a, "loss_end": start + b})
             out.append((conv_id, len(turns), whole, found, rewritten))
-            if len(out) >= 500:
+            chars += len(whole)
+            if len(out) >= 500 or chars > 4_000_000:  # one batch never holds many long conversations
                 yield _frame(out)
-                out = []
+                out, chars = [], 0
         yield _frame(out)
 
     def _frame(out: list) -> pd.DataFrame:
@@ -141,17 +166,15 @@ def format_chats(
     return ordered.mapInPandas(run, FORMATTED)
 
 
-def read_turns(formatted: str) -> list[Turn]:
-    """The turns of a text that ``marked_turns`` made; anything else is an error."""
-    turns, at = [], 0
-    for m in TURN.finditer(formatted):
-        if m.start() != at:
-            break
-        turns.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
-    if at != len(formatted):
-        raise ValueError(f"no turn at character {at}")
-    return turns
+def read_turns(formatted: str) -> Iterator[Turn]:
+    """The turns of a text that ``marked_turns`` made, one after the other; anything else is an error. Linear in the text, escapes included."""
+    at = 0
+    while at < len(formatted):
+        if (found := turn_at(formatted, at)) is None:
+            raise ValueError(f"no turn at character {at}")
+        start, end, after = found
+        yield unescape(formatted[at + len(HEAD) : start - 2], ROLE_SPECIAL), unescape(formatted[start:end])
+        at = after
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean"
@@ -166,15 +189,15 @@ def chat_digests(formatted: DataFrame) -> DataFrame:
             for conv_id, whole, spans, rewritten in zip(
                 pdf["conv_id"], pdf["formatted"], pdf["turn_spans"], pdf["rewrites_history"], strict=True
             ):
-                turns = read_turns(whole)
-                every, loss, chars = hashlib.sha256(), hashlib.sha256(), 0
-                for role, text in turns:
+                every, loss, chars, n = hashlib.sha256(), hashlib.sha256(), 0, 0
+                for role, text in read_turns(whole):
+                    n += 1
                     every.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
                 for s in spans:
                     text = unescape(whole[s["loss_start"] : s["loss_end"]])
                     loss.update(text.encode("utf-8", "surrogatepass"))
                     chars += len(text)
-                out.append((conv_id, len(turns), every.hexdigest(), chars, loss.hexdigest(), len(whole), rewritten))
+                out.append((conv_id, n, every.hexdigest(), chars, loss.hexdigest(), len(whole), rewritten))
             pdf = pd.DataFrame(out, columns=[c.split()[0] for c in DIGESTS.split(", ")])
             pdf["conv_id"] = pdf["conv_id"].astype("Int64")
             yield pdf

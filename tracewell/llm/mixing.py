@@ -62,27 +62,25 @@ def mix_sources(
     max_epochs: float = 3.0,
     seed: str = "mix-1",
     max_broadcast_sources: int = 100_000,
+    keep: bool = False,
 ) -> DataFrame:
-    """(key, source, size, source_size, target, repeats, part) for every row of ``docs``.
+    """(key, source, size, source_size, target, repeats, part) for every row of ``docs``; with ``keep`` all columns of ``docs`` and these
+    five last, in place of any of the same name.
 
     The size is the number of words. ``repeats`` whole repetitions of the document are in the mix
     and ``part`` words of one more, which only the document at the cut of its source has; so each
     source takes its target to the word (rounded down) and no document more than
-    ``max_epochs`` times. The seeded order is md5 of seed and key, then the key and the size;
+    ``max_epochs`` times. The seeded order is md5 of seed and key, then the size;
     equal rows share an order and are taken in turn. A null or empty text has size 0 and is never
     taken; null sources are one source, a null key is hashed as "". The documents are read
-    once for their sizes; a hot source is spread over hash ranges before any ordering. Sources are
-    few, one row each, and are put in order in one task.
+    once for their sizes, and with ``keep`` once more for their columns; a hot source is spread over hash ranges before any ordering,
+    and of the range at its cut only counts by (order, size, part of the table) are put in order, so that neither null keys nor
+    repeated ones gather their rows. Sources are few, one row each, and are put in order in one task.
     """
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    sizes = docs.select(
-        F.col(key).alias("_key"),
-        F.col(source).alias("_source"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        order.alias("_order"),
-    )
-    sizes = write_shared(sizes, "mix-sizes")
     hash_range = F.substring("_order", 1, RANGE_DIGITS).alias("_range")
+    own = {"_key": F.col(key), "_source": F.col(source), "size": F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"), "_order": order}
+    sizes = write_shared(docs.select(*[c.alias(n) for n, c in own.items()]), "mix-sizes")
     ranges = write_shared(sizes.groupBy("_source", hash_range).agg(F.sum("size").alias("words")), "mix-ranges")
     sources = ranges.groupBy("_source").agg(F.sum("words").alias("source_size"))
     sources = cycled_weights(sources, "_source", cycle).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
@@ -104,31 +102,33 @@ def mix_sources(
         .select("_source", F.col("_range").alias("cut_range"), "before")
     )
     plan = sources.withColumnRenamed("_source", "_s").join(cut, same("_s", "_source"), "left").drop("_source")
-    plan = write_shared(plan, "mix-plan")
-    rows = sizes.withColumn("_range", hash_range).join(broadcast_if_small(plan, max_broadcast_sources), same("_source", "_s"))
-    position = Window.partitionBy("_source").orderBy("_order", F.col("_key"), "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = F.col("_range") == F.col("cut_range")
-    inside = (
-        rows.filter(at_cut)
-        .withColumn("_left", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(position), F.lit(0)))
-        .withColumn("more", F.when((F.col("_left") >= F.col("size")) & (F.col("size") > 0), 1).otherwise(0))
-        .withColumn("part", F.when(F.col("_left") < F.col("size"), F.greatest("_left", F.lit(0))).otherwise(F.lit(0)))
-    )
-    outside = rows.filter(F.coalesce(~at_cut, F.lit(True))).select(
-        "*",
-        F.lit(None).cast("long").alias("_left"),
-        F.when((F.col("_range") < F.col("cut_range")) & (F.col("size") > 0), 1).otherwise(0).alias("more"),
-        F.lit(0).cast("long").alias("part"),
-    )
-    return outside.unionByName(inside).select(
-        F.col("_key").alias(key),
-        F.col("_source").alias(source),
-        "size",
-        "source_size",
-        "target",
-        (F.col("whole") + F.col("more")).alias("repeats"),
-        F.col("part").cast("long").alias("part"),
-    )
+    plan = broadcast_if_small(write_shared(plan, "mix-plan"), max_broadcast_sources)
+    made = ["source_size", "target", "repeats", "part"]
+    if keep:
+        columns = [c for c in docs.columns if c not in ("size", *made)]
+        rows, shown = docs.withColumns({n: c for n, c in own.items() if n != "size"}).withColumn("size", own["size"]), [*columns, "size"]
+    else:
+        rows, shown = sizes, [F.col("_key").alias(key), F.col("_source").alias(source), "size"]
+    rows = rows.drop(*made).withColumn("_range", hash_range).join(plan, same("_source", "_s"))
+    at_cut = (F.col("_range") == F.col("cut_range")) & (F.col("size") > 0)
+    outside = rows.filter(F.coalesce(~at_cut, F.lit(True)))
+    outside = outside.withColumn("more", F.when((F.col("_range") < F.col("cut_range")) & (F.col("size") > 0), 1).otherwise(0)).withColumn("part", F.lit(0).cast("long"))
+    # one range of 16 ** RANGE_DIGITS of a source: which of its groups of equal rows holds the cut, then which row
+    inside = rows.filter(at_cut).withColumn("_row", F.monotonically_increasing_id())
+    inside = write_shared(inside.withColumn("_file", F.shiftright("_row", 33)), "mix-cut")
+    group = ["_source", "_order", "size", "_file"]
+    groups = inside.groupBy(*group).agg(F.count("*").alias("_n"))
+    position = Window.partitionBy("_source").orderBy("_order", "size", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_before", F.coalesce(F.sum(F.col("_n") * F.col("size")).over(position), F.lit(0))).withColumnsRenamed({c: f"{c}_" for c in group})
+    inside = inside.join(groups, [same(c, f"{c}_") for c in group]).withColumn("_left", F.col("rest") - F.col("before") - F.col("_before"))
+    # the rows of a group are equal to the mix: the first _left / size of them are taken whole, the next in part
+    number = F.row_number().over(Window.partitionBy(*group).orderBy("_row")) - 1
+    is_cut = (F.col("_left") > 0) & (F.col("_left") < F.col("_n") * F.col("size"))
+    sure = inside.filter(~is_cut).withColumn("more", (F.col("_left") > 0).cast("int")).withColumn("part", F.lit(0).cast("long"))
+    turn = inside.filter(is_cut).withColumn("_left", F.col("_left") - number * F.col("size"))
+    turn = turn.withColumn("more", (F.col("_left") >= F.col("size")).cast("int")).withColumn("part", F.when(F.col("more") == 0, F.greatest("_left", F.lit(0))).otherwise(0))
+    out = [*shown, "source_size", "target", (F.col("whole") + F.col("more")).alias("repeats"), F.col("part").cast("long").alias("part")]
+    return outside.select(*out).unionByName(sure.select(*out)).unionByName(turn.select(*out))
 
 
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:

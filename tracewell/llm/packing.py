@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.llm.batches import bound_batches, release_memory
+from tracewell.operators.batches import bound_batches, release_memory
 from tracewell.sources.shared import write_shared
 
+
 def fullest(counts: np.ndarray, space: int) -> dict[int, int]:
     """Copies of each length whose sum is the largest that ``space`` allows; longer lengths first.
 
@@ -202,14 +203,16 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[
 
     ``pieces`` is read twice: pass a table already written. Ranks among equal lengths come from
     hash buckets: a count of each (length, bucket), prefix sums over them and a row number inside
-    one, so a length that a third of all pieces share is spread over all buckets. Only the
+    one, so a length that a third of all pieces share is spread over all buckets. A column ``_salt`` of the table, if it has
+    one, spreads rows that share their key as well, and is left out of the result. Only the
     histogram, of at most ``capacity`` rows, and the plan made from it pass through the driver.
     Equal rows get different places in any order; an empty table stays empty. Other columns pass
     through; ones named sequence_id or offset are replaced.
     """
     rows = pieces.count()
     buckets = 1 << max(6, min(16, (rows // 5000).bit_length()))
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    salt = [c for c in pieces.columns if c == "_salt"]
+    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*order, *salt), F.lit(buckets)))
     sizes = keyed.groupBy(F.col(length).alias("_l"), F.col("_bucket").alias("_b")).count()
     sizes = write_shared(sizes, "pack-counts")
     histogram = {r["_l"]: r["n"] for r in sizes.groupBy("_l").agg(F.sum("count").alias("n")).collect()}
@@ -235,7 +238,7 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", order: tuple[
             offsets[mine] = offset + (rank[mine] - first) % copies * value
         return pd.DataFrame({"sequence_id": bins, "offset": offsets})
 
-    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset", "_salt")]
     return ranked.withColumn("_place", place(F.col(length), F.col("_rank"))).select(*kept, "_place.sequence_id", "_place.offset")
 
 
@@ -255,6 +258,7 @@ def pack_documents(
     packed. With ``with_ids`` the ids travel along, which is what a trainer reads.
     """
     made = tokenize_pieces(docs, capacity, tokenizer or default_tokenizer(), key=key, text=text, with_ids=with_ids, keep=keep, warm=warm)
+    made = made.withColumn("_salt", F.monotonically_increasing_id())  # fixed by the write
     return pack(write_shared(made, "pieces"), capacity, order=(key, "piece"))
 
 

@@ -7,15 +7,19 @@ attacker needs. A value of high cost is a secret even where the fixed patterns m
 
 from __future__ import annotations
 
+import bisect
+import json
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.batches import bound_batches
+from tracewell.operators.batches import bound_batches
 
 # Kinds in the order in which spans at one start are listed.
 KINDS = ("assign", "access", "hex", "guess")
@@ -32,7 +36,7 @@ CONTEXT = re.compile(
 )
 VALUE = re.compile(r"""[^\s"'`<>,;]+""")
 
-# Common passwords and placeholder words, most frequent first.
+# Common passwords and placeholder words, most frequent first; they come before the words of the dictionary.
 COMMON_WORDS = tuple(
     "password secret admin welcome letmein monkey dragon master login qwerty abc love hello test demo example sample "
     "changeme change default guest root user pass key token access private public server database mysql oracle "
@@ -45,7 +49,6 @@ COMMON_WORDS = tuple(
 )
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("@4301!5$7", "aaeoiisst")
-LONGEST_TOKEN = 40
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:(?:19|20)\d\d)")
 
 
@@ -63,17 +66,74 @@ def _neighbours() -> set[tuple[str, str]]:
 NEAR_KEYS = _neighbours()
 
 
+@lru_cache(maxsize=4096)
+def _class_cost(ch: str) -> float:
+    return math.log10(_class_size(ch))
+
+
 def _class_size(ch: str) -> int:
     return 10 if ch.isdigit() else 26 if ch.isalpha() and ch.isascii() else 33 if ch.isascii() else 1000
 
 
-def _tokens(value: str, words: dict[str, int]) -> Iterator[tuple[int, int, float]]:
+class Words(dict):
+    """Rank by word, the length of the longest, and how words begin."""
+
+    def __init__(self, words):
+        super().__init__((w, r) for r, w in reversed(list(enumerate(words, 1))))
+        self.longest, self.heads = max(map(len, self), default=0), {w[:3] for w in self}
+
+
+def default_dictionary(path: str | None = None) -> tuple[str, ...]:
+    """The common words above, then the whole words of a public tokenizer's vocabulary, in its order: the most frequent merges first."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    whole = [w[:-4] for w in sorted(vocab, key=vocab.get) if w.endswith("</w>") and len(w) >= 7 and w[:-4].isascii() and w[:-4].isalpha()]
+    return (*COMMON_WORDS, *whole)
+
+
+def _repeats(value: str, least: int = 64) -> Iterator[tuple[int, int, int]]:
+    """(start, end, width) of runs in which a unit of ``width`` characters stands twice or more; of any width.
+
+    Widths up to ``least`` are tried one by one. A longer unit shares a stretch of ``least`` characters with its copy, and only
+    distances at which such a stretch comes again are tried. Runs inside one of a smaller width are left out.
+    """
+    n = len(value)
+    widths = list(range(1, min(least, n // 2) + 1))
+    if n > 2 * least:
+        last: dict[str, int] = {}
+        far: set[int] = set()
+        for i in range(n - least + 1):
+            part = value[i : i + least]
+            if part in last and least < i - last[part] <= n // 2:
+                far.add(i - last[part])
+            last[part] = i
+        widths += sorted(far)
+    covered: list[tuple[int, int]] = []
+    for width in widths:
+        same = bytes(map(eq, value[width:], value))
+        a = same.find(b"\x01" * width)
+        while a >= 0:
+            b = same.find(b"\x00", a)
+            b = (n - width if b < 0 else b) + width
+            if b - a >= 3 and not any(x <= a and b <= y for x, y in covered):
+                covered.append((a, b))
+                yield a, a + (b - a) // width * width, width
+            a = same.find(b"\x01" * width, b - width)
+
+
+def _tokens(value: str, words: Words) -> Iterator[tuple[int, int, float]]:
     """(start, end, log10 of guesses) of each pattern that covers a part of the value."""
     low = value.lower()
     plain = low.translate(LEET)
     n = len(value)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_TOKEN) + 1):
+    for i in range(n - 2):
+        if low[i : i + 3] not in words.heads and plain[i : i + 3] not in words.heads:
+            continue
+        for j in range(i + 3, min(n, i + words.longest) + 1):
             if (rank := words.get(low[i:j]) or words.get(plain[i:j])) is not None:
                 upper = sum(c.isupper() for c in value[i:j])
                 twisted = sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))
@@ -94,21 +154,11 @@ def _tokens(value: str, words: dict[str, int]) -> Iterator[tuple[int, int, float
             if j - i >= 2:
                 yield i, j + 1, start_cost + math.log10(j - i + 1)
             i = max(j, i + 1)
-    for width in (1, 2, 3, 4):
-        i = 0
-        while i + 2 * width <= n:
-            k = 1
-            while value[i + k * width : i + (k + 1) * width] == value[i : i + width]:
-                k += 1
-            if k >= 2 and k * width >= 3:
-                unit = sum(math.log10(_class_size(c)) for c in value[i : i + width])
-                yield i, i + k * width, unit + math.log10(k)
-                i += k * width - width + 1
-            else:
-                i += 1
+    for i, j, width in _repeats(value):
+        yield i, j, guess_cost(value[i : i + width], words) + math.log10((j - i) // width)
 
 
-def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
+def guess_cost(value: str, words: Words | None = None) -> float:
     """log10 of the guesses for the cheapest split of ``value``; each further part doubles the work.
 
     >>> guess_cost("") == 0 and guess_cost("password") < 1 and guess_cost("password2019") < 5
@@ -116,18 +166,18 @@ def guess_cost(value: str, words: dict[str, int] | None = None) -> float:
     >>> guess_cost("qwertyuiop") < 4 < guess_cost("x7Kq9-Lp2Vw")
     True
     """
-    words = words if words is not None else {w: r for r, w in enumerate(COMMON_WORDS, 1)}
+    words = words if words is not None else Words(COMMON_WORDS)
     ending: dict[int, list[tuple[int, float]]] = {}
     for i, j, cost in _tokens(value, words):
         ending.setdefault(j, []).append((i, cost + math.log10(2)))
     best = [0.0]
     for j, ch in enumerate(value, 1):
-        best.append(min([best[j - 1] + math.log10(_class_size(ch)), *(best[i] + cost for i, cost in ending.get(j, ()))]))
+        best.append(min([best[j - 1] + _class_cost(ch), *(best[i] + cost for i, cost in ending.get(j, ()))]))
     return best[-1]
 
 
-def find_spans(text: str, min_log10_guesses: float, min_length: int, words: dict[str, int]) -> list[dict]:
-    """Spans of one text in code points, ordered by start and kind."""
+def find_spans(text: str, min_log10_guesses: float, min_length: int, words: Words) -> list[dict]:
+    """Spans of one text in code points, ordered by start and kind. Work grows with the text, however many spans it has."""
     base = []
     if ":" in text or "=" in text:
         base += [
@@ -138,13 +188,30 @@ def find_spans(text: str, min_log10_guesses: float, min_length: int, words: dict
     base += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
     more = []
     if ":" in text or "=" in text:
+        # what the fixed spans cover, as intervals apart from each other and in order
+        starts, ends = [], []
+        for _, s, e, _ in sorted(base, key=lambda x: x[1]):
+            if ends and s <= ends[-1]:
+                ends[-1] = max(ends[-1], e)
+            else:
+                starts.append(s)
+                ends.append(e)
+        # values come in order; one that starts inside a value already weighed is a part of it and is not weighed again
+        reach = run_end = end = 0
         for m in CONTEXT.finditer(text):
-            value = VALUE.match(text, m.end())
-            value = value[0].rstrip(".)]}!?:") if value else ""
-            start, end = m.end(), m.end() + len(value)
-            if len(value) >= min_length and not any(s < end and start < e for _, s, e, _ in base + more):
-                if (cost := guess_cost(value, words)) >= min_log10_guesses:
-                    more.append(("guess", start, end, cost))
+            if (start := m.end()) < reach:
+                continue
+            if start >= run_end:
+                value = VALUE.match(text, start)
+                run_end = end = value.end() if value else start
+                while end > start and text[end - 1] in ".)]}!?:":
+                    end -= 1
+            k = bisect.bisect_right(ends, start)  # the first interval that ends behind the start
+            if end - start < min_length or (k < len(starts) and starts[k] < end):
+                continue
+            reach = end
+            if (cost := guess_cost(text[start:end], words)) >= min_log10_guesses:
+                more.append(("guess", start, end, cost))
     found = sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
     return [{"kind": k, "start": s, "end": e, "log10_guesses": g} for k, s, e, g in found]
 
@@ -157,7 +224,7 @@ def scan_secrets(
     text: str = "text",
     min_log10_guesses: float = 9.0,
     min_length: int = 8,
-    words: tuple[str, ...] = COMMON_WORDS,
+    words: tuple[str, ...] | None = None,
     out: str = "secret_spans",
 ) -> DataFrame:
     """``docs`` with the spans of credentials in each whole text.
@@ -167,9 +234,10 @@ def scan_secrets(
     costs 10**``min_log10_guesses`` guesses or more and which overlap no fixed span. Starts
     and ends are code points, ends exclusive. A null or empty text has an empty list; other
     columns pass through, and a column named ``out`` is replaced. Rows are independent:
-    ties, repeated rows and empty tables need no rule. No shuffle.
+    ties, repeated rows and empty tables need no rule. No shuffle. ``words`` is a ranked dictionary, the commonest first, by
+    default ``default_dictionary()``; words of any length are matched, and repeats of units of any length.
     """
-    ranks = {w: r for r, w in enumerate(words, 1)}
+    ranks = Words(default_dictionary() if words is None else words)
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf(SPANS)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.batches import bound_batches
+from tracewell.operators.batches import bound_batches, release_memory
 
 WORD_BREAK = "\t\n\x0b\x0c\r"
 
@@ -115,7 +115,6 @@ def count_tokens(
     @F.pandas_udf("struct<n_words:bigint,n_tokens:bigint,max_word_tokens:bigint>")
     def counts(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automaton = _automaton(path)
-        known: dict[str, int] = {}
 
         class Known(dict):
             def __missing__(self, word: str) -> int:
@@ -133,6 +132,7 @@ def count_tokens(
                     if found:
                         rows[i] = len(found), sum(found), max(found)
             yield pd.DataFrame(rows, columns=["n_words", "n_tokens", "max_word_tokens"])
+        release_memory()
 
     return docs.withColumn(out, counts(F.col(text).cast("string")))
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.batches import bound_batches, release_memory
+from tracewell.operators.batches import bound_batches, release_memory
 
 SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
@@ -132,24 +132,39 @@ def fit(
 
 def training_sample(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text",
-    per_class: int = 2000, clean_per_toxic: int = 2, max_chars: int = 30_000,
+    per_class: int = 2000, clean_per_toxic: int = 2, max_chars: int = 18_000_000,
 ) -> DataFrame:
     """(text, y) of at most ``per_class`` documents labelled 1 and ``clean_per_toxic`` times as many labelled 0.
 
-    A seeded hash of the key picks them, so the sample is spread over all labelled rows. A
-    document of more than ``max_chars`` characters is not used for training, which bounds the
-    sample by (1 + clean_per_toxic) * per_class * max_chars. The chosen keys are so few that they are broadcast:
-    the documents are not shuffled.
+    A seeded hash of the key draws them, so the sample is spread over all labelled rows. Each class has its share of
+    ``max_chars`` characters in all: documents are taken whole, in the order drawn, while they fit what is left, and a
+    longer one is passed over for the next. If none of a class fits, its shortest is taken, so that a class with labelled text never
+    has an empty sample. Lengths are drawn first and only the texts chosen are read for; the chosen keys are so few that they are broadcast:
+    the documents are not shuffled. Empty and null texts hold no sentence, tell a noisy-or nothing and are not drawn.
     """
     known = (
         labels.filter(F.col(key).isNotNull() & F.col(label).isin(0, 1))
         .groupBy(F.col(key).alias("_k")).agg(F.max(label).alias("y"))
     )
     spread = F.xxhash64(F.lit(17), "_k")
-    picked = [known.filter(F.col("y") == y).orderBy(spread, "_k").limit(n) for y, n in ((0, clean_per_toxic * per_class), (1, per_class))]
-    chosen = picked[0].unionByName(picked[1])
-    short = docs.filter(F.length(text).between(1, max_chars)).select(F.col(key).alias("_k"), F.col(text).alias("text"))
-    return short.join(F.broadcast(chosen), "_k").orderBy(spread, "_k", "text").limit(2 * (1 + clean_per_toxic) * per_class).select("text", "y")
+    most = {0: clean_per_toxic * per_class, 1: per_class}
+    picked = [known.filter(F.col("y") == y).orderBy(spread, "_k").limit(n) for y, n in most.items()]
+    rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("text")).filter(F.length("text") > 0).withColumn("_h", F.xxhash64("text"))
+    drawn = rows.select("_k", "_h", F.length("text").alias("n")).join(F.broadcast(picked[0].unionByName(picked[1])), "_k")
+    # a key may stand on several rows: twice the keys bounds what comes to the driver
+    drawn = drawn.distinct().orderBy(spread, "_k", "_h").limit(2 * sum(most.values())).collect()
+    chosen = []
+    for y in most:
+        own, left = [r for r in drawn if r["y"] == y], max_chars * most[y] // sum(most.values())
+        fit_ = []
+        for r in own:
+            if r["n"] <= left:
+                fit_.append(r)
+                left -= r["n"]
+        chosen += fit_ or sorted(own, key=lambda r: r["n"])[:1]
+    kind = f"_k {docs.schema[key].dataType.simpleString()}, _h long, y int, _at int"
+    keys = docs.sparkSession.createDataFrame([(r["_k"], r["_h"], int(r["y"]), i) for i, r in enumerate(chosen)], kind)
+    return rows.join(F.broadcast(keys), ["_k", "_h"]).dropDuplicates(["_at"]).orderBy("_at").select("text", "y")
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, **how) -> SentenceModel:
@@ -160,7 +175,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, **how) -> SentenceModel:
 def score_toxicity(docs: DataFrame, model: SentenceModel, text: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with a struct: score, offending sentences, place and score of the worst sentence.
 
-    Whole texts are read; a null or empty text, or one without words, scores 0. If the labels
+    Whole texts are read, however long; a null or empty text, or one without words, scores 0. If the labels
     held one class only, every score is 0. Other columns pass through; a column named ``out``
     is replaced. Rows are independent, so repeats and empty tables need no rule. No shuffle.
     """

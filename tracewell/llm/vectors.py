@@ -11,7 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.batches import by_key
+from tracewell.operators.bounded import broadcast_if_small
 from tracewell.operators.components import connected_components
+from tracewell.operators.tiles import local_components
 from tracewell.sources.shared import write_shared
 
 
@@ -22,23 +25,14 @@ def usable(embedding: str) -> Column:
     return F.coalesce(x.isNotNull() & (F.size(x) > 0) & finite, F.lit(False))
 
 
-def local_components(n: int, u: np.ndarray, v: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
-    """Smallest index reachable from each of n nodes, on top of earlier labels."""
-    labels = np.arange(n) if labels is None else labels
-    while True:
-        low = np.minimum(labels[u], labels[v])
-        new = labels.copy()
-        np.minimum.at(new, labels[u], low)
-        np.minimum.at(new, labels[v], low)
-        new = new[new]
-        while not np.array_equal(new, new[new]):
-            new = new[new]
-        if np.array_equal(new, labels):
-            return labels
-        labels = new
+# ---------------------------------------------------------------- near duplicates
 
 
-# ---------------------------------------------------------------- near duplicates
+def unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows scaled by a power of two, unit rows): the scale keeps norms of very small and very large components in range."""
+    x = x.astype(np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+    return x, x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,35 +43,42 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, scale, lost
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, threshold: float, rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i in a, j in b) of raw vectors with cosine of at least ``threshold``; b None: i < j in a.
+Quantised = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def tile_products(a: Quantised, b: Quantised, threshold: float, same: bool, rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i in a, j in b, sure): pairs of quantised vectors that can reach ``threshold``, and whether they surely do; ``same``: i < j only.
 
-    With x = s q + e the product of two unit vectors differs from s s' q.q' by at most
-    |e| (1 + |e'|) + |e'|. Pairs that this bound cannot exclude are computed again in doubles.
+    With x = s q + e the product of two unit vectors differs from s s' q.q' by at most |e| (1 + |e'|) + |e'|.
     """
-    same, b = b is None, a if b is None else b
-    a, b = a.astype(np.float64), b.astype(np.float64)
-    na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    (qa, sa, ea), (qb, sb, eb) = quantise(a / na[:, None]), quantise(b / nb[:, None])
-    exact = np.float32 if 127 * 127 * a.shape[1] < 1 << 24 else np.float64  # whole sums are exact in it
+    (qa, sa, ea), (qb, sb, eb) = a, b
+    exact = np.float32 if 127 * 127 * qa.shape[1] < 1 << 24 else np.float64  # whole sums are exact in it
     qb = qb.astype(exact).T
     slack = 1e-5
-    for at in range(0, len(a), rows):
+    for at in range(0, len(qa), rows):
         near = (qa[at : at + rows].astype(exact) @ qb) * (sa[at : at + rows, None] * sb).astype(np.float32)
         bound = ea[at : at + rows, None].astype(np.float32) * (1 + eb).astype(np.float32) + eb.astype(np.float32)
         i, j = np.nonzero(near + bound >= threshold - slack)
+        sure = (near - bound)[i, j] >= threshold + slack
         i += at
         if same:
-            i, j = i[i < j], j[i < j]
-        for k in range(0, len(i), 1 << 16):
-            u, v = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            cosine = np.einsum("ij,ij->i", a[u], b[v]) / (na[u] * nb[v])
-            yield u[cosine >= threshold], v[cosine >= threshold]
+            i, j, sure = i[i < j], j[i < j], sure[i < j]
+        yield i, j, sure
+
+
+def _sums(cid: np.ndarray, weight: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """(cid, links, root) of the vectors that the pairs link: sums and a spanning forest."""
+    links, labels = np.zeros(len(cid)), None
+    for u, v in pairs:
+        links += np.bincount(u, weights=weight[v], minlength=len(cid)) + np.bincount(v, weights=weight[u], minlength=len(cid))
+        labels = local_components(len(cid), u, v, labels)
+    hit = np.flatnonzero(links)
+    return pd.DataFrame({"cid": cid[hit], "links": links[hit].astype(np.int64), "root": cid[labels[hit]] if len(hit) else cid[:0]})
 
 
 def link_vectors(
     vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9,
-    block: int = 8192, max_pivots: int = 1024, max_pruned_blocks: int = 20_000,
+    block: int = 8192, max_pivots: int = 1024, max_pruned_blocks: int = 20_000, max_broadcast: int = 100_000,
 ) -> DataFrame:
     """(key, n_links, component_id, kept): links are pairs of rows with cosine >= ``threshold`` in doubles.
 
@@ -85,62 +86,68 @@ def link_vectors(
     blocks around at most ``max_pivots`` sampled pivots; each pair of blocks is a tile, and a tile whose
     blocks are too far apart for any link (angle of centres less both radii) is left out, as long
     as the block table is small enough to hand out (``max_pruned_blocks``); with more blocks all
-    tiles are computed. A tile gives sums of links and a spanning forest, never its pairs.
+    tiles are computed. Only int8 values, scales and error norms travel to the tiles. Pairs that the error bounds decide
+    are counted there; for the others the tile names the vectors, which are then brought in full precision, once a tile, and
+    only pairs that the bounds leave open are computed in doubles. A tile gives sums of links and a spanning forest, never its pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components have no link and are
-    their own component. Vectors of different lengths have no link. Rows with one key count as copies
-    of one node in components; a null key gets null links' component and is kept. Repeated rows link
-    with each other. Other columns are left out.
+    their own component. Vectors of different lengths have no link. Rows are told apart by their vectors: those
+    that share a key have their own links each. A null key gets no links and a null component and is kept. Repeated rows link
+    with each other. Other columns are left out. An empty table gives an empty one.
     """
     single = vectors.schema[embedding].dataType.simpleString() == "array<float>"  # floats travel as they came
-    kind = "<f4" if single else "<f8"
     raw = vectors.select(F.col(key).cast("long").alias("_id"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("_v"))
     good = usable("_v") & F.exists("_v", lambda x: x != 0) & F.col("_id").isNotNull()
     distinct = (
         raw.filter(good).groupBy("_v").agg(F.min("_id").alias("rep"), F.count("*").alias("n"))
-        .withColumn("dim", F.size("_v"))
+        .withColumn("dim", F.size("_v")).withColumn("cid", F.monotonically_increasing_id())  # fixed by the write
     )
     distinct = write_shared(distinct, "vectors")
     total = distinct.count()
     pivots = max(1, min(max_pivots, -(-total // block)))
-    chosen = distinct.orderBy(F.xxhash64(F.lit(5), "rep"), "rep").limit(pivots).select("_v").collect()
+    chosen = distinct.orderBy(F.xxhash64(F.lit(5), "cid"), "cid").limit(pivots).select("_v").collect()
     by_dim: dict[int, list] = {}
     for r in chosen:
         by_dim.setdefault(len(r["_v"]), []).append(r["_v"])
-    centres = {d: np.array(v) / np.linalg.norm(v, axis=1, keepdims=True) for d, v in by_dim.items()}
+    centres = {d: unit_rows(np.array(v))[1] for d, v in by_dim.items()}
 
-    @F.pandas_udf("int")
-    def nearest(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("pivot int, q binary, s double, e double")
+    def small(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        """The nearest pivot and the quantised form of each vector."""
         for vs in parts:
             dims = vs.map(len).to_numpy()
-            out = np.zeros(len(vs), dtype=np.int32)
+            pivot, q = np.zeros(len(vs), dtype=np.int32), np.empty(len(vs), dtype=object)
+            s, e = np.zeros(len(vs)), np.zeros(len(vs))
             for d in np.unique(dims):
+                mine = np.flatnonzero(dims == d)
+                _, unit = unit_rows(np.stack([vs.iloc[i] for i in mine]))
                 if d in centres:
-                    mine = np.flatnonzero(dims == d)
-                    x = np.stack([vs.iloc[i] for i in mine]).astype(np.float64)
-                    out[mine] = np.argmax((x / np.linalg.norm(x, axis=1, keepdims=True)) @ centres[d].T, axis=1)
-            yield pd.Series(out)
+                    pivot[mine] = np.argmax(unit @ centres[d].T, axis=1)
+                values, s[mine], e[mine] = quantise(unit)
+                q[mine] = [x.tobytes() for x in values]
+            yield pd.DataFrame({"pivot": pivot, "q": q, "s": s, "e": e})
 
-    near = write_shared(distinct.select("rep", "n", "dim", "_v", nearest("_v").alias("pivot")), "near-pivot")
+    near = write_shared(distinct.select("cid", "n", "dim", "_v", small("_v").alias("_q")).select("cid", "n", "dim", "_q.*", "_v"), "quantised")
     parts = near.groupBy("dim", "pivot").count().select(
         "dim", "pivot", F.ceil(F.col("count") / (0.75 * block)).cast("int").alias("parts")
     )
     # as many rows as pivots, for each vector length that occurs
-    placed = near.join(parts, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("rep", "_v"), F.col("parts")))
-
-    def bring(dim: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["_v"].to_list()).astype(np.float64)
-        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-        centre = unit.mean(axis=0)
-        centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else unit[0]
-        radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
+    placed = near.join(parts, ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
+
+    def bring(at: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        dim = int(at[0])
+        q, s, e = np.frombuffer(b"".join(pdf["q"]), np.int8).reshape(-1, dim), pdf["s"].to_numpy(), pdf["e"].to_numpy()
+        about = q * s[:, None]  # each unit vector to within e
+        centre = about.mean(axis=0)
+        centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else about[0] / np.linalg.norm(about[0])
+        radius = float(np.arccos(np.clip(about @ centre - e - 1e-9, -1, 1)).max())
         return pd.DataFrame([{
-            "dim": dim[0], "block": f"{dim[0]}/{dim[1]}/{dim[2]}", "ids": pdf["rep"].to_numpy("<i8").tobytes(),
-            "ns": pdf["n"].to_numpy("<i8").tobytes(), "data": x.astype(kind).tobytes(), "centre": centre.tolist(), "radius": radius,
+            "dim": dim, "block": f"{dim}/{at[1]}/{at[2]}", "cids": pdf["cid"].to_numpy("<i8").tobytes(), "ns": pdf["n"].to_numpy("<i8").tobytes(),
+            "q": q.tobytes(), "s": s.astype("<f8").tobytes(), "e": e.astype("<f8").tobytes(), "centre": centre.tolist(), "radius": radius,
         }])
 
     blocks = placed.groupBy("dim", "pivot", "part").applyInPandas(
-        bring, "dim int, block string, ids binary, ns binary, data binary, centre array<double>, radius double"
+        bring, "dim int, block string, cids binary, ns binary, q binary, s binary, e binary, centre array<double>, radius double"
     )
     blocks = write_shared(blocks, "blocks")
     names = write_shared(
@@ -175,32 +182,62 @@ def link_vectors(
     pairs = pairs.select("block", "dim", "no", F.explode("with").alias("other")).select(
         "block", "no", "dim", F.least("no", "other").alias("i"), F.greatest("no", "other").alias("j")
     ).distinct()
-    tiles = blocks.select("block", "ids", "ns", "data").join(pairs, "block")
+    tiles = blocks.select("block", "cids", "ns", "q", "s", "e").join(pairs, "block")
 
-    def tile(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def tile(at: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("no")
-        ids = [np.frombuffer(x, "<i8") for x in pdf["ids"]]
-        ns = [np.frombuffer(x, "<i8") for x in pdf["ns"]]
-        xs = [np.frombuffer(x, kind).reshape(-1, int(k[0])) for x in pdf["data"]]
-        every, weight, shift = np.concatenate(ids), np.concatenate(ns), len(ids[0]) if len(ids) > 1 else 0
-        links, labels = np.zeros(len(every)), None
-        for u, v in tile_links(xs[0], xs[1] if len(xs) > 1 else None, threshold):
-            v = v + shift
-            links += np.bincount(u, weights=weight[v], minlength=len(every)) + np.bincount(v, weights=weight[u], minlength=len(every))
-            labels = local_components(len(every), u, v, labels)
-        hit = np.flatnonzero(links)
-        root = every[labels[hit]] if len(hit) else every[:0]
-        return pd.DataFrame({"rep": every[hit], "links": links[hit].astype(np.int64), "root": root})
-
-    found = write_shared(tiles.groupBy("dim", "i", "j").applyInPandas(tile, "rep long, links long, root long"), "tile-links")
-    groups = connected_components(found, "rep", "root")
-    sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_rep = sums.join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+        ids, ns, ss, es = ([np.frombuffer(x, k) for x in pdf[c]] for c, k in (("cids", "<i8"), ("ns", "<i8"), ("s", "<f8"), ("e", "<f8")))
+        sides = [(np.frombuffer(q, np.int8).reshape(-1, int(at[0])), s, e) for q, s, e in zip(pdf["q"], ss, es, strict=True)]
+        cid, shift = np.concatenate(ids), len(ids[0]) if len(ids) > 1 else 0
+        open_ = np.zeros(len(cid), dtype=bool)
+
+        def sure() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i, j, yes in tile_products(sides[0], sides[-1], threshold, len(sides) == 1):
+                j = j + shift
+                open_[i[~yes]] = open_[j[~yes]] = True
+                yield i[yes], j[yes]
+
+        found = _sums(cid, np.concatenate(ns), sure())
+        more = np.flatnonzero(open_)
+        asked = pd.DataFrame({"cid": cid[more], "side": (more >= shift).astype(np.int32) if shift else np.zeros(len(more), np.int32)})
+        made = pd.concat([found, asked])
+        made["dim"], made["i"], made["j"] = int(at[0]), int(at[1]), int(at[2])
+        return made.astype({c: "Int64" for c in ("links", "root", "side")})[["dim", "i", "j", "cid", "links", "root", "side"]]
+
+    done = tiles.groupBy("dim", "i", "j").applyInPandas(tile, "dim int, i int, j int, cid long, links long, root long, side int")
+    done = write_shared(done, "tile-links")
+    # what the bounds leave open, in full precision; a tile's sides come in the order of their vectors
+    asked = done.filter("side IS NOT NULL").select("dim", "i", "j", "side", "cid")
+    asked = near.select("cid", "n", "q", "s", "e", "_v").join(broadcast_if_small(asked, max_broadcast), "cid").repartition("dim", "i", "j").sortWithinPartitions("dim", "i", "j", "side", "cid")
+
+    def compute(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in by_key(parts, ["dim", "i", "j"]):
+            dim, one = int(pdf["dim"].iloc[0]), pdf["i"].iloc[0] == pdf["j"].iloc[0]
+            q = (np.frombuffer(b"".join(pdf["q"]), np.int8).reshape(-1, dim), pdf["s"].to_numpy(), pdf["e"].to_numpy())
+            x, _ = unit_rows(np.stack(pdf["_v"].to_list()))
+            norm, shift = np.linalg.norm(x, axis=1), 0 if one else int((pdf["side"] == 0).sum())
+            sides = [q] if one else [tuple(c[:shift] for c in q), tuple(c[shift:] for c in q)]
+
+            def exact(sides=sides, x=x, norm=norm, shift=shift) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for i, j, yes in tile_products(sides[0], sides[-1], threshold, len(sides) == 1):
+                    i, j = i[~yes], j[~yes] + shift
+                    for k in range(0, len(i), 1 << 16):
+                        u, v = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                        near_ = np.einsum("ij,ij->i", x[u], x[v]) / (norm[u] * norm[v]) >= threshold
+                        yield u[near_], v[near_]
+
+            yield _sums(pdf["cid"].to_numpy(np.int64), pdf["n"].to_numpy(), exact())
+
+    later = write_shared(asked.mapInPandas(compute, "cid long, links long, root long"), "open-links")
+    found = done.filter("links IS NOT NULL").select("cid", "links", "root").unionByName(later)
+    groups = connected_components(found, "cid", "root").withColumnRenamed("node", "cid")
+    sums = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    linked = write_shared(sums.join(groups, "cid").join(distinct.select("cid", "rep"), "cid"), "linked-vectors")
+    linked = linked.join(linked.groupBy("component").agg(F.min("rep").alias("first")), "component").select("cid", "links", "first")
     classes = (
-        distinct.join(by_rep, "rep", "left")
-        .select("_v", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"), "n")
+        distinct.join(broadcast_if_small(write_shared(linked, "vector-links"), max_broadcast), "cid", "left")
+        .select("_v", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", "rep").alias("component"), "n")
     )
-    classes = write_shared(classes, "classes")
     bare = raw.select("_id", F.when(good, F.col("_v")).alias("_v"))
     joined = bare.join(classes, "_v", "left").select(
         F.col("_id").alias(key),
@@ -251,7 +288,7 @@ class KdTree:
             low_id.append(ids[order[a:b]].min())
             child.append((-1, -1))
             span.append((a, b))
-            if b - a > leaf:
+            if b - a > leaf and points.shape[1]:
                 axis = int(np.argmax(hi[at] - lo[at]))
                 middle = (b - a) // 2
                 order[a:b] = order[a:b][np.argpartition(mine[:, axis], middle)]
@@ -268,9 +305,14 @@ class KdTree:
         """Up to k (score, -id) of each query that are better than or join ``floor``, its best so far.
 
         Nodes are visited best first by the largest inner product that their box allows; a node is
-        left out when even that cannot beat the k-th best found here or handed over.
+        left out when even that cannot beat the k-th best found here or handed over. Sums of large numbers are whole in no
+        double: bounds then get a margin, and scores are computed in integers.
         """
         bounds = np.maximum(queries, 0) @ self.hi.T + np.minimum(queries, 0) @ self.lo.T
+        large = np.abs(queries) @ np.maximum(np.abs(self.lo), np.abs(self.hi)).T
+        big = bool(large.size and not large.max() < 1 << 51)
+        if big:
+            bounds = np.minimum(np.nan_to_num(bounds + 1e-12 * (1 + queries.shape[1]) * large, nan=math.inf), float(1 << 63))
         found = []
         for q in range(len(queries)):
             best = list(floor[q])
@@ -289,13 +331,13 @@ class KdTree:
                     heapq.heappush(heap, (-limit[right], right))
                     continue
                 a, b = self.span[node]
-                scores = self.points[a:b] @ queries[q]
+                scores = _inner(self.points[a:b], queries[q], big)
                 ids = self.ids[a:b]
                 if len(best) == k:
                     some = np.flatnonzero(scores >= best[0][0])
                     scores, ids = scores[some], ids[some]
                 if len(scores) > 4 * k:
-                    some = np.lexsort((ids, -scores))[: k + 1]
+                    some = np.array(sorted(range(len(ids)), key=lambda x: (-scores[x], ids[x]))[: k + 1]) if big else np.lexsort((ids, -scores))[: k + 1]
                     scores, ids = scores[some], ids[some]
                 for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
                     if i == own[q]:
@@ -308,17 +350,21 @@ class KdTree:
         return found
 
 
-def brute_force(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-    """For whole numbers too large for doubles: Python integers, held within the range of a long."""
-    top, found = (1 << 63) - 1, []
-    for q, me in zip(queries, own, strict=True):
-        scores = [(max(-top, min(top, sum(int(x) * int(y) for x, y in zip(p, q, strict=True)))), -int(i)) for p, i in zip(points, ids, strict=True) if i != me]
-        found.append(heapq.nlargest(k, scores))
-    return found
+TOP = (1 << 63) - 1
+
+
+def _inner(points: np.ndarray, query: np.ndarray, big: bool) -> np.ndarray:
+    """Exact inner products of whole numbers; where doubles could round, as Python integers held within the range of a long."""
+    if not big:
+        return points @ query
+    q = [int(x) for x in query.tolist()]
+    exact = [sum(int(x) * y for x, y in zip(p, q, strict=True)) for p in points.tolist()]
+    return np.array([max(-TOP, min(TOP, x)) for x in exact], dtype=object)
 
 
 def _whole(v: np.ndarray) -> np.ndarray:
-    return np.floor(256.0 * v)
+    with np.errstate(over="ignore"):
+        return np.clip(np.floor(256.0 * v), -np.finfo(np.float64).max, np.finfo(np.float64).max)
 
 
 def top_k_products(
@@ -332,12 +378,13 @@ def top_k_products(
     along to all others, which then leave out most boxes and return only what can still enter.
     Queries and shards both grow with the input, so both move in blocks and nothing is broadcast.
 
-    Null vectors and ones with null or non-finite components take no part; a zero vector does. Rows
+    Null vectors and ones with null or non-finite components take no part; zero and empty vectors do. Rows
     with a query's own key are never its result; vectors of another length neither. Rows without a
-    key take no part; repeated rows with one key and vector count once.
+    key take no part; repeated rows with one key and vector count once. A score is exact while it fits a long;
+    beyond that it is the nearest long, and such scores tie.
     """
     rows = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")).filter(
-        usable("v") & F.col("id").isNotNull()
+        (usable("v") | (F.size("v") == 0)) & F.col("id").isNotNull()
     ).distinct()
     base, asked = write_shared(rows(vectors), "points"), write_shared(rows(queries), "asked")
     shards = max(1, -(-base.count() // shard_rows))
@@ -361,22 +408,18 @@ def top_k_products(
     blocks = write_shared(blocks.groupBy("dim", "shard", "block").applyInPandas(bring("q"), packed), "query-blocks")
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, tree, points, big = None, None, None, False
+        at, tree = None, None
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                x, ids = np.frombuffer(row.data, "<f8").reshape(-1, row.dim), np.frombuffer(row.ids, "<i8")
+                ids = np.frombuffer(row.ids, "<i8")
+                x = np.frombuffer(row.data, "<f8").reshape(len(ids), row.dim)
                 if row.block < 0:
-                    at, points = (row.dim, row.shard), (x, ids)
-                    big = float(np.abs(x).max()) ** 2 * row.dim >= 1 << 51
-                    tree = None if big else KdTree(x, ids, leaf)
+                    at, tree = (row.dim, row.shard), KdTree(x, ids, leaf)
                     continue
                 if at != (row.dim, row.shard):
                     continue
                 floor = [[(int(b["score"]), -int(b["id"])) for b in q] for q in row.best] if row.best is not None else [[] for _ in ids]
-                if big or float(np.abs(x).max()) ** 2 * row.dim >= 1 << 51 or np.abs(x).max() * np.abs(points[0]).max() * row.dim >= 1 << 51:
-                    got = brute_force(*points, x, ids, k)
-                else:
-                    got = tree.search(x, ids, k, floor)
+                got = tree.search(x, ids, k, floor)
                 out = [(int(q), -i, s, row.home) for q, best in zip(ids, got, strict=True) for s, i in best]
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score", "home"])
 

@@ -14,13 +14,14 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.batches import bound_batches
+from tracewell.operators.batches import bound_batches
 from tracewell.operators.bounded import broadcast_if_small
 from tracewell.sources.shared import new_path, write_shared
 
@@ -175,46 +176,102 @@ def build_index(locations: DataFrame, lines: int = 2000, partitions: int | None
     )
 
 
-def look_up(index: DataFrame, wanted: DataFrame, max_directory: int = 200_000) -> DataFrame:
-    """(key, path, at, size) of the captures whose key is in ``wanted`` (a column ``key``; repeats count once).
+def _directory_pages(entries: DataFrame, fan: int, shown: int) -> DataFrame:
+    """One level of the directory: pages (block, first_key, last_key, data) of ``fan`` entries of the level below, sorted.
 
-    The sparse directory is handed to all tasks while it has at most ``max_directory`` blocks and
-    searched by bisection; keys then meet their block and are found in its sorted lines the same
-    way. A larger index is opened and joined by key. ``index`` must be a written table.
+    Keys of the directory are cut to ``shown`` characters: a range may then be a little wider than its
+    block, never narrower, and an entry has a bounded size whatever the URLs.
     """
-    keys = wanted.select("key").distinct()
-    found = "key string, path string, at long, size long"
-    lines_of = lambda data: [x.split("\t") for x in zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n")]
 
-    if index.limit(max_directory + 1).count() > max_directory:
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[str, str, str]] = []
 
-        def open_blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in parts:
-                for data in pdf["data"]:
-                    yield pd.DataFrame([(k, p, int(a), int(s)) for k, p, a, s in lines_of(data)], columns=["key", "path", "at", "size"])
+        def page() -> pd.DataFrame:
+            data = zlib.compress("\n".join("\t".join(x) for x in held).encode("utf-8", "surrogatepass"))
+            return pd.DataFrame([(uuid.uuid4().hex, held[0][0], max(x[1] for x in held), data)], columns=["block", "first_key", "last_key", "data"])
+
+        for pdf in parts:
+            for first, last, block in zip(pdf["first_key"], pdf["last_key"], pdf["block"], strict=True):
+                held.append((first[:shown], last[:shown], block))
+                if len(held) == fan:
+                    yield page()
+                    held = []
+        if held:
+            yield page()
+
+    rows = entries.select("first_key", "last_key", "block").repartitionByRange("first_key", "last_key", "block")
+    return rows.sortWithinPartitions("first_key", "last_key", "block").mapInPandas(run, "block string, first_key string, last_key string, data binary")
+
+
+def _ranges(entries: list[tuple[str, str, str]], shown: int):
+    """A function from a key to the names of the entries (first, last, name; keys cut to ``shown``) whose range can hold it, by bisection."""
+    entries = sorted(entries)
+    firsts, own, names = ([x[i] for x in entries] for i in range(3))
+    lasts = list(accumulate(own, max))  # ranges of cut keys may overlap
+
+    def find(key: str) -> list[str]:
+        cut = key[:shown]
+        return [names[i] for i in range(bisect.bisect_left(lasts, cut), bisect.bisect_right(firsts, key)) if own[i] >= cut]
 
-        return index.select("data").mapInPandas(open_blocks, found).join(keys, "key", "left_semi")
+    return find
 
-    directory = sorted((r["first_key"], r["last_key"], r["block"]) for r in index.select("block", "first_key", "last_key").collect())
-    firsts, lasts, names = [x[0] for x in directory], [x[1] for x in directory], [x[2] for x in directory]
+
+def look_up(index: DataFrame, wanted: DataFrame, max_directory: int = 20_000, fan: int = 2000, shown: int = 120) -> DataFrame:
+    """(key, path, at, size) of the captures whose key is in ``wanted`` (a column ``key``; repeats count once).
+
+    The sparse directory holds one entry a block. Where it has more than ``max_directory`` entries, they are packed into
+    sorted, compressed pages of ``fan`` entries, and so on until the top level is that small: only this, of bounded entries, is handed to all
+    tasks. A key is searched by bisection in the top level, then in its page of each level below, then among the sorted lines
+    of its block. Nothing but the pages and blocks that a key can be in is opened. ``index`` must be a written table.
+    """
+    levels = [index.select("block", "first_key", "last_key", "data")]
+    while levels[-1].limit(max_directory + 1).count() > max_directory:
+        levels.append(write_shared(_directory_pages(levels[-1], fan, shown), "directory"))
+    top = [tuple(r) for r in levels[-1].select(F.substring("first_key", 1, shown), F.substring("last_key", 1, shown), "block").collect()]
 
     @F.pandas_udf("array<string>")
-    def blocks_of(ks: pd.Series) -> pd.Series:
-        return pd.Series([names[bisect.bisect_left(lasts, k) : bisect.bisect_right(firsts, k)] for k in ks])
-
-    def search(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for data in right["data"]:
-            lines = lines_of(data)
-            for k in left["key"]:
-                i = bisect.bisect_left(lines, k, key=lambda x: x[0])
-                while i < len(lines) and lines[i][0] == k:
-                    rows.append((k, lines[i][1], int(lines[i][2]), int(lines[i][3])))
+    def blocks_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = _ranges(top, shown)
+        for ks in parts:
+            yield pd.Series([find(k) for k in ks])
+
+    sent = wanted.select("key").distinct().select("key", F.explode(blocks_of("key")).alias("block"))
+    for depth in range(len(levels) - 1, -1, -1):
+        both = levels[depth].select("block", F.lit("").alias("key"), "data").unionByName(sent.withColumn("data", F.lit(None).cast("binary")))
+        # a page or block comes before the keys that are sought in it, which stream past it
+        near = both.repartition("block").sortWithinPartitions("block", F.col("data").isNull(), "key")
+        if depth:
+            sent = near.mapInPandas(_search(shown), "key string, block string")
+    return near.mapInPandas(_search(None), "key string, path string, at long, size long")
+
+
+def _search(shown: int | None):
+    """Search each key in the page (keys cut to ``shown``) or block (None) that precedes it; one page is held at a time."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, lines, find = None, [], None
+        for pdf in parts:
+            rows = []
+            for block, key, data in zip(pdf["block"], pdf["key"], pdf["data"], strict=True):
+                if data is not None:
+                    now, lines, find = block, None, None
+                    packed = data
+                    continue
+                if block != now:
+                    continue
+                if lines is None:  # opened for the first key
+                    lines = [x.split("\t") for x in zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")]
+                    find = None if shown is None else _ranges(lines, shown)
+                if find is not None:
+                    rows += [(key, child) for child in find(key)]
+                    continue
+                i = bisect.bisect_left(lines, key, key=lambda x: x[0])
+                while i < len(lines) and lines[i][0] == key:
+                    rows.append((key, lines[i][1], int(lines[i][2]), int(lines[i][3])))
                     i += 1
-        return pd.DataFrame(rows, columns=["key", "path", "at", "size"])
+            yield pd.DataFrame(rows, columns=["key", "path", "at", "size"] if shown is None else ["key", "block"])
 
-    sent = keys.select("key", F.explode(blocks_of("key")).alias("block"))
-    return sent.groupBy("block").cogroup(index.select("block", "data").groupBy("block")).applyInPandas(search, found)
+    return run
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, payload binary"
