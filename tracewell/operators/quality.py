@@ -13,7 +13,7 @@ from tracewell.functions.text import labelled, section_body
 from tracewell.operators.batches import bound_batches, by_key, first_of_equal, release_memory
 from tracewell.operators.bounded import broadcast_if_small
 from tracewell.operators.components import connected_components
-from tracewell.operators.tiles import TILE, deal_bands, exact_links, local_components, tile_split
+from tracewell.operators.tiles import TILE, deal_bands, exact_links, local_components, tile_split, tiles_of
 from tracewell.sources.shared import write_shared
 
 # Penalties by severity, weights of the rubric, bounds of the quantity gate.
@@ -248,7 +248,7 @@ def _compared(sets: DataFrame, threshold: float, compare: Callable, schema: str,
     groups = connected_components(prefix.join(heads, "g").select(F.col("d1").alias("a"), "b").filter("a <> b").distinct())
     members = sets.join(groups.withColumnRenamed("node", "d1"), "d1")
     members = deal_bands(members, threshold, tile_docs, tile_shingles, ["d1", "rep"])
-    dealt = members.withColumn("_t", F.explode("tiles")).select("component", "_t.*", "band", "block", "rep", "d1", "w", "s")
+    dealt = members.withColumn("_t", F.explode(tiles_of())).select("component", "_t.*", "band", "block", "rep", "d1", "w", "s")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []

@@ -58,7 +58,7 @@ def exact_links(sets: list[np.ndarray], split: int, threshold: float, chunk: int
 
 
 def deal_bands(members: DataFrame, threshold: float, tile_docs: int, tile_shingles: int, spread: list[str]) -> DataFrame:
-    """``members`` (component, n, ...) with band, block and ``tiles``: the tiles in which each row meets all it can be linked with.
+    """``members`` (component, n, ...) with band, block, blocks, above and below: what ``tiles_of`` makes each row's tiles from.
 
     Two linked sets differ in size by the threshold's factor at most. A group is cut into bands of sizes, of which only
     neighbours can hold a pair, and a band into blocks by the hash of ``spread``; two blocks are one tile of about
@@ -73,8 +73,16 @@ def deal_bands(members: DataFrame, threshold: float, tile_docs: int, tile_shingl
     near = lambda by, name: sizes.select("component", (F.col("band") + by).alias("band"), F.col("blocks").alias(name))
     # the few sizes are joined to each other first: a member needs one lookup
     sizes = sizes.join(near(-1, "above"), ["component", "band"], "left").join(near(1, "below"), ["component", "band"], "left")
+    sizes = sizes.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("above", "below")})
     members = members.join(write_shared(sizes, "band-blocks"), ["component", "band"])
-    members = members.withColumn("block", F.pmod(F.xxhash64(*spread), F.col("blocks")).cast("int"))
+    return members.withColumn("block", F.pmod(F.xxhash64(*spread), F.col("blocks")).cast("int"))
+
+
+DEALT = ["component", "band", "block", "blocks", "above", "below"]
+
+
+def tiles_of() -> Column:
+    """The tiles in which a row that ``deal_bands`` has dealt meets all it can be linked with."""
     here, mine = F.col("band"), F.col("block")
 
     def tile(low: Column, i: Column, high: Column, j: Column) -> Column:
@@ -82,12 +90,11 @@ def deal_bands(members: DataFrame, threshold: float, tile_docs: int, tile_shingl
 
     none = F.array().cast("array<struct<low:int,i:int,high:int,j:int>>")
     each = lambda c, f: F.when(F.col(c) > 0, F.transform(F.sequence(F.lit(0), F.col(c) - 1), f)).otherwise(none)
-    tiles = F.concat(
+    return F.concat(
         each("blocks", lambda x: tile(here, F.least(mine, x), here, F.greatest(mine, x))),
         each("above", lambda x: tile(here, mine, here + 1, x)),
         each("below", lambda x: tile(here - 1, x, here, mine)),
     )
-    return members.withColumn("tiles", tiles).drop("blocks", "above", "below")
 
 
 def tile_split(pdf) -> int | None:
