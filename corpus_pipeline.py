@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.mixing import mix_sources
-from tracewell.llm.ngram_join import jaccard_join
+from tracewell.llm.ngram_join import drop_near_copies
 from tracewell.llm.packing import pack_documents
 from tracewell.llm.secrets import redact_secrets
 from tracewell.llm.toxicity import THRESHOLD, fold_model, score_toxicity
-from tracewell.operators.bounded import broadcast_if_small
 from tracewell.sources.shared import write_shared
 from tracewell.sources.tables import table
 
-MAX_BROADCAST = 500_000
+#: What mixing adds to a row; columns of ``docs`` with these names are kept aside.
+MIXED = ("size", "source_size", "target", "repeats", "part")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,20 +28,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the smallest id stays; rows without an id stay.
+    """Of each class of near duplicates its first row, by id and then by a hash of the text, stays; rows without an id or words stay.
 
-    Where ids repeat, so that a class has several rows of its smallest id, one of them stays.
+    Rows are told apart by id and text, so distinct texts under one id are separate documents. Of equal rows one stays.
     """
-    classes = write_shared(jaccard_join(docs).filter("doc_id IS NOT NULL").select("doc_id", "class_id", "n_shingles"), "classes-of")
-    gone = write_shared(classes.filter("class_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
-    kept = docs.join(broadcast_if_small(gone, MAX_BROADCAST), "doc_id", "left_anti").select(*docs.columns)
-    repeated = classes.filter("class_id = doc_id AND n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    repeated = write_shared(repeated, "repeated-ids")
-    if repeated.isEmpty():
-        return kept
-    few = broadcast_if_small(repeated, MAX_BROADCAST)
-    once = kept.join(few, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(few, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return drop_near_copies(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,20 +44,14 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix repeats it; the one at a source's cut is rounded to whole repetitions."""
-    plan = mix_sources(docs).select(
-        F.col("doc_id").alias("_id"), F.col("size").alias("_size"),
-        (F.col("repeats") + F.when(2 * F.col("part") >= F.greatest("size", F.lit(1)), 1).otherwise(0)).alias("_times"),
-    )
-    plan = write_shared(plan.groupBy("_id").agg(F.max("_times").alias("_times")), "repeats")
-    # most documents are taken the commonest number of times; only the others need to be looked up
-    usual = plan.groupBy("_times").count().orderBy(F.desc("count"), "_times").limit(1).collect()
-    times = usual[0]["_times"] if usual else 0
-    others = write_shared(plan.filter(F.col("_times") != times), "unusual-repeats")
-    joined = docs.join(broadcast_if_small(others, MAX_BROADCAST), docs["doc_id"].eqNullSafe(F.col("_id")), "left")
-    joined = joined.withColumn("_times", F.coalesce("_times", F.lit(times)))
-    again = F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))
-    return joined.filter("_times > 0").withColumn("_again", again).select(*docs.columns)
+    """Each row as often as the mix repeats it; the one at a source's cut is rounded to whole repetitions.
+
+    The plan is applied row by row, so rows that share an id, or have none, are each repeated as planned.
+    """
+    planned = mix_sources(docs.select(*docs.columns, *[F.col(c).alias(f"_own_{c}") for c in docs.columns if c in MIXED]), keep=True)
+    times = F.col("repeats") + F.when(2 * F.col("part") >= F.greatest("size", F.lit(1)), 1).otherwise(0)
+    rows = planned.withColumn("_times", times).filter("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    return rows.select(*[F.col(f"_own_{c}").alias(c) if c in MIXED else F.col(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
