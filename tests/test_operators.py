@@ -1,6 +1,7 @@
 """Operators against small own models, with odd rows and under repartition."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,7 +164,15 @@ def test_trees_and_paths(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("x", "y"), ("x", "x")], "src string, dst string").withColumn("relation", F.lit("r"))
     nodes = spark.createDataFrame([(c,) for c in "abcxy"], "id string")
     roots = graph.call_roots(nodes, edges)
-    assert rows(roots) == [("x",)]
+    assert rows(roots) == [("a",), ("x",)]  # the cycle has no caller: its last layer starts it
+    many = spark.createDataFrame([(f"{i}{x}", f"{i}{y}") for i in range(30) for x, y in ("pq", "qp")], "src string, dst string")
+    both = many.select(F.col("src").alias("id"))
+    assert sorted(r["id"] for r in graph.call_roots(both, many).collect()) == sorted(f"{i}q" for i in range(30))
+    assert sorted(Counter(r["layer"] for r in graph.topo_layers(both, many, max_layers=3).collect()).items()) == [(0, 30), (1, 30)]
+    with pytest.raises(RuntimeError):
+        graph.topo_layers(both, many, max_layers=1)
+    capped = graph.call_trees(spark.createDataFrame([("a",)], "id string"), edges, max_nodes=1)
+    assert {r["node"] for r in capped.collect()} == {"a", "b", "c"}
     trees = graph.call_trees(spark.createDataFrame([("a",)], "id string"), edges)
     assert rows(trees) == [("a", "a", None, 0), ("a", "b", "a", 1), ("a", "c", "a", 1)]
     pairs = spark.createDataFrame([("b", "c"), ("a", "y")], "a string, b string")
@@ -297,7 +306,7 @@ def test_incremental_index(spark, tmp_path):
 
 def test_contract_mutations(spark):
     good = "# Overview\n## Scope\nREQ-1 REQ-2\nGIVEN x"
-    rules_ = spark.createDataFrame([("scope", "heading", "Scope", 0), ("reqs", "pattern", r"REQ-\d+", 2), ("given", "token", "GIVEN", 0), ("tbd", "forbidden", "TBD", 0), ("long", "min_chars", "", 10)], "rule string, kind string, pattern string, least int")
+    rules_ = [("scope", "heading", "Scope", 0), ("reqs", "pattern", r"REQ-\d+", 2), ("given", "token", "GIVEN", 0), ("tbd", "forbidden", "TBD", 0), ("long", "min_chars", "", 10)]
     docs = spark.createDataFrame([(0, good), (1, good.replace("## Scope", "Scope")), (2, good.replace("REQ-2", "")), (3, good + " TBD"), (4, good.replace("GIVEN", "")), (5, None)], "id int, t string")
     got = {r["id"]: r["errors"] for r in quality.contract_check(docs, rules_, "id", "t").collect()}
     assert got == {0: [], 1: ["scope"], 2: ["reqs"], 3: ["tbd"], 4: ["given"], 5: ["given", "long", "reqs", "scope"]}

@@ -47,6 +47,11 @@ def token_jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(0.0)
 
 
+def rest_of(items: Column) -> Column:
+    """All but the first item of an array."""
+    return F.filter(items, lambda _, i: i > 0)
+
+
 FRONT = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
 
 
@@ -73,7 +78,7 @@ def body(col: Column) -> Column:
 
 def h2_sections(col: Column, strip_suffixes: tuple[str, ...] = ()) -> Column:
     """Map of H2 heading to the text below it. Deeper headings stay inside; repeated ones keep the last."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), col), r"\r?\n## "), 2, 1_000_000)
+    parts = rest_of(F.split(F.concat(F.lit("\n"), col), r"\r?\n## "))
 
     def name(part: Column) -> Column:
         out = strip(F.regexp_extract(part, r"^([^\r\n]*)", 1))
@@ -113,7 +118,7 @@ def table_column(col: Column, section: str, header: str) -> Column:
     rows = F.filter(F.split(below, "\n"), lambda x: x.rlike(r"^\s*\|"))
     cells = F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(strip(r), r"^\||\|$", ""), r"\|"), lambda c: strip(c)))
     at = F.array_position(F.get(cells, F.lit(0)), header).cast("int")
-    data = F.filter(F.slice(cells, 2, 1_000_000), lambda r: ~F.forall(r, lambda c: c.rlike("^:?-*:?$")))
+    data = F.filter(rest_of(cells), lambda r: ~F.forall(r, lambda c: c.rlike("^:?-*:?$")))
     return F.when(at > 0, F.transform(data, lambda r: F.get(r, at - 1))).otherwise(F.array().cast("array<string>"))
 
 
@@ -160,6 +165,7 @@ def total_score(col: Column, min_score: float = 95.0, fail: tuple[str, ...] = FA
     is_json = strip(col).rlike(r"^[{\[]") & F.try_parse_json(col).isNotNull()
     number = lambda p: F.when(F.get_json_object(col, p).rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), F.get_json_object(col, p).cast("double"))
     from_json = F.when(is_json, F.coalesce(*[number(p) for p in TOTAL_PATHS]))
+    # How a total and a status are written in a report.
     found = F.regexp_extract_all(
         col, F.lit(r"(?im)(?:overall_score|total_score|\"total\"|^\s*total\s*:)\s*[:=]?\s*\**\s*([0-9]+(?:\.[0-9]+)?)"), 1
     )

@@ -32,7 +32,7 @@ def merge_duplicates(df: DataFrame, key: str, order: str, union_cols: list[str],
     first = full.groupBy("_k").agg(F.min_by(F.struct(*rest), F.col(order)).alias("_first"))
     out = first
     for c in union_cols:
-        items = full.select("_k", F.explode_outer(c).alias("_i")).groupBy("_k").agg(F.array_sort(F.collect_set("_i")).alias(c))
+        items = full.select("_k", F.explode_outer(c).alias("_i")).distinct().groupBy("_k").agg(F.array_sort(F.collect_list("_i")).alias(c))
         out = out.join(items, "_k")
     out = out.select("_first.*", *union_cols).select(*df.columns)
     return out.unionByName(keyed.filter(F.col("_k").isNull()).drop("_k")) if keep_null_key else out
@@ -42,7 +42,7 @@ def merge_best(df: DataFrame, key: str, confidence: str, text: str, union_cols:
     """One row a key: the most confident text (ties to the smaller text), list columns united, and a tier by confidence."""
     out = df.groupBy(key).agg(F.max(confidence).alias(confidence), F.min_by(text, F.struct(-F.col(confidence), F.col(text))).alias(text))
     for c in union_cols:
-        items = df.select(key, F.explode_outer(c).alias("_i")).groupBy(key).agg(F.array_sort(F.collect_set("_i")).alias(c))
+        items = df.select(key, F.explode_outer(c).alias("_i")).distinct().groupBy(key).agg(F.array_sort(F.collect_list("_i")).alias(c))
         out = out.join(items, key)
     sure = F.col(confidence)
     return out.withColumn("tier", F.when(sure >= 0.9, "high").when(sure >= 0.7, "medium").when(sure >= 0.5, "low").otherwise("reject"))
@@ -93,18 +93,36 @@ def renumber(df: DataFrame, order: list, out: str = "number", template: str = "C
     return ranged.join(F.broadcast(starts), "_part").withColumn(out, F.format_string(template, F.col("_start") + inside)).drop("_part", "_start")
 
 
+def rank_within(df: DataFrame, group: list[str], order: list, out: str = "_rank", partitions: int = 0) -> DataFrame:
+    """``df`` with the row number inside each group, without sorting a group in one task.
+
+    Rows are dealt into ranges of (group, order), so a group of any size lies in several; counts of a group in the ranges before give a
+    range its first number. ``order`` columns must be unique in a group.
+    """
+    keys = [F.col(c) for c in group]
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), *keys, *order).withColumn("_part", F.spark_partition_id())
+    ranged = write_shared(ranged, "ranked")
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range of the group
+    starts = ranged.groupBy(*group, "_part").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    starts = starts.withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(group)}).withColumnRenamed("_part", "_p")
+    on = F.col("_part") == F.col("_p")
+    for i, c in enumerate(group):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    inside = F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))
+    return ranged.withColumn("_in", inside).join(starts, on).withColumn(out, F.col("_start") + F.col("_in")).select(*df.columns, out)
+
+
 def number_within(df: DataFrame, group: str, order: list, prefix: Column, out: str = "number") -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn(out, F.concat(prefix, F.lit("-"), F.format_string("%03d", n)))
+    ranked = rank_within(df, [group], order)
+    return ranked.withColumn(out, F.concat(prefix, F.lit("-"), F.format_string("%03d", "_rank"))).drop("_rank")
 
 
 def fixed_batches(df: DataFrame, order: list[str], n: int, group: list[str] | None = None, out: str = "batch") -> DataFrame:
-    """Consecutive groups of ``n`` inside each group, or over the whole table without sorting it in one task."""
+    """Consecutive groups of ``n`` inside each group, or over the whole table; nothing is sorted in one task."""
     if not group:
         numbered = renumber(df, order, "_no", "%d")
         return numbered.withColumn(out, (F.floor((F.col("_no").cast("long") - 1) / n) + 1).cast("long")).drop("_no")
-    row = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn(out, (F.floor((row - 1) / n) + 1).cast("long"))
+    return rank_within(df, group, order).withColumn(out, (F.floor((F.col("_rank") - 1) / n) + 1).cast("long")).drop("_rank")
 
 
 def budget_batches(df: DataFrame, group: list[str], order: list[str], cost: str, size: int, budget: int, out: str = "batch") -> DataFrame:
@@ -270,8 +288,8 @@ def rank_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def inventory(df: DataFrame, order: list, files: str, shown: int = 3, link: Column | None = None) -> DataFrame:
-    """Numbered rows with the first files, how many more there are, and a link."""
-    out = df.withColumn("no", F.row_number().over(Window.orderBy(*order)))  # a report: one row a catalogue entry
+    """Numbered rows with the first files, how many more there are, and a link. Numbers come from ranges of the order (``renumber``)."""
+    out = renumber(df, order, "no", "%d").withColumn("no", F.col("no").cast("long"))
     out = out.withColumn("files_shown", F.array_join(F.slice(files, 1, shown), ", "))
     out = out.withColumn("files_more", F.greatest(F.size(files) - shown, F.lit(0)))
     return out.withColumn("link", link) if link is not None else out

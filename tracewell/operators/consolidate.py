@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import labelled_field, strip
+from tracewell.functions.text import labelled_field, rest_of, strip
 from tracewell.operators.catalog import merge_duplicates
 from tracewell.operators.components import connected_components
 from tracewell.operators.quality import near_duplicate_classes
@@ -18,7 +18,7 @@ Matcher = Callable[[DataFrame], DataFrame]
 
 def entity_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", fields: tuple[str, ...] = ("id", "type", "domain")) -> DataFrame:
     """(key, number, title, one column a field, diagram): one row for each ``### n. title`` block of a document."""
-    parts = F.slice(F.split(F.concat(F.lit("\n"), F.col(text)), r"\n(?=###\s+\d+[.．]\s*)"), 2, 1_000_000)
+    parts = rest_of(F.split(F.concat(F.lit("\n"), F.col(text)), r"\n(?=###\s+\d+[.．]\s*)"))
     rows = docs.select(key, F.explode(parts).alias("_b"))
     head = r"^###\s+(\d+)[.．]\s*([^\n]*)"
     diagram = F.nullif(F.regexp_extract("_b", r"(?s)```(?:plantuml|mermaid)\s*\n(.*?)```", 1), F.lit(""))

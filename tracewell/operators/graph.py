@@ -9,49 +9,75 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import label_tokens
+from tracewell.operators.bounded import broadcast_if_small
+from tracewell.operators.components import connected_components
+from tracewell.operators.search import deal_tiles
 from tracewell.sources.shared import write_shared
 
 
-def resolve_names(calls: DataFrame, elements: DataFrame) -> DataFrame:
+def resolve_names(calls: DataFrame, elements: DataFrame, loose: bool = False, preferred_files: str = "service|dao|repository") -> DataFrame:
     """(call_id, key, rule): the element of each call (call_id, name, scope) by the first rule that fits.
 
-    Exact name; ``self.``/``super().`` in the caller's class; ``Class.method`` or ``Class::method``; the only
-    element of that last name; ``obj.method`` by method alone. Ties go to the smaller key. ``elements`` (key, name, class_name).
+    1 exact name; 2 ``self.``/``super().`` in the caller's class; 3 ``Class.method`` or ``Class::method``; 4 the only
+    element of that last name; 5 ``obj.method`` by method alone. Ties go to the smaller key. ``elements`` (key, name, class_name[, filename]).
+    With ``loose`` (names of objects stand for their classes) a class name that ends with or holds the object's name comes
+    before rule 4 as rule 6, an element in a file named like ``preferred_files`` before rule 5 as rule 7, and where no
+    element has the method the object's own name is looked up as rule 8.
+
+    Elements are reduced to their smallest key a name, and a name and class, before any call meets them, so a method name that
+    many elements share costs one row. Only the loose rule on class names compares a call with the classes of its method.
     """
     bare = F.regexp_extract("name", r"([^.:]+)$", 1)
     owner = F.regexp_extract("name", r"([^.:()]+)(?:\(\))?(?:\.|::)[^.:]+$", 1)
-    c = calls.select("call_id", "scope", "name", bare.alias("_last"), owner.alias("_owner"))
-    only = F.count("*").over(Window.partitionBy(F.col("name"))) == 1
-    e = elements.select("key", F.col("name").alias("_last"), "class_name", only.alias("_only"))
-    rule = (
-        F.when(F.col("_owner") == "", 1)
-        .when(F.col("_owner").isin("self", "super", "this") & F.col("scope").eqNullSafe(F.col("class_name")), 2)
-        .when(F.col("_owner") == F.col("class_name"), 3)
-        .when(F.col("_only"), 4)
-        .otherwise(5)
-    )
-    best = F.row_number().over(Window.partitionBy("call_id").orderBy("rule", "key"))
-    return c.join(e, "_last").withColumn("rule", rule).withColumn("_r", best).filter("_r = 1").select("call_id", "key", "rule")
-
-
-def mention_edges(texts: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name_key: str = "item_id", name: str = "text") -> DataFrame:
+    c = calls.select("call_id", "scope", bare.alias("_last"), owner.alias("_owner"))
+    first = elements.groupBy(F.col("name").alias("_last")).agg(F.min("key").alias("_any"), F.count("*").alias("_n"))
+    by_class = elements.filter("class_name IS NOT NULL").groupBy(F.col("name").alias("_last"), F.col("class_name").alias("_class")).agg(F.min("key").alias("_key"))
+    mine = F.when(F.col("_owner").isin("self", "super", "this"), F.col("scope")).otherwise(F.col("_owner"))
+    rows = c.withColumn("_class", mine).join(first, "_last", "left").join(by_class, ["_last", "_class"], "left")
+    is_self, owned = F.col("_owner").isin("self", "super", "this"), F.col("_owner") != ""
+    tries = [(~owned, "_any", 1), (is_self & F.col("_key").isNotNull(), "_key", 2), (owned & ~is_self & F.col("_key").isNotNull(), "_key", 3)]
+    if loose:
+        o, k = F.lower("_owner"), F.lower("_class")
+        like = rows.filter(owned & F.col("_key").isNull() & ~is_self).select("call_id", "_last", "_owner").join(by_class, "_last").filter(F.contains(k, o))
+        like = like.groupBy("call_id").agg(F.min("_key").alias("_like"))
+        file = elements.filter(F.lower("filename").rlike(preferred_files)).groupBy(F.col("name").alias("_last")).agg(F.min("key").alias("_file"))
+        name = elements.groupBy(F.col("name").alias("_owner")).agg(F.min("key").alias("_named"))
+        rows = rows.join(like, "call_id", "left").join(file, "_last", "left").join(name, "_owner", "left")
+        tries += [(F.col("_like").isNotNull(), "_like", 6), (F.col("_n") == 1, "_any", 4), (F.col("_file").isNotNull(), "_file", 7), (F.col("_any").isNotNull(), "_any", 5), (F.col("_named").isNotNull(), "_named", 8)]
+    else:
+        tries += [(F.col("_n") == 1, "_any", 4), (F.col("_any").isNotNull(), "_any", 5)]
+    key = rule = None
+    for ok, found, number in tries:
+        ok = F.coalesce(ok & F.col(found).isNotNull(), F.lit(False))
+        key = F.when(ok, F.col(found)) if key is None else key.when(ok, F.col(found))
+        rule = F.when(ok, number) if rule is None else rule.when(ok, number)
+    return rows.select("call_id", key.alias("key"), rule.alias("rule")).filter("key IS NOT NULL")
+
+
+def mention_edges(texts: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name_key: str = "item_id", name: str = "text", max_broadcast: int = 100_000) -> DataFrame:
     """(key, name_key) where the text contains the whole name; a text is compared only with names it can hold.
 
     A word that stands between two spaces in the name stands between two spaces in every text that holds it, or at a
-    text's end: the longest such word of a name is looked up among the words of the texts, and only those pairs
-    are tested. Names without an inner word are tested against all texts and must be few (a broadcast of their table).
+    text's end: of each name the inner word that the fewest texts have is looked up among the words of the texts, and only those pairs
+    are tested. Names without an inner word are tested against all texts, in tiles.
     """
     parts = F.split(F.col(name), " ", -1)
-    inner = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != "")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    want = names.select(F.col(name_key).alias("_nk"), F.col(name).alias("_name"), longest.alias("_w")).filter(F.col("_name") != "")
+    inner = F.array_distinct(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != ""))
+    want = write_shared(names.select(F.col(name_key).alias("_nk"), F.col(name).alias("_name"), inner.alias("_inner")).filter(F.col("_name") != ""), "names")
+    candidates = write_shared(want.select(F.explode("_inner").alias("_w")).distinct(), "name-words")
     docs = texts.select(F.col(key).alias("_dk"), F.col(text).alias("_text"))
     words = docs.select("_dk", F.explode(F.array_distinct(F.split("_text", " ", -1))).alias("_w"))
-    pairs = words.join(want.filter("_w IS NOT NULL").select("_nk", "_w"), "_w").select("_dk", "_nk").distinct()
-    found = pairs.join(docs, "_dk").join(want.select("_nk", "_name"), "_nk").filter(F.contains("_text", "_name")).select("_dk", "_nk")
-    short = want.filter("_w IS NULL").select("_nk", "_name")
+    few = broadcast_if_small(candidates, max_broadcast)
+    hits = write_shared(words.join(few, "_w", "left_semi"), "name-word-hits")
+    counts = hits.groupBy("_w").agg(F.count("*").alias("_c"))
+    rare = want.select("_nk", F.explode("_inner").alias("_w")).join(counts, "_w", "left")
+    rare = rare.groupBy("_nk").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), F.col("_w"))).alias("_r")).select("_nk", "_r._w")
+    pairs = write_shared(hits.join(broadcast_if_small(write_shared(rare, "rare-words"), max_broadcast), "_w").select("_dk", "_nk").distinct(), "name-pairs")
+    found = docs.join(broadcast_if_small(pairs, max_broadcast), "_dk").join(want.select("_nk", "_name"), "_nk").filter(F.contains("_text", "_name")).select("_dk", "_nk")
+    short = want.filter(F.size("_inner") == 0).select("_nk", "_name")
     if not short.isEmpty():
-        found = found.unionByName(docs.join(F.broadcast(short), F.contains("_text", "_name")).select("_dk", "_nk"))
+        rows, asked = deal_tiles(docs, "_dk", short, "_nk")
+        found = found.unionByName(rows.join(asked, ["_qb", "_bb"]).filter(F.contains("_text", "_name")).select("_dk", "_nk"))
     return found.select(F.col("_dk").alias(key), F.col("_nk").alias(name_key)).distinct()
 
 
@@ -80,36 +106,54 @@ def merge_decl_impl(decl: DataFrame, impl: DataFrame) -> DataFrame:
 def topo_layers(nodes: DataFrame, edges: DataFrame, max_layers: int = 10_000) -> DataFrame:
     """(id, layer): a node's layer is 0 without dependencies, else one more than the last of those it depends on.
 
-    ``edges`` (src depends on dst). Where only cycles are left, the nodes with the fewest open dependencies are released;
-    ties to the smallest id. Self links and links to unknown nodes are dropped. One round a layer.
+    ``edges`` (src depends on dst). Where no node is free, only cycles are left: of each connected group of open nodes the one with the
+    fewest dependencies, done ones included, is released (ties to the smallest id), so that many separate cycles cost one round. Self links and
+    links to unknown nodes are dropped. A round counts down the open dependencies and writes the nodes that are left; links are
+    written anew when half of the nodes are done. More than ``max_layers`` rounds are an error.
     """
     ids = nodes.select("id").distinct()
-    open_edges = edges.select("src", "dst").filter("src <> dst").distinct()
-    open_edges = open_edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    left, open_edges, done = write_shared(ids, "open-nodes"), write_shared(open_edges, "open-edges"), None
-    for layer in range(max_layers):
-        if left.isEmpty():
+    links = edges.select("src", "dst").filter("src <> dst").distinct()
+    links = links.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    links = write_shared(links, "open-links")
+    counts = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
+    left = write_shared(ids.join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n", F.lit(0)).alias("n0")), "open-nodes")
+    total, free = left.agg(F.count("*"), F.count_if(F.col("n") == 0)).first()
+    compact, done = total, None
+    for layer in range(max_layers + 1):
+        if total == 0:
             break
-        ready = left.join(open_edges.select(F.col("src").alias("id")).distinct(), "id", "left_anti")
-        ready = write_shared(ready, "layer")
-        if ready.isEmpty():
-            counts = open_edges.groupBy(F.col("src").alias("id")).count()
-            ready = write_shared(counts.orderBy("count", "id").limit(1).select("id"), "layer")
-        done = ready.withColumn("layer", F.lit(layer)) if done is None else done.unionByName(ready.withColumn("layer", F.lit(layer)))
-        left = write_shared(left.join(ready, "id", "left_anti"), "open-nodes")
-        gone = ready.withColumnRenamed("id", "dst")
-        rest = open_edges.join(gone, "dst", "left_anti").join(ready.withColumnRenamed("id", "src"), "src", "left_anti")
-        open_edges = write_shared(rest.select("src", "dst"), "open-edges")
+        if layer == max_layers:
+            raise RuntimeError(f"{total} nodes are left after {max_layers} layers")
+        if free == 0:
+            inside = links.join(left.select(F.col("id").alias("dst")), "dst", "left_semi").join(left.select(F.col("id").alias("src")), "src", "left_semi")
+            groups = connected_components(inside, "src", "dst").withColumnRenamed("node", "id")
+            head = left.join(groups, "id").groupBy("component").agg(F.min(F.struct("n0", "id")).alias("h")).select("h.id")
+            left = write_shared(left.join(head.withColumn("_r", F.lit(True)), "id", "left").select("id", F.when(F.col("_r"), 0).otherwise(F.col("n")).cast("long").alias("n"), "n0"), "open-nodes")
+        ready = left.filter("n = 0").select("id")
+        now = ready.withColumn("layer", F.lit(layer))
+        done = now if done is None else done.unionByName(now)
+        gone = links.join(ready.withColumnRenamed("id", "dst"), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_gone"))
+        left = write_shared(left.filter("n > 0").join(gone, "id", "left").select("id", (F.col("n") - F.coalesce("_gone", F.lit(0))).alias("n"), "n0"), "open-nodes")
+        total, free = left.agg(F.count("*"), F.count_if(F.col("n") == 0)).first()
+        if total < compact / 2:
+            compact = total
+            links = write_shared(links.join(left.select(F.col("id").alias("src")), "src", "left_semi"), "open-links")
     return done if done is not None else ids.withColumn("layer", F.lit(0))
 
 
-def call_trees(roots: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(root, node, parent, depth): nodes reached from each root, at their least depth; parent is the smallest at that depth."""
+def call_trees(roots: DataFrame, edges: DataFrame, max_depth: int = 10, max_nodes: int | None = None) -> DataFrame:
+    """(root, node, parent, depth): nodes reached from each root, at their least depth; parent is the smallest at that depth.
+
+    With ``max_nodes`` a tree that has more nodes than that grows no further; the depth that passed the number is whole.
+    """
     step = write_shared(edges.select(F.col("src").alias("node"), "dst").filter("node <> dst").distinct(), "calls")
     first = roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct()
     front = write_shared(first.withColumn("parent", F.lit(None).cast(dict(edges.dtypes)["src"])).withColumn("depth", F.lit(0)), "front")
     seen = front
     for depth in range(1, max_depth + 1):
+        if max_nodes is not None:
+            full = seen.groupBy("root").count().filter(F.col("count") > max_nodes).select("root")
+            front = front.join(full, "root", "left_anti")
         new = front.select("root", "node").join(step, "node").groupBy("root", F.col("dst")).agg(F.min("node").alias("parent"))
         new = new.select("root", F.col("dst").alias("node"), "parent", F.lit(depth).alias("depth")).join(seen.select("root", "node"), ["root", "node"], "left_anti")
         front = write_shared(new, "front")
@@ -119,10 +163,33 @@ def call_trees(roots: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataF
     return seen
 
 
-def call_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes that no other node calls."""
-    called = edges.filter("src <> dst").select(F.col("dst").alias("id"))
-    return nodes.select("id").distinct().join(called, "id", "left_anti")
+def call_roots(nodes: DataFrame, edges: DataFrame, max_depth: int = 10, max_rounds: int = 10_000) -> DataFrame:
+    """Nodes from which calls start: every node is a root or within ``max_depth`` calls of one.
+
+    All nodes that no other node calls are roots. What they do not reach (cycles without a caller, and what lies
+    too deep) gets further roots by layer (``topo_layers``), the highest first: all unreached nodes of that layer at once.
+    """
+    ids = write_shared(nodes.select("id").distinct(), "callable")
+    calls = edges.select("src", "dst").filter("src <> dst").distinct()
+    calls = write_shared(calls.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "calls")
+    new = write_shared(ids.join(calls.select(F.col("dst").alias("id")), "id", "left_anti"), "roots")
+    roots, left, layers = new, ids, None
+    for _ in range(max_rounds):
+        front = new
+        left = write_shared(left.join(front, "id", "left_anti"), "unreached")
+        for _ in range(max_depth):
+            near = calls.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+            front = write_shared(near.join(left, "id", "left_semi"), "front")
+            if front.isEmpty():
+                break
+            left = write_shared(left.join(front, "id", "left_anti"), "unreached")
+        if left.isEmpty():
+            return roots
+        layers = layers if layers is not None else write_shared(topo_layers(ids, calls), "layers")
+        rest = layers.join(left, "id", "left_semi")
+        new = write_shared(rest.filter(F.col("layer") == rest.agg(F.max("layer")).first()[0]).select("id"), "roots")
+        roots = roots.unionByName(new)
+    raise RuntimeError(f"nodes are left after {max_rounds} rounds")
 
 
 def root_functions(trees: DataFrame, elements: DataFrame) -> DataFrame:
@@ -186,18 +253,43 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> D
     return done
 
 
+def path_hops(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, hop, src, dst, relation, confidence) of each path (a, b, path): one row a hop, with the smallest link between its two nodes.
+
+    Links count in both directions; ``edges`` (src, dst, relation[, confidence]).
+    """
+    c = F.col("confidence") if "confidence" in edges.columns else F.lit(None).cast("string")
+    link = edges.select("src", "dst", F.struct("relation", c.alias("confidence")).alias("_l"))
+    both = link.unionByName(link.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "_l")).groupBy("src", "dst").agg(F.min("_l").alias("_l"))
+    hop = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(i.alias("hop"), F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))
+    rows = paths.filter(F.size("path") > 1).select("a", "b", F.inline(hop))
+    return rows.join(both, ["src", "dst"]).select("a", "b", "hop", "src", "dst", "_l.relation", "_l.confidence")
+
+
 def seed_nodes(nodes: DataFrame, terms: list[str], k: int = 3) -> DataFrame:
     """The ``k`` nodes whose labels contain most terms; at least one; ties by id."""
     score = sum((F.contains(F.lower("label"), F.lit(t.lower())).cast("int") for t in terms), F.lit(0))
     return nodes.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 
+def path_between(nodes: DataFrame, edges: DataFrame, term_a: str, term_b: str, max_depth: int = 10) -> DataFrame:
+    """The hops of the shortest path between the nodes that match two terms best, each a text of one or more words."""
+    ends = [seed_nodes(nodes, term.split(), 1).select(F.col("id").alias(x)) for x, term in (("a", term_a), ("b", term_b))]
+    pair = ends[0].join(ends[1], F.lit(True))  # one row each
+    return path_hops(shortest_paths(edges, pair, max_depth), edges)
+
+
+def dfs_subgraph(edges: DataFrame, seeds: DataFrame, depth: int = 6) -> DataFrame:
+    """(node, depth): what a depth-limited search from the seeds reaches, whatever its order, with each node's least depth."""
+    return bfs_subgraph(edges, seeds, depth)
+
+
 def explain_node(nodes: DataFrame, edges: DataFrame, term: str, k: int = 1) -> DataFrame:
-    """Best match with its degree and its connections in both directions."""
-    best = seed_nodes(nodes, [term], k).select("id", "label")
+    """Best matches (``k`` at most) with their degree and their connections in both directions."""
+    best = F.broadcast(seed_nodes(nodes, [term], k).select("id", "label"))  # at most k rows
     out = edges.select(F.col("src").alias("id"), F.lit("out").alias("way"), "relation", F.col("dst").alias("other"))
-    both = out.unionByName(edges.select(F.col("dst").alias("id"), F.lit("in").alias("way"), "relation", F.col("src").alias("other")))
-    return both.join(F.broadcast(best), "id").withColumn("degree", F.count("*").over(Window.partitionBy("id")))
+    both = out.unionByName(edges.select(F.col("dst").alias("id"), F.lit("in").alias("way"), "relation", F.col("src").alias("other"))).join(best, "id")
+    return both.join(F.broadcast(both.groupBy("id").agg(F.count("*").alias("degree"))), "id")
 
 
 def vocabulary(nodes: DataFrame, label: str = "label") -> DataFrame:

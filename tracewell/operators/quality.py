@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import labelled, section_body
+from tracewell.functions.text import has_heading, plain_markup, section_body
 from tracewell.operators.batches import bound_batches, by_key, first_of_equal, release_memory
 from tracewell.operators.bounded import broadcast_if_small
+from tracewell.operators.catalog import exclude_paths
 from tracewell.operators.components import connected_components
 from tracewell.operators.tiles import TILE, deal_bands, exact_links, local_components, tile_split, tiles_of
 from tracewell.sources.shared import write_shared
@@ -91,13 +92,20 @@ def quantity_gate(df: DataFrame, estimated: str = "estimated", baseline: str = "
     return rows.withColumn("status", status)
 
 
-def scan_coverage(listed: DataFrame, repo: DataFrame, group: str, path: str, threshold: float = 0.8) -> DataFrame:
-    """(group, listed, files, ratio, low): distinct listed files that exist against all files."""
+def scan_coverage(listed: DataFrame, repo: DataFrame, group: str, path: str, threshold: float = 0.8, counts: DataFrame | None = None) -> DataFrame:
+    """(group, listed, files, ratio, low[, below_estimate]): distinct listed files that exist against all files.
+
+    ``counts`` (group, estimated, actual) adds whether fewer than the lower bound of the estimate (``LOWER``, half to even) were found.
+    """
     good = listed.select(group, path).distinct().join(repo.select(group, path).distinct(), [group, path], "left_semi")
     a, b = good.groupBy(group).agg(F.count("*").alias("listed")), repo.groupBy(group).agg(F.countDistinct(path).alias("files"))
     rows = b.join(a, group, "left").withColumn("listed", F.coalesce("listed", F.lit(0)))
     ratio = F.when(F.col("files") > 0, F.bround(F.col("listed") / F.col("files"), 6)).otherwise(1.0)
-    return rows.withColumn("ratio", ratio).withColumn("low", F.col("ratio") < threshold)
+    rows = rows.withColumn("ratio", ratio).withColumn("low", F.col("ratio") < threshold)
+    if counts is None:
+        return rows
+    below = F.coalesce(F.col("actual") < F.bround(F.col("estimated") * LOWER), F.lit(False))
+    return rows.join(counts.select(group, "estimated", "actual"), group, "left").withColumn("below_estimate", below).drop("estimated", "actual")
 
 
 def todo_gate(items: DataFrame, track: str, status: str) -> DataFrame:
@@ -114,7 +122,7 @@ def todo_failed(items: DataFrame, track: str, key: str, status: str) -> DataFram
     return items.filter(F.lower(status) == "failed").select(track, key)
 
 
-def trace_audit(traces: DataFrame, min_depth: int, allowed: tuple[str, ...], declared: str | None = None) -> DataFrame:
+def trace_audit(traces: DataFrame, min_depth: int, allowed: tuple[str, ...]) -> DataFrame:
     """``traces`` with ``problem``: a stop that is not allowed, too shallow a trace, or no evidence at the leaf."""
     problem = (
         F.when(~F.coalesce(F.col("stopped_reason").isin(*allowed), F.lit(False)), "stop not allowed")
@@ -124,6 +132,13 @@ def trace_audit(traces: DataFrame, min_depth: int, allowed: tuple[str, ...], dec
     return traces.withColumn("problem", problem)
 
 
+def trace_totals(audited: DataFrame, declared: DataFrame, key: str) -> DataFrame:
+    """(key, declared, found, agrees): premature stops that a report declares against those that ``trace_audit`` found."""
+    found = audited.groupBy(key).agg(F.count_if(F.col("problem").isNotNull()).alias("found"))
+    rows = declared.select(key, "declared").join(found, key, "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return rows.withColumn("agrees", F.col("declared").eqNullSafe(F.col("found")))
+
+
 def config_audit(assets: DataFrame, min_summary: int = 20) -> DataFrame:
     """``assets`` with an array of what is wrong: status, method, neither keys nor a summary, no consumer."""
     checks = [
@@ -144,8 +159,8 @@ def audit_declared(declared: DataFrame, actual: DataFrame, key: str = "name") ->
         .when((F.col("impact_status") == "no_hit") & (hits > 0), "declared none but hit")
         .when((F.col("impact_status") == "no_hit") & (F.coalesce(F.trim("rationale"), F.lit("")) == ""), "no rationale")
     )
-    primary = F.max(F.coalesce(F.col("role") == "primary", F.lit(False))).over(Window.partitionBy())
-    return both.withColumn("problem", problem).withColumn("has_primary", primary).drop("_d")
+    primary = declared.agg(F.coalesce(F.bool_or(F.col("role") == "primary"), F.lit(False)).alias("has_primary"))  # one row
+    return both.withColumn("problem", problem).drop("_d").join(F.broadcast(primary), F.lit(True))
 
 
 def uncovered_dirs(expected: DataFrame, scanned: DataFrame, col: str = "dir") -> DataFrame:
@@ -154,27 +169,39 @@ def uncovered_dirs(expected: DataFrame, scanned: DataFrame, col: str = "dir") ->
     return a.unionByName(scanned.select(col).subtract(expected.select(col)).withColumn("problem", F.lit("out of scope")))
 
 
-def contract_check(docs: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, errors): sorted failures of a contract given as rule rows (rule, kind, pattern, least).
+def scope_problems(declared: DataFrame, given: DataFrame, covered: DataFrame, excludes: tuple[str, ...], col: str = "path") -> DataFrame:
+    """(path, problem): a declared scope must equal the given one, and no covered path may hit an exclude pattern."""
+    differ = uncovered_dirs(given, declared, col)
+    inside = covered.select(col).distinct()
+    hit = inside.join(exclude_paths(inside, col, globs=excludes), col, "left_anti") if excludes else inside.limit(0)
+    return differ.unionByName(hit.withColumn("problem", F.lit("excluded path covered")))
 
-    Kinds: ``heading`` (a heading holds the pattern's text), ``token`` (contained), ``forbidden``, ``pattern`` (at least
-    ``least`` matches), ``min_chars`` (text of at least ``least`` characters). The rules are few and handed to all tasks.
-    """
-    rows = docs.select(key, F.col(text).alias("_t")).join(F.broadcast(rules), F.lit(True))
-    kind, p, n = F.col("kind"), F.col("pattern"), F.col("least")
-    t = F.coalesce("_t", F.lit(""))
-    heading = F.exists(F.split(t, "\n"), lambda x: x.rlike(r"^#+ ") & F.contains(x, p))
-    bad = (
-        F.when(kind == "heading", ~heading).when(kind == "token", ~F.contains(t, p)).when(kind == "forbidden", F.contains(t, p))
-        .when(kind == "pattern", F.regexp_count(t, p) < n).when(kind == "min_chars", F.length(t) < n)
-    )
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(bad, F.col("rule")))).alias("errors"))
 
+def contract_check(docs: DataFrame, rules: list[tuple[str, str, str, int]], key: str, text: str) -> DataFrame:
+    """(key, errors): sorted failures of a contract; a rule is (rule, kind, pattern, least).
 
-def section_lengths(docs: DataFrame, key: str, text: str, titles: list[str]) -> DataFrame:
-    """(key, title, chars) of the sections under the given headings; null where a heading is missing."""
-    cols = [F.struct(F.lit(x).alias("title"), F.length(section_body(F.col(text), x)).alias("chars")) for x in titles]
-    return docs.select(key, F.inline(F.array(*cols)))
+    Kinds: ``heading`` (a heading holds the pattern's text), ``section`` (the section under it, if there is one, has ``least`` characters),
+    ``token`` (contained) and ``forbidden``, both in the text without markup, ``pattern`` (at least ``least`` matches), ``at_most``
+    (no more than ``least`` matches), ``min_chars`` (text of at least ``least`` characters), ``checkboxes`` (at least ``least`` list items with
+    a box). Rules become literal expressions: no join, no shuffle, and each pattern is compiled once. A null text is empty.
+    """
+    t = F.col("_t")
+    plain = F.col("_plain")
+    found = []
+    for rule, kind, p, least in rules:
+        bad = {
+            "heading": lambda p=p: ~has_heading(t, p),
+            "section": lambda p=p, n=least: F.coalesce(F.length(section_body(t, p)).between(1, n - 1), F.lit(False)),
+            "token": lambda p=p: ~F.contains(plain, F.lit(p)),
+            "forbidden": lambda p=p: F.contains(plain, F.lit(p)),
+            "pattern": lambda p=p, n=least: F.regexp_count(t, F.lit(p)) < n,
+            "at_most": lambda p=p, n=least: F.regexp_count(t, F.lit(p)) > n,
+            "min_chars": lambda n=least: F.length(t) < n,
+            "checkboxes": lambda n=least: F.regexp_count(t, F.lit(r"(?m)^- \[[ xX]\]")) < n,
+        }[kind]()
+        found.append(F.when(bad, F.lit(rule)))
+    rows = docs.select(key, F.coalesce(text, F.lit("")).alias("_t")).withColumn("_plain", plain_markup(t))
+    return rows.select(key, F.array_sort(F.array_compact(F.array(*found))).alias("errors"))
 
 
 def spec_quality(checked: DataFrame, errors: str = "errors") -> DataFrame:
@@ -334,16 +361,34 @@ def completion_check(batches: DataFrame, outputs: DataFrame) -> DataFrame:
     return rows.select("batch_number", reason.isNull().alias("complete"), reason.alias("reason"))
 
 
-def incremental_coverage(lines: DataFrame, changed: DataFrame, path: str = "path", line: str = "line", hits: str = "hits", threshold: float = 80.0) -> DataFrame:
-    """(path, covered, total, percent, passed, gaps) of changed files; gaps are ranges of uncovered lines."""
-    rows = lines.join(changed.select(path).distinct(), path, "left_semi").groupBy(path, line).agg(F.max(hits).alias("_h"))
+def incremental_coverage(
+    lines: DataFrame, changed: DataFrame, path: str = "path", line: str = "line", hits: str = "hits", threshold: float = 80.0, branches: tuple[str, str] | None = None
+) -> DataFrame:
+    """(path, covered, total, percent, passed, gaps[, branch_percent]) of changed files; gaps are ranges of uncovered lines.
+
+    ``branches`` names columns with the branches of a line and those taken; a file without any has a null branch_percent. ``overall_coverage``
+    sums the files up.
+    """
+    b = [F.max(c).alias(f"_b{i}") for i, c in enumerate(branches or ())]
+    rows = lines.join(changed.select(path).distinct(), path, "left_semi").groupBy(path, line).agg(F.max(hits).alias("_h"), *b)
     miss = rows.filter("_h = 0").withColumn("_g", F.col(line) - F.row_number().over(Window.partitionBy(path).orderBy(line)))
     runs = miss.groupBy(path, "_g").agg(F.min(line).alias("first"), F.max(line).alias("last"))
     gaps = runs.groupBy(path).agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("gaps"))
     text = F.array_join(F.transform("gaps", lambda x: F.when(x["first"] == x["last"], x["first"].cast("string")).otherwise(F.concat_ws("-", x["first"].cast("string"), x["last"].cast("string")))), ",")
     sums = rows.groupBy(path).agg(F.count_if(F.col("_h") > 0).alias("covered"), F.count("*").alias("total"))
     sums = sums.withColumn("percent", F.bround(100 * F.col("covered") / F.col("total"), 2)).withColumn("passed", F.col("percent") >= threshold)
-    return sums.join(gaps, path, "left").withColumn("gaps", F.coalesce(text, F.lit("")))
+    out = sums.join(gaps, path, "left").withColumn("gaps", F.coalesce(text, F.lit("")))
+    if branches is None:
+        return out
+    taken = F.bround(100 * F.sum("_b1") / F.nullif(F.sum("_b0"), F.lit(0)), 2)
+    return out.join(rows.groupBy(path).agg(taken.alias("branch_percent")), path, "left")
+
+
+def overall_coverage(files: DataFrame, threshold: float = 80.0) -> DataFrame:
+    """One row of the result of ``incremental_coverage``: files, lines covered and in all, percent, and whether that passes."""
+    rows = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+    percent = F.bround(100 * F.col("covered") / F.nullif(F.col("total"), F.lit(0)), 2)
+    return rows.withColumn("percent", percent).withColumn("passed", F.coalesce(F.col("percent") >= threshold, F.lit(True)))
 
 
 def failed_checks(results: DataFrame, key: str) -> DataFrame:
@@ -352,7 +397,3 @@ def failed_checks(results: DataFrame, key: str) -> DataFrame:
     ok = F.lower(F.coalesce("check_result", F.lit(""))).isin("pass", "passed", "success", "ok")
     logs = F.filter(F.split(F.coalesce("check_log", F.lit("")), r"[,;\s]+"), lambda x: x != "")
     return rows.filter(~ok).select(key, "check_type", "check_info", logs.alias("logs"))
-
-
-def label_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(labelled(F.col(col)).alias(col)).agg(F.count("*").alias("n"))

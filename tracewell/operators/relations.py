@@ -9,10 +9,17 @@ from tracewell.functions.text import canonical_id
 
 
 def adjacency(edges: DataFrame, source: str = "source", target: str = "target", out: str = "targets", canonical: bool = False) -> DataFrame:
-    """Distinct sorted targets of each source; null ends are left out."""
+    """Distinct sorted targets of each source; null ends are left out.
+
+    A row holds all targets of its source: where that may be too much, keep ``distinct_edges``, one row an edge.
+    """
+    return distinct_edges(edges, source, target, canonical).groupBy(source).agg(F.array_sort(F.collect_list(target)).alias(out))
+
+
+def distinct_edges(edges: DataFrame, source: str = "source", target: str = "target", canonical: bool = False) -> DataFrame:
+    """Each edge once, without null ends; a source of any size stays spread over tasks."""
     fix = canonical_id if canonical else (lambda c: c)
-    rows = edges.select(fix(F.col(source)).alias(source), fix(F.col(target)).alias(target)).dropna()
-    return rows.groupBy(source).agg(F.array_sort(F.collect_set(target)).alias(out))
+    return edges.select(fix(F.col(source)).alias(source), fix(F.col(target)).alias(target)).dropna().distinct()
 
 
 def invert(relations: DataFrame, source: str = "source", targets: str = "targets") -> DataFrame:
@@ -30,7 +37,7 @@ def compose_relations(ab: DataFrame, bc: DataFrame, keep_empty: bool = False) ->
     pairs = first.join(second, "m", "left" if keep_empty else "inner").select(F.col("a").alias("source"), "c").distinct()
     if not keep_empty:
         pairs = pairs.filter("c IS NOT NULL")
-    return pairs.groupBy("source").agg(F.array_sort(F.collect_set("c")).alias("targets"))
+    return pairs.groupBy("source").agg(F.array_sort(F.array_compact(F.collect_list("c"))).alias("targets"))
 
 
 def merge_known_and_observed(known: DataFrame, observed: DataFrame, key: str, targets: str = "targets") -> DataFrame:

@@ -6,52 +6,68 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Weights of languages in the vote; any other has 0.5.
-LANGUAGE_WEIGHTS = {"python": 1.0, "java": 1.0, "cpp": 1.0, "c": 0.8, "javascript": 0.9, "go": 1.0, "rust": 1.0, "shell": 0.6, "sql": 0.5, "html": 0.4, "json": 0.2}
+LANGUAGE_WEIGHTS = {
+    "python": 1.0, "java": 1.0, "cpp": 1.0, "c": 0.8, "javascript": 0.9, "go": 1.0, "rust": 1.0, "php": 0.9, "ruby": 0.9, "swift": 1.0, "kotlin": 1.0,
+    "scala": 1.0, "r": 0.8, "matlab": 0.8, "shell": 0.6, "powershell": 0.6, "sql": 0.5, "html": 0.4, "css": 0.4, "xml": 0.3, "yaml": 0.3, "json": 0.2,
+    "markdown": 0.2, "dockerfile": 0.3, "cmake": 0.3, "makefile": 0.3,
+}
+
+
+def first_rule(conditions: list[Column]) -> Column:
+    """The number from 1 of the first condition that holds, else 0. One CASE: what follows looks values up by it and tests nothing again."""
+    number = F.lit(0)
+    for i in range(len(conditions), 0, -1):
+        number = F.when(F.coalesce(conditions[i - 1], F.lit(False)), i).otherwise(number)
+    return number
+
+
+def by_number(values: list, number: Column, default) -> Column:
+    """``values`` by rule number, ``default`` for 0."""
+    return F.element_at(F.array(*[F.lit(v) for v in (default, *values)]), number + 1)
 
 
 def classify_first_match(df: DataFrame, rules: list[tuple[str, str, str, str, float]], default: str = "unknown") -> DataFrame:
     """``df`` with label, confidence and basis of the first rule that hits.
 
-    A rule is (id, column, regex, label, confidence). All become one CASE expression, which stops at the first hit;
-    a label of "" means that the row is ruled out.
+    A rule is (id, column, regex, label, confidence). All become one CASE expression over literal patterns, which stops at the first
+    hit and runs once for the three columns; a label of "" means that the row is ruled out.
     """
-    label: Column | None = None
-    confidence = basis = None
-    for rule, column, regex, name, sure in rules:
-        hit = F.coalesce(F.col(column).rlike(regex), F.lit(False))
-        if label is None:
-            label, confidence, basis = F.when(hit, F.lit(name)), F.when(hit, F.lit(float(sure))), F.when(hit, F.lit(rule))
-        else:
-            label, confidence, basis = label.when(hit, F.lit(name)), confidence.when(hit, F.lit(float(sure))), basis.when(hit, F.lit(rule))
-    out = F.nullif(F.coalesce(label, F.lit(default)), F.lit(""))
-    return df.select("*", F.coalesce(out, F.lit(default)).alias("label"), F.coalesce(confidence, F.lit(0.0)).alias("confidence"), F.coalesce(basis, F.lit("none")).alias("basis"))
-
-
-def classify_weighted(df: DataFrame, rules: DataFrame, key: str, text: str, default: str = "unknown") -> DataFrame:
-    """(key, label, confidence): the label of the highest confidence among those that no rule excludes.
-
-    ``rules`` (label, kind, pattern, confidence): kind is optional, required or exclude. A label needs all its required
-    rules and one rule at least; ties go to the smaller label. The rule table is small by nature and handed to all tasks.
-    """
-    few = F.broadcast(rules.select("label", "kind", "pattern", F.col("confidence").cast("double").alias("c")))
-    required = rules.filter("kind = 'required'").groupBy("label").agg(F.count("*").alias("_need"))
-    hits = df.select(key, F.col(text).alias("_t")).join(few, F.expr("_t rlike pattern"))
-    by = hits.groupBy(key, "label").agg(
-        F.max(F.when(F.col("kind") != "exclude", F.col("c"))).alias("confidence"), F.bool_or(F.col("kind") == "exclude").alias("_out"),
-        F.count_if(F.col("kind") == "required").alias("_has"),
-    )
-    ok = by.join(F.broadcast(required), "label", "left").filter("NOT _out AND confidence IS NOT NULL AND _has >= coalesce(_need, 0)")
-    best = ok.groupBy(key).agg(F.min(F.struct((-F.col("confidence")).alias("c"), "label")).alias("_b"))
-    return df.select(key).join(best, key, "left").select(
-        key, F.coalesce("_b.label", F.lit(default)).alias("label"), F.coalesce(-F.col("_b.c"), F.lit(0.0)).alias("confidence")
+    rows = df.withColumn("_rule", first_rule([F.col(column).rlike(regex) for _, column, regex, _, _ in rules]))
+    n = F.col("_rule")
+    return rows.select(
+        *df.columns, by_number([x[3] or default for x in rules], n, default).alias("label"), by_number([float(x[4]) for x in rules], n, 0.0).alias("confidence"),
+        by_number([x[0] for x in rules], n, "none").alias("basis"),
     )
 
 
-def tag_semantics(df: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, domain, function) of the first rule by priority whose pattern the text matches; ``rules`` (priority, pattern, domain, function)."""
-    hits = df.select(key, F.col(text).alias("_t")).join(F.broadcast(rules), F.expr("_t rlike pattern"))
-    best = hits.groupBy(key).agg(F.min(F.struct("priority", "domain", "function")).alias("_b"))
-    return df.select(key).join(best, key, "left").select(key, "_b.domain", "_b.function")
+def classify_weighted(df: DataFrame, rules: list[tuple[str, str, str, float]], key: str, text: str, default: str = "unknown") -> DataFrame:
+    """(key, label, confidence): the label of the highest confidence among those that no rule excludes.
+
+    A rule is (label, kind, pattern, confidence); kind is optional, required or exclude. A label needs all its required
+    rules and one rule at least; ties go to the smaller label. Rules become literal patterns: no join and no shuffle.
+    """
+    found = []
+    for label in sorted({r[0] for r in rules}):
+        hit = lambda r: F.coalesce(F.col(text).rlike(r[2]), F.lit(False))
+        own = {kind: [r for r in rules if r[0] == label and r[1] == kind] for kind in ("optional", "required", "exclude")}
+        ok = F.lit(True)
+        for r in own["required"]:
+            ok = ok & hit(r)
+        for r in own["exclude"]:
+            ok = ok & ~hit(r)
+        scores = [F.when(hit(r), F.lit(float(r[3]))) for r in own["optional"]] + [F.lit(float(r[3])) for r in own["required"]]
+        if scores:
+            best = F.array_max(F.array(*scores))
+            found.append(F.when(ok & best.isNotNull(), F.struct((-best).alias("c"), F.lit(label).alias("label"))))
+    rows = df.select(key, F.array_min(F.array(*found)).alias("_b"))
+    return rows.select(key, F.coalesce("_b.label", F.lit(default)).alias("label"), F.coalesce(-F.col("_b.c"), F.lit(0.0)).alias("confidence"))
+
+
+def tag_semantics(df: DataFrame, rules: list[tuple[int, str, str, str]], key: str, text: str) -> DataFrame:
+    """(key, domain, function) of the first rule by priority whose pattern the text matches; a rule is (priority, pattern, domain, function)."""
+    rules = sorted(rules)
+    rows = df.select(key, first_rule([F.col(text).rlike(r[1]) for r in rules]).alias("_rule"))
+    return rows.select(key, by_number([r[2] for r in rules], F.col("_rule"), None).alias("domain"), by_number([r[3] for r in rules], F.col("_rule"), None).alias("function"))
 
 
 def normalise_catalogue(df: DataFrame, kind: str, path: str, synonyms: dict[str, str], languages: dict[str, str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import elapsed_seconds
+from tracewell.operators.bounded import broadcast_if_small
 
 DONE, FAILED, PENDING, PROCESSING = "completed", "failed", "pending", "processing"
 
@@ -103,11 +104,11 @@ def stale_sessions(log: DataFrame, key: str, ts: str, done: Column, now: Column,
 def stage_gate(states: DataFrame, verdicts: DataFrame, workflow: DataFrame, key: str = "key") -> DataFrame:
     """(key, stage, decision): may the current stage be left?
 
-    ``workflow`` (stage, pos, blocking, required, trusted_source) is a small table. A blocking stage needs its latest verdict, of a
+    ``workflow`` (stage, pos, blocking, required, trusted_source) has one row a stage; it is handed to all tasks only if it has few. A blocking stage needs its latest verdict, of a
     trusted source, to be a pass; required earlier stages must be complete.
     """
     last = latest_per_key(verdicts.select(key, "stage", "seq", "passed", "source"), [key, "stage"], ["seq"])
-    flow = F.broadcast(workflow)
+    flow = broadcast_if_small(workflow, 10_000)
     rows = states.select(key, F.col("current_stage").alias("stage"), "completed_stages").join(flow, "stage", "left").join(last, [key, "stage"], "left")
     needed = workflow.filter("required").agg(F.collect_list(F.struct("pos", F.col("stage").alias("s"))).alias("_need"))
     rows = rows.join(F.broadcast(needed), F.lit(True))

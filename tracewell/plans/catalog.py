@@ -108,10 +108,10 @@ def duplicate_ids(t):
     return catalog.duplicate_ids(t("lineitem").select(F.col("l_orderkey").alias("item")), "item")
 
 
-@query("""SELECT count(*) AS rows, count(lang) AS labelled_lang, count(source) AS labelled_source, 1000::BIGINT AS declared,
-count(*) = 1000 AND count(lang) = count(*) AND count(source) = count(*) AS consistent FROM documents""")
+@query("""SELECT count(*) AS rows, count(lang) AS labelled_lang, count(source) AS labelled_source, (SELECT max(doc_id) + 1 FROM documents) AS declared,
+count(*) = (SELECT max(doc_id) + 1 FROM documents) AND count(lang) = count(*) AND count(source) = count(*) AS consistent FROM documents""")
 def totals_check(t):
-    return catalog.totals_check(t("documents"), 1000, ["lang", "source"])
+    return catalog.totals_check(t("documents"), t("documents").agg(F.max("doc_id") + 1).first()[0], ["lang", "source"])
 
 
 # ---------------------------------------------------------------- change sets
@@ -306,8 +306,8 @@ def filter_instances(t):
     return search.filter_instances(_instances(t), {"Language": "en", "source": ["src1", "src2"]}, {"Language": "lang"}).select("doc_id")
 
 
-@query("""WITH w AS (SELECT DISTINCT coalesce(source, '') AS ref FROM documents UNION SELECT 'DOC_' || doc_id FROM documents WHERE doc_id % 3 = 0)
-SELECT ref, CASE WHEN ref IN (SELECT 'DOC_' || doc_id FROM documents) THEN ref ELSE (SELECT min('DOC_' || doc_id) FROM documents WHERE source = ref) END AS id FROM w WHERE ref <> ''""")
+@query("""WITH i AS (SELECT 'DOC_' || doc_id AS id, source FROM documents), w AS (SELECT source AS ref FROM i UNION SELECT id FROM i), n AS (SELECT source, min(id) AS first FROM i GROUP BY source)
+SELECT ref, coalesce(i.id, first) AS id FROM w LEFT JOIN (SELECT DISTINCT id FROM i) i ON i.id = ref LEFT JOIN n ON n.source = ref WHERE ref <> ''""")
 def resolve_instance(t):
     docs = _instances(t)
     wanted = docs.select(F.col("name").alias("ref")).union(docs.select("id")).distinct().filter("ref <> ''")
@@ -346,7 +346,7 @@ def index_entries(t):
     return search.index_entries(t("documents"), "text", F.coalesce("lang", F.lit("")), 400, ("de",)).select("doc_id", "skip_reason")
 
 
-VECTORS_SQL = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 16),
+VECTORS_SQL = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
 s AS (SELECT query_id, vec_id, list_dot_product(q, embedding::DOUBLE[]) AS s FROM q, embeddings WHERE {where}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, round(s, 4) AS score FROM r WHERE rank <= 10 AND s >= 0.3"""
@@ -380,7 +380,7 @@ def index_incremental(t):
     return first.unionByName(search.build_index(docs, store).withColumn("run", F.lit("run2")))
 
 
-@query("""WITH q AS (SELECT lower(p_name) AS q FROM part WHERE p_partkey <= 5), n AS (SELECT p_partkey, lower(p_name) AS n FROM part),
+@query("""WITH q AS (SELECT lower(p_name) AS q FROM part WHERE p_partkey % 100 = 0), n AS (SELECT p_partkey, lower(p_name) AS n FROM part),
 x AS (SELECT q, p_partkey, list_distinct(list_filter(regexp_extract_all(q, '[a-z0-9_]+'), lambda w: length(w) >= 2)) AS a, list_distinct(list_filter(regexp_extract_all(n, '[a-z0-9_]+'), lambda w: length(w) >= 2)) AS b, n FROM q, n)
 SELECT q AS query, p_partkey, round(0.5 * (contains(n, q) OR contains(replace(n, ' ', ''), replace(q, ' ', '')))::INT + CASE WHEN len(a) > 0 AND len(b) > 0 THEN 0.3 * len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) ELSE 0 END, 6) AS score
 FROM (SELECT DISTINCT * FROM x)""")
@@ -411,14 +411,12 @@ WEIGHTED = [("buyer", "optional", "purchase", 0.9), ("buyer", "exclude", "error"
 @query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'buyer' WHEN 'view' THEN 'visitor' WHEN 'click' THEN 'visitor' WHEN 'signup' THEN 'new' ELSE 'unknown' END AS label,
 CASE event_type WHEN 'purchase' THEN 0.9 WHEN 'view' THEN 0.6 WHEN 'click' THEN 0.6 WHEN 'signup' THEN 0.8 ELSE 0.0 END::DOUBLE AS confidence FROM events""")
 def classify_weighted(t):
-    table_ = t("events").sparkSession.createDataFrame(WEIGHTED, "label string, kind string, pattern string, confidence double")
-    return rules.classify_weighted(t("events"), table_, "event_id", "event_type")
+    return rules.classify_weighted(t("events"), WEIGHTED, "event_id", "event_type")
 
 
 @query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'sales' WHEN 'error' THEN 'support' END AS domain, CASE event_type WHEN 'purchase' THEN 'buy' WHEN 'error' THEN 'fail' END AS "function" FROM events""")
 def tag_semantics(t):
-    table_ = t("events").sparkSession.createDataFrame([(1, "purch", "sales", "buy"), (2, "err", "support", "fail")], "priority int, pattern string, domain string, function string")
-    return rules.tag_semantics(t("events"), table_, "event_id", "event_type")
+    return rules.tag_semantics(t("events"), [(1, "purch", "sales", "buy"), (2, "err", "support", "fail")], "event_id", "event_type")
 
 
 @query("""SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https:') THEN 'secure' ELSE 'plain' END AS type, coalesce(nullif(regexp_extract(url, '^([^/]+)/', 1), ''), 'root') AS module FROM pages WHERE url IS NOT NULL""")
@@ -480,11 +478,12 @@ def score_in_text(t):
     return t("labels").select("doc_id", X.score_in_text(text).alias("score"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (quality + toxic) * 40.0 + 10 ELSE 95.0 END::DOUBLE AS score, CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'fail' END AS status,
-false AS passed FROM labels""")
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN (quality + toxic) * 45.0 + 10 WHEN 1 THEN 95.0 + toxic ELSE 96.5 END::DOUBLE AS score, CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'fail' ELSE 'pass' END AS status,
+CASE doc_id % 3 WHEN 0 THEN quality + toxic = 2 WHEN 1 THEN false ELSE true END AS passed FROM labels""")
 def total_score(t):
-    text = F.when(F.col("doc_id") % 2 == 0, F.format_string('{"scores": {"a": {"score": 3}, "total": %d}, "status": "OK"}', (F.col("quality") + F.col("toxic")) * 40 + 10))
-    text = text.otherwise(F.lit("# report\ntotal_score: 0.95\nstatus: pass\nstatus: FAIL\n"))
+    n, q, x = F.col("doc_id") % 3, F.col("quality"), F.col("toxic")
+    text = F.when(n == 0, F.format_string('{"scores": {"a": {"score": 3}, "total": %d}, "status": "OK"}', (q + x) * 45 + 10))
+    text = text.when(n == 1, F.format_string("# report\ntotal_score: 0.%d\nstatus: pass\nstatus: FAIL\n", 95 + x)).otherwise(F.lit("overall_score = 40\ntotal_score: **96.5**\nStatus: Pass"))
     return t("labels").select("doc_id", X.total_score(text).alias("s")).select("doc_id", "s.*")
 
 
@@ -523,12 +522,26 @@ def merge_best(t):
     return catalog.merge_best(rows, "k", "confidence", "note", ["sources"])
 
 
-@query("""SELECT doc_id, list_sort(list_filter([CASE WHEN NOT contains(coalesce(text, ''), 'the') THEN 'has the' END, CASE WHEN contains(coalesce(text, ''), '!!') THEN 'no shouting' END,
-CASE WHEN len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) < 2 THEN 'two numbers' END, CASE WHEN length(coalesce(text, '')) < 500 THEN 'long enough' END, 'heading'], lambda x: x IS NOT NULL)) AS errors FROM documents""")
+PLAIN = "translate(regexp_replace(coalesce(text, ''), '[*_`]+', '', 'g'), '：，（）；！？', ':,();!?')"
+
+
+@query(f"""SELECT doc_id, list_sort(list_filter([CASE WHEN NOT contains({PLAIN}, 'the') THEN 'has the' END, CASE WHEN contains({PLAIN}, '!!') THEN 'no shouting' END,
+CASE WHEN len(regexp_extract_all(coalesce(text, ''), '[0-9]+')) < 2 THEN 'two numbers' END, CASE WHEN length(coalesce(text, '')) < 500 THEN 'long enough' END, 'heading',
+CASE WHEN len(regexp_extract_all(coalesce(text, ''), 'qu')) > 3 THEN 'few qu' END, 'boxes'], lambda x: x IS NOT NULL)) AS errors FROM documents""")
 def contract_check(t):
-    rows = [("has the", "token", "the", 0), ("no shouting", "forbidden", "!!", 0), ("two numbers", "pattern", "[0-9]+", 2), ("long enough", "min_chars", "", 500), ("heading", "heading", "Overview of everything", 0)]
-    table_ = t("documents").sparkSession.createDataFrame(rows, "rule string, kind string, pattern string, least int")
-    return quality.contract_check(t("documents"), table_, "doc_id", "text")
+    rows = [
+        ("has the", "token", "the", 0), ("no shouting", "forbidden", "!!", 0), ("two numbers", "pattern", "[0-9]+", 2), ("long enough", "min_chars", "", 500),
+        ("heading", "heading", "Overview of everything", 0), ("section", "section", "Overview of everything", 20), ("few qu", "at_most", "qu", 3), ("boxes", "checkboxes", "", 1),
+    ]
+    return quality.contract_check(t("documents"), rows, "doc_id", "text")
+
+
+@query("""WITH m AS (SELECT conv_id, count(*) AS n, string_agg(role || ' ' || turn, ',') AS h FROM conversations GROUP BY conv_id),
+u AS (SELECT conv_id, length(trim(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^#+\\s', '', 'g'), '^\\s+|\\s+$', '', 'g'))) AS c FROM conversations WHERE role = 'user' AND turn = 0)
+SELECT conv_id, list_filter(['no appendix', CASE WHEN c BETWEEN 1 AND 199 THEN 'short question' END], lambda x: x IS NOT NULL) AS errors, (1 - 0.1 * len(errors))::DOUBLE AS score FROM m LEFT JOIN u USING (conv_id)""")
+def section_rules(t):
+    checked = quality.contract_check(_conversation_md(t), [("no appendix", "heading", "Appendix of tables", 0), ("short question", "section", "user 0", 200)], "conv_id", "text")
+    return quality.spec_quality(checked)
 
 
 @query("""SELECT doc_id, term, severity, len(regexp_extract_all(lower(text), '\\b' || term || '\\b'))::INTEGER AS n FROM documents, (VALUES ('the', 'low'), ('with', 'high')) AS v(term, severity)
@@ -542,8 +555,8 @@ def _todo_items(t):
     return t("orders").select(F.col("o_orderstatus").alias("track"), F.col("o_orderkey").alias("k"), s.alias("s"))
 
 
-@query("""WITH l AS (SELECT o_orderstatus AS track, o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'done' END AS s FROM orders WHERE o_orderkey < 1000)
-SELECT track, count(*) FILTER (s = 'done') AS done, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'pending') AS pending, list_sort(list(k) FILTER (s = 'failed')) AS failed_ids, false AS passed FROM l GROUP BY track""")
+@query("""WITH l AS (SELECT o_orderstatus AS track, CASE o_orderkey % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'pending' ELSE 'done' END AS s FROM orders)
+SELECT track, count(*) FILTER (s = 'done') AS done, count(*) FILTER (s = 'failed') AS failed, count(*) FILTER (s = 'pending') AS pending, count(*) FILTER (s <> 'done') = 0 AS passed FROM l GROUP BY track""")
 def todo_gate(t):
     return quality.todo_gate(_todo_items(t), "track", "s")
 
@@ -589,8 +602,9 @@ def near_duplicate_classes(t):
 @query(f"""WITH RECURSIVE {SHINGLES},
 p AS (SELECT a, b FROM cm JOIN rep x ON x.doc_id = a JOIN rep y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= 0.8),
 l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach AS (SELECT doc_id AS a, doc_id AS b FROM rep UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
-g AS (SELECT a AS doc_id, min(b) AS g FROM reach GROUP BY a)
-SELECT g AS doc_id, list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)) AS sources FROM g JOIN documents USING (doc_id) GROUP BY g""")
+g AS (SELECT a, min(b) AS g FROM reach GROUP BY a), m AS (SELECT st.doc_id, rep.doc_id AS r FROM st JOIN rep USING (st))
+SELECT g AS doc_id, coalesce(list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)), []) AS sources FROM m JOIN g ON g.a = m.r JOIN documents d ON d.doc_id = m.doc_id GROUP BY g
+UNION ALL SELECT doc_id, list_filter([source], lambda x: x IS NOT NULL) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM st)""")
 def consolidate_documents(t):
     return consolidate.consolidate_texts(t("documents").select("doc_id", "text", "source"), "doc_id", "text", "source", "sources")
 
@@ -615,20 +629,122 @@ def bfs(t):
     return graph.bfs_subgraph(edges, t("region").filter("r_regionkey = 0").select(F.concat(F.lit("r"), "r_regionkey").alias("id")), 3)
 
 
-@query(f"""WITH RECURSIVE {GEO}, p AS (SELECT 'c' || c_custkey AS a, 'c1' AS b FROM customer WHERE c_custkey <= 6 AND c_custkey > 1),
-w AS (SELECT DISTINCT a, a AS node, 0 AS d FROM p UNION SELECT w.a, u.b, d + 1 FROM w JOIN u ON u.a = w.node WHERE d < 6 AND u.b NOT LIKE 'o%')
-SELECT p.a, p.b, min(d) AS hops FROM p JOIN w ON w.a = p.a AND w.node = p.b GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {GEO}, w AS (SELECT 'c1' AS node, 0 AS d UNION SELECT u.b, d + 1 FROM w JOIN u ON u.a = w.node WHERE d < 6)
+SELECT 'c' || c_custkey AS a, 'c1' AS b, min(d) AS hops FROM customer JOIN w ON node = 'c' || c_custkey WHERE c_custkey % 100 = 0 GROUP BY 1, 2""")
 def shortest_path(t):
     pairs = t("customer").filter("c_custkey % 100 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("a"), F.lit("c1").alias("b"))
     return graph.shortest_paths(_geo_edges(t), pairs, 6).select("a", "b", "hops")
 
 
-@query(f"""WITH {GEO}, b AS (SELECT 'n' || n_nationkey AS id, n_name AS label FROM nation WHERE contains(lower(n_name), 'an') ORDER BY 1 LIMIT 1),
+@query(f"""WITH {GEO}, b AS (SELECT 'n' || n_nationkey AS id, n_name AS label FROM nation WHERE contains(lower(n_name), 'nation_1') ORDER BY 1 LIMIT 5),
 x AS (SELECT src AS id, 'out' AS way, relation, dst AS other FROM g UNION ALL SELECT dst, 'in', relation, src FROM g)
-SELECT id, way, relation, other, label, count(*) OVER () AS degree FROM x JOIN b USING (id)""")
+SELECT id, way, relation, other, label, count(*) OVER (PARTITION BY id) AS degree FROM x JOIN b USING (id)""")
 def explain(t):
     nodes = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("label"))
-    return graph.explain_node(nodes, _geo_edges(t), "an")
+    return graph.explain_node(nodes, _geo_edges(t), "Nation_1", 5)
+
+
+def _geo_nodes(t):
+    n = t("nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("label"))
+    r = t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.col("r_name").alias("label"))
+    return n.unionByName(r).unionByName(t("customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lower("c_name").alias("label")))
+
+
+GEO_NODES = """ns AS (SELECT 'n' || n_nationkey AS id, n_name AS label FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name FROM region UNION ALL SELECT 'c' || c_custkey, lower(c_name) FROM customer)"""
+
+
+@query(f"""WITH {GEO_NODES} SELECT id, label, contains(lower(label), 'east')::INT + contains(lower(label), 'customer')::INT + contains(lower(label), '7')::INT AS score FROM ns
+WHERE contains(lower(label), 'east') OR contains(lower(label), 'customer') OR contains(lower(label), '7') ORDER BY score DESC, id LIMIT 50""")
+def seed_nodes(t):
+    return graph.seed_nodes(_geo_nodes(t), ["East", "customer", "7"], 50)
+
+
+@query(f"""WITH {GEO}, {GEO_NODES}, a AS (SELECT id FROM ns WHERE contains(lower(label), 'customer#000000007') ORDER BY id LIMIT 1),
+p AS (SELECT c.src AS c, c.dst AS n, n.dst AS r FROM g c JOIN g n ON n.src = c.dst JOIN a ON a.id = c.src WHERE c.src LIKE 'c%'),
+h AS (SELECT 1 AS hop, c AS src, n AS dst, 'in_nation' AS relation FROM p UNION ALL SELECT 2, n, r, 'in_region' FROM p)
+SELECT a.id AS a, r AS b, hop, src, dst, relation, NULL::VARCHAR AS confidence FROM h, a, p""")
+def path_between(t):
+    nation = t("customer").filter("c_custkey = 7").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    region = nation.join(t("region"), F.col("r_regionkey") == F.col("n_regionkey")).select("r_name").first()[0]
+    return graph.path_between(_geo_nodes(t), _geo_edges(t), "Customer#000000007", region)
+
+
+@query(f"WITH RECURSIVE {GEO}, w AS (SELECT 'n3' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN u ON u.a = w.node WHERE depth < 6) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+def dfs(t):
+    return graph.dfs_subgraph(_geo_edges(t), t("nation").filter("n_nationkey = 3").select(F.concat(F.lit("n"), "n_nationkey").alias("id")))
+
+
+# a ring of four parts for every four, with a caller outside where the number of the ring is even; keys come in whole fours in the given tables
+RINGS = """e AS (SELECT p_partkey AS src, p_partkey // 4 * 4 + (p_partkey + 1) % 4 AS dst FROM part UNION ALL SELECT -1 - p_partkey // 4, p_partkey FROM part WHERE p_partkey % 8 = 2),
+n AS (SELECT p_partkey AS id FROM part UNION SELECT src FROM e)"""
+
+
+def _rings(t):
+    k = F.col("p_partkey")
+    ring = F.floor(k / 4)
+    e = t("part").select(k.alias("src"), (ring * 4 + (k + 1) % 4).alias("dst")).unionByName(t("part").filter(k % 8 == 2).select((-1 - ring).alias("src"), k.alias("dst")))
+    return t("part").select(k.alias("id")).union(e.select("src")).distinct(), e
+
+
+# of a ring with a caller the caller is released first (it has no more open links than the others), and the ring when all others are done
+@query(f"""WITH {RINGS} SELECT id, CASE WHEN id < 0 THEN 0 ELSE (4 - id % 4) % 4 + CASE WHEN id // 4 % 2 = 0 THEN 4 ELSE 0 END END::INTEGER AS layer FROM n""")
+def cycle_layers(t):
+    return graph.topo_layers(*_rings(t))
+
+
+@query(f"""WITH {RINGS} SELECT id FROM n WHERE id < 0 UNION ALL SELECT p_partkey + 1 FROM part WHERE p_partkey % 8 = 4""")
+def cycle_roots(t):
+    nodes, edges = _rings(t)
+    return graph.call_roots(nodes, edges)
+
+
+@query("""SELECT 'f' || o_orderkey || '###u' || o_orderkey AS key, 'f' || o_orderkey AS root_name, 'u' || o_orderkey AS uuid, (1 + count(DISTINCT l_partkey))::BIGINT AS reached, 1 AS depth, o_orderpriority AS kind
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderpriority""")
+def root_functions(t):
+    name = F.format_string("f%d###u%d", "l_orderkey", "l_orderkey")
+    edges = t("lineitem").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi").select(name.alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    trees = graph.call_trees(edges.select(F.col("src").alias("id")).distinct(), edges, max_nodes=10_000)
+    elements = t("orders").select(F.format_string("f%d###u%d", "o_orderkey", "o_orderkey").alias("key"), F.col("o_orderpriority").alias("kind"))
+    return graph.root_functions(trees, elements)
+
+
+ELEMENTS = """el AS (SELECT 'c' || c_custkey || '###u' || c_custkey AS key, 's' || c_custkey AS uuid FROM customer),
+rf AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'u' || o_custkey WHEN 1 THEN 'c' || o_custkey || '###u' || o_custkey WHEN 2 THEN 's' || o_custkey WHEN 3 THEN '' END AS ref, o_custkey FROM orders)"""
+
+
+@query(f"""WITH {ELEMENTS} SELECT o_orderkey, ref, CASE WHEN ref <> '' AND o_custkey IN (SELECT c_custkey FROM customer) THEN 'c' || o_custkey || '###u' || o_custkey END AS key FROM rf""")
+def lookup_element(t):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    ref = F.when(k % 5 == 0, F.concat(F.lit("u"), c)).when(k % 5 == 1, F.format_string("c%d###u%d", c, c)).when(k % 5 == 2, F.concat(F.lit("s"), c)).when(k % 5 == 3, "")
+    elements = t("customer").select(F.format_string("c%d###u%d", "c_custkey", "c_custkey").alias("key"), F.concat(F.lit("s"), "c_custkey").alias("uuid"))
+    return graph.lookup_element(t("orders").select(k, ref.alias("ref"), c), elements).select("o_orderkey", "ref", "key")
+
+
+@query("""WITH i AS (SELECT p_brand AS c, p_name AS n, min(p_partkey) AS k FROM part GROUP BY ALL), b AS (SELECT i.*, CASE WHEN k % 3 > 0 THEN p_type ELSE '' END AS body FROM i JOIN part ON p_partkey = k)
+SELECT s_suppkey, 'public' AS access, CASE WHEN body <> '' THEN body ELSE 'declared' END AS content, CASE WHEN k IS NULL THEN 'h' ELSE 'f' || k END AS filename, CASE WHEN k IS NULL THEN ['none'] ELSE ['d' || k] END AS dependencies
+FROM supplier LEFT JOIN part p ON p.p_partkey = s_suppkey * 3 LEFT JOIN b ON b.c = p.p_brand AND b.n = p.p_name""")
+def merge_decl_impl(t):
+    named = t("part").select(F.col("p_partkey").alias("_k"), F.col("p_brand").alias("class_name"), F.col("p_name").alias("name"))
+    decl = t("supplier").select("s_suppkey", (F.col("s_suppkey") * 3).alias("_k"), F.lit("public").alias("access"), F.lit("declared").alias("content"), F.lit("h").alias("filename"), F.array(F.lit("none")).alias("dependencies"))
+    decl = decl.join(named, "_k", "left").drop("_k")
+    k = F.col("p_partkey")
+    impl = t("part").select(
+        F.format_string("%012d", k).alias("key"), F.col("p_brand").alias("class_name"), F.col("p_name").alias("name"), F.when(k % 3 > 0, F.col("p_type")).otherwise("").alias("content"),
+        F.concat(F.lit("f"), k).alias("filename"), F.array(F.concat(F.lit("d"), k)).alias("dependencies"),
+    )
+    return graph.merge_decl_impl(decl, impl).select("s_suppkey", "access", "content", "filename", "dependencies")
+
+
+@query("""WITH m AS (SELECT p_name AS n, min(p_partkey) AS k, count(*) AS c FROM part GROUP BY 1), b AS (SELECT p_name AS n, lower(p_brand) AS cl, min(p_partkey) AS k FROM part GROUP BY ALL)
+SELECT o_orderkey AS call_id, coalesce((SELECT min(b.k) FROM b WHERE b.n = p_name AND contains(b.cl, '#' || o_orderkey % 30)), m.k) AS key, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.n = p_name AND contains(b.cl, '#' || o_orderkey % 30)) THEN 6 WHEN c = 1 THEN 4 ELSE 5 END AS rule
+FROM orders JOIN part p ON p_partkey = o_orderkey % (SELECT count(*) FROM part) JOIN m ON m.n = p_name""")
+def resolve_loosely(t):
+    elements = t("part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.col("p_brand").alias("class_name"), F.lit("a.py").alias("filename"))
+    n = t("part").count()
+    named = t("part").select(F.col("p_partkey").alias("_p"), "p_name")
+    calls = t("orders").withColumn("_p", F.col("o_orderkey") % n).join(named, "_p")
+    call = F.concat(F.lit("#"), (F.col("o_orderkey") % 30).cast("string"), F.lit("."), F.col("p_name"))
+    return graph.resolve_names(calls.select(F.col("o_orderkey").alias("call_id"), call.alias("name"), F.lit("x").alias("scope")), elements, loose=True)
 
 
 @query(f"""WITH RECURSIVE {GEO}, d AS (SELECT src AS id FROM g UNION SELECT dst FROM g),
@@ -677,10 +793,13 @@ def budgeted_context(t):
 STATUS = "CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'processing' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'unknown' END"
 
 
-def _events(t):
+def _status():
     s = F.col("event_type")
-    status = F.when(s == "signup", "pending").when(s == "view", "processing").when(s == "purchase", "completed").when(s == "error", "failed").otherwise("unknown")
-    return t("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), status.alias("status"), F.col("value").alias("seconds"))
+    return F.when(s == "signup", "pending").when(s == "view", "processing").when(s == "purchase", "completed").when(s == "error", "failed").otherwise("unknown")
+
+
+def _events(t):
+    return t("events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), _status().alias("status"), F.col("value").alias("seconds"))
 
 
 @query(f"""WITH e AS (SELECT user_id, {STATUS} AS s FROM events) SELECT user_id, count(*) AS total, count(*) FILTER (s = 'pending') AS pending, count(*) FILTER (s = 'processing') AS processing, count(*) FILTER (s = 'completed') AS completed, count(*) FILTER (s = 'failed') AS failed,
@@ -829,10 +948,413 @@ def safe_names(t):
     return t("pages").filter("url IS NOT NULL").select("page_id", X.safe_name(F.col("url")).alias("name"))
 
 
-@query(r"""SELECT event_id, user_id, 'k' AS "key", 1 AS n FROM events WHERE regexp_matches(props, '^\{"k"')""")
+@query(r"""SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")
 def json_props(t):
-    found = X.json_in_text(F.concat(F.lit("note: "), F.col("props"), F.lit(" end")), "k int")
-    return t("events").select("event_id", "user_id", F.when(found["k"].isNotNull(), "k").alias("key"), F.lit(1).alias("n")).filter("key IS NOT NULL")
+    n = F.col("event_id") % 3
+    text = F.when(n == 0, F.col("props")).when(n == 1, F.concat(F.lit("note: "), F.col("props"), F.lit(" end"))).otherwise(F.concat(F.lit("Answer:\n```json\n"), F.col("props"), F.lit("\n```\nwith {more} after")))
+    return t("events").select("event_id", "user_id", X.json_in_text(text, "k int")["k"].alias("k"))
+
+
+# ---------------------------------------------------------------- files: write the tables to the shared folder and read them back
+
+
+def _shared(t, tag):
+    from tracewell.sources.shared import new_path
+
+    spark = t("nation").sparkSession
+    return spark, new_path(spark, tag)
+
+
+@query("""SELECT 'nation=' || c_nationkey AS folder, '.txt' AS ext, count(*) AS files_lines, md5(string_agg(c_name, chr(10) ORDER BY c_custkey)) AS text FROM customer GROUP BY c_nationkey""")
+def scan_documents(t):
+    spark, root = _shared(t, "documents")
+    lines = t("customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_name").repartition("nation").sortWithinPartitions("nation", "c_custkey")
+    lines.select("nation", "c_name").write.partitionBy("nation").text(root)
+    found = io.scan_documents(spark, root, (".txt", ".md")).filter(F.col("stem").startswith("part-"))
+    body = F.regexp_replace("text", r"\n$", "")
+    return found.select(F.regexp_replace("path", r"/[^/]*$", "").alias("folder"), "ext", F.size(F.split(body, "\n")).cast("long").alias("files_lines"), F.md5(body).alias("text"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE 'NATION_' || c_nationkey END AS type_id FROM customer
+WHERE (c_custkey % 3 = 0 AND c_mktsegment <> 'BUILDING') OR (c_custkey % 3 > 0 AND c_custkey % 2 = 0)""")
+def scan_instances(t):
+    k = F.col("c_custkey")
+    path = F.when(k % 3 == 0, F.format_string("kb/NATION_%d/seg-%s/%d.md", "c_nationkey", F.lower("c_mktsegment"), k)).otherwise(F.format_string("kb/NATION_%d/other/%d.md", "c_nationkey", k))
+    types = t("nation").select(F.col("n_name").alias("type_id"), F.lit(None).cast("string").alias("local_name"), F.lit(r"[02468]\.md$").alias("file_pattern"))
+    segments = t("customer").select("c_mktsegment").distinct().filter("c_mktsegment <> 'BUILDING'")
+    types = types.unionByName(segments.select(F.col("c_mktsegment").alias("type_id"), F.concat(F.lit("seg-"), F.lower("c_mktsegment")).alias("local_name"), F.lit(None).cast("string").alias("file_pattern")))
+    files = t("customer").select("c_custkey", path.alias("path")).filter((k % 3 > 0) | (F.col("c_mktsegment") != "BUILDING"))
+    return io.scan_instances(files, types).select("c_custkey", "type_id")
+
+
+@query("""SELECT p_partkey, 'src/' || p_brand || '/' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.py' ELSE '.PY' END AS path FROM part WHERE p_partkey % 4 < 2 AND p_type <> 'SMALL'""")
+def scan_code_files(t):
+    k = F.col("p_partkey")
+    folder = F.when(F.col("p_type") == "SMALL", F.concat(F.lit("src/build/"), "p_brand")).otherwise(F.concat(F.lit("src/"), "p_brand"))
+    ext = F.when(k % 4 == 0, ".py").when(k % 4 == 1, ".PY").when(k % 4 == 2, ".md").otherwise("")
+    return io.scan_code_files(t("part").select("p_partkey", F.concat(folder, F.lit("/"), k.cast("string"), ext).alias("path")), "path", (".py", ".java"), ("build", "node_modules"))
+
+
+@query("""SELECT o_orderkey AS item, o_custkey AS cust, CASE WHEN o_orderkey % 2 = 0 THEN 'list' ELSE 'envelope' END AS shape FROM orders UNION ALL SELECT -1, count(*), 'rejected' FROM region""")
+def read_records(t):
+    spark, root = _shared(t, "records")
+    o = t("orders").withColumn("k", F.when(F.col("o_orderkey") % 2 == 0, "list").otherwise("envelope")).groupBy("k", F.floor(F.col("o_orderkey") / 500).alias("n"))
+    arr = F.to_json(F.col("a"))
+    o = o.agg(F.collect_list(F.struct(F.col("o_orderkey").alias("item"), F.col("o_custkey").alias("cust"))).alias("a"))
+    texts = o.select(F.concat("k", F.lit("-"), "n").alias("file"), F.when(F.col("k") == "list", arr).otherwise(F.concat(F.lit('{"version": 1, "files": '), arr, F.lit("}"))).alias("text"))
+    bad = t("region").select(F.concat(F.lit("bad-"), "r_regionkey").alias("file"), F.lit('{"files": [').alias("text"))
+    texts.unionByName(bad).repartition("file").write.partitionBy("file").text(root)
+    good, rejected = io.read_records(spark, f"{root}/*/part-*", "item long, cust long")
+    good = good.select("item", "cust", F.regexp_extract("file", "file=([a-z]+)-", 1).alias("shape"))
+    return good.unionByName(rejected.agg(F.lit(-1).cast("long").alias("item"), F.count("*").alias("cust")).withColumn("shape", F.lit("rejected")))
+
+
+@query("""SELECT DISTINCT n_name AS source, c_name AS target FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT DISTINCT n_name, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def read_relations(t):
+    spark, root = _shared(t, "relations")
+    c = t("customer").select(F.col("c_nationkey").alias("n"), F.col("c_name").alias("target")).unionByName(t("supplier").select(F.col("s_nationkey").alias("n"), F.col("s_name").alias("target")))
+    edges = relations.distinct_edges(c.join(t("nation"), F.col("n") == F.col("n_nationkey")).select(F.col("n_name").alias("source"), "target"))
+    rows = relations.adjacency(edges).select("source", F.to_json(F.array(F.struct("source", "targets"))).alias("text"))
+    # one array a file
+    rows.repartition("source").write.partitionBy("source").text(root)
+    return io.read_relations(spark, f"{root}/*/part-*")
+
+
+@query("SELECT DISTINCT o_custkey AS source, o_orderkey AS target FROM orders WHERE o_totalprice > 1000")
+def write_relations(t):
+    spark, root = _shared(t, "rebuilt")
+    edges = t("orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target"), "o_totalprice")
+    io.write_relations(edges.select("source", "target"), root)
+    io.write_relations(edges.filter("o_totalprice > 1000").select("source", "target"), root)
+    return spark.read.schema("source long, target long").json(root)
+
+
+@query("""SELECT 'node' AS kind, 'c' || c_custkey AS src, c_name AS dst, c_mktsegment AS relation FROM customer UNION ALL SELECT 'edge', 'c' || c_custkey, 'n' || c_nationkey, 'in_nation' FROM customer""")
+def read_graph(t):
+    spark, root = _shared(t, "graph")
+    c = t("customer").groupBy("c_nationkey").agg(
+        F.collect_list(F.struct(F.concat(F.lit("c"), "c_custkey").alias("id"), F.col("c_name").alias("label"), F.col("c_mktsegment").alias("file_type"))).alias("nodes"),
+        F.collect_list(F.struct(F.concat(F.lit("c"), "c_custkey").alias("source"), F.concat(F.lit("n"), "c_nationkey").alias("target"), F.lit("in_nation").alias("relation"))).alias("links"),
+    )
+    text = F.when(F.col("c_nationkey") % 2 == 0, F.to_json(F.struct("nodes", "links"))).otherwise(F.to_json(F.struct("nodes", F.col("links").alias("edges"))))
+    c.select("c_nationkey", text.alias("text")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(root)
+    nodes, edges = io.read_graph(spark, f"{root}/*/part-*")
+    rows = nodes.select(F.lit("node").alias("kind"), F.col("id").alias("src"), F.col("label").alias("dst"), F.col("file_type").alias("relation"))
+    return rows.unionByName(edges.select(F.lit("edge").alias("kind"), "src", "dst", "relation"))
+
+
+LOGGED = f"SELECT event_id::VARCHAR AS detail, user_id::VARCHAR AS session, event_type AS action, {STATUS} AS status FROM events"
+
+
+def _log_rows(e):
+    fields = {"time": F.col("ts").cast("string"), "session": F.col("user_id").cast("string"), "stage": F.lit("s"), "action": F.col("event_type"), "status": _status(), "elapsed": F.lit(None).cast("string"), "message": F.lit(""), "detail": F.col("event_id").cast("string")}
+    return e.select(*[c.alias(n) for n, c in fields.items()])
+
+
+@query(LOGGED)
+def append_run_log(t):
+    spark, root = _shared(t, "run-log")
+    for part in (0, 1):
+        io.append_run_log(_log_rows(t("events").filter(F.col("event_id") % 2 == part)), root)
+    return spark.read.schema(io.RUN_LOG).parquet(root).select("detail", "session", "action", "status")
+
+
+@query("""SELECT user_id AS batch_number, 'd' || event_id AS path, event_type AS body FROM events WHERE user_id % 3 = 0 AND event_type <> 'view'""")
+def load_completed_batches(t):
+    e = t("events")
+    name = F.concat(F.lit("d"), "event_id")
+    state = F.when(F.col("batch_number") % 3 == 0, "Completed").otherwise("failed")
+    index = e.groupBy(F.col("user_id").alias("batch_number")).agg(F.collect_list(name).alias("entity_files")).withColumn("status", state)
+    return io.load_completed_batches(index, e.filter("event_type <> 'view'").select(name.alias("path"), F.col("event_type").alias("body"))).select("batch_number", "path", "body")
+
+
+@query("""SELECT row_number() OVER (ORDER BY source) AS no, source, array_to_string(list_sort(list(doc_id))[1:3], ', ') AS files_shown, (greatest(count(*) - 3, 0))::INTEGER AS files_more, 'docs/' || source AS link FROM documents WHERE source IS NOT NULL GROUP BY source""")
+def inventory(t):
+    rows = t("documents").filter("source IS NOT NULL").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    rows = rows.select("source", F.transform("ids", lambda x: x.cast("string")).alias("ids"))
+    return catalog.inventory(rows, ["source"], "ids", link=F.concat(F.lit("docs/"), "source")).drop("ids")
+
+
+@query("""SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, source, doc_id FROM documents""")
+def rank_within(t):
+    return catalog.rank_within(t("documents").select("source", "doc_id"), ["source"], ["doc_id"], "r")
+
+
+# ---------------------------------------------------------------- instances, keys and headers
+
+
+@query("SELECT 'DOC_' || doc_id AS id, lang AS type_id, source AS name, source AS brief FROM documents")
+def instance_cards(t):
+    return search.instance_cards(_instances(t), "source")
+
+
+@query("""SELECT r_name AS type_id, coalesce(n, 0) AS n FROM region LEFT JOIN (SELECT 'ASIA' AS r_name, count(*) FILTER (c_nationkey % 5 = 2) AS n FROM customer UNION ALL SELECT 'EUROPE', count(*) FILTER (c_nationkey % 5 = 3) FROM customer) USING (r_name)""")
+def describe_types(t):
+    kind = F.when(F.col("c_nationkey") % 5 == 2, "ASIA").when(F.col("c_nationkey") % 5 == 3, "EUROPE")
+    found = t("customer").select(kind.alias("type_id")).filter("type_id IS NOT NULL")
+    return search.describe_types(t("region").select(F.col("r_name").alias("type_id")), found)
+
+
+@query("""SELECT p_partkey, (f AND k) AS effective, CASE WHEN NOT f THEN 'not flagged' WHEN NOT k THEN 'type is not text' END AS note FROM (SELECT p_partkey,
+CASE p_size % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN p_type IN ('SMALL', 'LARGE') ELSE false END AS f, p_brand <> 'Brand#1' AS k FROM part)""")
+def searchable_attributes(t):
+    n = F.col("p_size") % 4
+    kind = F.when(F.col("p_type") == "SMALL", "vector").when(F.col("p_type") == "LARGE", "both").otherwise("none")
+    rows = t("part").select("p_partkey", F.when(n == 0, True).when(n == 1, False).alias("vector"), F.when(n == 2, kind).alias("searchable"), F.when(F.col("p_brand") == "Brand#1", "code").when(n == 0, "list").alias("content_type"))
+    return search.searchable_attributes(rows).select("p_partkey", "effective", "note")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'no header' WHEN o_orderkey % 3 = 1 AND o_orderkey % 5 = 0 THEN 'number differs' END AS header_error FROM orders""")
+def validate_batch_headers(t):
+    k = F.col("o_orderkey")
+    number = F.when(k % 3 == 0, None).when((k % 3 == 1) & (k % 5 == 0), k + 1).otherwise(k)
+    rows = t("orders").select("o_orderkey", F.format_string("out/2024/batch_%d_result.json", k).alias("file"), number.alias("batch_number"))
+    return catalog.validate_batch_headers(rows).select("o_orderkey", "header_error")
+
+
+@query("""SELECT p_partkey, coalesce(regexp_matches(p_brand, '^Brand#[0-9]$'), false) AS key_ok FROM part""")
+def validate_keys(t):
+    return catalog.validate_keys(t("part"), "p_brand", r"^Brand#\d$").select("p_partkey", "key_ok")
+
+
+@query("""SELECT o_orderkey AS k, o_orderstatus AS origin, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS source_no, CASE o_orderstatus WHEN 'P' THEN o_totalprice END AS price FROM orders""")
+def union_batches(t):
+    part = lambda s, *more: t("orders").filter(F.col("o_orderstatus") == s).select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("origin"), *more)
+    return catalog.union_batches(part("O"), part("P", F.col("o_totalprice").alias("price")), part("F"))
+
+
+@query("""WITH k AS (SELECT *, coalesce(nullif(CASE WHEN p_size % 2 = 0 THEN ' ' || p_brand || ' ' ELSE '  ' END, '  '), p_name) AS key0 FROM part)
+SELECT trim(key0) AS key, min(p_partkey) AS p_partkey, 'pending' AS status FROM k GROUP BY 1""")
+def distinct_todos(t):
+    rows = t("part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_brand", F.lit(" "))).otherwise("  ").alias("a"), F.lit(None).cast("string").alias("b"), F.col("p_name").alias("c"))
+    return catalog.distinct_todos(rows, ["a", "b", "c"], ["p_partkey"]).select("key", "p_partkey", "status")
+
+
+@query("""SELECT coalesce(source, '') AS h, doc_id, list_distinct(list_transform([source], x -> x)) AS sources FROM documents WHERE doc_id % 4 = 0
+UNION ALL SELECT md5(text), min(doc_id), list_sort(list(DISTINCT source)) FROM documents WHERE doc_id % 4 > 0 AND text IS NOT NULL GROUP BY 1""".replace("coalesce(source, '') AS h", "'' AS h").replace("list_distinct(list_transform([source], x -> x))", "[source]"))
+def merge_keep_null_key(t):
+    d = t("documents").filter("doc_id % 4 = 0 OR text IS NOT NULL").select(F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.md5("text")).alias("h"), "doc_id", F.array("source").alias("sources"))
+    return catalog.merge_duplicates(d, "h", "doc_id", ["sources"], keep_null_key=True)
+
+
+@query("""WITH o AS (SELECT lower(trim(p_brand)) AS k, min(p_name) AS name, min(p_type) AS kind FROM part GROUP BY 1) SELECT s_suppkey, name, kind FROM supplier LEFT JOIN o ON k = lower('BRAND#' || s_suppkey % 40)""")
+def restore_payload(t):
+    slim = t("supplier").select("s_suppkey", F.format_string(" BRAND#%d ", F.col("s_suppkey") % 40).alias("id"))
+    originals = t("part").select(F.col("p_brand").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"))
+    return consolidate.restore_payload(slim, originals, "id", ["name", "kind"]).select("s_suppkey", "name", "kind")
+
+
+@query("""WITH v AS (SELECT doc_id, bool_or(quality = 1) AS v FROM labels WHERE doc_id % 5 > 0 GROUP BY 1), j AS (SELECT DISTINCT doc_id // 50 AS b FROM labels WHERE doc_id % 5 > 0 AND doc_id // 50 % 2 = 0)
+SELECT d.doc_id FROM documents d LEFT JOIN (SELECT * FROM v WHERE doc_id // 50 % 2 = 0) v USING (doc_id) WHERE coalesce(v, d.doc_id // 50 NOT IN (SELECT b FROM j))""")
+def drop_low_value(t):
+    b = F.floor(F.col("doc_id") / 50).alias("b")
+    verdicts = t("labels").filter("doc_id % 5 > 0").select("doc_id", b, (F.col("quality") == 1).alias("valuable")).filter("b % 2 = 0")
+    return consolidate.drop_low_value(t("documents").select("doc_id", b), verdicts, "doc_id", "b").select("doc_id")
+
+
+@query("""SELECT l_orderkey AS batch_number, count(*) AS files, coalesce(sum(CASE WHEN l_linenumber % 3 > 0 THEN l_linenumber ELSE 0 END), 0)::BIGINT AS entities, count(*) FILTER (l_returnflag = 'R') AS failed,
+CASE WHEN count(*) FILTER (l_returnflag = 'R') = 0 THEN 'completed' WHEN count(*) FILTER (l_returnflag = 'R') < count(*) THEN 'partial' ELSE 'failed' END AS status FROM lineitem GROUP BY 1""")
+def extraction_index(t):
+    rows = t("lineitem").select(F.col("l_orderkey").alias("batch_number"), F.when(F.col("l_linenumber") % 3 > 0, F.col("l_linenumber")).alias("entities"), F.when(F.col("l_returnflag") == "R", "FAILED").otherwise("ok").alias("status"))
+    return consolidate.extraction_index(rows)
+
+
+# ---------------------------------------------------------------- audits
+
+
+@query("""WITH a AS (SELECT lang AS name, count(*) FILTER (source = 'src1') AS hits FROM documents WHERE lang IS NOT NULL GROUP BY 1 UNION ALL SELECT 'src' || (doc_id % 7), count(*) FROM documents GROUP BY 1)
+SELECT coalesce(d.name, a.name) AS name, coalesce(hits, 0) AS hits, CASE WHEN d.name IS NULL THEN 'not declared' WHEN impact = 'hit' AND coalesce(hits, 0) = 0 THEN 'declared hit without one' WHEN impact = 'no_hit' AND coalesce(hits, 0) > 0 THEN 'declared none but hit'
+WHEN impact = 'no_hit' AND r = '' THEN 'no rationale' END AS problem, true AS has_primary
+FROM (SELECT DISTINCT source AS name, CASE WHEN length(source) > 4 THEN 'hit' ELSE 'no_hit' END AS impact, CASE WHEN source IN ('src8', 'src9') THEN '' ELSE 'because' END AS r FROM documents WHERE source IS NOT NULL) d FULL JOIN a USING (name)""")
+def audit_declared(t):
+    d = t("documents")
+    actual = d.filter("lang IS NOT NULL").groupBy(F.col("lang").alias("name")).agg(F.count_if(F.col("source") == "src1").alias("hits"))
+    actual = actual.unionByName(d.groupBy(F.concat(F.lit("src"), (F.col("doc_id") % 7).cast("string")).alias("name")).agg(F.count("*").alias("hits")))
+    s = F.col("name")
+    declared = d.select(F.col("source").alias("name")).dropna().distinct().select(
+        "name", F.when(s == "src3", "primary").otherwise("other").alias("role"), F.when(F.length(s) > 4, "hit").otherwise("no_hit").alias("impact_status"), F.when(s.isin("src8", "src9"), " ").otherwise("because").alias("rationale")
+    )
+    return quality.audit_declared(declared, actual).select("name", F.coalesce("hits", F.lit(0)).alias("hits"), "problem", "has_primary")
+
+
+@query("""WITH b AS (SELECT source, count(*) AS files, count(*) FILTER (lang IN ('en', 'de', 'fr')) AS listed, round_even(count(*) * 1.1 * 0.9, 0) AS least, count(*) FILTER (lang <> 'es') AS actual FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT source, files, listed, round_even(listed / files, 6) AS ratio, round_even(listed / files, 6) < 0.8 AS low, actual < least AS below_estimate FROM b""")
+def scan_coverage(t):
+    d = t("documents").filter("source IS NOT NULL").select("source", F.col("doc_id").cast("string").alias("path"), "lang")
+    extra = d.select("source", F.concat(F.lit("gone-"), "path").alias("path"))
+    listed = d.filter("lang IN ('en', 'de', 'fr')").select("source", "path")
+    counts = d.groupBy("source").agg((F.count("*") * 1.1).alias("estimated"), F.count_if(F.col("lang") != "es").alias("actual"))
+    return quality.scan_coverage(listed.unionByName(listed).unionByName(extra), d.select("source", "path"), "source", "path", counts=counts)
+
+
+@query("""SELECT o_orderkey, n AS raw, CASE WHEN n > 0 THEN round_even(100.0 * (n - d) / n, 2) ELSE 0 END::DOUBLE AS dedup_rate, CASE WHEN d > 0 THEN round_even(100.0 * (d - m) / d, 2) ELSE 0 END::DOUBLE AS merge_rate,
+CASE WHEN m > 0 THEN round_even(100.0 * (m - k) / m, 2) ELSE 0 END::DOUBLE AS filter_rate, CASE WHEN n > 0 THEN round_even(100.0 * (n - k) / n, 2) ELSE 0 END::DOUBLE AS compression_rate
+FROM (SELECT o_orderkey, count(l_orderkey) AS n, count(DISTINCT l_linenumber) AS d, count(DISTINCT l_returnflag) AS m, count(DISTINCT CASE WHEN l_returnflag = 'N' THEN 1 END) AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)""")
+def stage_rates(t):
+    l = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(  # noqa: E741
+        F.count("*").alias("raw"), F.countDistinct("l_linenumber").alias("deduped"), F.countDistinct("l_returnflag").alias("merged"), F.max((F.col("l_returnflag") == "N").cast("long")).alias("kept")
+    )
+    rows = t("orders").select("o_orderkey").join(l, "o_orderkey", "left").fillna(0)
+    return quality.stage_rates(rows).select("o_orderkey", "raw", "dedup_rate", "merge_rate", "filter_rate", "compression_rate")
+
+
+TRACES = """tr AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'stop not allowed' WHEN l_quantity < 10 THEN 'too shallow' WHEN l_linestatus = 'O' AND l_quantity < 20 THEN 'no leaf evidence' END AS problem FROM lineitem)"""
+
+
+def _traces(t):
+    stop = F.when(F.col("l_returnflag") == "A", "leaf").when(F.col("l_returnflag") == "N", "external")
+    evidence = F.when((F.col("l_linestatus") == "O") & (F.col("l_quantity") < 20), " ").otherwise("file:1")
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", stop.alias("stopped_reason"), F.col("l_quantity").alias("max_depth_achieved"), evidence.alias("leaf_evidence"))
+    return quality.trace_audit(rows, 10, ("leaf", "external"))
+
+
+@query(f"WITH {TRACES} SELECT l_orderkey, l_linenumber, problem FROM tr")
+def trace_audit(t):
+    return _traces(t).select("l_orderkey", "l_linenumber", "problem")
+
+
+@query(f"""WITH {TRACES}, f AS (SELECT l_orderkey AS k, count(problem) AS found FROM tr GROUP BY 1) SELECT o_orderkey AS l_orderkey, o_orderkey % 3 AS declared, coalesce(found, 0) AS found, o_orderkey % 3 = coalesce(found, 0) AS agrees FROM orders LEFT JOIN f ON k = o_orderkey""")
+def trace_totals(t):
+    return quality.trace_totals(_traces(t), t("orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 3).alias("declared")), "l_orderkey")
+
+
+@query("""SELECT p_partkey, list_filter([CASE WHEN p_size % 4 > 1 THEN 'not parsed' END, CASE WHEN p_size % 3 = 0 THEN 'no method' END, CASE WHEN p_size % 5 > 0 AND length(p_name) < 12 THEN 'no keys or summary' END, CASE WHEN p_size % 7 > 0 THEN 'no consumer' END], lambda x: x IS NOT NULL) AS problems FROM part""")
+def config_audit(t):
+    n = F.col("p_size")
+    rows = t("part").select(
+        "p_partkey", F.when(n % 4 == 0, "parsed").when(n % 4 == 1, "ok").otherwise(F.lit("raw")).alias("parse_status"), F.when(n % 3 > 0, "yaml").otherwise(" ").alias("parse_method"),
+        F.when(n % 5 == 0, F.array(F.lit("k"))).otherwise(F.array().cast("array<string>")).alias("extracted_keys"), F.col("p_name").alias("structure_summary"),
+        F.when(n % 7 == 0, F.array(F.lit("a.py"))).alias("consumer_refs"),
+    )
+    return quality.config_audit(rows, 12).select("p_partkey", "problems")
+
+
+@query("""SELECT 'NATION_' || n AS dir, 'not scanned' AS problem FROM (SELECT DISTINCT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'NATION_' || n, 'out of scope' FROM (SELECT s_nationkey AS n FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey % 3 = 0)
+""".replace("SELECT DISTINCT c_nationkey AS n FROM customer EXCEPT", "SELECT DISTINCT c_nationkey AS n FROM customer WHERE c_custkey % 3 = 0 EXCEPT"))
+def uncovered_dirs(t):
+    name = lambda c: F.concat(F.lit("NATION_"), c).alias("dir")
+    return quality.uncovered_dirs(t("customer").filter("c_custkey % 3 = 0").select(name("c_nationkey")), t("supplier").select(name("s_nationkey")))
+
+
+@query("""SELECT DISTINCT url AS path, 'excluded path covered' AS problem FROM pages WHERE contains(url, '/de/') UNION ALL SELECT DISTINCT url, 'not scanned' FROM pages WHERE page_id % 5 = 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 5 > 0)
+UNION ALL SELECT DISTINCT url, 'out of scope' FROM pages WHERE page_id % 5 > 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 5 = 0)""")
+def scope_problems(t):
+    p = t("pages").select("page_id", F.col("url").alias("path"))
+    return quality.scope_problems(p.filter("page_id % 5 > 0").select("path"), p.filter("page_id % 5 = 0").select("path"), p.select("path"), ("*/de/*",))
+
+
+@query("""SELECT event_id, 'check ' || k AS check_type, 'i' AS check_info, ['a' || event_id, 'b'] AS logs FROM events, (VALUES (0), (1), (2)) v(k) WHERE (event_id + k) % 4 > 1""")
+def failed_checks(t):
+    k = F.col("event_id")
+    one = lambda i: F.struct(
+        F.lit(f"check {i}").alias("check_type"), F.when((k + i) % 4 == 0, "PASSED").when((k + i) % 4 == 1, "Success").when((k + i) % 4 == 2, "fail").alias("check_result"),
+        F.lit("i").alias("check_info"), F.concat(F.lit("a"), k.cast("string"), F.lit(", b;")).alias("check_log"),
+    )
+    return quality.failed_checks(t("events").select("event_id", F.array(one(0), one(1), one(2)).alias("checks")), "event_id")
+
+
+@query("""SELECT o_orderkey AS batch_number, r IS NULL AS complete, r AS reason FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 'status' WHEN o_orderkey % 5 = 0 THEN 'no output' WHEN o_orderkey % 5 = 1 THEN 'output does not parse' WHEN o_orderkey % 5 = 2 THEN 'time format' END AS r FROM orders)""")
+def completion_check(t):
+    k = F.col("o_orderkey")
+    state = F.when(F.col("o_orderstatus") == "O", "processing").otherwise("Completed")
+    at = F.when(k % 5 == 2, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    text = F.when(k % 5 == 1, '{"a": [').otherwise(F.concat(F.lit('{"a": '), k.cast("string"), F.lit("}")))
+    return quality.completion_check(t("orders").select(k.alias("batch_number"), state.alias("status"), at.alias("completed_at")), t("orders").filter(k % 5 > 0).select(k.alias("batch_number"), text.alias("text")))
+
+
+@query("""SELECT user_id AS session, count(*) AS lines, bool_or(event_type = 'purchase') AS done FROM events WHERE event_id >= user_id * 50 GROUP BY 1""")
+def since_offset(t):
+    log = t("events").select(F.col("user_id").alias("session"), F.col("event_id").alias("offset"), F.concat(F.lit("event "), "event_type").alias("line"))
+    sessions = t("events").select(F.col("user_id").alias("session")).distinct().withColumn("offset", F.col("session") * 50)
+    return tracking.since_offset(log, sessions, "event purchase")
+
+
+@query("""WITH m AS (SELECT 'REQ-' || item_id AS req_id FROM benchmark), c AS (SELECT count(DISTINCT req_id) AS n, count(DISTINCT req_id) FILTER (req_id IN (SELECT 'REQ-' || (doc_id % 60) FROM documents WHERE doc_id % 60 % 3 > 0)) AS k FROM m)
+SELECT n AS requirements, k AS covered, round_even(100.0 * k / n, 2)::DOUBLE AS percent FROM c""")
+def coverage_percent(t):
+    req = t("benchmark").select(F.concat(F.lit("REQ-"), F.col("item_id").cast("string")).alias("req_id"))
+    tasks = t("documents").filter("doc_id % 60 % 3 > 0").select(F.col("doc_id").alias("task_id"), F.format_string("for REQ-%d.", F.col("doc_id") % 60).alias("text"))
+    out = relations.coverage_percent(relations.coverage_matrix(req, tasks, r"(REQ-\d+)"))
+    return out.withColumn("covered", F.col("covered").cast("long"))
+
+
+@query("""SELECT 'src/' || p_brand || '/m' || p_partkey || '.py' AS path, CASE p_partkey % 4 WHEN 0 THEN 'src/' || p_brand || '/test_m' || p_partkey || '.py' WHEN 1 THEN 'src/' || p_brand || '/tests/m' || p_partkey || '_test.py' ELSE 'tests/m' || p_partkey || 'Test.py' END AS test_path FROM part WHERE p_partkey % 4 < 3""")
+def map_tests(t):
+    k = F.col("p_partkey")
+    name = lambda pattern: F.format_string(pattern, "p_brand", k)
+    path = F.when(k % 4 == 0, name("src/%s/test_m%d.py")).when(k % 4 == 1, name("src/%s/tests/m%d_test.py")).when(k % 4 == 2, F.format_string("tests/m%dTest.py", k)).otherwise(name("src/%s/other_m%d.py"))
+    return relations.map_tests(t("part").select(name("src/%s/m%d.py").alias("path")), t("part").select(path.alias("path")))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS path, l_linenumber AS line, max(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS h, max(CASE WHEN l_quantity > 25 THEN 2 ELSE 0 END) AS b, max(CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) AS k FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2)
+SELECT path, sum(h)::BIGINT AS covered, count(*) AS total, round_even(100.0 * sum(k) / nullif(sum(b), 0), 2)::DOUBLE AS branch_percent FROM l GROUP BY path""")
+def branch_coverage(t):
+    return _covered(t).select("path", "covered", "total", "branch_percent")
+
+
+def _covered(t):
+    q = F.col("l_quantity")
+    lines = t("lineitem").select(
+        F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), (F.col("l_returnflag") == "N").cast("int").alias("hits"), F.when(q > 25, 2).otherwise(0).alias("b"), F.when(q > 40, 1).otherwise(0).alias("k")
+    )
+    return quality.incremental_coverage(lines, t("orders").select(F.col("o_orderkey").alias("path")), branches=("b", "k"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS path, l_linenumber AS line, max(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS h FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1, 2)
+SELECT count(DISTINCT path) AS files, sum(h)::BIGINT AS covered, count(*) AS total, round_even(100.0 * sum(h) / count(*), 2)::DOUBLE AS percent, round_even(100.0 * sum(h) / count(*), 2) >= 80 AS passed FROM l""")
+def overall_coverage(t):
+    return quality.overall_coverage(_covered(t))
+
+
+# ---------------------------------------------------------------- text helpers over whole tables
+
+
+@query(r"""SELECT doc_id, list_sort(list_distinct(regexp_extract_all(text, '([A-Z][a-z]{2,5})', 1))) AS ids FROM documents WHERE text IS NOT NULL""")
+def mentioned_ids(t):
+    return t("documents").filter("text IS NOT NULL").select("doc_id", X.mentioned_ids(F.col("text"), r"([A-Z][a-z]{2,5})").alias("ids"))
+
+
+@query(rf"""WITH {MD_TURNS}, u AS (SELECT conv_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS body FROM m WHERE role = 'assistant' AND turn = 1) SELECT conv_id, body, body IS NOT NULL AS has_it FROM (SELECT DISTINCT conv_id FROM m) LEFT JOIN u USING (conv_id)""")
+def section_bodies(t):
+    return _conversation_md(t).select("conv_id", F.md5(X.section_body(F.col("text"), "assistant 1")).alias("body"), X.has_heading(F.col("text"), "assistant 1").alias("has_it"))
+
+
+@query("""SELECT doc_id, md5(translate(regexp_replace(text, '[*_`]+', '', 'g'), '：，（）；！？', ':,();!?')) AS plain FROM documents WHERE text IS NOT NULL""")
+def plain_markup(t):
+    return t("documents").filter("text IS NOT NULL").select("doc_id", F.md5(X.plain_markup(F.col("text"))).alias("plain"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1000 ELSE n_chars * 5 END AS scan, least(1200 + 2 * CASE WHEN doc_id % 7 = 0 THEN 0 ELSE n_chars END, 16000) + CASE WHEN lang = 'de' THEN 800 ELSE 0 END AS detail FROM documents""")
+def estimated_tokens(t):
+    lines = F.when(F.col("doc_id") % 7 > 0, F.col("n_chars"))
+    return t("documents").select("doc_id", X.estimated_tokens(lines).alias("scan"), X.estimated_tokens(lines, F.col("lang") != "de", "detail").alias("detail"))
+
+
+@query("""SELECT l_orderkey, string_agg(CASE WHEN l_linenumber % 3 = 0 THEN l_shipdate::DATE::VARCHAR ELSE l_returnflag END, '; ' ORDER BY l_linenumber, l_partkey, CASE WHEN l_linenumber % 3 = 0 THEN l_shipdate::DATE::VARCHAR ELSE l_returnflag END) FILTER (l_linenumber % 3 < 2) AS problem, string_agg(l_partkey::VARCHAR, chr(10) ORDER BY l_linenumber, l_partkey) AS code FROM lineitem GROUP BY 1""")
+def problem_and_code(t):
+    n = F.col("l_linenumber")
+    info = F.when(n % 3 == 0, F.create_map(F.lit("title"), F.lit(""), F.lit("text"), F.date_format("l_shipdate", "yyyy-MM-dd"))).when(n % 3 == 1, F.create_map(F.lit("title"), "l_returnflag")).otherwise(F.create_map(F.lit("other"), F.lit("x")))
+    rows = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.to_json(info).alias("i")))).alias("a"))
+    infos = F.transform("a", lambda x: F.from_json(x["i"], "map<string,string>"))
+    blocks = F.map_from_entries(F.array(F.struct(F.lit("a.py"), F.transform("a", lambda x: x["l_partkey"].cast("string")))))
+    out = X.problem_text(infos, ("title", "text"))
+    return rows.select("l_orderkey", F.nullif(out, F.lit("")).alias("problem"), X.joined_code(blocks).alias("code"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'answered' WHEN event_type IN ('view', 'click') THEN 'looking' ELSE 'unknown' END AS label, CASE WHEN event_id % 3 = 0 THEN 0.9 WHEN event_type IN ('view', 'click') THEN 0.6 ELSE 0.0 END::DOUBLE AS confidence,
+CASE WHEN event_id % 3 = 0 THEN 'response' WHEN event_type IN ('view', 'click') THEN 'r' ELSE 'none' END AS basis FROM events""")
+def classify_with_responses(t):
+    e = t("events").select("event_id", "event_type")
+    said = e.filter("event_id % 3 < 2").select("event_id", F.when(F.col("event_id") % 3 == 0, "answered").alias("label"), F.lit(0.9).alias("confidence"))
+    said = said.unionByName(e.filter("event_id % 3 = 0").select("event_id", F.lit("less sure").alias("label"), F.lit(0.4).alias("confidence")))
+    return rules.classify_with_responses(e, said, "event_id", [("r", "event_type", "view|click", "looking", 0.6)]).select("event_id", "label", "confidence", "basis")
+
+
+@query("""WITH n AS (SELECT source, list_extract(['php', 'r', 'css', 'matlab', 'xml', 'kotlin'], (doc_id % 6 + 1)::INTEGER) AS language, count(*) AS files FROM documents GROUP BY ALL),
+s AS (SELECT *, files * CASE language WHEN 'php' THEN 0.9 WHEN 'r' THEN 0.8 WHEN 'css' THEN 0.4 WHEN 'matlab' THEN 0.8 WHEN 'xml' THEN 0.3 ELSE 1.0 END::DOUBLE AS score FROM n) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, language) = 1""")
+def language_weights(t):
+    names = F.array(*map(F.lit, ("php", "r", "css", "matlab", "xml", "kotlin")))
+    return rules.language_vote(t("documents").select("source", F.element_at(names, (F.col("doc_id") % 6 + 1).cast("int")).alias("language")), "source", "language")
 
 
 # ---------------------------------------------------------------- streams over the event table
@@ -870,9 +1392,7 @@ def progress_stream(t):
     from tracewell.streaming import jobs
 
     e = _stream(t, "events")
-    s = F.col("event_type")
-    status = F.when(s == "signup", "pending").when(s == "view", "processing").when(s == "purchase", "completed").when(s == "error", "failed").otherwise("unknown")
-    deltas = jobs.progress_stream(e.select(F.col("user_id").alias("item_id"), status.alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")))
+    deltas = jobs.progress_stream(e.select(F.col("user_id").alias("item_id"), _status().alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts")))
     return _collect_stream(deltas, "append").groupBy("status").agg(F.sum("delta").alias("items")).filter("items > 0")
 
 
@@ -889,37 +1409,99 @@ def retry_stream(t):
     return out.withColumn("_r", last).filter("_r = 1").select("key", "attempts", "outcome")
 
 
-@query("""SELECT user_id AS session, 'done' AS state FROM events GROUP BY 1 HAVING bool_or(event_type = 'purchase')""")
+# at the end of the stream the watermark is ten seconds before the last event: what is due by then has fired
+@query("""WITH l AS (SELECT user_id AS session, epoch_us(min(ts)) // 1000 AS a, epoch_us(max(ts)) // 1000 AS z, bool_or(event_type = 'purchase' AND value > 180) AS d FROM events GROUP BY 1), w AS (SELECT epoch_us(max(ts)) // 1000 - 10000 AS w FROM events)
+SELECT session, CASE WHEN d THEN 'done' WHEN a + 2570400000 <= z + 86400000 THEN 'timeout' ELSE 'stale' END AS state, z AS at_ms FROM l, w WHERE d OR least(a + 2570400000, z + 86400000) <= w""")
 def stale_session_stream(t):
     from tracewell.streaming import jobs
 
-    e = _stream(t, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "purchase").alias("done"))
-    out = _collect_stream(jobs.stale_session_stream(e, 86400, 10**9, key_type="long"), "append")
-    return out.filter("state = 'done'").select("session", "state")
+    done = (F.col("event_type") == "purchase") & (F.col("value") > 180)
+    e = _stream(t, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), done.alias("done"))
+    return _collect_stream(jobs.stale_session_stream(e, 86_400, 2_570_400, key_type="long"), "append").drop("batch")
 
 
-@query("""WITH f AS (SELECT user_id, event_type AS s, min({'a': epoch_us(ts), 'b': event_type}) AS m FROM events GROUP BY ALL)
-SELECT user_id AS key, list(s ORDER BY m) AS completed_stages, (SELECT arg_max(event_type, {'a': epoch_us(ts), 'b': event_type}) FROM events e WHERE e.user_id = f.user_id) AS current_stage FROM f GROUP BY user_id""")
+@query("""WITH m AS (SELECT *, CASE event_type WHEN 'click' THEN 'fast' WHEN 'view' THEN 'full' END AS mode FROM events), f AS (SELECT user_id, event_type AS s, min(epoch_us(ts)) AS m FROM events WHERE event_type <> 'error' GROUP BY ALL),
+l AS (SELECT user_id, arg_max(event_type, {'a': epoch_us(ts), 'b': event_type}) AS current_stage, arg_max(mode, {'a': epoch_us(ts), 'b': event_type}) FILTER (mode IS NOT NULL) AS flow_mode FROM m GROUP BY 1)
+SELECT user_id AS key, list(s ORDER BY m, s) AS completed_stages, any_value(current_stage) AS current_stage, any_value(flow_mode) AS flow_mode FROM f JOIN l USING (user_id) GROUP BY user_id""")
 def workflow_stream(t):
     from tracewell.streaming import jobs
 
     e = _stream(t, "events").select(
-        F.col("user_id").alias("key"), F.col("event_type").alias("stage"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.lit(True).alias("completed"), F.lit(None).cast("string").alias("flow_mode")
+        F.col("user_id").alias("key"), F.col("event_type").alias("stage"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), (F.col("event_type") != "error").alias("completed"),
+        F.when(F.col("event_type") == "click", "fast").when(F.col("event_type") == "view", "full").alias("flow_mode"),
     )
     out = _collect_stream(jobs.workflow_state(e, key_type="long"), "update")
-    return out.groupBy("key").agg(F.max_by(F.struct("completed_stages", "current_stage"), "batch").alias("s")).select("key", "s.*")
+    return out.groupBy("key").agg(F.max_by(F.struct("completed_stages", "current_stage", "flow_mode"), "batch").alias("s")).select("key", "s.*")
 
 
 @query(f"""SELECT event_id % 500 AS item_id, {STATUS} AS status FROM events WHERE {STATUS} <> 'unknown' QUALIFY row_number() OVER (PARTITION BY event_id % 500 ORDER BY epoch_us(ts) DESC, {STATUS} DESC) = 1""")
 def status_stream(t):
+    return _status_run(t)[0]
+
+
+def _status_run(t):
     from tracewell.sources.shared import new_path
     from tracewell.streaming import jobs
 
     spark = t("events").sparkSession
-    s = F.col("event_type")
-    status = F.when(s == "signup", "pending").when(s == "view", "processing").when(s == "purchase", "completed").when(s == "error", "failed").otherwise("unknown")
-    updates = _stream(t, "events").select((F.col("event_id") % 500).alias("item_id"), status.alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
+    updates = _stream(t, "events").select("event_id", (F.col("event_id") % 500).alias("item_id"), _status().alias("status"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
     items = t("events").select((F.col("event_id") % 500).alias("item_id")).distinct()
-    keyed = jobs.KeyedTable(spark, "status-table", ["item_id"], ["ts", "status"])
-    jobs.status_stream(updates, items, keyed, lambda bad: bad.count(), new_path(spark, "stream-state"), ("pending", "processing", "completed", "failed"))
-    return keyed.read().select("item_id", "status")
+    keyed = jobs.KeyedTable(spark, new_path(spark, "status-table"), ["item_id"], ["ts", "status"])
+    rejects = new_path(spark, "status-rejects")
+    jobs.status_stream(updates, items, keyed, lambda bad: bad.write.mode("append").parquet(rejects), new_path(spark, "stream-state"), ("pending", "processing", "completed", "failed"))
+    return keyed.read().select("item_id", "status"), spark.read.parquet(rejects)
+
+
+@query(f"SELECT event_id, 'unknown status' AS error FROM events WHERE {STATUS} = 'unknown'")
+def status_rejects(t):
+    return _status_run(t)[1].select("event_id", "error")
+
+
+@query("""WITH c AS (SELECT doc_id, text, unnest(generate_series(0, CASE WHEN length(text) <= 512 THEN 0 ELSE 448 * ceil((length(text) - 512) / 448.0)::BIGINT END, 448)) AS s FROM documents WHERE length(text) > 0)
+SELECT DISTINCT sha256(substr(text, s + 1, 512)) AS hash FROM c WHERE length(substr(text, s + 1, 512)) >= 40""")
+def index_stream(t):
+    from tracewell.sources.shared import new_path
+    from tracewell.streaming import jobs
+
+    spark = t("documents").sparkSession
+    store = io.VectorStore(spark, new_path(spark, "store"), "hashing", "plain")
+    checkpoint = new_path(spark, "stream-state")
+    for _ in range(2):  # a second run finds nothing new
+        jobs.index_stream(_stream(t, "documents").select("doc_id", "text"), store, checkpoint)
+    return store.read().select("hash")
+
+
+@query(LOGGED)
+def run_log_stream(t):
+    from tracewell.sources.shared import new_path
+    from tracewell.streaming import jobs
+
+    spark = t("events").sparkSession
+    path, checkpoint = new_path(spark, "run-log"), new_path(spark, "stream-state")
+    for _ in range(2):
+        jobs.run_log_stream(_log_rows(_stream(t, "events")), path, checkpoint)
+    return spark.read.schema(io.RUN_LOG).parquet(path).select("detail", "session", "action", "status")
+
+
+# the stages signup, view, click, purchase in this order; purchase asks for a verdict of a trusted source, and signup must be done before it
+@query("""WITH f AS (SELECT user_id, arg_max(event_type, {'a': epoch_us(ts), 'b': event_type}) AS stage, bool_or(event_type = 'signup') AS signed FROM events GROUP BY 1),
+v AS (SELECT user_id, arg_max(value, event_id) AS value, arg_max(event_id, event_id) AS e FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT user_id AS key, stage, CASE WHEN stage = 'error' THEN 'unknown stage' WHEN stage <> 'signup' AND NOT signed THEN 'earlier stage open' WHEN stage = 'purchase' AND e % 2 = 1 THEN 'untrusted verdict'
+WHEN stage = 'purchase' AND value <= 50 THEN 'failed' ELSE 'advance' END AS decision FROM f LEFT JOIN v USING (user_id)""")
+def stage_gate_stream(t):
+    from tracewell.sources.shared import new_path
+    from tracewell.streaming import jobs
+
+    events = t("events")
+    spark = events.sparkSession
+    order = F.struct(F.unix_micros(F.col("ts").cast("timestamp")), "event_type")
+    states = events.groupBy(F.col("user_id").alias("key")).agg(F.max_by("event_type", order).alias("current_stage"), F.collect_set("event_type").alias("completed_stages"))
+    source, out = new_path(spark, "stage-states"), new_path(spark, "stage-decisions")
+    states.write.parquet(source)
+    trusted = F.when(F.col("event_id") % 2 == 0, "judge").otherwise("author")
+    verdicts = events.filter("event_type = 'purchase'").select(F.col("user_id").alias("key"), F.col("event_type").alias("stage"), F.col("event_id").alias("seq"), (F.col("value") > 50).alias("passed"), trusted.alias("source"))
+    flow = [("signup", 1, False, True, None), ("view", 2, False, False, None), ("click", 3, False, False, None), ("purchase", 4, True, False, "judge")]
+    workflow = spark.createDataFrame(flow, "stage string, pos int, blocking boolean, required boolean, trusted_source string")
+    stream = spark.readStream.schema(states.schema).parquet(source)
+    jobs.stage_gate_stream(stream, verdicts, workflow, lambda rows: rows.write.mode("append").parquet(out), new_path(spark, "stream-state"))
+    return spark.read.schema("key long, stage string, decision string").parquet(out)

@@ -24,7 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def release_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this session's driver has written so far, and return how many.
+
+    A result is lazy and reads them: call this when it has been written or collected. Tables of a driver that has died stay
+    until the shared folder is cleared; nothing else refers to them.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        drop_path(spark, path)
+    return len(paths)
 
 
 def write_shared(df: DataFrame, tag: str) -> DataFrame:

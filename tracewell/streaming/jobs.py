@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,26 +15,66 @@ from tracewell.operators.chunking import sliding_chunks
 from tracewell.operators.search import build_index
 from tracewell.operators.tracking import latest_per_key, stage_gate
 from tracewell.sources.io import VectorStore
-from tracewell.sources.shared import drop_path, new_path
+from tracewell.sources.shared import drop_path, write_shared
 
 
 class KeyedTable:
-    """A Parquet table of the latest row a key. Each merge writes a new version; a pointer row names the current one."""
+    """A Parquet table of the latest row a key, in ``buckets`` parts by the hash of the key.
 
-    def __init__(self, spark, path: str, key: list[str], order: list[str]):
-        self.spark, self.path, self.key, self.order, self.version = spark, path, key, order, None
+    A merge writes the parts that its rows touch anew, below a name of their own, and then appends one pointer row that names the
+    current file of each part; what has no pointer row is not there. So a reader, or a driver that starts again on the
+    same path, finds the last whole merge. With a batch number, a merge that the pointer rows already hold from the same ``source`` (a stream's
+    checkpoint) is left out: a batch that runs again changes nothing. Parts that no pointer row needs any more are deleted one merge later.
+    """
 
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.version) if self.version else None
+    POINTER = "no long, source string, batch long, parts map<int,string>, kind string"
+
+    def __init__(self, spark, path: str, key: list[str], order: list[str], buckets: int = 16):
+        self.spark, self.path, self.key, self.order, self.buckets = spark, path.rstrip("/"), key, order, buckets
 
-    def merge(self, rows: DataFrame) -> None:
-        now = self.read()
-        both = rows if now is None else now.unionByName(rows.select(*now.columns))
-        version = new_path(self.spark, self.path)
-        latest_per_key(both, self.key, self.order).write.parquet(version)
-        old, self.version = self.version, version
-        if old:
-            drop_path(self.spark, old)
+    def _pointers(self) -> DataFrame:
+        reader = self.spark.read.schema(self.POINTER)
+        try:
+            return reader.parquet(f"{self.path}/pointers")
+        except Exception as e:  # nothing merged yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], self.POINTER)
+
+    def _current(self):
+        return self._pointers().orderBy(F.desc("no")).first()
+
+    def read(self) -> DataFrame | None:
+        now = self._current()
+        return self._read(now.kind, now.parts.values()) if now else None
+
+    def _read(self, kind: str, paths) -> DataFrame:
+        return self.spark.read.schema(kind).parquet(*sorted(paths))
+
+    def merge(self, rows: DataFrame, batch: int | None = None, source: str = "") -> None:
+        now = self._current()
+        if batch is not None:
+            last = self._pointers().filter(F.col("source") == source).agg(F.max("batch")).first()[0]
+            if last is not None and last >= batch:
+                return
+        part = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        rows = write_shared(rows.withColumn("_part", part), "merge-rows")
+        touched = [r[0] for r in rows.select("_part").distinct().collect()]  # at most ``buckets`` numbers
+        if not touched:
+            return
+        old = dict(now.parts) if now else {}
+        plain = rows.drop("_part")
+        held = [old[p] for p in touched if p in old]
+        both = plain.unionByName(self._read(now.kind, held).select(*plain.columns)) if held else plain
+        version = f"{self.path}/v-{uuid.uuid4().hex}"
+        latest_per_key(both, self.key, self.order).withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(version)
+        parts = old | {p: f"{version}/_part={p}" for p in touched}
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
+        pointer = self.spark.createDataFrame([((now.no if now else 0) + 1, source, batch, parts, kind)], self.POINTER)
+        pointer.coalesce(1).write.mode("append").parquet(f"{self.path}/pointers")
+        before = self._pointers().filter(F.col("no") == (now.no - 1 if now else -1)).first()
+        for path in set(before.parts.values()) - set(old.values()) if before else ():
+            drop_path(self.spark, path)
 
 
 def run_once(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -44,11 +85,11 @@ def run_once(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoi
 
 
 def status_stream(updates: DataFrame, items: DataFrame, table: KeyedTable, rejects: Callable[[DataFrame], None], checkpoint: str, statuses: tuple[str, ...]) -> StreamingQuery:
-    """Validate updates and keep each item's latest status. A batch that runs again changes nothing: the latest row by time wins."""
+    """Validate updates and keep each item's latest status. A batch that runs again changes nothing; ``rejects`` may see it twice."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        checked = valid_updates(batch, items, statuses=statuses)
-        table.merge(checked.filter("error IS NULL").drop("error"))
+    def each(batch: DataFrame, number: int) -> None:
+        checked = write_shared(valid_updates(batch, items, statuses=statuses), "checked-updates")
+        table.merge(checked.filter("error IS NULL").drop("error"), number, checkpoint)
         rejects(checked.filter("error IS NOT NULL"))
 
     return run_once(updates, each, checkpoint)
@@ -61,12 +102,11 @@ class _StatusDelta(StatefulProcessor):
         self.state = handle.getValueState("status", "status string, ts long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["ts", "status"])
         old = self.state.get() if self.state.exists() else (None, -1)
-        last = events.iloc[-1]
-        if int(last["ts"]) >= old[1] and last["status"] != old[0]:
-            self.state.update((last["status"], int(last["ts"])))
-            out = [(last["status"], 1)] + ([(old[0], -1)] if old[0] is not None else [])
+        ts, status = max(max(zip(pdf["ts"], pdf["status"], strict=True)) for pdf in rows)
+        if int(ts) >= old[1] and status != old[0]:
+            self.state.update((status, int(ts)))
+            out = [(status, 1)] + ([(old[0], -1)] if old[0] is not None else [])
             yield pd.DataFrame(out, columns=["status", "delta"])
 
     def close(self) -> None:
@@ -88,17 +128,22 @@ class _Attempts(StatefulProcessor):
         self.state = handle.getValueState("attempts", "attempts int, seq long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("seq")
         attempts, seq = self.state.get() if self.state.exists() else (0, -1)
-        outcome = None
-        for s, ok in zip(events["seq"], events["passed"], strict=True):
-            if s <= seq:
-                continue
-            seq, attempts = int(s), 0 if ok else attempts + 1
-            outcome = "CONVERGED" if ok else "EXHAUSTED" if attempts >= self.most else "RETRY"
-        if outcome:
-            self.state.update((int(attempts), int(seq)))
-            yield pd.DataFrame([(*key, seq, int(attempts), outcome)], columns=["key", "seq", "attempts", "outcome"])
+        start, last_pass, failed = seq, -1, set()
+        for pdf in rows:  # only failures after the last pass are held
+            for s, ok in zip(pdf["seq"], pdf["passed"], strict=True):
+                if s > start and ok:
+                    last_pass = max(last_pass, int(s))
+                elif s > max(start, last_pass):
+                    failed.add(int(s))
+            failed = {s for s in failed if s > last_pass}
+        if last_pass < 0 and not failed:
+            return
+        attempts = len(failed) + (attempts if last_pass < 0 else 0)
+        seq = max([last_pass, *failed])
+        outcome = "CONVERGED" if not failed else "EXHAUSTED" if attempts >= self.most else "RETRY"
+        self.state.update((int(attempts), int(seq)))
+        yield pd.DataFrame([(*key, seq, int(attempts), outcome)], columns=["key", "seq", "attempts", "outcome"])
 
     def close(self) -> None:
         pass
@@ -120,13 +165,14 @@ class _Silence(StatefulProcessor):
         self.handle, self.state = handle, handle.getValueState("session", "first long, last long, closed boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows))
-        ms = events["ts"].astype("int64") // (1_000_000 if str(events["ts"].dtype).endswith("[ns]") or str(events["ts"].dtype).endswith("[ns, UTC]") else 1_000)
-        first, last, closed = self.state.get() if self.state.exists() else (int(ms.min()), int(ms.max()), False)
+        first, last, closed = self.state.get() if self.state.exists() else (1 << 62, -(1 << 62), False)
         if closed:
             return
-        first, last = min(first, int(ms.min())), max(last, int(ms.max()))
-        done = bool(events["done"].any())
+        done = False
+        for pdf in rows:
+            unit = 1_000_000 if "[ns" in str(pdf["ts"].dtype) else 1_000
+            ms = pdf["ts"].astype("int64") // unit
+            first, last, done = min(first, int(ms.min())), max(last, int(ms.max())), done or bool(pdf["done"].any())
         self.state.update((first, last, done))
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t[0] if isinstance(t, (tuple, list)) else t)
@@ -161,12 +207,19 @@ class _Workflow(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         stage, mode, ts, done = self.state.get() if self.state.exists() else (None, None, -1, [])
-        done = list(done)
-        for e in pd.concat(list(rows)).sort_values(["ts", "stage"]).itertuples():
-            if e.completed and e.stage not in done:
-                done.append(e.stage)
-            if e.ts >= ts:
-                stage, ts, mode = e.stage, int(e.ts), e.flow_mode if e.flow_mode is not None else mode
+        first: dict[str, int] = {}  # one entry a stage
+        last, moded = None, None
+        for pdf in rows:
+            for e in pdf.itertuples():
+                if e.completed:
+                    first[e.stage] = min(first.get(e.stage, e.ts), e.ts)
+                if e.ts >= ts:
+                    last = max(last or (e.ts, e.stage), (e.ts, e.stage))
+                    if e.flow_mode is not None:
+                        moded = max(moded or (e.ts, e.stage, e.flow_mode), (e.ts, e.stage, e.flow_mode))
+        done = [*done, *(s for _, s in sorted((t, s) for s, t in first.items()) if s not in done)]
+        ts, stage = (int(last[0]), last[1]) if last else (ts, stage)
+        mode = moded[2] if moded else mode
         self.state.update((stage, mode, ts, done))
         yield pd.DataFrame([(*key, stage, mode, done)], columns=["key", "current_stage", "flow_mode", "completed_stages"])
 
