@@ -156,8 +156,8 @@ def test_components_of_chains_and_stars(spark):
 def test_topo_layers_with_a_cycle(spark):
     nodes = spark.createDataFrame([(c,) for c in "abcdef"], "id string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e"), ("e", "d"), ("d", "c"), ("f", "f"), ("a", "zz")], "src string, dst string")
-    # only the cycle is left after layer 2; d and e have one open link each, and the smaller id goes first
-    assert dict(rows(graph.topo_layers(nodes, edges))) == {"c": 0, "f": 0, "b": 1, "a": 2, "d": 3, "e": 4}
+    # only the cycle is left after layer 2; e has one dependency and d two, one of them done
+    assert dict(rows(graph.topo_layers(nodes, edges))) == {"c": 0, "f": 0, "b": 1, "a": 2, "e": 3, "d": 4}
 
 
 def test_trees_and_paths(spark):
@@ -455,3 +455,53 @@ def test_sources_round_trip(spark, tmp_path):
     io.append_run_log(rel, str(tmp_path / "log"))
     io.append_run_log(rel, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_loose_names_of_calls(spark):
+    e = spark.createDataFrame(
+        [("k1", "load", "DbService", "a/db.py"), ("k2", "load", "Cache", "b/cache.py"), ("k3", "save", "X", "c/x_dao.py"), ("k4", "save", "W", "c/w.py"), ("k0", "save", "V", "c/v.py"), ("k5", "once", None, "d"), ("k6", "Thing", None, "e")],
+        "key string, name string, class_name string, filename string",
+    )
+    c = spark.createDataFrame([(1, "dbService.load", ""), (2, "q.save", ""), (3, "q.once", ""), (4, "Thing.none", ""), (5, "Cache.load", ""), (6, "q.gone", ""), (7, "load", "")], "call_id int, name string, scope string")
+    assert rows(graph.resolve_names(c, e, loose=True)) == [(1, "k1", 6), (2, "k3", 7), (3, "k5", 4), (4, "k6", 8), (5, "k2", 3), (7, "k1", 1)]
+    assert rows(graph.resolve_names(c, e)) == [(1, "k1", 5), (2, "k0", 5), (3, "k5", 4), (5, "k2", 3), (7, "k1", 1)]
+
+
+def test_contract_counts_and_sections(spark):
+    text = "# T\n## Scope\nshort\n## Plan\n- [ ] one\n- [x] two\nTBD **REQ**\n"
+    docs = spark.createDataFrame([(0, text), (1, text + "TBD TBD\n- [X] three"), (2, None)], "id int, t string")
+    rules_ = [("plan", "heading", "Plan", 0), ("scope", "section", "Scope", 10), ("tbd", "at_most", "TBD", 1), ("boxes", "checkboxes", "", 3), ("req", "token", "TBD REQ", 0)]
+    got = dict(rows(quality.contract_check(docs, rules_, "id", "t")))
+    assert got == {0: ["boxes", "scope"], 1: ["scope", "tbd"], 2: ["boxes", "plan", "req"]}
+
+
+def test_weighted_rules(spark):
+    found = [("a", "optional", "x", 0.5), ("a", "exclude", "no", 0.0), ("b", "required", "y", 0.7), ("b", "required", "z", 0.2), ("c", "optional", "x", 0.5)]
+    df = spark.createDataFrame([(1, "x"), (2, "x no"), (3, "y"), (4, "yz x"), (5, None), (6, "q")], "k int, t string")
+    assert rows(rules.classify_weighted(df, found, "k", "t")) == [(1, "a", 0.5), (2, "c", 0.5), (3, "unknown", 0.0), (4, "b", 0.7), (5, "unknown", 0.0), (6, "unknown", 0.0)]
+
+
+def test_ranks_of_a_hot_group(spark):
+    data = [("hot", i) for i in range(3000)] + [(None, i) for i in range(50)] + [(f"g{i % 7}", i) for i in range(70)]
+    df = spark.createDataFrame(data, "g string, i long").repartition(5)
+    got = catalog.rank_within(df, ["g"], ["i"], "r", partitions=8)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["g"], []).append((r["i"], r["r"]))
+    assert all([n for _, n in sorted(v)] == list(range(1, len(v) + 1)) for v in by.values()) and {g: len(v) for g, v in by.items()} == Counter(g for g, _ in data)
+
+
+def test_paths_carry_relations(spark):
+    edges = spark.createDataFrame([("a", "b", "r2", "hi"), ("a", "b", "r1", "lo"), ("c", "b", "s", None)], "src string, dst string, relation string, confidence string")
+    nodes = spark.createDataFrame([("a", "First node"), ("b", "Middle"), ("c", "Last node")], "id string, label string")
+    assert rows(graph.path_between(nodes, edges, "first", "last node").orderBy("hop")) == [("a", "c", 1, "a", "b", "r1", "lo"), ("a", "c", 2, "b", "c", "s", None)]
+    assert graph.path_between(nodes, edges, "first", "zzz").count() == 0
+
+
+def test_intermediate_tables_can_be_released(spark):
+    import os
+
+    from tracewell.sources.shared import release_tables, write_shared
+
+    path = write_shared(spark.range(3), "t").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and release_tables(spark) > 0 and not os.path.exists(path) and release_tables(spark) == 0

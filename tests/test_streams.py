@@ -36,7 +36,7 @@ def test_status_table_is_the_latest_row(spark, feed, tmp_path):
     rng = random.Random(1)
     data = [(rng.randint(0, 9), rng.choice(["pending", "completed", "odd"]), i) for i in range(80)] + [(99, "pending", 1), (None, "pending", 2)]
     df = spark.createDataFrame(data, "item_id long, status string, ts long")
-    table = jobs.KeyedTable(spark, "status-test", ["item_id"], ["ts", "status"])
+    table = jobs.KeyedTable(spark, str(tmp_path / "table"), ["item_id"], ["ts", "status"])
     bad = []
     items = spark.range(10).withColumnRenamed("id", "item_id")
     jobs.status_stream(feed(df), items, table, lambda b: bad.extend(b.collect()), str(tmp_path / "cp"), ("pending", "completed"))
@@ -46,6 +46,42 @@ def test_status_table_is_the_latest_row(spark, feed, tmp_path):
     assert len(bad) == df.count() - good.count()
 
 
+def test_keyed_table_outlives_its_driver(spark, tmp_path):
+    """A second object on the path goes on where the first stopped; batches that run again, or stop half way, change nothing."""
+    kind = "k long, v string, ts long"
+    make = lambda *rows: spark.createDataFrame(list(rows), kind)
+    table = lambda: jobs.KeyedTable(spark, str(tmp_path / "keyed"), ["k"], ["ts", "v"], buckets=4)
+    assert table().read() is None
+    table().merge(make((1, "a", 1), (2, "a", 1), (3, "a", 1)), 0, "s")
+    table().merge(make((1, "b", 2)), 1, "s")
+    parts = dict(table()._current().parts)
+    table().merge(make((1, "again", 9)), 1, "s")  # the stream's driver died before it wrote down that batch 1 was done
+    table().merge(make((2, "c", 0), (4, "d", 1)), 2, "s")
+    table().merge(make((5, "e", 1)), 0, "another stream")
+    assert sorted(map(tuple, table().read().collect())) == [(1, "b", 2), (2, "a", 1), (3, "a", 1), (4, "d", 1), (5, "e", 1)]
+    # only parts with new rows were written anew
+    touched = {r[0] for r in make((2, "", 0), (4, "", 0), (5, "", 0)).selectExpr("cast(pmod(xxhash64(k), 4) as int)").collect()}
+    now = table()._current().parts
+    assert all(now[p] == parts[p] for p in parts if p not in touched) and all(now[p] != parts.get(p) for p in touched)
+    # a merge that never came to its pointer row is not there
+    spark.createDataFrame([(1, "half", 99)], kind).write.parquet(str(tmp_path / "keyed" / "v-half" / "_part=0"))
+    assert table().read().filter("v = 'half'").count() == 0
+    table().merge(make().limit(0), 3, "s")
+    assert table().read().count() == 5
+
+
+def test_attempts_of_one_batch_in_any_order(spark, feed, tmp_path):
+    rng = random.Random(6)
+    rows_ = [(rng.randint(0, 5), seq, rng.random() < 0.2) for seq in range(200)]
+    rows_ += rng.sample(rows_, 40)
+    rng.shuffle(rows_)
+    df = spark.createDataFrame(rows_, "key long, seq long, passed boolean")
+    got = {}
+    for _, r in drain(jobs.retry_controller(feed(df, 1), key_type="long"), "update", tmp_path):
+        got[r["key"]] = (r["attempts"], r["outcome"])
+    assert got == {r["key"]: (r["attempts"], r["outcome"]) for r in tracking.attempt_counter(df).collect()}
+
+
 def test_progress_deltas_sum_to_the_counts(spark, feed, tmp_path):
     rng = random.Random(2)
     df = spark.createDataFrame([(rng.randint(0, 9), rng.choice(["pending", "completed"]), i) for i in range(60)], "item_id long, status string, ts long")
