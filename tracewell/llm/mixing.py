@@ -64,8 +64,8 @@ def mix_sources(
     max_broadcast_sources: int = 100_000,
     keep: bool = False,
 ) -> DataFrame:
-    """(key, source, size, source_size, target, repeats, part) for every row of ``docs``; with ``keep`` all columns of ``docs`` and these
-    five last, in place of any of the same name.
+    """(key, source, size, source_size, target, repeats, part) for every row of ``docs``; with ``keep`` all columns of ``docs`` and the
+    last five, in place of any of the same name.
 
     The size is the number of words. ``repeats`` whole repetitions of the document are in the mix
     and ``part`` words of one more, which only the document at the cut of its source has; so each
@@ -104,17 +104,19 @@ def mix_sources(
     plan = sources.withColumnRenamed("_source", "_s").join(cut, same("_s", "_source"), "left").drop("_source")
     plan = broadcast_if_small(write_shared(plan, "mix-plan"), max_broadcast_sources)
     made = ["source_size", "target", "repeats", "part"]
-    if keep:
+    if keep:  # a text is counted again only where its size is asked for
         columns = [c for c in docs.columns if c not in ("size", *made)]
-        rows, shown = docs.withColumns({n: c for n, c in own.items() if n != "size"}).withColumn("size", own["size"]), [*columns, "size"]
+        rows, some = docs.select(*columns, *[own[c].alias(c) for c in ("_key", "_source", "_order")]), F.coalesce(F.col(text).rlike(WORD), F.lit(False))
+        shown, size = [*columns, own["size"].alias("size")], own["size"]
     else:
-        rows, shown = sizes, [F.col("_key").alias(key), F.col("_source").alias(source), "size"]
-    rows = rows.drop(*made).withColumn("_range", hash_range).join(plan, same("_source", "_s"))
-    at_cut = (F.col("_range") == F.col("cut_range")) & (F.col("size") > 0)
+        rows, some, size = sizes, F.col("size") > 0, F.col("size")
+        shown = [F.col("_key").alias(key), F.col("_source").alias(source), "size"]
+    rows = rows.withColumn("_range", hash_range).join(plan, same("_source", "_s"))
+    at_cut = (F.col("_range") == F.col("cut_range")) & some
     outside = rows.filter(F.coalesce(~at_cut, F.lit(True)))
-    outside = outside.withColumn("more", F.when((F.col("_range") < F.col("cut_range")) & (F.col("size") > 0), 1).otherwise(0)).withColumn("part", F.lit(0).cast("long"))
+    outside = outside.withColumn("more", F.when((F.col("_range") < F.col("cut_range")) & some, 1).otherwise(0)).withColumn("part", F.lit(0).cast("long"))
     # one range of 16 ** RANGE_DIGITS of a source: which of its groups of equal rows holds the cut, then which row
-    inside = rows.filter(at_cut).withColumn("_row", F.monotonically_increasing_id())
+    inside = rows.filter(at_cut).withColumn("size", size).withColumn("_row", F.monotonically_increasing_id())
     inside = write_shared(inside.withColumn("_file", F.shiftright("_row", 33)), "mix-cut")
     group = ["_source", "_order", "size", "_file"]
     groups = inside.groupBy(*group).agg(F.count("*").alias("_n"))

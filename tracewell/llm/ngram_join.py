@@ -215,6 +215,7 @@ def candidate_groups(
                 row, node = row[at], node[at]
                 child = mix(mix(node + FACTORS[place]) ^ low[row, place])
                 yield pd.DataFrame({"cid": cid[row], "node": child.view(np.int64)})
+            release_memory()
 
         return run
 
@@ -236,6 +237,7 @@ def candidate_groups(
                 out = []
         if out:
             yield pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([x for _, x in out])})
+        release_memory()
 
     lows = classes.select("cid", "low")
     rows = write_shared(lows.mapInPandas(split(0), "cid long, node long"), "nodes")
@@ -317,6 +319,7 @@ def set_classes(
                 out = []
         if out:
             yield pd.concat(out)
+        release_memory()
 
     near = dealt.repartition(*TILE).sortWithinPartitions(*TILE, "band", "block", "cid")
     found = write_shared(near.mapInPandas(verify, "cid long, links long, root long"), "verified-links")

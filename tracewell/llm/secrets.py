@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.batches import bound_batches
+from tracewell.operators.batches import bound_batches, release_memory
 
 # Kinds in the order in which spans at one start are listed.
 KINDS = ("assign", "access", "hex", "guess")
@@ -241,8 +241,10 @@ def scan_secrets(
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf(SPANS)
-    def spans(texts: pd.Series) -> pd.Series:
-        return pd.Series([find_spans(t or "", min_log10_guesses, min_length, ranks) for t in texts], dtype=object)
+    def spans(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([find_spans(t or "", min_log10_guesses, min_length, ranks) for t in texts], dtype=object)
+        release_memory()
 
     return docs.withColumn(out, spans(F.col(text).cast("string")))
 
@@ -259,21 +261,23 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]",
     marked = scan_secrets(docs, text, out="_spans", **how)
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        done = []
-        for t, found in zip(texts, spans, strict=True):
-            if t is None or len(found) == 0:
-                done.append(t)
-                continue
-            parts, at = [], 0
-            for s in found:
-                if s["end"] <= at:
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, spans in batches:
+            done = []
+            for t, found in zip(texts, spans, strict=True):
+                if t is None or len(found) == 0:
+                    done.append(t)
                     continue
-                if s["start"] >= at:
-                    parts += [t[at : s["start"]], mark]
-                at = s["end"]
-            done.append("".join(parts) + t[at:])
-        return pd.Series(done, dtype=object)
+                parts, at = [], 0
+                for s in found:
+                    if s["end"] <= at:
+                        continue
+                    if s["start"] >= at:
+                        parts += [t[at : s["start"]], mark]
+                    at = s["end"]
+                done.append("".join(parts) + t[at:])
+            yield pd.Series(done, dtype=object)
+        release_memory()
 
     hit = F.size("_spans") > 0
     return marked.withColumn(text, F.when(hit, cut(F.col(text), F.col("_spans"))).otherwise(F.col(text))).drop("_spans")

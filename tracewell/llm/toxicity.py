@@ -169,7 +169,12 @@ def training_sample(
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, **how) -> SentenceModel:
     rows = training_sample(docs, labels, **how).collect()
-    return fit([r["text"] for r in rows], [r["y"] for r in rows])
+    texts, labels_ = [r["text"] for r in rows], [r["y"] for r in rows]
+    del rows
+    model = fit(texts, labels_)
+    del texts
+    release_memory()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: SentenceModel, text: str = "text", out: str = "toxicity") -> DataFrame:
