@@ -49,7 +49,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The plan is applied row by row, so rows that share an id, or have none, are each repeated as planned.
     """
     planned = mix_sources(docs.select(*docs.columns, *[F.col(c).alias(f"_own_{c}") for c in docs.columns if c in MIXED]), keep=True)
-    times = F.col("repeats") + F.when(2 * F.col("part") >= F.greatest("size", F.lit(1)), 1).otherwise(0)
+    # a size is only asked for where a part of a document is in the mix
+    times = F.col("repeats") + F.when(F.col("part") == 0, 0).when(2 * F.col("part") >= F.col("size"), 1).otherwise(0)
     rows = planned.withColumn("_times", times).filter("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
     return rows.select(*[F.col(f"_own_{c}").alias(c) if c in MIXED else F.col(c) for c in docs.columns])
 
