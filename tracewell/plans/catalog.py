@@ -1229,11 +1229,11 @@ def config_audit(t):
     return quality.config_audit(rows, 12).select("p_partkey", "problems")
 
 
-@query("""SELECT 'NATION_' || n AS dir, 'not scanned' AS problem FROM (SELECT DISTINCT c_nationkey AS n FROM customer EXCEPT SELECT s_nationkey FROM supplier) UNION ALL SELECT 'NATION_' || n, 'out of scope' FROM (SELECT s_nationkey AS n FROM supplier EXCEPT SELECT c_nationkey FROM customer WHERE c_custkey % 3 = 0)
-""".replace("SELECT DISTINCT c_nationkey AS n FROM customer EXCEPT", "SELECT DISTINCT c_nationkey AS n FROM customer WHERE c_custkey % 3 = 0 EXCEPT"))
+@query("""WITH e AS (SELECT DISTINCT s_nationkey AS n FROM supplier WHERE s_acctbal > 6000), f AS (SELECT DISTINCT c_nationkey AS n FROM customer WHERE c_acctbal > 9900)
+SELECT 'NATION_' || n AS dir, 'not scanned' AS problem FROM (SELECT n FROM e EXCEPT SELECT n FROM f) UNION ALL SELECT 'NATION_' || n, 'out of scope' FROM (SELECT n FROM f EXCEPT SELECT n FROM e)""")
 def uncovered_dirs(t):
     name = lambda c: F.concat(F.lit("NATION_"), c).alias("dir")
-    return quality.uncovered_dirs(t("customer").filter("c_custkey % 3 = 0").select(name("c_nationkey")), t("supplier").select(name("s_nationkey")))
+    return quality.uncovered_dirs(t("supplier").filter("s_acctbal > 6000").select(name("s_nationkey")), t("customer").filter("c_acctbal > 9900").select(name("c_nationkey")))
 
 
 @query("""SELECT DISTINCT url AS path, 'excluded path covered' AS problem FROM pages WHERE contains(url, '/de/') UNION ALL SELECT DISTINCT url, 'not scanned' FROM pages WHERE page_id % 5 = 0 AND url NOT IN (SELECT url FROM pages WHERE page_id % 5 > 0)
