@@ -165,7 +165,7 @@ def _children(node: np.ndarray, depth: int, threshold: float) -> tuple[np.ndarra
 def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """(doc_id, text_hash, n, d1, d2, low): size, identity and MinHash values of each text's shingle set. No shuffle.
 
-    ``text_hash`` tells the texts of a repeated id apart.
+    ``text_hash`` is of id and text: it tells the texts of a repeated id apart.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,12 +180,13 @@ def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
             yield made
         release_memory()
 
-    rows = docs.select(F.col(key).cast("long").cast("string").alias("_key"), text_hash(text).alias("_hash"), F.col(text).cast("string").alias("_text"))
+    rows = docs.select(F.col(key).cast("long").cast("string").alias("_key"), row_hash(key, text).alias("_hash"), F.col(text).cast("string").alias("_text"))
     return rows.mapInPandas(run, "doc_id long, text_hash long, n long, d1 long, d2 long, low binary")
 
 
-def text_hash(text: str) -> Column:
-    return F.xxhash64(F.col(text).cast("string"))
+def row_hash(key: str, text: str) -> Column:
+    """One number for id and text, so that a row is looked up by a single long."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"))
 
 
 def candidate_groups(
@@ -286,7 +287,7 @@ def set_classes(
     members = classes.select("cid", "rep", "rep_hash", "w", "n", "d1").join(groups.withColumnRenamed("node", "cid"), "cid")
     members = write_shared(deal_bands(members, threshold, tile_docs, tile_shingles, ["cid"]), "blocked-members")
     chosen = broadcast_if_small(members, max_broadcast)
-    texts = docs.select(F.col(key).cast("long").alias("rep"), text_hash(text).alias("rep_hash"), F.col(text).cast("string").alias("text")).join(chosen, ["rep", "rep_hash"])
+    texts = docs.select(row_hash(key, text).alias("rep_hash"), F.col(text).cast("string").alias("text")).join(chosen, "rep_hash")
 
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()  # a row that repeats is cut once a task
@@ -368,16 +369,15 @@ def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     sketches, classes = set_classes(docs, key, text, **how)
     rows = sketches.filter("n > 0 AND doc_id IS NOT NULL").join(classes, ["n", "d1", "d2"])
     is_first = (F.col("doc_id") == F.col("first")) & (F.col("text_hash") == F.col("first_hash"))
-    id_, hash_ = F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
-    gone = write_shared(rows.filter(~is_first).select(id_, hash_).distinct(), "near-copies")
-    again = write_shared(rows.filter(is_first & (F.col("w") > 1)).groupBy(id_, hash_).count().filter("count > 1").drop("count"), "repeated-rows")
-    keyed = docs.withColumns({"_key": F.col(key).cast("long"), "_th": text_hash(text)})
-    on = (F.col("_key") == F.col("_id")) & (F.col("_th") == F.col("_hash"))
+    gone = write_shared(rows.filter(~is_first).select(F.col("text_hash").alias("_hash")).distinct(), "near-copies")
+    again = write_shared(rows.filter(is_first & (F.col("w") > 1)).groupBy(F.col("text_hash").alias("_hash")).count().filter("count > 1").drop("count"), "repeated-rows")
+    keyed = docs.withColumn("_row", row_hash(key, text))
+    on = F.col("_row") == F.col("_hash")
     kept = keyed.join(broadcast_if_small(gone, max_broadcast), on, "left_anti")
     if again.isEmpty():
         return kept.select(*docs.columns)
     again = broadcast_if_small(again, max_broadcast)
-    once = kept.join(again, on, "left_semi").dropDuplicates(["_key", "_th"])
+    once = kept.join(again, on, "left_semi").dropDuplicates(["_row"])
     return kept.join(again, on, "left_anti").unionByName(once).select(*docs.columns)
 
 
