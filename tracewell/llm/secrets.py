@@ -256,31 +256,35 @@ def span_list(spans: Column) -> Column:
     )
 
 
-def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[secret]", **how) -> DataFrame:
-    """``docs`` with each span replaced by ``mark`` in its text; overlapping spans become one mark."""
-    marked = scan_secrets(docs, text, out="_spans", **how)
+def _marked(text: str, spans: list[dict], mark: str) -> str:
+    parts, at = [], 0
+    for s in spans:
+        if s["end"] <= at:
+            continue
+        if s["start"] >= at:
+            parts += [text[at : s["start"]], mark]
+        at = s["end"]
+    return "".join(parts) + text[at:]
+
+
+def redact_secrets(
+    docs: DataFrame, text: str = "text", mark: str = "[secret]", min_log10_guesses: float = 9.0, min_length: int = 8, words: tuple[str, ...] | None = None
+) -> DataFrame:
+    """``docs`` with each span of ``scan_secrets`` replaced by ``mark`` in its text; overlapping spans become one mark.
+
+    Spans are found and replaced in one pass of one worker, and only texts that change come back from it.
+    """
+    ranks = Words(default_dictionary() if words is None else words)
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, spans in batches:
-            done = []
-            for t, found in zip(texts, spans, strict=True):
-                if t is None or len(found) == 0:
-                    done.append(t)
-                    continue
-                parts, at = [], 0
-                for s in found:
-                    if s["end"] <= at:
-                        continue
-                    if s["start"] >= at:
-                        parts += [t[at : s["start"]], mark]
-                    at = s["end"]
-                done.append("".join(parts) + t[at:])
-            yield pd.Series(done, dtype=object)
+    def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            found = [(t, find_spans(t, min_log10_guesses, min_length, ranks) if t else None) for t in texts]
+            yield pd.Series([_marked(t, spans, mark) if spans else None for t, spans in found], dtype=object)
         release_memory()
 
-    hit = F.size("_spans") > 0
-    return marked.withColumn(text, F.when(hit, cut(F.col(text), F.col("_spans"))).otherwise(F.col(text))).drop("_spans")
+    return docs.withColumn(text, F.coalesce(cut(F.col(text).cast("string")), F.col(text)))
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:
