@@ -144,6 +144,9 @@ def test_long_labelled_texts_are_learnt_from(spark):
     assert toxicity.train_toxicity(docs, labels).trained
     small = toxicity.training_sample(docs, labels, max_chars=200_000).collect()
     assert Counter(r["y"] for r in small) == {0: 3, 1: 1} and all(len(r["text"]) > 30_000 for r in small)
+    # a key on very many rows counts once, and leaves room for the others
+    hot = docs.unionByName(spark.range(20_000).select(F.lit(0).cast("long").alias("doc_id"), F.concat(F.lit("row "), "id").alias("text")))
+    assert Counter(r["y"] for r in toxicity.training_sample(hot, labels).collect()) == {0: 30, 1: 30}
     tiny = toxicity.training_sample(docs, labels, max_chars=10).collect()  # none fits: the shortest of each class, whole
     assert Counter(r["y"] for r in tiny) == {0: 1, 1: 1}
 

@@ -138,7 +138,7 @@ def training_sample(
 
     A seeded hash of the key draws them, so the sample is spread over all labelled rows. Each class has its share of
     ``max_chars`` characters in all: documents are taken whole, in the order drawn, while they fit what is left, and a
-    longer one is passed over for the next. If none of a class fits, its shortest is taken, so that a class with labelled text never
+    longer one is passed over for the next; of a key on several rows the one of the smallest hash stands for it. If none of a class fits, its shortest is taken, so that a class with labelled text never
     has an empty sample. Lengths are drawn first and only the texts chosen are read for; the chosen keys are so few that they are broadcast:
     the documents are not shuffled. Empty and null texts hold no sentence, tell a noisy-or nothing and are not drawn.
     """
@@ -151,8 +151,8 @@ def training_sample(
     picked = [known.filter(F.col("y") == y).orderBy(spread, "_k").limit(n) for y, n in most.items()]
     rows = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("text")).filter(F.length("text") > 0).withColumn("_h", F.xxhash64("text"))
     drawn = rows.select("_k", "_h", F.length("text").alias("n")).join(F.broadcast(picked[0].unionByName(picked[1])), "_k")
-    # a key may stand on several rows: twice the keys bounds what comes to the driver
-    drawn = drawn.distinct().orderBy(spread, "_k", "_h").limit(2 * sum(most.values())).collect()
+    # of a key that stands on several rows, however many, one is drawn
+    drawn = drawn.groupBy("_k", "y").agg(F.min(F.struct("_h", "n")).alias("_x")).select("_k", "y", "_x.*").orderBy(spread, "_k").collect()
     chosen = []
     for y in most:
         own, left = [r for r in drawn if r["y"] == y], max_chars * most[y] // sum(most.values())
