@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from tracewell.llm.chat import OP8_SQL, op8_chat_format
+from tracewell.llm.divergence import OP11_SQL, op11_source_divergence
+from tracewell.llm.licenses import OP12_SQL, op12_license_scan
 from tracewell.llm.mixing import OP3_SQL, op3_mix_sources
 from tracewell.llm.ngram_join import OP4_SQL, op4_ngram_jaccard_join
 from tracewell.llm.packing import op1_best_fit_packing
 from tracewell.llm.secrets import op6_secret_scan
+from tracewell.llm.spelling import op13_spelling_variants
 from tracewell.llm.token_counts import op5_token_counts
 from tracewell.llm.toxicity import op2_toxicity
 from tracewell.llm.vectors import OP9_SQL, OP10_SQL, op9_embedding_dedup, op10_exact_topk
@@ -23,6 +26,9 @@ QUERIES = {
     "op8_chat_format": op8_chat_format,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_exact_topk": op10_exact_topk,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_license_scan": op12_license_scan,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -32,4 +38,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_chat_format": OP8_SQL,
     "op9_embedding_dedup": OP9_SQL,
     "op10_exact_topk": OP10_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op12_license_scan": OP12_SQL,
 }
