@@ -1,6 +1,7 @@
 """Streams give what the batch operators give on the same events."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +17,11 @@ def feed(spark, tmp_path):
 
     def make(df, parts=3):
         path = str(tmp_path / f"in{random.random()}")
-        df.repartition(parts).write.parquet(path)
+        if isinstance(parts, list):  # rows of each file, in the order in which they come
+            for rows in parts:
+                spark.createDataFrame(rows, df.schema).coalesce(1).write.mode("append").parquet(path)
+        else:
+            df.repartition(parts).write.parquet(path)
         return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
     return make
@@ -70,27 +75,115 @@ def test_keyed_table_outlives_its_driver(spark, tmp_path):
     assert table().read().count() == 5
 
 
-def test_attempts_of_one_batch_in_any_order(spark, feed, tmp_path):
-    rng = random.Random(6)
-    rows_ = [(rng.randint(0, 5), seq, rng.random() < 0.2) for seq in range(200)]
-    rows_ += rng.sample(rows_, 40)
-    rng.shuffle(rows_)
-    df = spark.createDataFrame(rows_, "key long, seq long, passed boolean")
-    got = {}
-    for _, r in drain(jobs.retry_controller(feed(df, 1), key_type="long"), "update", tmp_path):
-        got[r["key"]] = (r["attempts"], r["outcome"])
-    assert got == {r["key"]: (r["attempts"], r["outcome"]) for r in tracking.attempt_counter(df).collect()}
+def dealt(rows, files, seed):
+    """The rows in ``files`` lists, in a random order of rows and lists."""
+    rng = random.Random(seed)
+    rows = rng.sample(rows, len(rows))
+    return [part for part in (rows[i::files] for i in range(files)) if part]
+
 
+@pytest.mark.parametrize(("files", "seed"), [(1, 0), (3, 1), (3, 2), (7, 3), (7, 4)])
+def test_folds_equal_their_batch_operators_in_any_order(spark, feed, tmp_path, files, seed):
+    rng = random.Random(seed)
+    verdicts = [(rng.randint(0, 5), rng.randint(-3, 40), rng.random() < 0.1) for _ in range(150)] + [(0, None, True), (1, 4, None)]
+    df = spark.createDataFrame(verdicts, "key long, seq long, passed boolean")
+    got = {}
+    for n, r in drain(jobs.retry_controller(feed(df, dealt(verdicts, files, seed)), key_type="long"), "update", tmp_path / "a"):
+        got[r["key"]] = max(got.get(r["key"], (-1,)), (n, r["attempts"], r["outcome"]))
+    assert {k: v[1:] for k, v in got.items()} == {r["key"]: (r["attempts"], r["outcome"]) for r in tracking.attempt_counter(df).collect()}
 
-def test_progress_deltas_sum_to_the_counts(spark, feed, tmp_path):
-    rng = random.Random(2)
-    df = spark.createDataFrame([(rng.randint(0, 9), rng.choice(["pending", "completed"]), i) for i in range(60)], "item_id long, status string, ts long")
+    updates = [(rng.randint(0, 9), rng.choice(["pending", "completed", "failed"]), rng.randint(0, 12)) for _ in range(80)] + [(3, None, 99), (3, "odd", None)]
+    df = spark.createDataFrame(updates, "item_id long, status string, ts long")
     got = {}
-    for _, r in drain(jobs.progress_stream(feed(df)), "append", tmp_path):
+    for _, r in drain(jobs.progress_stream(feed(df, dealt(updates, files, seed))), "append", tmp_path / "b"):
         got[r["status"]] = got.get(r["status"], 0) + r["delta"]
-    want = tracking.latest_per_key(df, ["item_id"], ["ts", "status"]).groupBy("status").count().collect()
+    want = tracking.latest_per_key(df.dropna(), ["item_id"], ["ts", "status"]).groupBy("status").count().collect()
     assert {k: v for k, v in got.items() if v} == {r["status"]: r["count"] for r in want}
 
+    named = lambda: {rng.choice("xyz"): rng.choice(["1", "2", None]) for _ in range(rng.randint(0, 2))} if rng.random() < 0.7 else None
+    events = [(rng.randint(0, 3), rng.choice("abcdef"), rng.randint(0, 15), rng.random() < 0.5, rng.choice([None, "", "fast", "full"]), named()) for _ in range(70)]
+    events += [(1, None, 5, True, "fast", None), (1, "g", None, True, "fast", None)]
+    df = spark.createDataFrame(events, "key long, stage string, ts long, completed boolean, flow_mode string, results map<string,string>")
+    got = {}
+    for n, r in drain(jobs.workflow_state(feed(df, dealt(events, files, seed)), key_type="long"), "update", tmp_path / "c"):
+        if n >= got.get(r["key"], (-1,))[0]:
+            got[r["key"]] = (n, r["current_stage"], r["flow_mode"], r["completed_stages"], r["results"])
+    want = {r["key"]: tuple(r)[1:] for r in tracking.workflow_state(df).collect()}
+    assert {k: v[1:] for k, v in got.items()} == want
+
+
+def test_attempts_count_a_failure_that_comes_after_a_later_one(spark, feed, tmp_path):
+    rows = [[("a", 2, False)], [("a", 1, False)], [("a", 3, False)]]
+    df = spark.createDataFrame(rows[0], "key string, seq long, passed boolean")
+    got = [(r["attempts"], r["outcome"]) for _, r in drain(jobs.retry_controller(feed(df, rows)), "update", tmp_path)]
+    assert got == [(1, "RETRY"), (2, "RETRY"), (3, "EXHAUSTED")]
+
+
+def test_state_with_a_time_to_live(spark, feed, tmp_path):
+    """By the clock, so the stream runs until it is stopped."""
+    rows = [[("a", 2, False)], [("a", 1, False)]]
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = jobs.retry_controller(feed(spark.createDataFrame(rows[0], "key string, seq long, passed boolean"), rows), ttl_ms=3_600_000)
+    got = []
+    q = stream.writeStream.foreachBatch(lambda b, n: got.extend(b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "ttl"))
+    q = q.trigger(processingTime="500 milliseconds").start()
+    end = time.time() + 90
+    while len(got) < 2 and time.time() < end and q.isActive:
+        time.sleep(0.2)
+    q.stop()
+    assert [r["attempts"] for r in got] == [1, 2]
+
+
+def test_progress_keeps_the_time_of_an_unchanged_status(spark, feed, tmp_path):
+    rows = [[(1, "pending", 5)], [(1, "pending", 20)], [(1, "completed", 10)]]
+    df = spark.createDataFrame(rows[0], "item_id long, status string, ts long")
+    assert [tuple(r) for _, r in drain(jobs.progress_stream(feed(df, rows)), "append", tmp_path)] == [("pending", 1)]
+
+
+def test_late_rows_go_to_their_table_and_are_counted(spark, feed, tmp_path):
+    at = lambda s: f"2024-01-01 00:{s // 60:02}:{s % 60:02}"
+    files = [[("a", at(100), 1), ("a", at(5), 2)], [("a", at(95), 3), ("b", at(89), 4), ("b", None, 5)], [("b", at(300), 6)], [("a", at(291), 7), ("a", at(100), 8)]]
+    text = spark.createDataFrame(files[0], "key string, t string, n long")
+    stream = feed(text, files).select("key", F.col("t").cast("timestamp").alias("ts"), "n")
+    here = lambda x: str(tmp_path / x)
+    for _ in range(2):  # a second run finds nothing new
+        jobs.route_late(stream, here("on"), here("late"), "10 seconds", here("cp"))
+    numbers = lambda x: sorted(r["n"] for r in spark.read.option("basePath", here(x)).parquet(here(x)).collect())
+    assert numbers("late") == [4, 5, 8] and numbers("on") == [1, 2, 3, 6, 7]
+    on = spark.readStream.schema("key string, ts timestamp, n long, batch long").option("maxFilesPerTrigger", 1).parquet(here("on"))
+    got = {}
+    for _, r in drain(jobs.retry_controller(on.select("key", F.col("n").alias("seq"), F.lit(False).alias("passed"))), "update", tmp_path):
+        got[r["key"]] = max(got.get(r["key"], 0), r["attempts"])
+    assert got == {"a": 4, "b": 1}
+
+
+def test_pointers_of_a_keyed_table_do_not_pile_up(spark, tmp_path):
+    table = jobs.KeyedTable(spark, str(tmp_path / "keyed"), ["k"], ["ts"], buckets=2)
+    for i in range(6):
+        table.merge(spark.createDataFrame([(i % 3, i)], "k long, ts long"), i, f"source {i % 2}")
+    assert len(list((tmp_path / "keyed" / "pointers").glob("no=*"))) == 2 and dict(table._current().batches) == {"source 0": 4, "source 1": 5}
+    assert len(list((tmp_path / "keyed").glob("v-*/_part=*"))) <= 4
+    assert sorted(map(tuple, table.read().select("k", "ts").collect())) == [(0, 3), (1, 4), (2, 5)]
+
+
+def test_sessions_over_several_batches(spark, feed, tmp_path):
+    """Events that come by time, one file a batch, with gaps below the silence: what is due at the last watermark has ended as in the batch operator."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(12):
+        t = 1_700_000_000 + rng.randint(0, 2500)
+        for _ in range(rng.randint(1, 8)):
+            rows.append((f"s{k}", t, rng.random() < 0.08))
+            t += rng.randint(0, 200)
+    rows.sort(key=lambda r: r[1])
+    df = spark.createDataFrame(rows, "session string, t long, done boolean")
+    stream = feed(df, [rows[i : i + 12] for i in range(0, len(rows), 12)]).select("session", F.timestamp_seconds("t").alias("ts"), "done")
+    got = {r["session"]: r["state"] for _, r in drain(jobs.stale_session_stream(stream, 400, 5000), "append", tmp_path)}
+    mark = F.timestamp_seconds(F.lit(rows[-1][1] - 10))
+    want = tracking.stale_sessions(df.withColumn("ts", F.timestamp_seconds("t")), "session", "ts", F.col("done"), mark, 399.999, 5000)
+    want = {r["session"]: r["state"] for r in want.collect() if r["state"] != "running"}
+    assert got == want and set(want.values()) == {"done", "stale"}
+
 
 def test_retries_count_each_verdict_once(spark, feed, tmp_path):
     data = [("a", 1, False), ("a", 1, False), ("b", 1, False), ("b", 2, False), ("b", 3, False), ("c", 1, False), ("c", 2, True)]

@@ -57,16 +57,36 @@ def accumulate_distinct(events: DataFrame, key: str, stage: str, order: list[str
 def attempt_counter(verdicts: DataFrame, key: str = "key", seq: str = "seq", passed: str = "passed", max_attempts: int = 3) -> DataFrame:
     """(key, attempts, outcome): failures since the last pass, each ``seq`` once.
 
-    CONVERGED after a pass, EXHAUSTED from ``max_attempts`` failures on, else RETRY.
+    CONVERGED after a pass, EXHAUSTED from ``max_attempts`` failures on, else RETRY. Rows without a number or an answer are no verdicts.
     """
-    once = verdicts.groupBy(key, seq).agg(F.bool_or(passed).alias("_p"))
+    once = verdicts.filter(F.col(seq).isNotNull() & F.col(passed).isNotNull()).groupBy(key, seq).agg(F.bool_or(passed).alias("_p"))
     last = once.groupBy(key).agg(F.max(F.when(F.col("_p"), F.col(seq))).alias("_last"), F.max(seq).alias("_end"))
     rows = once.join(last, key)
-    out = rows.groupBy(key, "_last", "_end").agg(F.count_if(~F.col("_p") & (F.col(seq) > F.coalesce("_last", F.lit(-1)))).alias("attempts"))
+    out = rows.groupBy(key, "_last", "_end").agg(F.count_if(~F.col("_p") & (F.col("_last").isNull() | (F.col(seq) > F.col("_last")))).alias("attempts"))
     outcome = F.when(F.col("_last").eqNullSafe(F.col("_end")), "CONVERGED").when(F.col("attempts") >= max_attempts, "EXHAUSTED").otherwise("RETRY")
     return out.select(key, "attempts", outcome.alias("outcome"))
 
 
+def workflow_state(events: DataFrame, key: str = "key") -> DataFrame:
+    """(key, current_stage, flow_mode, completed_stages, results) of events (key, stage, ts, completed, flow_mode, results map).
+
+    The latest event by (ts, stage) gives the stage, the latest with a flow mode that isn't empty the mode; stages are listed once, by the time they were
+    first completed; of each named result the latest value holds. Rows without stage or time are no events.
+    """
+    known = events.filter("stage IS NOT NULL AND ts IS NOT NULL")
+    at = F.struct("ts", "stage")
+    last = known.groupBy(key).agg(
+        F.max_by("stage", at).alias("current_stage"), F.max(F.when(F.col("flow_mode") != "", F.struct("ts", "stage", "flow_mode")))["flow_mode"].alias("flow_mode")
+    )
+    done = accumulate_distinct(known.filter("completed"), key, "stage", ["ts"]).withColumnRenamed("stages", "completed_stages")
+    values = known.select(key, "ts", "stage", F.explode("results").alias("_n", "_v")).filter("_v IS NOT NULL")
+    values = values.groupBy(key, "_n").agg(F.max(F.struct("ts", "stage", "_v"))["_v"].alias("_v"))
+    values = values.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_n", "_v")))).alias("results"))
+    none = F.array().cast("array<string>")
+    out = last.join(done, key, "left").join(values, key, "left")
+    return out.select(key, "current_stage", "flow_mode", F.coalesce("completed_stages", none).alias("completed_stages"), F.coalesce("results", F.create_map().cast("map<string,string>")).alias("results"))
+
+
 def next_work(df: DataFrame, group: list[str], order: list, n: int, status: str = "status") -> DataFrame:
     """The next ``n`` rows of each group: pending ones, or the ones in process if none is pending."""
     s = F.lower(status)

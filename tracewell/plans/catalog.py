@@ -1360,15 +1360,17 @@ def language_weights(t):
 # ---------------------------------------------------------------- streams over the event table
 
 
-def _stream(t, name):
-    """The table as a file stream: every file of its folder, read once."""
+def _stream(t, name, files=5, by=None):
+    """The whole table dealt into files, one file a micro-batch: in no order, or in ranges of ``by``, the first range first."""
+    from tracewell.sources.shared import new_path, write_shared
+
     batch = t(name)
-    path = batch.inputFiles()[0]
-    folder, file = path.rsplit("/", 1)
-    spark = batch.sparkSession
-    single = not folder.endswith(".parquet")
-    reader = spark.readStream.schema(batch.schema)
-    return reader.option("pathGlobFilter", file).parquet(folder) if single else reader.parquet(folder)
+    spark, path = batch.sparkSession, new_path(batch.sparkSession, "stream-in")
+    rows = batch.repartition(files) if by is None else batch.repartitionByRange(files, by)
+    rows = write_shared(rows.withColumn("_file", F.spark_partition_id()), "stream-files")
+    for i in range(files):  # one after the other, so that files are read in this order
+        rows.filter(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _collect_stream(df, mode):
@@ -1416,7 +1418,7 @@ def stale_session_stream(t):
     from tracewell.streaming import jobs
 
     done = (F.col("event_type") == "purchase") & (F.col("value") > 180)
-    e = _stream(t, "events").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), done.alias("done"))
+    e = _stream(t, "events", by="ts").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), done.alias("done"))
     return _collect_stream(jobs.stale_session_stream(e, 86_400, 2_570_400, key_type="long"), "append").drop("batch")
 
 
@@ -1434,6 +1436,21 @@ def workflow_stream(t):
     return out.groupBy("key").agg(F.max_by(F.struct("completed_stages", "current_stage", "flow_mode"), "batch").alias("s")).select("key", "s.*")
 
 
+# rows older than the latest event of all batches before, less the delay: with files in ranges of time there are none, and every event is counted once
+@query("SELECT event_type, count(*) AS on_time, 0::BIGINT AS late FROM events GROUP BY 1")
+def late_route(t):
+    from tracewell.sources.shared import new_path
+    from tracewell.streaming import jobs
+
+    spark = t("events").sparkSession
+    on_time, late = new_path(spark, "on-time"), new_path(spark, "late")
+    events = _stream(t, "events", by="ts").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    jobs.route_late(events, on_time, late, "10 seconds", new_path(spark, "stream-state"))
+    read = lambda path: spark.read.schema("event_type string, ts timestamp, batch long").option("basePath", path).parquet(path)
+    both = read(on_time).withColumn("_late", F.lit(0)).unionByName(read(late).withColumn("_late", F.lit(1)))
+    return both.groupBy("event_type").agg(F.count_if(F.col("_late") == 0).alias("on_time"), F.count_if(F.col("_late") == 1).alias("late"))
+
+
 @query(f"""SELECT event_id % 500 AS item_id, {STATUS} AS status FROM events WHERE {STATUS} <> 'unknown' QUALIFY row_number() OVER (PARTITION BY event_id % 500 ORDER BY epoch_us(ts) DESC, {STATUS} DESC) = 1""")
 def status_stream(t):
     return _status_run(t)[0]

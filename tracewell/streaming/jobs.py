@@ -21,28 +21,30 @@ from tracewell.sources.shared import drop_path, write_shared
 class KeyedTable:
     """A Parquet table of the latest row a key, in ``buckets`` parts by the hash of the key.
 
-    A merge writes the parts that its rows touch anew, below a name of their own, and then appends one pointer row that names the
-    current file of each part; what has no pointer row is not there. So a reader, or a driver that starts again on the
-    same path, finds the last whole merge. With a batch number, a merge that the pointer rows already hold from the same ``source`` (a stream's
-    checkpoint) is left out: a batch that runs again changes nothing. Parts that no pointer row needs any more are deleted one merge later.
+    A merge writes the parts that its rows touch anew, below a name of their own, and then one pointer in a folder of its own
+    that names the current file of each part and the last batch of each source (a stream's checkpoint); what no pointer names is not
+    there. So a reader, or a driver that starts again on the same path, finds the last whole merge, and with a batch number a merge
+    that was done before is left out: a batch that runs again changes nothing. The last pointer is all that is needed: older ones than the one
+    before it, and parts that those named alone, are deleted, so reading costs the same after any number of merges. One writer at a time.
     """
 
-    POINTER = "no long, source string, batch long, parts map<int,string>, kind string"
+    POINTER = "batches map<string,long>, parts map<int,string>, kind string, no long"
 
     def __init__(self, spark, path: str, key: list[str], order: list[str], buckets: int = 16):
         self.spark, self.path, self.key, self.order, self.buckets = spark, path.rstrip("/"), key, order, buckets
 
-    def _pointers(self) -> DataFrame:
-        reader = self.spark.read.schema(self.POINTER)
+    def _pointers(self) -> list:
+        """Pointers, the newest first: two, or three after a merge that stopped half way."""
         try:
-            return reader.parquet(f"{self.path}/pointers")
+            rows = self.spark.read.schema(self.POINTER).option("basePath", f"{self.path}/pointers").parquet(f"{self.path}/pointers")
         except Exception as e:  # nothing merged yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], self.POINTER)
+            return []
+        return rows.orderBy(F.desc("no")).collect()
 
     def _current(self):
-        return self._pointers().orderBy(F.desc("no")).first()
+        return next(iter(self._pointers()), None)
 
     def read(self) -> DataFrame | None:
         now = self._current()
@@ -52,11 +54,11 @@ class KeyedTable:
         return self.spark.read.schema(kind).parquet(*sorted(paths))
 
     def merge(self, rows: DataFrame, batch: int | None = None, source: str = "") -> None:
-        now = self._current()
-        if batch is not None:
-            last = self._pointers().filter(F.col("source") == source).agg(F.max("batch")).first()[0]
-            if last is not None and last >= batch:
-                return
+        held = self._pointers()
+        now = held[0] if held else None
+        batches = dict(now.batches) if now else {}
+        if batch is not None and batches.get(source, -1) >= batch:
+            return
         part = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
         rows = write_shared(rows.withColumn("_part", part), "merge-rows")
         touched = [r[0] for r in rows.select("_part").distinct().collect()]  # at most ``buckets`` numbers
@@ -64,17 +66,19 @@ class KeyedTable:
             return
         old = dict(now.parts) if now else {}
         plain = rows.drop("_part")
-        held = [old[p] for p in touched if p in old]
-        both = plain.unionByName(self._read(now.kind, held).select(*plain.columns)) if held else plain
+        own = [old[p] for p in touched if p in old]
+        both = plain.unionByName(self._read(now.kind, own).select(*plain.columns)) if own else plain
         version = f"{self.path}/v-{uuid.uuid4().hex}"
         latest_per_key(both, self.key, self.order).withColumn("_part", part).repartition("_part").write.partitionBy("_part").parquet(version)
         parts = old | {p: f"{version}/_part={p}" for p in touched}
         kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-        pointer = self.spark.createDataFrame([((now.no if now else 0) + 1, source, batch, parts, kind)], self.POINTER)
-        pointer.coalesce(1).write.mode("append").parquet(f"{self.path}/pointers")
-        before = self._pointers().filter(F.col("no") == (now.no - 1 if now else -1)).first()
-        for path in set(before.parts.values()) - set(old.values()) if before else ():
-            drop_path(self.spark, path)
+        batches |= {source: batch} if batch is not None else {}
+        pointer = self.spark.createDataFrame([(batches, parts, kind)], self.POINTER.removesuffix(", no long"))
+        pointer.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/pointers/no={(now.no if now else 0) + 1}")
+        for gone in held[1:]:  # a reader may still hold the pointer before this one
+            for path in set(gone.parts.values()) - set(old.values()):
+                drop_path(self.spark, path)
+            drop_path(self.spark, f"{self.path}/pointers/no={gone.no}")
 
 
 def run_once(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -102,11 +106,14 @@ class _StatusDelta(StatefulProcessor):
         self.state = handle.getValueState("status", "status string, ts long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        old = self.state.get() if self.state.exists() else (None, -1)
-        ts, status = max(max(zip(pdf["ts"], pdf["status"], strict=True)) for pdf in rows)
-        if int(ts) >= old[1] and status != old[0]:
-            self.state.update((status, int(ts)))
-            out = [(status, 1)] + ([(old[0], -1)] if old[0] is not None else [])
+        status, ts = self.state.get() if self.state.exists() else (None, None)
+        new = max(max(zip(pdf["ts"], pdf["status"], strict=True)) for pdf in rows)
+        if status is not None and (ts, status) >= new:
+            return
+        # the time is kept even where the status stays: an older row must not win later
+        self.state.update((new[1], int(new[0])))
+        if new[1] != status:
+            out = [(new[1], 1)] + ([(status, -1)] if status is not None else [])
             yield pd.DataFrame(out, columns=["status", "delta"])
 
     def close(self) -> None:
@@ -114,45 +121,65 @@ class _StatusDelta(StatefulProcessor):
 
 
 def progress_stream(updates: DataFrame) -> DataFrame:
-    """(status, delta) stream of (item_id, status, ts long); summed by status it is the live progress."""
-    return updates.groupBy("item_id").transformWithStateInPandas(_StatusDelta(), "status string, delta long", "Append", "None")
+    """(status, delta) stream of (item_id, status, ts long); summed by status it is the live progress.
+
+    The largest (ts, status) of an item holds, in whatever order rows and batches come: the sums are those of ``latest_per_key``
+    by time and status. Rows without a time or a status are no updates.
+    """
+    known = updates.filter("ts IS NOT NULL AND status IS NOT NULL")
+    return known.groupBy("item_id").transformWithStateInPandas(_StatusDelta(), "status string, delta long", "Append", "None")
 
 
 class _Attempts(StatefulProcessor):
-    """Failures since the last pass; a verdict number counts once and never again after a later one."""
+    """Failures since the last pass, by verdict number: a map of the failed numbers behind the last number that passed."""
 
-    def __init__(self, most: int):
-        self.most = most
+    def __init__(self, most: int, ttl_ms: int | None):
+        self.most, self.ttl = most, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("attempts", "attempts int, seq long")
+        self.totals = handle.getValueState("totals", "attempts long, last_pass long, seq long", self.ttl)
+        self.failed = handle.getMapState("failed", "seq long", "n int", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        attempts, seq = self.state.get() if self.state.exists() else (0, -1)
-        start, last_pass, failed = seq, -1, set()
-        for pdf in rows:  # only failures after the last pass are held
+        attempts, last_pass, seq = self.totals.get() if self.totals.exists() else (0, None, None)
+        best, new = last_pass, set()
+        for pdf in rows:  # of a batch only numbers behind its last pass are held
             for s, ok in zip(pdf["seq"], pdf["passed"], strict=True):
-                if s > start and ok:
-                    last_pass = max(last_pass, int(s))
-                elif s > max(start, last_pass):
-                    failed.add(int(s))
-            failed = {s for s in failed if s > last_pass}
-        if last_pass < 0 and not failed:
-            return
-        attempts = len(failed) + (attempts if last_pass < 0 else 0)
-        seq = max([last_pass, *failed])
-        outcome = "CONVERGED" if not failed else "EXHAUSTED" if attempts >= self.most else "RETRY"
-        self.state.update((int(attempts), int(seq)))
+                s = int(s)
+                seq = s if seq is None else max(seq, s)
+                if ok:
+                    best = s if best is None else max(best, s)
+                elif best is None or s > best:
+                    new.add(s)
+            new = {s for s in new if best is None or s > best}
+        if best != last_pass and attempts:
+            held = [int(k[0]) for k in self.failed.keys()]
+            for s in held:
+                if s <= best:
+                    self.failed.removeKey((s,))
+            attempts = sum(s > best for s in held)
+        for s in sorted(new):
+            if not self.failed.containsKey((s,)):
+                self.failed.updateValue((s,), (1,))
+                attempts += 1
+        self.totals.update((int(attempts), best, seq))
+        outcome = "CONVERGED" if not attempts else "EXHAUSTED" if attempts >= self.most else "RETRY"
         yield pd.DataFrame([(*key, seq, int(attempts), outcome)], columns=["key", "seq", "attempts", "outcome"])
 
     def close(self) -> None:
         pass
 
 
-def retry_controller(verdicts: DataFrame, max_attempts: int = 3, key_type: str = "string") -> DataFrame:
-    """(key, seq, attempts, outcome) after each batch of verdicts (key, seq long, passed)."""
+def retry_controller(verdicts: DataFrame, max_attempts: int = 3, key_type: str = "string", ttl_ms: int | None = None) -> DataFrame:
+    """(key, seq, attempts, outcome) of each key with verdicts (key, seq long, passed) in a batch, as ``attempt_counter`` of all so far.
+
+    Numbers may come in any order and again: a failure that arrives after a later one counts, one before the last pass never does. State
+    is one entry a failure since the last pass. With ``ttl_ms`` a key without verdicts for so long (by the clock) starts anew;
+    without it state stays. A stream with a time to live wakes up by the clock: start it with a processing-time trigger, not with available-now.
+    """
     schema = f"key {key_type}, seq long, attempts long, outcome string"
-    return verdicts.groupBy("key").transformWithStateInPandas(_Attempts(max_attempts), schema, "Update", "None")
+    known = verdicts.filter("seq IS NOT NULL AND passed IS NOT NULL")
+    return known.groupBy("key").transformWithStateInPandas(_Attempts(max_attempts, ttl_ms), schema, "Update", "ProcessingTime" if ttl_ms else "None")
 
 
 class _Silence(StatefulProcessor):
@@ -200,37 +227,71 @@ def stale_session_stream(events: DataFrame, silence: int = 120, timeout: int = 5
 
 
 class _Workflow(StatefulProcessor):
-    """Fold stage events into current stage and completed stages, the last write by event time first."""
+    """Fold stage events into current stage, flow mode, completed stages and results: each by event time, whatever the order of arrival."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("flow", "stage string, mode string, ts long, done array<string>")
+        self.now = handle.getValueState("now", "ts long, stage string, mode_ts long, mode_stage string, mode string", self.ttl)
+        self.done = handle.getMapState("done", "stage string", "ts long", self.ttl)
+        self.results = handle.getMapState("results", "name string", "ts long, stage string, value string", self.ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        stage, mode, ts, done = self.state.get() if self.state.exists() else (None, None, -1, [])
         first: dict[str, int] = {}  # one entry a stage
-        last, moded = None, None
+        patch: dict[str, tuple] = {}  # one entry a result
+        last = moded = None
         for pdf in rows:
             for e in pdf.itertuples():
+                at = (int(e.ts), e.stage)
+                last = max(last or at, at)
                 if e.completed:
-                    first[e.stage] = min(first.get(e.stage, e.ts), e.ts)
-                if e.ts >= ts:
-                    last = max(last or (e.ts, e.stage), (e.ts, e.stage))
-                    if e.flow_mode is not None:
-                        moded = max(moded or (e.ts, e.stage, e.flow_mode), (e.ts, e.stage, e.flow_mode))
-        done = [*done, *(s for _, s in sorted((t, s) for s, t in first.items()) if s not in done)]
-        ts, stage = (int(last[0]), last[1]) if last else (ts, stage)
-        mode = moded[2] if moded else mode
-        self.state.update((stage, mode, ts, done))
-        yield pd.DataFrame([(*key, stage, mode, done)], columns=["key", "current_stage", "flow_mode", "completed_stages"])
+                    first[e.stage] = min(first.get(e.stage, at[0]), at[0])
+                if e.flow_mode:
+                    moded = max(moded or (*at, e.flow_mode), (*at, e.flow_mode))
+                for name, value in _items(e.results):
+                    patch[name] = max(patch.get(name, (*at, value)), (*at, value))
+        ts, stage, *mode = self.now.get() if self.now.exists() else (None, None, None, None, None)
+        if ts is not None and (ts, stage) > last:
+            last = (ts, stage)
+        if mode[2] is not None and (moded is None or tuple(mode) > moded):
+            moded = tuple(mode)
+        self.now.update((*last, *(moded or (None, None, None))))
+        done = {k[0]: v[0] for k, v in self.done.iterator()}
+        for s, t in first.items():
+            if s not in done or t < done[s]:
+                self.done.updateValue((s,), (t,))
+                done[s] = t
+        results = {k[0]: tuple(v) for k, v in self.results.iterator()}
+        for name, new in patch.items():
+            if name not in results or new > results[name]:
+                self.results.updateValue((name,), new)
+                results[name] = new
+        stages = [s for _, s in sorted((t, s) for s, t in done.items())]
+        said = {name: results[name][2] for name in sorted(results)}
+        yield pd.DataFrame([(*key, last[1], moded[2] if moded else None, stages, said)], columns=["key", "current_stage", "flow_mode", "completed_stages", "results"])
 
     def close(self) -> None:
         pass
 
 
-def workflow_state(events: DataFrame, key_type: str = "string") -> DataFrame:
-    """State of each key after each batch of (key, stage, ts long, completed, flow_mode)."""
-    schema = f"key {key_type}, current_stage string, flow_mode string, completed_stages array<string>"
-    return events.groupBy("key").transformWithStateInPandas(_Workflow(), schema, "Update", "None")
+def _items(found) -> list[tuple[str, str]]:
+    """Entries of a map as Arrow hands it over, without null values."""
+    pairs = found.items() if isinstance(found, dict) else found if isinstance(found, (list, tuple)) else ()
+    return [(k, v) for k, v in pairs if v is not None]
+
+
+def workflow_state(events: DataFrame, key_type: str = "string", ttl_ms: int | None = None) -> DataFrame:
+    """State of each key with events in a batch: (key, current_stage, flow_mode, completed_stages, results), as ``tracking.workflow_state`` of all so far.
+
+    Events (key, stage, ts long, completed, flow_mode; results map<string,string> if there is such a column) may come in any order and again.
+    Rows without stage or time are no events. With ``ttl_ms`` what is not written for so long (by the clock) is forgotten;
+    start such a stream with a processing-time trigger.
+    """
+    schema = f"key {key_type}, current_stage string, flow_mode string, completed_stages array<string>, results map<string,string>"
+    results = F.col("results") if "results" in events.columns else F.lit(None)
+    known = events.filter("stage IS NOT NULL AND ts IS NOT NULL").select("key", "stage", "ts", "completed", "flow_mode", results.cast("map<string,string>").alias("results"))
+    return known.groupBy("key").transformWithStateInPandas(_Workflow(ttl_ms), schema, "Update", "ProcessingTime" if ttl_ms else "None")
 
 
 def stage_gate_stream(states: DataFrame, verdicts: DataFrame, workflow: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
@@ -253,3 +314,33 @@ def run_log_stream(events: DataFrame, path: str, checkpoint: str) -> StreamingQu
 def late_rows(events: DataFrame, watermark: str, ts: str = "ts") -> DataFrame:
     """Rows of a batch older than a given time, for the side table of late events."""
     return events.filter(F.col(ts) < F.lit(watermark).cast("timestamp"))
+
+
+def route_late(events: DataFrame, on_time: str, late: str, delay: str, checkpoint: str, ts: str = "ts") -> StreamingQuery:
+    """Split a stream by event time: rows older than the watermark go to the table ``late``, the others to ``on_time``.
+
+    The watermark of a batch is the latest event time of all batches before it less ``delay``, so nothing of the first batch is late and
+    rows of one batch are not late to each other. It is written down with the batch, below the checkpoint; each batch has a folder of its own
+    (``batch=n``) in all three tables and is overwritten if it runs again: no row is lost or doubled. A stateful job then reads
+    ``on_time`` as its stream, and what came too late for it is in a table and can be counted or replayed. Rows without a time are late.
+    """
+    spark, marks = events.sparkSession, f"{checkpoint.rstrip('/')}-marks"
+    kind = "newest timestamp, batch long"
+
+    def each(batch: DataFrame, number: int) -> None:
+        try:
+            before = spark.read.schema(kind).option("basePath", marks).parquet(marks).filter(F.col("batch") < number)
+            newest = before.agg((F.max("newest") - F.expr(f"INTERVAL {delay}")).cast("string")).first()[0]
+        except Exception as e:  # the first batch
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            newest = None
+        rows = write_shared(batch, "timed-rows")
+        old = late_rows(rows, newest, ts) if newest else rows.limit(0)
+        behind = F.col(ts).isNull() | ((F.col(ts) < F.lit(newest).cast("timestamp")) if newest else F.lit(False))
+        old.unionByName(rows.filter(F.col(ts).isNull())).write.mode("overwrite").parquet(f"{late}/batch={number}")
+        rows.filter(~behind).write.mode("overwrite").parquet(f"{on_time}/batch={number}")
+        mark = rows.agg(F.max(F.col(ts).cast("timestamp")).alias("newest"))
+        mark.coalesce(1).write.mode("overwrite").parquet(f"{marks}/batch={number}")
+
+    return run_once(events, each, checkpoint)
