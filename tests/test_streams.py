@@ -166,23 +166,19 @@ def test_pointers_of_a_keyed_table_do_not_pile_up(spark, tmp_path):
     assert sorted(map(tuple, table.read().select("k", "ts").collect())) == [(0, 3), (1, 4), (2, 5)]
 
 
-def test_sessions_over_several_batches(spark, feed, tmp_path):
-    """Events that come by time, one file a batch, with gaps below the silence: what is due at the last watermark has ended as in the batch operator."""
+@pytest.mark.parametrize("files", [1, 4, 9])
+def test_sessions_over_several_batches(spark, feed, tmp_path, files):
+    """Events out of order within the delay, over any number of batches: the ends of sessions are those of the batch operator."""
     rng = random.Random(5)
-    rows = []
-    for k in range(12):
-        t = 1_700_000_000 + rng.randint(0, 2500)
-        for _ in range(rng.randint(1, 8)):
-            rows.append((f"s{k}", t, rng.random() < 0.08))
-            t += rng.randint(0, 200)
-    rows.sort(key=lambda r: r[1])
+    rows = [(f"s{rng.randint(0, 12)}", 1_700_000_000 + rng.randint(0, 4000), rng.random() < 0.05) for _ in range(90)]
+    rows.sort(key=lambda r: r[1] + rng.randint(0, 250))
     df = spark.createDataFrame(rows, "session string, t long, done boolean")
-    stream = feed(df, [rows[i : i + 12] for i in range(0, len(rows), 12)]).select("session", F.timestamp_seconds("t").alias("ts"), "done")
-    got = {r["session"]: r["state"] for _, r in drain(jobs.stale_session_stream(stream, 400, 5000), "append", tmp_path)}
-    mark = F.timestamp_seconds(F.lit(rows[-1][1] - 10))
-    want = tracking.stale_sessions(df.withColumn("ts", F.timestamp_seconds("t")), "session", "ts", F.col("done"), mark, 399.999, 5000)
-    want = {r["session"]: r["state"] for r in want.collect() if r["state"] != "running"}
-    assert got == want and set(want.values()) == {"done", "stale"}
+    size = -(-len(rows) // files)
+    stream = feed(df, [rows[i : i + size] for i in range(0, len(rows), size)]).select("session", F.timestamp_seconds("t").alias("ts"), "done")
+    got = sorted(tuple(r) for _, r in drain(jobs.stale_session_stream(stream, 700, 1200, late="300 seconds"), "append", tmp_path))
+    mark = F.lit((max(r[1] for r in rows) - 300) * 1000)
+    want = tracking.session_ends(df.withColumn("ts", F.timestamp_seconds("t")), "session", "ts", F.col("done"), mark, 700, 1200)
+    assert got == sorted(tuple(r) for r in want.collect()) and {r[1] for r in got} == {"done", "stale", "timeout"}
 
 
 def test_retries_count_each_verdict_once(spark, feed, tmp_path):

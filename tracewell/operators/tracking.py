@@ -67,6 +67,26 @@ def attempt_counter(verdicts: DataFrame, key: str = "key", seq: str = "seq", pas
     return out.select(key, "attempts", outcome.alias("outcome"))
 
 
+def session_ends(log: DataFrame, key: str, ts: str, done: Column, mark_ms: Column, silence: float = 120.0, timeout: float = 5400.0) -> DataFrame:
+    """(key, state, at_ms) of the sessions that have ended at the time ``mark_ms``, as the stream of the same meaning tells them.
+
+    By event time: a session ends at its first marker (done), or where no event follows within ``silence`` seconds (stale) or within ``timeout``
+    of its first (timeout); what comes after is not read. ``at_ms`` is the marker's time, or that of the last event before the end. A session's
+    events are sorted in one task, by millisecond and summed by it before.
+    """
+    quiet, most = int(silence * 1000), int(timeout * 1000)
+    rows = log.select(key, F.unix_millis(F.col(ts).cast("timestamp")).alias("_ms"), F.coalesce(done, F.lit(False)).alias("_d")).filter("_ms IS NOT NULL")
+    rows = rows.groupBy(key, "_ms").agg(F.bool_or("_d").alias("_d")).filter(F.col("_ms") <= mark_ms)
+    w = Window.partitionBy(key).orderBy("_ms")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_a", F.first("_ms").over(w)).withColumn("_late", (F.col("_ms") > F.lag("_ms").over(w) + quiet) | (F.col("_ms") > F.col("_a") + most))
+    rows = rows.withColumn("_cut", F.coalesce(F.bool_or("_late").over(so_far), F.lit(False))).filter("NOT _cut")
+    ends = rows.groupBy(key).agg(F.min("_ms").alias("_a"), F.max("_ms").alias("_z"), F.min(F.when(F.col("_d"), F.col("_ms"))).alias("_m"))
+    old, still = F.col("_a") + most, F.col("_z") + quiet
+    state = F.when(F.col("_m").isNotNull(), "done").when(F.least(old, still) > mark_ms, None).when(old <= still, "timeout").otherwise("stale")
+    return ends.select(key, state.alias("state"), F.coalesce("_m", "_z").alias("at_ms")).filter("state IS NOT NULL")
+
+
 def workflow_state(events: DataFrame, key: str = "key") -> DataFrame:
     """(key, current_stage, flow_mode, completed_stages, results) of events (key, stage, ts, completed, flow_mode, results map).
 

@@ -1412,14 +1412,29 @@ def retry_stream(t):
 
 
 # at the end of the stream the watermark is ten seconds before the last event: what is due by then has fired
-@query("""WITH l AS (SELECT user_id AS session, epoch_us(min(ts)) // 1000 AS a, epoch_us(max(ts)) // 1000 AS z, bool_or(event_type = 'purchase' AND value > 180) AS d FROM events GROUP BY 1), w AS (SELECT epoch_us(max(ts)) // 1000 - 10000 AS w FROM events)
-SELECT session, CASE WHEN d THEN 'done' WHEN a + 2570400000 <= z + 86400000 THEN 'timeout' ELSE 'stale' END AS state, z AS at_ms FROM l, w WHERE d OR least(a + 2570400000, z + 86400000) <= w""")
+SESSION_ENDS = """WITH e AS (SELECT user_id AS session, epoch_us(ts) // 1000 AS ms, bool_or(event_type = 'purchase' AND value > 180) AS d FROM events GROUP BY 1, 2), w AS (SELECT epoch_us(max(ts)) // 1000 - 10000 AS w FROM events),
+x AS (SELECT session, ms, d, min(ms) OVER (PARTITION BY session) AS a, lag(ms) OVER (PARTITION BY session ORDER BY ms) AS p FROM e, w WHERE ms <= w),
+y AS (SELECT *, count(*) FILTER (ms > p + 172800000 OR ms > a + 1728000000) OVER (PARTITION BY session ORDER BY ms) AS cut FROM x),
+l AS (SELECT session, min(a) AS a, max(ms) AS z, min(ms) FILTER (d) AS m FROM y WHERE cut = 0 GROUP BY 1)
+SELECT session, CASE WHEN m IS NOT NULL THEN 'done' WHEN a + 1728000000 <= z + 172800000 THEN 'timeout' ELSE 'stale' END AS state, coalesce(m, z) AS at_ms FROM l, w WHERE m IS NOT NULL OR least(a + 1728000000, z + 172800000) <= w"""
+
+
+@query(SESSION_ENDS)
+def session_ends(t):
+    done = (F.col("event_type") == "purchase") & (F.col("value") > 180)
+    e = t("events").withColumnRenamed("user_id", "session")
+    newest = e.agg((F.unix_millis(F.max("ts").cast("timestamp")) - 10_000).alias("_mark"))
+    rows = e.join(F.broadcast(newest), F.lit(True))  # one row
+    return tracking.session_ends(rows.withColumn("session", F.struct("session", "_mark")), "session", "ts", done, F.col("session._mark"), 172_800, 1_728_000).withColumn("session", F.col("session.session"))
+
+
+@query(SESSION_ENDS)
 def stale_session_stream(t):
     from tracewell.streaming import jobs
 
     done = (F.col("event_type") == "purchase") & (F.col("value") > 180)
     e = _stream(t, "events", by="ts").select(F.col("user_id").alias("session"), F.col("ts").cast("timestamp").alias("ts"), done.alias("done"))
-    return _collect_stream(jobs.stale_session_stream(e, 86_400, 2_570_400, key_type="long"), "append").drop("batch")
+    return _collect_stream(jobs.stale_session_stream(e, 172_800, 1_728_000, key_type="long"), "append").drop("batch")
 
 
 @query("""WITH m AS (SELECT *, CASE event_type WHEN 'click' THEN 'fast' WHEN 'view' THEN 'full' END AS mode FROM events), f AS (SELECT user_id, event_type AS s, min(epoch_us(ts)) AS m FROM events WHERE event_type <> 'error' GROUP BY ALL),

@@ -183,45 +183,68 @@ def retry_controller(verdicts: DataFrame, max_attempts: int = 3, key_type: str =
 
 
 class _Silence(StatefulProcessor):
-    """A session ends by a marker, by silence or by its age; one row when it does."""
+    """A session ends by a marker, by silence or by its age; one row when it does. Events are folded by their time, once the watermark has passed it."""
 
     def __init__(self, silence_ms: int, timeout_ms: int):
         self.silence, self.timeout = silence_ms, timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("session", "first long, last long, closed boolean")
+        self.handle = handle
+        self.state = handle.getValueState("session", "first long, last long, closed boolean")
+        self.waiting = handle.getMapState("waiting", "ms long", "done boolean")
+
+    def _fold(self, key, mark: int) -> Iterator[pd.DataFrame]:
+        """What is certain at the watermark: no event before it can still come."""
+        first, last, closed = self.state.get() if self.state.exists() else (None, None, False)
+        waiting = sorted((int(k[0]), bool(v[0])) for k, v in self.waiting.iterator())
+        ended, at = None, 0
+        while at < len(waiting) and waiting[at][0] <= mark and ended is None:
+            ms, done = waiting[at]
+            if first is not None and ms > min(last + self.silence, first + self.timeout):
+                break
+            first, last = ms if first is None else first, ms
+            ended, at = "done" if done else None, at + 1
+        due = None if first is None else min(last + self.silence, first + self.timeout)
+        if ended is None and due is not None and due <= mark:
+            ended = "timeout" if first + self.timeout <= last + self.silence else "stale"
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t[0] if isinstance(t, (tuple, list)) else t)
+        for ms, _ in waiting if ended else waiting[:at]:
+            self.waiting.removeKey((ms,))
+        self.state.update((first, last, ended is not None))
+        if ended:
+            yield pd.DataFrame([(*key, ended, last)], columns=["session", "state", "at_ms"])
+        else:
+            self.handle.registerTimer(min(x for x in (due, *(ms for ms, _ in waiting[at : at + 1])) if x is not None))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first, last, closed = self.state.get() if self.state.exists() else (1 << 62, -(1 << 62), False)
-        if closed:
-            return
-        done = False
+        closed = self.state.exists() and self.state.get()[2]
         for pdf in rows:
+            if closed:
+                continue
             unit = 1_000_000 if "[ns" in str(pdf["ts"].dtype) else 1_000
-            ms = pdf["ts"].astype("int64") // unit
-            first, last, done = min(first, int(ms.min())), max(last, int(ms.max())), done or bool(pdf["done"].any())
-        self.state.update((first, last, done))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, (tuple, list)) else t)
-        if done:
-            yield pd.DataFrame([(*key, "done", last)], columns=["session", "state", "at_ms"])
-        else:
-            self.handle.registerTimer(min(last + self.silence, first + self.timeout))
+            for ms, done in zip((pdf["ts"].astype("int64") // unit).tolist(), pdf["done"].fillna(False).tolist(), strict=True):
+                held = self.waiting.containsKey((ms,)) and self.waiting.getValue((ms,))[0]
+                self.waiting.updateValue((ms,), (bool(done or held),))
+        if not closed:
+            yield from self._fold(key, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        first, last, closed = self.state.get()
-        if not closed:
-            self.state.update((first, last, True))
-            state = "timeout" if first + self.timeout <= last + self.silence else "stale"
-            yield pd.DataFrame([(*key, state, last)], columns=["session", "state", "at_ms"])
+        if not self.state.get()[2]:
+            yield from self._fold(key, timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
 def stale_session_stream(events: DataFrame, silence: int = 120, timeout: int = 5400, late: str = "10 seconds", key_type: str = "string") -> DataFrame:
-    """(session, state, at_ms) of (session, ts timestamp, done boolean), once a session, by event time."""
-    marked = events.withWatermark("ts", late)
+    """(session, state, at_ms) of (session, ts timestamp, done boolean), once a session, by event time.
+
+    A session ends at its first marker, else at the first silence, else by its age (``tracking.session_ends``); what comes after its end is
+    not read. Events may come in any order within ``late``: they wait until the watermark has passed them, so the result does not
+    depend on how events fall into batches. Older ones are dropped by the watermark: ``route_late`` keeps them in a table.
+    """
+    marked = events.filter("ts IS NOT NULL").withWatermark("ts", late)
     schema = f"session {key_type}, state string, at_ms long"
     return marked.groupBy("session").transformWithStateInPandas(_Silence(silence * 1000, timeout * 1000), schema, "Append", "EventTime")
 
