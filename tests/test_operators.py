@@ -1,11 +1,13 @@
 """Operators against small own models, with odd rows and under repartition."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.functions import text as X
 from tracewell.operators import catalog, chunking, consolidate, graph, quality, relations, rules, search, tracking
 from tracewell.operators.components import connected_components
 from tracewell.sources import io
@@ -85,6 +87,20 @@ def test_chunk_documents_against_model(spark):
     assert 100 not in got and 101 not in got
 
 
+def test_long_documents_are_cut_in_linear_time(spark):
+    n = 100_000
+    text = "\n".join(f"{'##' if i % 3 else '#'} title {i % 977}\nline {i}" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    start = time.time()
+    sections = chunking.heading_sections(df)
+    assert sections.count() == n and sections.filter("section_no = 4").first()["breadcrumb"] == ["title 3", "title 4"]
+    assert chunking.chunk_documents(df, min_len=8).count() > 1000
+    found = df.select(X.h2_sections(F.col("text")).alias("m"), X.front_matter(F.concat(F.lit("---\n"), F.regexp_replace("text", "#+ title (\\d+)\n", "k$1: "), F.lit("\n---\n"))).alias("f")).first()
+    want = {f"title {i % 977}": i for i in range(n) if i % 3}
+    assert {k: v.split("\n")[0] for k, v in found["m"].items()} == {k: f"line {i}" for k, i in want.items()} and len(found["f"]) == 977
+    assert time.time() - start < 60
+
+
 # ---------------------------------------------------------------- catalogue
 
 
@@ -104,6 +120,39 @@ def test_budget_batches_against_model(spark):
     assert got == want
 
 
+@pytest.mark.parametrize(("size", "budget", "ranges"), [(5, 20, 1), (5, 20, 9), (3, 1000, 40), (50, 60, 25), (1, 5, 4), (7, 0, 6)])
+def test_budget_batches_over_ranges(spark, size, budget, ranges):
+    """Groups over many ranges, ranges shorter than a batch, null, zero, negative and too large costs, a null group."""
+    rng = random.Random(size)
+    data = [(rng.choice(["big", "big", "big", "b", None]), i, rng.choice([None, 0, -3, 1, 2, 5, 9, 100])) for i in range(400)]
+    want = {}
+    for g in {d[0] for d in data}:
+        batch, n, total = 1, 0, 0
+        for _, i, c in sorted(d for d in data if d[0] == g):
+            c = max(0, c or 0)
+            if n and (n >= size or total + c > budget):
+                batch, n, total = batch + 1, 0, 0
+            n, total = n + 1, total + c
+            want[g, i] = batch
+    df = spark.createDataFrame(data, "g string, i long, c long").repartition(3)
+    got = {(r["g"], r["i"]): r["batch"] for r in catalog.budget_batches(df, ["g"], ["i"], "c", size, budget, partitions=ranges).collect()}
+    assert got == want
+    assert catalog.budget_batches(df.limit(0), ["g"], ["i"], "c", size, budget).count() == 0
+
+
+def test_one_large_group_is_packed_by_many_tasks(spark):
+    df = spark.range(200_000).select(F.lit("g").alias("g"), F.col("id").alias("i"), (F.col("id") % 7).alias("c"))
+    rows = catalog.budget_batches(df, ["g"], ["i"], "c", 20, 50, partitions=16).withColumn("task", F.spark_partition_id())
+    got = rows.agg(F.count("*").alias("n"), F.countDistinct("task").alias("tasks"), F.max("batch").alias("last")).first()
+    batch, n, total = 1, 0, 0
+    for i in range(200_000):
+        c = i % 7
+        if n and (n >= 20 or total + c > 50):
+            batch, n, total = batch + 1, 0, 0
+        n, total = n + 1, total + c
+    assert (got["n"], got["last"]) == (200_000, batch) and got["tasks"] > 1
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_renumber_is_consecutive(spark, parts):
     df = spark.range(1500).withColumn("id", F.col("id") * 3).repartition(parts)
@@ -446,6 +495,13 @@ def test_sources_round_trip(spark, tmp_path):
     (root / "b.txt").write_text("no")
     docs = io.scan_documents(spark, str(tmp_path / "kb"))
     assert [(r["path"], r["stem"]) for r in docs.collect()] == [("function/a.md", "a")]
+    deep = tmp_path / "kb" / "x+(1)" / "kb"
+    deep.mkdir(parents=True)
+    for name in ("B.MD", "c.Md", "d.txt", ".md", "e.md.bak"):
+        (deep / name).write_text("deep")
+    paths = lambda *how: sorted(r["path"] for r in io.scan_documents(spark, *how).collect())
+    assert paths(str(tmp_path / "kb"), (".md", ".txt")) == ["function/a.md", "function/b.txt", "x+(1)/kb/B.MD", "x+(1)/kb/c.Md", "x+(1)/kb/d.txt"]
+    assert paths(str(tmp_path / "kb") + "/", (".md",)) == paths(f"file://{tmp_path}/kb") == ["function/a.md", "x+(1)/kb/B.MD", "x+(1)/kb/c.Md"]
     types = spark.createDataFrame([("fn", "function", r"\.md$"), ("other", None, None)], "type_id string, local_name string, file_pattern string")
     assert io.scan_instances(docs, types).first()["type_id"] == "fn"
     (tmp_path / "g.json").write_text('{"nodes": [{"id": "a", "label": "L"}], "edges": [{"source": "a", "target": "b", "relation": "r"}]}')

@@ -52,6 +52,18 @@ def rest_of(items: Column) -> Column:
     return F.filter(items, lambda _, i: i > 0)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def last_of_keys(pairs: Column) -> Column:
+    """A map of (key, value) pairs in which the last of repeated keys holds: sorted by key and place, in n log n."""
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("at"), p["value"].alias("value"))))
+    last = bound(placed, lambda ps: F.filter(ps, lambda p, i: ~F.coalesce(F.get(ps, i + 1)["key"] == p["key"], F.lit(False))))
+    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["key"], p["value"])))
+
+
 FRONT = r"(?s)^---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
 
 
@@ -66,9 +78,7 @@ def front_matter(col: Column) -> Column:
             F.regexp_replace(strip(F.regexp_extract(x, "^[^:]*:(.*)$", 1)), "^[\"'](.*)[\"']$", "$1").alias("value"),
         ),
     )
-    # the last of repeated keys holds
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    return last_of_keys(pairs)
 
 
 def body(col: Column) -> Column:
@@ -90,8 +100,7 @@ def h2_sections(col: Column, strip_suffixes: tuple[str, ...] = ()) -> Column:
         parts,
         lambda p: F.struct(name(p).alias("key"), F.regexp_replace(F.regexp_replace(p, r"^[^\r\n]*(\r?\n)?", ""), r"(?U)\s+$", "").alias("value")),
     )
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    return last_of_keys(pairs)
 
 
 def preamble(col: Column) -> Column:
@@ -185,13 +194,20 @@ def total_score(col: Column, min_score: float = 95.0, fail: tuple[str, ...] = FA
 
 
 def section_body(col: Column, title: str) -> Column:
-    """The text below the first heading that contains ``title``, to the next heading of its level or above."""
-    level = F.length(F.regexp_extract(col, rf"(?m)^(#+) [^\n]*\Q{title}\E", 1))
-    out = None
-    for n in range(6, 0, -1):
-        found = F.regexp_extract(col, rf"(?sm)^#{{{n}}} [^\n]*\Q{title}\E[^\n]*\n(.*?)(?=^#{{1,{n}}} |\z)", 1)
-        out = F.when(level == n, strip(found)) if out is None else out.when(level == n, strip(found))
-    return out
+    """The text below the first heading that contains ``title``, to the next heading of its level or above; null without such a heading.
+
+    The text is searched once for the heading; what follows it is cut at the next heading of its level, whose marks are a part of the pattern.
+    """
+    below = F.regexp_extract(col, rf"(?sm)^(#{{1,6}} [^\n]*\Q{title}\E[^\n]*(?:\n.*|\z))", 1)
+
+    def cut(text: Column) -> Column:
+        level = F.length(F.regexp_extract(text, r"^(#+) ", 1))
+        head = F.coalesce(F.nullif(F.position(F.lit("\n"), text), F.lit(0)), F.length(text))
+        rest = F.substring(text, head + 1, F.length(text))
+        stops = [F.when(level == n, F.regexp_replace(rest, rf"(?sm)^#{{1,{n}}} .*", "")) for n in range(1, 7)]
+        return F.when(level > 0, strip(F.coalesce(*stops)))
+
+    return bound(below, cut)
 
 
 def plain_markup(col: Column) -> Column:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions.text import labelled, strip
+from tracewell.operators.batches import by_key
 from tracewell.sources.shared import write_shared
 
 
@@ -125,31 +127,99 @@ def fixed_batches(df: DataFrame, order: list[str], n: int, group: list[str] | No
     return rank_within(df, group, order).withColumn(out, (F.floor((F.col("_rank") - 1) / n) + 1).cast("long")).drop("_rank")
 
 
-def budget_batches(df: DataFrame, group: list[str], order: list[str], cost: str, size: int, budget: int, out: str = "batch") -> DataFrame:
-    """Greedy batches in order: a batch closes at ``size`` rows or when the next row would pass ``budget``.
+def _jumps(costs: np.ndarray, size: int, budget: int) -> tuple[list[int], list[int]]:
+    """For a batch that opens at each row of a stretch: the row at which the last batch of the stretch opens, and how many open until then.
 
-    A row above the budget is a batch of its own. Inside a group the cut depends on all rows before, so a
-    group's sorted rows stream through one task and only the running sums are held.
+    The next batch opens ``size`` rows on, or at the first row that would pass the budget, but never at the same row. Costs are not negative.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
+    n = len(costs)
+    sums = np.concatenate([[0], np.cumsum(costs)])
+    fit = np.searchsorted(sums, sums[:-1] + budget, side="right") - 1
+    at = np.arange(n)
+    jump = np.minimum(np.maximum(at + 1, np.minimum(at + size, fit)), n).tolist()
+    last, opened = list(range(n)), [1] * n
+    for i in range(n - 1, -1, -1):
+        if (j := jump[i]) < n:
+            last[i], opened[i] = last[j], opened[j] + 1
+    return last, opened
+
+
+def budget_batches(df: DataFrame, group: list[str], order: list[str], cost: str, size: int, budget: int, out: str = "batch", partitions: int = 0) -> DataFrame:
+    """Greedy batches in order: a batch closes at ``size`` rows or when the next row would pass ``budget``.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A row above the budget is a batch of its own. A null or negative cost counts as 0. ``order`` columns must be unique in a group.
+
+    A cut depends on all rows before it, yet no group is packed by one task. Rows are dealt into ranges of (group, order). Where a group comes
+    into a range from the one before, a new batch opens at one of its first ``size`` rows, so each range tells for each of these rows how
+    it ends: how many batches open, and what the last one holds. These tables, ``size`` entries a range, are followed range by range; then every
+    range packs its rows from the open batch it was handed. A range is one task's sorted rows, of which costs are held.
+    """
+    schema, columns = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]), df.columns
+    keys = [F.col(c) for c in group]
+    amount = F.greatest(F.coalesce(F.col(cost).cast("long"), F.lit(0)), F.lit(0)).alias("_cost")
+    names = [f"_g{i}" for i in range(len(group))]
+    same = F.to_json(F.struct(*[F.col(c).alias(n) for c, n in zip(group, names, strict=True)])).alias("_same")
+    ranged = df.repartitionByRange(*([partitions] if partitions else []), *keys, *order).withColumn("_part", F.spark_partition_id())
+    ranged = write_shared(ranged.select("*", amount, same), "packed-ranges")
+    sort = ["_part", *group, *order]
+
+    def ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row a range and stretch that touches its border: the first, and the last if it is another one."""
+        for pdf in by_key(parts, ["_part"]):
+            part, labels, costs = int(pdf["_part"].iloc[0]), pdf["_same"].to_numpy(), pdf["_cost"].to_numpy(np.int64)
+            cuts = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(labels)]
+            rows = []
+            for k in sorted({0, len(cuts) - 2}):
+                a, z = cuts[k], cuts[k + 1]
+                last, opened = _jumps(costs[a:z], size, budget)
+                entries = min(size, z - a) if k == 0 else 1
+                sums = np.concatenate([[0], np.cumsum(costs[a:z])])
+                held = [(z - a - last[i], int(sums[-1] - sums[last[i]]), opened[i]) for i in range(entries)]
+                rows.append((part, k > 0, z == len(labels), labels[a], z - a, int(sums[-1]), costs[a : a + entries].tolist(), *map(list, zip(*held, strict=True))))
+            yield pd.DataFrame(rows, columns=["_part", "later", "open", "same", "n", "total", "heads", "rows", "sums", "opened"])
+
+    def follow(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The open batch that each range is handed: its number, rows and cost; no number where a group begins."""
         now, batch, rows, total = None, 0, 0, 0
+        for pdf in parts:
+            out_rows = []
+            for r in pdf.itertuples():
+                entry = 0
+                if not r.later:
+                    out_rows.append((r.same if r.same == now else None, r._1, batch if r.same == now else 0, rows if r.same == now else 0, total if r.same == now else 0))
+                    if r.same == now:  # where does the first new batch open?
+                        while entry < r.n and entry < len(r.heads) and rows < size and total + int(r.heads[entry]) <= budget:
+                            rows, total, entry = rows + 1, total + int(r.heads[entry]), entry + 1
+                if entry < r.n:
+                    start = batch if not r.later and r.same == now else 0
+                    batch, rows, total = start + int(r.opened[entry]), int(r.rows[entry]), int(r.sums[entry])
+                now = r.same if r.open else None
+            yield pd.DataFrame(out_rows, columns=["_handed", "_at", "_batch", "_rows", "_total"])
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, now, batch, rows, total = None, None, 0, 0, 0
         for pdf in parts:
             made = []
-            for g, c in zip(pdf[group].itertuples(index=False, name=None), pdf[cost], strict=True):
-                c = 0 if pd.isna(c) else int(c)
-                if g != now:
-                    now, batch, rows, total = g, 1, 0, 0
+            for part, label, c, handed, b, n, t in zip(*(pdf[x] for x in ("_part", "_same", "_cost", "_handed", "_batch", "_rows", "_total")), strict=True):
+                if part != here:
+                    here, now, batch, rows, total = part, handed, int(b), int(n), int(t)
+                if label != now:
+                    now, batch, rows, total = label, 1, 0, 0
                 elif rows >= size or total + c > budget:
                     batch, rows, total = batch + 1, 0, 0
-                rows, total = rows + 1, total + c
+                rows, total = rows + 1, total + int(c)
                 made.append(batch)
-            pdf = pdf.copy()
+            pdf = pdf[columns].copy()
             pdf[out] = made
             yield pdf
 
-    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
+    kind = "_part int, later boolean, open boolean, same string, n long, total long, heads array<long>, rows array<long>, sums array<long>, opened array<long>"
+    narrow = ranged.select(*sort, "_cost", "_same").repartition("_part").sortWithinPartitions(*sort).select("_part", "_cost", "_same")
+    tables = write_shared(narrow.mapInPandas(ends, kind), "range-ends")  # two rows a range at most
+    handed = tables.repartition(1).sortWithinPartitions("_part", "later").mapInPandas(follow, "_handed string, _at int, _batch long, _rows long, _total long")
+    handed = write_shared(handed, "handed-batches")
+    rows = ranged.join(F.broadcast(handed), F.col("_part") == F.col("_at")).drop("_at")  # one row a range
+    return rows.repartition("_part").sortWithinPartitions(*sort).mapInPandas(pack, schema)
 
 
 def summarise(df: DataFrame, dims: list[str], default: str = "unknown") -> DataFrame:

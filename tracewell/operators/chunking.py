@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import body, strip
+from tracewell.operators.batches import bound_batches
 
 
 def sliding_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 512, overlap: int = 64, min_len: int = 40) -> DataFrame:
@@ -21,38 +25,92 @@ def sliding_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     return rows.select(key, (F.col("start") / step).cast("int").alias("chunk_no"), "start", cut.alias("chunk")).filter(F.length("chunk") >= min_len)
 
 
-HEADING = r"^(#{1,6})\s+(.*)$"
+FRONT = re.compile(r"\A---\r?\n.*?\r?\n---(?:\r?\n|\Z)", re.DOTALL)
+HEADING = re.compile(r"(#{1,6})\s+(.*)")
+
+
+def split_at_headings(text: str) -> list[tuple[list[str], str]]:
+    """(titles of the open headings, text below) of each heading in turn; one pass over the lines."""
+    out, stack, lines = [], [], []
+    opened = False
+    for line in re.split(r"\r?\n", FRONT.sub("", text, count=1)):
+        if line.startswith("#") and (found := HEADING.fullmatch(line)):
+            if opened:
+                out.append(([title for _, title in stack], "\n".join(lines)))
+            level = len(found[1])
+            stack = [(n, title) for n, title in stack if n < level] + [(level, found[2].strip())]
+            lines = []
+        else:
+            lines.append(line)
+        opened = True
+    out.append(([title for _, title in stack], "\n".join(lines)))
+    return out
+
+
+def _windows(text: str, size: int, overlap: int) -> list[str]:
+    step = max(1, size - overlap)
+    last = step * -(-(len(text) - size) // step) if len(text) > size else 0
+    return [text[i : i + size] for i in range(0, last + 1, step)]
+
+
+def chunk_text(text: str, size: int, overlap: int, min_len: int) -> list[tuple[str, str, str]]:
+    """(breadcrumb, location, chunk) of one document; see ``chunk_documents``."""
+    found = split_at_headings(text)
+    headed = any(crumb for crumb, _ in found)
+    sections = [(" > ".join(crumb), body.strip()) for crumb, body in found]
+    groups: list[tuple[str, str, bool]] = []  # breadcrumb, text, may it be cut into windows?
+    waiting, wait_crumb, last_crumb = [], "", ""
+    for crumb, body in sections:
+        if not body:
+            continue
+        if not headed:
+            groups.append(("", body, True))
+        elif len(body) >= min_len:
+            groups.append((crumb or wait_crumb, "\n".join([*waiting, body]), True))
+            waiting, wait_crumb = [], ""
+        else:
+            waiting.append(body)
+            wait_crumb, last_crumb = crumb or wait_crumb, crumb
+    if waiting:
+        groups.append((last_crumb, "\n".join(waiting), False))
+    out: list[tuple[str, str, str]] = []
+    for crumb, full, free in groups:
+        cut = free and len(full) > size
+        number = 0
+        for raw in _windows(full, size, overlap) if cut else [full]:
+            piece = raw.strip()
+            if not piece or (len(raw) < min_len and (cut or (free and not crumb))):
+                continue
+            place = f"{crumb.replace(' > ', '/') or 'root'}[{number if cut else len(out)}]"
+            out.append((crumb, place, f"{crumb}\n{piece}" if crumb else piece))
+            number += 1
+    return out
+
+
+def _each(docs: DataFrame, key: str, text: str, kind: str, use) -> DataFrame:
+    """(key, pos, item): ``use`` of each text, spread out. No shuffle: a document is one row of one Arrow batch."""
+    bound_batches(docs.sparkSession)
+
+    @F.pandas_udf(f"array<{kind}>")
+    def items(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([use(t or "") for t in texts], dtype=object)
+
+    return docs.select(key, items(F.col(text).cast("string")).alias("_items")).select(key, F.posexplode("_items").alias("_pos", "_s"))
 
 
 def heading_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, section_no, breadcrumb array, body): text below each heading with the titles above it.
 
-    Headings inside code fences count. One fold a document over its lines keeps the open headings; text
-    before the first heading has an empty breadcrumb. Documents are the unit of parallelism; no shuffle.
+    Headings inside code fences count. Text before the first heading has an empty breadcrumb; a null text is an empty one, which is
+    one section. Documents are the unit of parallelism and are read once, in time that grows with their length; no shuffle.
     """
-    state = "struct<stack:array<struct<level:int,title:string>>,lines:array<string>,done:array<struct<crumb:array<string>,body:string>>,open:boolean>"
-    lines = F.split(body(F.coalesce(F.col(text), F.lit(""))), r"\r?\n")
-
-    def close(s: Column) -> Column:
-        item = F.array(F.struct(F.transform(s["stack"], lambda x: x["title"]).alias("crumb"), F.array_join(s["lines"], "\n").alias("body")))
-        return F.when(s["open"], F.concat(s["done"], item)).otherwise(s["done"])
-
-    def step(s: Column, line: Column) -> Column:
-        level = F.length(F.regexp_extract(line, HEADING, 1))
-        title = strip(F.regexp_extract(line, HEADING, 2))
-        stack = F.concat(F.filter(s["stack"], lambda x: x["level"] < level), F.array(F.struct(level.cast("int").alias("level"), title.alias("title"))))
-        head = F.struct(stack.alias("stack"), F.array().cast("array<string>").alias("lines"), close(s).alias("done"), F.lit(True).alias("open"))
-        more = F.struct(s["stack"].alias("stack"), F.concat(s["lines"], F.array(line)).alias("lines"), s["done"].alias("done"), F.lit(True).alias("open"))
-        return F.when(line.rlike(HEADING), head).otherwise(more)
-
-    zero = F.lit(None).cast(state)
-    zero = F.struct(
-        F.array().cast("array<struct<level:int,title:string>>").alias("stack"), F.array().cast("array<string>").alias("lines"),
-        F.array().cast("array<struct<crumb:array<string>,body:string>>").alias("done"), F.lit(False).alias("open"),
-    )
-    folded = F.aggregate(lines, zero.cast(state), lambda s, x: step(s, x).cast(state), close)
-    rows = docs.select(key, F.posexplode(folded).alias("section_no", "_s"))
-    return rows.select(key, "section_no", F.col("_s.crumb").alias("breadcrumb"), F.col("_s.body").alias("body"))
+
+    def use(t: str) -> list[dict]:
+        return [{"crumb": crumb, "body": body} for crumb, body in split_at_headings(t)]
+
+    rows = _each(docs, key, text, "struct<crumb:array<string>,body:string>", use)
+    return rows.select(key, F.col("_pos").alias("section_no"), F.col("_s.crumb").alias("breadcrumb"), F.col("_s.body").alias("body"))
 
 
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 512, overlap: int = 64, min_len: int = 40) -> DataFrame:
@@ -61,39 +119,11 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Bodies shorter than ``min_len`` wait and join the next long enough one, under its breadcrumb; what waits
     at the end is a chunk of its own. Longer ones than ``size`` become windows, whose own shortest are dropped.
     Documents without a heading are windows. The location holds the window number, which restarts; chunk_no does not.
+    Every row is a document of its own, also where keys repeat; a null or empty text has no chunk. No shuffle.
     """
-    sections = heading_sections(docs, key, text).withColumn("_b", strip(F.col("body"))).withColumn("_crumb", F.array_join("breadcrumb", " > "))
-    by_doc = Window.partitionBy(key)
-    sections = sections.withColumn("_headed", F.max(F.size("breadcrumb") > 0).over(by_doc))
-    bare = sections.filter(~F.col("_headed")).select(key, F.lit(0).alias("_g"), F.lit("").alias("_crumb"), strip(F.col("body")).alias("_full"), F.lit(True).alias("_window"))
-    headed = sections.filter(F.col("_headed") & (F.col("_b") != ""))
-    long = F.length("_b") >= min_len
-    order = Window.partitionBy(key).orderBy("section_no")
-    # a group ends at a long body; the rest after the last long one is a group too
-    headed = headed.withColumn("_g", F.coalesce(F.sum(long.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    groups = headed.groupBy(key, "_g").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_no", "_b"))), lambda x: x["_b"]), "\n").alias("_full"),
-        F.max_by("_crumb", "section_no").alias("_last"),
-        F.max(F.when(long, F.struct("section_no", "_crumb"))).alias("_long"),
-        F.max_by(F.when(F.col("_crumb") != "", F.col("_crumb")), F.when((F.col("_crumb") != "") & ~long, F.col("section_no"))).alias("_wait"),
-    )
-    crumb = F.when(F.col("_long").isNull(), F.col("_last")).when(F.col("_long._crumb") != "", F.col("_long._crumb")).otherwise(F.coalesce("_wait", F.lit("")))
-    groups = groups.select(key, "_g", crumb.alias("_crumb"), strip(F.col("_full")).alias("_full"), F.col("_long").isNotNull().alias("_window"))
-    whole = groups.unionByName(bare).filter(F.col("_full") != "")
-    step = max(1, size - overlap)
-    n = F.length("_full")
-    windowed = F.col("_window") & (n > size)
-    last = F.when(~windowed, 0).otherwise(step * F.ceil((n - size) / step)).cast("int")
-    cuts = whole.withColumn("_start", F.explode(F.sequence(F.lit(0), last, F.lit(step))))
-    width = F.when(windowed, F.lit(size)).otherwise(n)
-    raw = F.substring(F.col("_full"), F.col("_start") + 1, width)
-    cuts = cuts.withColumn("_raw", raw).withColumn("_windowed", windowed).withColumn("_piece", strip(raw))
-    short = (F.length("_raw") < min_len) & (F.col("_windowed") | (F.col("_window") & (F.col("_crumb") == "")))
-    cuts = cuts.filter(~short & (F.col("_piece") != ""))
-    run = Window.partitionBy(key).orderBy("_g", "_start")
-    cuts = cuts.withColumn("chunk_no", F.row_number().over(run) - 1)
-    in_group = F.row_number().over(Window.partitionBy(key, "_g").orderBy("_start")) - 1
-    cuts = cuts.withColumn("_i", F.when(F.col("_windowed"), in_group).otherwise(F.col("chunk_no")))
-    place = F.concat(F.when(F.col("_crumb") == "", "root").otherwise(F.replace("_crumb", F.lit(" > "), F.lit("/"))), F.format_string("[%d]", F.col("_i")))
-    chunk = F.when(F.col("_crumb") == "", F.col("_piece")).otherwise(F.concat("_crumb", F.lit("\n"), "_piece"))
-    return cuts.select(key, "chunk_no", F.col("_crumb").alias("breadcrumb"), place.alias("location"), chunk.alias("chunk"))
+
+    def use(t: str) -> list[dict]:
+        return [{"breadcrumb": crumb, "location": place, "chunk": chunk} for crumb, place, chunk in chunk_text(t, size, overlap, min_len)]
+
+    rows = _each(docs, key, text, "struct<breadcrumb:string,location:string,chunk:string>", use)
+    return rows.select(key, F.col("_pos").alias("chunk_no"), "_s.breadcrumb", "_s.location", "_s.chunk")

@@ -8,15 +8,21 @@ from pyspark.sql import types as T
 
 
 def scan_documents(spark: SparkSession, root: str, exts: tuple[str, ...] = (".md",)) -> DataFrame:
-    """(path, stem, ext, text) of the files below ``root`` with one of the extensions."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if len(exts) == 1:
-        files = files.option("pathGlobFilter", f"*{exts[0]}")
+    """(path, stem, ext, text) of the files below ``root`` with one of the extensions, in any case.
+
+    ``path`` is relative: what follows the root's own path, whole and as it is written, whatever its names look like. The extension begins at the last
+    dot of the name and is given in lower case; a name whose only dot leads it has none. Only files that match are read.
+    """
+    home = spark._jvm.org.apache.hadoop.fs.Path(root)
+    home = home.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(home).toString().rstrip("/")
+    any_case = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else f"\\{c}" if c in "*?[]{},\\" else c for c in e) for e in exts)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{{{any_case}}}")
     files = files.load(root).select("path", F.col("content").cast("string").alias("text"))
+    # a root given without its store's name is still the end of what stands before the relative path
+    relative = F.substring("path", F.lit(len(home) + 2), F.length("path"))
     name = F.regexp_extract("path", r"([^/]*)$", 1)
-    ext = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    relative = F.regexp_replace("path", r"^.*?" + root.rstrip("/").split("/")[-1] + "/", "")
-    found = files.select(relative.alias("path"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), ext.alias("ext"), "text")
+    ext = F.lower(F.regexp_extract(name, r"(?s)^.+(\.[^.]*)$", 1))
+    found = files.select(relative.alias("path"), F.regexp_replace(name, r"(?s)^(.+)\.[^.]*$", "$1").alias("stem"), ext.alias("ext"), "text")
     return found.filter(F.col("ext").isin(*[e.lower() for e in exts]))
 
 
