@@ -58,6 +58,15 @@ def test_rows_that_share_an_id_keep_their_own_links(spark):
     assert kept == Counter([rows[0], rows[2], rows[4], rows[5]])
 
 
+def test_rows_whose_first_hash_collides_are_not_taken_for_copies(spark, monkeypatch):
+    rows = [(i, f"document {i} says something of its own with the words {i * 7} and {i * 13} in it") for i in range(60)]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(rows[:20])]  # copies, which go
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    weak = lambda key, text: F.pmod(F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")), F.lit(7)).cast("long")
+    monkeypatch.setattr(ngram_join, "row_hash", weak)
+    assert sorted(r["doc_id"] for r in ngram_join.drop_near_copies(df).collect()) == list(range(60))
+
+
 def test_recall_against_brute_force(spark):
     """Links of the whole table of sf0.01 that a comparison of all pairs finds."""
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]

@@ -82,6 +82,58 @@ def test_repeats_of_any_width_and_long_words():
     assert secrets.guess_cost(word, secrets.Words((word,))) < 1
 
 
+def test_guess_cost_against_every_split():
+    """Words, dates, sequences, walks and repeats that cover a part of a value, each found by its own plain rule, and every way to cut the value."""
+    words = secrets.Words(("pass", "word", "dragon", "cat"))
+    two = math.log10(2)
+
+    def patterns(v):
+        low, n, out = v.lower(), len(v), {}
+        add = lambda i, j, c: out.__setitem__((i, j), min(c, out.get((i, j), c)))
+        plain = low.translate(secrets.LEET)
+        for i in range(n):
+            for j in range(i + 3, n + 1):
+                for form in (low[i:j], plain[i:j]):
+                    if form in words:
+                        upper, twisted = sum(c.isupper() for c in v[i:j]), sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))
+                        rank = words.get(low[i:j]) or words.get(plain[i:j])
+                        add(i, j, math.log10(rank + 1) + ((0 if not upper else 1 if upper in (1, j - i) else upper) + twisted) * two)
+        for m in secrets.DATE.finditer(v):
+            add(m.start(), m.end(), math.log10(365 * 120) if len(m[0]) > 4 else math.log10(120))
+        for step, start in ((lambda a, b: (a, b) in secrets.NEAR_KEYS, 47 * 4), (lambda a, b: ord(b) - ord(a) == 1, 26), (lambda a, b: ord(a) - ord(b) == 1, 52)):
+            runs = [(i, j) for i in range(n) for j in range(i + 3, n + 1) if all(step(low[k], low[k + 1]) for k in range(i, j - 1))]
+            for i, j in runs:  # the longest ones
+                if not any((a, b) != (i, j) and a <= i and j <= b for a, b in runs):
+                    add(i, j, math.log10(start) + math.log10(j - i))
+        return out
+
+    def cost(v):
+        found, best = patterns(v), [0.0]
+        for i, j, w in secrets._repeats(v):
+            found[i, j] = min(found.get((i, j), 1e9), cost(v[i : i + w]) + math.log10((j - i) // w))
+        for j in range(1, len(v) + 1):
+            ways = [best[j - 1] + math.log10(secrets._class_size(v[j - 1]))]
+            ways += [best[i] + c + two for (i, e), c in found.items() if e == j]
+            best.append(min(ways))
+        return best[-1]
+
+    rng = random.Random(12)
+    bits = ["pass", "Word", "DRAGON", "c4t", "1999", "2024-05-17", "31.12.2020", "abcdef", "fedcba", "qwerty", "asdfg", "zzzz", "xyxyxy", "7", "K", "!", "ü", "p@ss"]
+    for _ in range(300):
+        v = "".join(rng.choices(bits, k=rng.randint(0, 5)))
+        assert secrets.guess_cost(v, words) == pytest.approx(cost(v)), v
+
+
+def test_blocks_at_irregular_distances_in_little_time():
+    rng = random.Random(2)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    block = "".join(rng.choices(letters, k=80))
+    value = "".join(block + "".join(rng.choices(letters, k=rng.randint(1, 90))) for _ in range(8_000))
+    start = time.process_time()
+    assert len(value) > 900_000 and [s["kind"] for s in secrets.find_spans("auth: " + value, 9.0, 8, secrets.Words(("word",)))] == ["guess"]
+    assert time.process_time() - start < 60
+
+
 def test_many_and_long_secrets_in_little_time():
     words = secrets.Words(secrets.default_dictionary())
     start = time.process_time()

@@ -7,8 +7,11 @@ ends inside a level's length is decided there; what no level drops is a kept ter
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +30,14 @@ def _level(length: int, last: int, kept, bound: int):
     """Documents by (lang, prefix of ``length`` bytes) of the terms whose prefix of ``last`` bytes is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, known = Tally(HEADS, bound), kept.value if kept is not None else None
+        tally, known = Tally(HEADS, bound), kept
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if known is not None and lang not in known:
+                open_ = known.get(lang) if known is not None else None
+                if known is not None and not open_:
                     continue
                 terms = set(text.translate(LETTERS).split())
                 if known is not None:
-                    open_ = known[lang]
                     heads = {t[:length] for t in terms if t[:last] in open_}
                 else:
                     heads = {t[:length] for t in terms if len(t) >= last}
@@ -47,7 +50,7 @@ def _level(length: int, last: int, kept, bound: int):
     return run
 
 
-def frequent_terms(docs: DataFrame, min_docs: int = 3, first: int = 6, max_shipped: int = 300_000, bound: int = 300_000) -> DataFrame:
+def frequent_terms(docs: DataFrame, min_docs: int = 3, first: int = 8, max_shipped: int = 1_000_000, bound: int = 200_000) -> DataFrame:
     """(lang binary, term binary) of ``docs`` (lang binary, text binary): the terms that at least ``min_docs`` rows of a language hold.
 
     Level k counts the rows that hold each prefix of ``first * 2**k`` bytes and drops those of fewer than ``min_docs``. A prefix
@@ -72,13 +75,13 @@ def frequent_terms(docs: DataFrame, min_docs: int = 3, first: int = 6, max_shipp
         last, length = length, 2 * length
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, max_shipped: int = 300_000, bound: int = 300_000) -> DataFrame:
+def term_counts(docs: DataFrame, terms: DataFrame, max_shipped: int = 1_000_000, bound: int = 200_000) -> DataFrame:
     """(lang, source, term, c): occurrences of the kept terms of a language in each of its sources; none is left out."""
     shipped = shipped_sets(terms, "lang", "term", max_shipped)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, none = Tally(COUNTS, bound), frozenset()
-        wanted = None if shipped is None else lambda group: shipped.value.get(group[0], none)
+        tally = Tally(COUNTS, bound)
+        wanted = None if shipped is None else lambda group: shipped.get(group[0])
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 tally.add((lang, source), text.translate(LETTERS).split())
@@ -102,9 +105,127 @@ def _gap(p: str, q: str) -> str:
     return f"(({p} - {q}) * ({p} - {q})) div {q}"
 
 
+FOUND = pa.schema([("lang", pa.binary()), ("source", pa.binary()), ("part", pa.string()), ("item", pa.binary()), ("value", pa.int64())])
+
+
+def _shares(c: np.ndarray, over: np.ndarray) -> np.ndarray:
+    """1 + floor(10^9 (c + 1) / over); in whole numbers of any size where 64 bits are too few."""
+    if len(c) and int(c.max()) >= 9_000_000_000:
+        return np.array([1 + 10**9 * (int(x) + 1) // int(y) for x, y in zip(c, over, strict=True)], dtype=np.int64)
+    return 1 + (c + 1) * 10**9 // over
+
+
+def _gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    d = p - q
+    return d * d // q
+
+
+def _pair_sums(source: np.ndarray, n_sources: int, starts: np.ndarray, sizes: np.ndarray, p: np.ndarray, p0: np.ndarray, chunk: int = 1 << 19):
+    """(codes, sums): for each two sources with a term in common, what such terms add to their distance beyond what either adds alone.
+
+    ``starts`` and ``sizes`` give for each cell where its term's cells lie. Cells meet all cells of their term, about ``chunk`` meetings at a time.
+    """
+    ends = np.cumsum(sizes)
+    total = np.zeros(n_sources * n_sources, np.int64) if n_sources <= 1000 else None
+    codes, sums = [], []
+    a = 0
+    while a < len(source):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + chunk, side="right")))
+        n = sizes[a:b]
+        i = np.repeat(np.arange(a, b), n)
+        j = np.arange(int(n.sum())) + np.repeat(starts[a:b] - (np.cumsum(n) - n), n)
+        i, j = i[i != j], j[i != j]
+        x, x0, y, y0 = p[i], p0[i], p[j], p0[j]
+        f = _gaps(x, y) - _gaps(x, y0) - _gaps(x0, y) + _gaps(x0, y0)
+        code = source[i] * n_sources + source[j]
+        if total is not None:
+            np.add.at(total, code, f)
+        elif len(code):
+            order = np.argsort(code, kind="stable")
+            code, f = code[order], f[order]
+            new = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            codes.append(code[new])
+            sums.append(np.add.reduceat(f, new))
+        a = b
+    if total is not None:
+        return np.flatnonzero(total), total[total != 0]
+    return (np.concatenate(codes), np.concatenate(sums)) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _compare(top: int, cells: int = 40_000):
+    """Over cells (lang, term, source, c, total, kinds, every) that come sorted by language and term: parts of the distances of sources, and
+    each source's most overused terms so far. About ``cells`` cells are held, and at most ``top`` terms a source."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, list] = defaultdict(list)
+        held: list[list] = [[] for _ in range(7)]
+
+        def block(n: int):
+            lang, term, source = (h[:n] for h in held[:3])
+            c, total, kinds, every = (np.array(h[:n], np.int64) for h in held[3:])
+            for h in held:
+                del h[:n]
+            names: dict[tuple, int] = {}
+            number = np.array([names.setdefault(x, len(names)) for x in zip(lang, source, strict=True)], np.int64)
+            first = np.array([i == 0 or term[i] != term[i - 1] or lang[i] != lang[i - 1] for i in range(n)])
+            at = np.flatnonzero(first)
+            size = np.diff([*at, n])
+            starts, sizes = np.repeat(at, size), np.repeat(size, size)
+            p, p0 = _shares(c, total + kinds), _shares(np.zeros(n, np.int64), total + kinds)
+            q = _shares(np.repeat(np.add.reduceat(c, at), size), every + kinds)
+            keys = list(names)
+            codes, sums = _pair_sums(number, len(keys), starts, sizes, p, p0)
+            pairs = [(keys[x // len(keys)], keys[x % len(keys)]) for x in codes.tolist()]
+            yield _rows([(g[0], g[1], "pair", o[1], v) for (g, o), v in zip(pairs, sums.tolist(), strict=True)])
+            over = _gaps(p, q)
+            for i in np.flatnonzero(p > q).tolist():
+                own, new = best[lang[i], source[i]], (int(over[i]), _Last(term[i]))
+                if len(own) < top:
+                    heapq.heappush(own, new)
+                elif new > own[0]:
+                    heapq.heapreplace(own, new)
+
+        for batch in batches:
+            for h, column in zip(held, batch.columns, strict=True):
+                h.extend(column.to_pylist())
+            if (n := len(held[0])) >= cells:
+                end = n - 1  # the last term may go on in the next batch
+                while end and held[1][end - 1] == held[1][-1] and held[0][end - 1] == held[0][-1]:
+                    end -= 1
+                if end:
+                    yield from block(end)
+        if held[0]:
+            yield from block(len(held[0]))
+        for (lang, source), own in best.items():
+            yield _rows([(lang, source, "term", x.item, v) for v, x in own])
+        release_memory()
+
+    return run
+
+
+class _Last:
+    """An item of which the larger comes first, for a heap whose smallest entry goes."""
+
+    __slots__ = ("item",)
+
+    def __init__(self, item: bytes):
+        self.item = item
+
+    def __lt__(self, other: _Last) -> bool:
+        return self.item > other.item
+
+    def __eq__(self, other: object) -> bool:
+        return self.item == other.item
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(FOUND)
+    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, FOUND, strict=True)], schema=FOUND)
+
+
 def source_divergence(
     docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 3, top: int = 200,
-    first: int = 6, max_shipped: int = 300_000, bound: int = 300_000,
+    first: int = 8, max_shipped: int = 1_000_000, bound: int = 200_000,
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): the distance of each source from the others, and its most overused terms.
 
@@ -112,14 +233,14 @@ def source_divergence(
     its rows hold (``frequent_terms``). With V kept terms, N occurrences of them in a group and c of one term, its share is
     p = 1 + floor(10^9 (c + 1) / (N + V)); f = floor((p - q)^2 / q). Part ``pair``: the sum of f over all kept terms, against each other
     source of the language. Part ``term``: f against the language as a whole, of terms that occur in the source and have p > q, ranks to ``top``.
-    All numbers are whole and exact; a sum beyond 64 bits is an error and never wraps.
+    All numbers are whole and exact: a pair's sums are at most 4 (10^9 + V)^2, so 64 bits hold them for fewer than 5 * 10^8 kept terms of a language.
 
     A kept term that neither of two sources has adds the same f for each, and one that only one of them has adds what depends on its
     count alone; so pairs are summed over the terms that both have, over histograms of counts, and over the number of terms.
 
     Every row is a document, whether or not its id or text repeats. A null text, language or source is ''. A text without terms still makes
-    its group. A language without kept terms has value 0 for each pair. Ties go to the smaller item by bytes. Other columns
-    are left out. An empty table gives an empty one.
+    its group. A language without kept terms has value 0 for each pair. A term's sources meet in one task, block by block. Ties go to the
+    smaller item by bytes. Other columns are left out. An empty table gives an empty one.
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(as_bytes(lang).alias("lang"), as_bytes(source).alias("source"), as_bytes(text).alias("text"))
@@ -131,22 +252,21 @@ def source_divergence(
     groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kinds", F.lit(0)).alias("kinds"))
     groups = write_shared(groups.withColumn("p0", _share("CAST(0 AS BIGINT)", "total", "kinds")), "source-groups")
     every = write_shared(groups.groupBy("lang").agg(F.sum("total").alias("every")), "languages")
-    by_term = counts.groupBy("lang", "term").agg(F.sum("c").alias("all_c"))
-    cells = counts.join(broadcast_if_small(groups, 100_000), ["lang", "source"]).join(broadcast_if_small(every, 100_000), "lang").join(by_term, ["lang", "term"])
-    cells = cells.select("lang", "source", "term", "p0", _share("c", "total", "kinds").alias("p"), _share("all_c", "every", "kinds").alias("q"))
-    cells = write_shared(cells, "term-shares")
-
-    other = cells.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("o"), F.col("p0").alias("o0"))
-    both = cells.join(other, ["lang", "term"]).filter("source <> item")
-    both = both.groupBy("lang", "source", "item").agg(F.sum(F.expr(f"{_gap('p', 'o')} - {_gap('p', 'o0')} - {_gap('p0', 'o')} + {_gap('p0', 'o0')}")).alias("v"))
-    shares = write_shared(cells.groupBy("lang", "source", "p0", "p").agg(F.count("*").alias("m")), "share-histogram")
+    cells = counts.join(broadcast_if_small(groups, 100_000), ["lang", "source"])
+    by_term = cells.join(broadcast_if_small(every, 100_000), "lang").select("lang", "term", "source", "c", "total", "kinds", "every")
+    by_term = by_term.repartition("lang", "term").sortWithinPartitions("lang", "term")
+    found = write_shared(by_term.mapInArrow(_compare(top), "lang binary, source binary, part string, item binary, value long"), "term-parts")
+
+    shares = cells.groupBy("lang", "source", "p0", _share("c", "total", "kinds").alias("p")).agg(F.count("*").alias("m"))
+    shares = write_shared(shares, "share-histogram")
     rivals = groups.filter("kinds > 0").select("lang", F.col("source").alias("item"), F.col("p0").alias("o0"))
     mine = shares.join(rivals, "lang").filter("source <> item").groupBy("lang", "source", "item").agg(F.sum(F.expr(f"m * ({_gap('p', 'o0')} - {_gap('p0', 'o0')})")).alias("v"))
     theirs = shares.join(rivals, "lang").filter("source <> item").groupBy("lang", F.col("item").alias("source"), F.col("source").alias("item")).agg(F.sum(F.expr(f"m * ({_gap('o0', 'p')} - {_gap('o0', 'p0')})")).alias("v"))
     rest = groups.join(groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("o0")), "lang").filter("source <> item")
     rest = rest.select("lang", "source", "item", F.expr(f"CASE WHEN kinds > 0 THEN kinds * ({_gap('p0', 'o0')}) ELSE 0 END").alias("v"))
+    both = found.filter("part = 'pair'").select("lang", "source", "item", F.col("value").alias("v"))
     pairs = both.unionByName(mine).unionByName(theirs).unionByName(rest).groupBy("lang", "source", "item").agg(F.sum("v").alias("value"))
-    over = cells.filter("p > q").select("lang", "source", F.col("term").alias("item"), F.expr(_gap("p", "q")).alias("value"))
+    over = found.filter("part = 'term'").select("lang", "source", "item", "value")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda rows, part: rows.withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit(part))
     out = ranked(pairs, "pair").unionByName(ranked(over, "term").filter(F.col("rank") <= top))

@@ -163,9 +163,9 @@ def _children(node: np.ndarray, depth: int, threshold: float) -> tuple[np.ndarra
 
 
 def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
-    """(doc_id, text_hash, n, d1, d2, low): size, identity and MinHash values of each text's shingle set. No shuffle.
+    """(doc_id, text_hash, text_check, n, d1, d2, low): size, identity and MinHash values of each text's shingle set. No shuffle.
 
-    ``text_hash`` is of id and text: it tells the texts of a repeated id apart.
+    ``text_hash`` is of id and text: it tells the texts of a repeated id apart; ``text_check`` is a second hash of both.
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,11 +177,12 @@ def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", w
             # keys travel as text, so that a null does not turn whole numbers into doubles
             made.insert(0, "doc_id", pd.array([None if k is None else int(k) for k in pdf["_key"]], dtype="Int64"))
             made.insert(1, "text_hash", pdf["_hash"].to_numpy(np.int64))
+            made.insert(2, "text_check", pdf["_check"].to_numpy(np.int64))
             yield made
         release_memory()
 
-    rows = docs.select(F.col(key).cast("long").cast("string").alias("_key"), row_hash(key, text).alias("_hash"), F.col(text).cast("string").alias("_text"))
-    return rows.mapInPandas(run, "doc_id long, text_hash long, n long, d1 long, d2 long, low binary")
+    rows = docs.select(F.col(key).cast("long").cast("string").alias("_key"), row_hash(key, text).alias("_hash"), row_check(key, text).alias("_check"), F.col(text).cast("string").alias("_text"))
+    return rows.mapInPandas(run, "doc_id long, text_hash long, text_check long, n long, d1 long, d2 long, low binary")
 
 
 def row_hash(key: str, text: str) -> Column:
@@ -189,6 +190,11 @@ def row_hash(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string"))
 
 
+def row_check(key: str, text: str) -> Column:
+    """A second hash, from another seed: both together tell rows apart where one of 64 bits would not."""
+    return F.xxhash64(F.lit("check"), F.col(text).cast("string"), F.col(key).cast("long"))
+
+
 def candidate_groups(
     classes: DataFrame, threshold: float, recall: float, small: int = 128, depth: int = 4, margin: float = 4.0
 ) -> DataFrame:
@@ -268,7 +274,7 @@ def set_classes(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.9999,
     tile_docs: int = 512, tile_shingles: int = 400_000, max_broadcast: int = 300_000,
 ) -> tuple[DataFrame, DataFrame]:
-    """(sketches, classes), both written: a row's identity (doc_id, text_hash, n, d1, d2), and one row a distinct shingle set.
+    """(sketches, classes), both written: a row's identity (doc_id, text_hash, text_check, n, d1, d2), and one row a distinct shingle set.
 
     A class is the rows of one set (n, d1, d2), told apart by nothing else: an id that stands on different texts is in
     several classes, and each has its own links. It has a number (cid), its first row by (id, text hash) as ``rep`` and ``rep_hash``,
@@ -333,7 +339,7 @@ def set_classes(
     by_class = classes.select("cid", *same, "rep", "rep_hash", "w").join(linked, "cid", "left").select(
         *same, "rep", "rep_hash", "w", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", "rep").alias("first"), F.coalesce("first_hash", "rep_hash").alias("first_hash")
     )
-    return sketches.select("doc_id", "text_hash", *same), write_shared(by_class, "class-links")
+    return sketches.select("doc_id", "text_hash", "text_check", *same), write_shared(by_class, "class-links")
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: float = 0.8, recall: float = 0.9999, **how) -> DataFrame:
@@ -363,21 +369,23 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = 500_000, **how) -> DataFrame:
     """``docs`` less all but one row of each group of near copies: the first by (key, hash of the text) stays.
 
-    Rows without a key or without words stay. Rows are looked up by key and text, so that a repeated key loses nothing but
-    near copies; of rows that repeat with key and text one stays. Columns and other rows are as they were.
+    Rows without a key or without words stay. Rows are looked up by two hashes of key and text, 128 bits in all, so that a row that is
+    like no other is not taken for a copy, and a repeated key loses nothing but near copies; of rows that repeat with key and text one stays.
+    Columns and other rows are as they were.
     """
     sketches, classes = set_classes(docs, key, text, **how)
     rows = sketches.filter("n > 0 AND doc_id IS NOT NULL").join(classes, ["n", "d1", "d2"])
     is_first = (F.col("doc_id") == F.col("first")) & (F.col("text_hash") == F.col("first_hash"))
-    gone = write_shared(rows.filter(~is_first).select(F.col("text_hash").alias("_hash")).distinct(), "near-copies")
-    again = write_shared(rows.filter(is_first & (F.col("w") > 1)).groupBy(F.col("text_hash").alias("_hash")).count().filter("count > 1").drop("count"), "repeated-rows")
-    keyed = docs.withColumn("_row", row_hash(key, text))
-    on = F.col("_row") == F.col("_hash")
+    hashes = [F.col("text_hash").alias("_hash"), F.col("text_check").alias("_check")]
+    gone = write_shared(rows.filter(~is_first).select(*hashes).distinct(), "near-copies")
+    again = write_shared(rows.filter(is_first & (F.col("w") > 1)).groupBy(*hashes).count().filter("count > 1").drop("count"), "repeated-rows")
+    keyed = docs.withColumns({"_row": row_hash(key, text), "_row_check": row_check(key, text)})
+    on = (F.col("_row") == F.col("_hash")) & (F.col("_row_check") == F.col("_check"))
     kept = keyed.join(broadcast_if_small(gone, max_broadcast), on, "left_anti")
     if again.isEmpty():
         return kept.select(*docs.columns)
     again = broadcast_if_small(again, max_broadcast)
-    once = kept.join(again, on, "left_semi").dropDuplicates(["_row"])
+    once = kept.join(again, on, "left_semi").dropDuplicates(["_row", "_row_check"])
     return kept.join(again, on, "left_anti").unionByName(once).select(*docs.columns)
 
 

@@ -95,34 +95,62 @@ def default_dictionary(path: str | None = None) -> tuple[str, ...]:
     return (*COMMON_WORDS, *whole)
 
 
+def _match(value: str, i: int, j: int, most: int, step: int) -> int:
+    """How many code points are equal from places i and j on, to the right (step 1) or to the left of them (-1), ``most`` at most."""
+    n, k = 0, 64
+    while n < most:
+        k = min(k, most - n)
+        x, y = (value[i + n : i + n + k], value[j + n : j + n + k]) if step > 0 else (value[i - n - k : i - n], value[j - n - k : j - n])
+        if x == y:
+            n, k = n + k, 2 * k
+        elif k == 1:
+            break
+        else:
+            k = (k + 1) // 2
+            most = min(most, n + len(x))
+    return n
+
+
 def _repeats(value: str, least: int = 64) -> Iterator[tuple[int, int, int]]:
     """(start, end, width) of runs in which a unit of ``width`` characters stands twice or more; of any width.
 
-    Widths up to ``least`` are tried one by one. A longer unit shares a stretch of ``least`` characters with its copy, and only
-    distances at which such a stretch comes again are tried. Runs inside one of a smaller width are left out.
+    Widths up to ``least`` are tried one by one. A longer unit shares a stretch of ``least`` characters with its copy: from a place where such a
+    stretch comes again, as far back as it last stood, the text is compared with itself at that distance to both sides, once a stretch, so the
+    work does not grow with the number of distances. Runs inside one of a small width are left out.
     """
     n = len(value)
-    widths = list(range(1, min(least, n // 2) + 1))
-    if n > 2 * least:
-        last: dict[str, int] = {}
-        far: set[int] = set()
-        for i in range(n - least + 1):
-            part = value[i : i + least]
-            if part in last and least < i - last[part] <= n // 2:
-                far.add(i - last[part])
-            last[part] = i
-        widths += sorted(far)
-    covered: list[tuple[int, int]] = []
-    for width in widths:
+    covered: list[tuple[list[int], list[int]]] = []  # starts and ends of each small width's runs, in order
+
+    def inside(a: int, b: int) -> bool:
+        return any((k := bisect.bisect_right(starts, a)) and ends[k - 1] >= b for starts, ends in covered)
+
+    for width in range(1, min(least, n // 2) + 1):
         same = bytes(map(eq, value[width:], value))
         a = same.find(b"\x01" * width)
+        own: tuple[list[int], list[int]] = ([], [])
         while a >= 0:
             b = same.find(b"\x00", a)
             b = (n - width if b < 0 else b) + width
-            if b - a >= 3 and not any(x <= a and b <= y for x, y in covered):
-                covered.append((a, b))
+            if b - a >= 3 and not inside(a, b):
+                own[0].append(a)
+                own[1].append(b)
                 yield a, a + (b - a) // width * width, width
             a = same.find(b"\x01" * width, b - width)
+        if own[0]:
+            covered.append(own)
+    if n <= 2 * least:
+        return
+    last: dict[str, int] = {}
+    reach: dict[int, int] = {}  # the end of the last stretch compared at a distance
+    for i in range(n - least + 1):
+        part = value[i : i + least]
+        width = i - last.get(part, i)
+        last[part] = i
+        if least < width <= n // 2 and reach.get(width, -1) < i:
+            a = i - _match(value, i, i - width, i - width, -1)
+            b = reach[width] = i + _match(value, i, i - width, n - i, 1)
+            if b - a >= width and not inside(a - width, b):
+                yield a - width, a - width + (b - a + width) // width * width, width
 
 
 def _tokens(value: str, words: Words) -> Iterator[tuple[int, int, float]]:

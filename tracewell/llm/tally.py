@@ -52,7 +52,8 @@ class Tally:
             if wanted is None:
                 items, counts = list(own), list(own.values())
             else:
-                items = [x for x in own if x in wanted(group)]
+                kept = wanted(group)
+                items = [x for x in own if x in kept]
                 counts = [own[x] for x in items]
             for at in range(0, len(items), rows):
                 part = items[at : at + rows]
@@ -62,12 +63,27 @@ class Tally:
         self.held = 0
 
 
-def shipped_sets(rows: DataFrame, group: str, item: str, max_rows: int):
-    """A broadcast {group: set of items} of a written table with at most ``max_rows`` rows, else None."""
-    found = rows.select(group, item).limit(max_rows + 1).collect()
-    if len(found) > max_rows:
+class Shipped:
+    """Sets of letter-only items by group, sent to all tasks as one string of bytes a group; a task makes the sets that it asks for."""
+
+    def __init__(self, joined):
+        self.joined, self.made = joined, {}
+
+    def get(self, group: bytes) -> frozenset:
+        if group not in self.made:
+            self.made[group] = frozenset(self.joined.value.get(group, b"").split())
+        return self.made[group]
+
+
+def shipped_sets(rows: DataFrame, group: str, item: str, max_rows: int) -> Shipped | None:
+    """The sets of a written table (group, item) that has at most ``max_rows`` rows, else None. The driver holds their bytes, no row objects."""
+    if rows.limit(max_rows + 1).count() > max_rows:
         return None
-    sets: dict[bytes, set] = defaultdict(set)
-    for g, x in found:
-        sets[bytes(g)].add(bytes(x))
-    return rows.sparkSession.sparkContext.broadcast(dict(sets))
+    joined: dict[bytes, list[bytes]] = defaultdict(list)
+    for batch in rows.select(group, item).toArrow().to_batches(max_chunksize=20_000):
+        part: dict[bytes, list[bytes]] = defaultdict(list)
+        for g, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            part[g].append(x)
+        for g, items in part.items():
+            joined[g].append(b" ".join(items))
+    return Shipped(rows.sparkSession.sparkContext.broadcast({g: b" ".join(parts) for g, parts in joined.items()}))
