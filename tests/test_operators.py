@@ -561,3 +561,84 @@ def test_intermediate_tables_can_be_released(spark):
 
     path = write_shared(spark.range(3), "t").inputFiles()[0].removeprefix("file://")
     assert os.path.exists(path) and release_tables(spark) > 0 and not os.path.exists(path) and release_tables(spark) == 0
+
+
+def strong_model(nodes, edges):
+    """Smallest member of each node's component, by reach from every node."""
+    out = {n: {d for s, d in edges if s == n and d in nodes} for n in nodes}
+
+    def reach(n):
+        seen, todo = {n}, [n]
+        while todo:
+            for d in out[todo.pop()]:
+                if d not in seen:
+                    seen.add(d)
+                    todo.append(d)
+        return seen
+
+    to = {n: reach(n) for n in nodes}
+    return {n: min(m for m in to[n] if n in to[m]) for n in nodes}
+
+
+@pytest.mark.parametrize(("n", "m", "seed"), [(30, 25, 1), (40, 60, 2), (60, 200, 3), (12, 0, 4)])
+def test_strong_components_against_model(spark, n, m, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randint(0, n), rng.randint(0, n - 1)) for _ in range(m)] + [(3, 3)]
+    nodes = spark.range(n)
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(3)
+    want = strong_model(set(range(n)), edges)
+    assert dict(rows(graph.strong_components(nodes, df))) == want
+    layers = {r["id"]: (r["component"], r["layer"]) for r in graph.collapsed_layers(nodes, df).collect()}
+    assert {k: c for k, (c, _) in layers.items()} == want
+
+    def layer(c):
+        return max((layer(want[d]) + 1 for s, d in edges if s in want and d in want and want[s] == c != want[d]), default=0)
+
+    assert {k: x for k, (_, x) in layers.items()} == {k: layer(c) for k, c in want.items()}
+
+
+def test_a_dense_cyclic_core_is_one_component_in_few_rounds(spark):
+    n = 20_000
+    i = F.col("id")
+    ring = spark.range(n).select(i.alias("src"), ((i + 1) % n).alias("dst"))
+    far = spark.range(4 * n).select((i % n).alias("src"), F.pmod(F.xxhash64(i), F.lit(n)).alias("dst"))
+    tail = spark.range(50).select((i + n).alias("src"), F.when(i == 0, F.lit(0)).otherwise(i + n - 1).alias("dst"))
+    edges = ring.union(far).union(tail)
+    got = graph.collapsed_layers(spark.range(n + 50), edges).groupBy("component").agg(F.count("*").alias("c"), F.max("layer").alias("layer"))
+    got = {r["component"]: (r["c"], r["layer"]) for r in got.collect()}
+    assert got[0] == (n, 0) and len(got) == 51 and got[n + 49] == (1, 50)
+
+
+def test_paths_from_both_ends_reach_less_of_a_hub_graph(spark):
+    """Each end hangs on a line of three, and the lines on a hub with many leaves: the side with the small front goes on."""
+    links = [(f"x{k}{i}", f"x{k}{i + 1}") for k in "ab" for i in range(3)] + [("xa3", "hub"), ("xb3", "hub")] + [("hub", f"leaf{i}") for i in range(300)]
+    links += [(f"leaf{i}", f"twig{i}") for i in range(300)]
+    stats = {}
+    got = graph.shortest_paths(spark.createDataFrame(links, "src string, dst string"), spark.createDataFrame([("xa0", "xb0")], "a string, b string"), 10, stats).collect()
+    assert [tuple(r) for r in got] == [("xa0", "xb0", 8, ["xa0", "xa1", "xa2", "xa3", "hub", "xb3", "xb2", "xb1", "xb0"])]
+    assert stats["reached"] < 320
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_smallest_of_the_shortest_paths(spark, seed):
+    rng = random.Random(seed)
+    links = {(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(60)}
+    near = {}
+    for a, b in links:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    asked = [(rng.randint(0, 42), rng.randint(0, 42)) for _ in range(40)] + [(5, 5), (99, 99), (None, 1)]
+
+    def best(a, b):
+        paths = [[a]]
+        for _ in range(6):
+            hits = [p for p in paths if p[-1] == b]
+            if hits:
+                return len(hits[0]) - 1, min(hits)
+            paths = [[*p, x] for p in paths for x in near.get(p[-1], ()) if x not in p]
+        return None
+
+    want = {(a, b): best(a, b) for a, b in asked if a is not None and best(a, b)}
+    df = graph.shortest_paths(spark.createDataFrame(list(links), "src long, dst long"), spark.createDataFrame(asked, "a long, b long"), 5)
+    assert {(r["a"], r["b"]): (r["hops"], r["path"]) for r in df.collect()} == want

@@ -141,6 +141,77 @@ def topo_layers(nodes: DataFrame, edges: DataFrame, max_layers: int = 10_000) ->
     return done if done is not None else ids.withColumn("layer", F.lit(0))
 
 
+def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """(id, component): the smallest node of each node's strongly connected component, the set of nodes that reach each other.
+
+    Trimming and colouring. Nodes without an open link in or out are components of their own. The others draw a rank, and along the links each takes
+    the first rank that reaches it; what a colour's node of that rank can be reached from, inside the colour, is its component. Links between colours
+    go, and the rest starts again with new ranks, so the number of turns grows with the logarithm of the components in a row; a turn
+    takes as many rounds as a component is wide. Each round ends with a written table; nothing but counts comes to the driver.
+    Self links and links to unknown nodes are dropped. More than ``max_rounds`` rounds are an error.
+    """
+    ids = write_shared(nodes.select("id").filter("id IS NOT NULL").distinct(), "graph-nodes")
+    links = edges.select("src", "dst").filter("src <> dst").distinct()
+    links = links.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    links = write_shared(links, "open-links")
+    found, rounds, turn = None, 0, 0
+    inside = lambda rows, of: rows.join(of.select(F.col("id").alias("src")), "src", "left_semi").join(of.select(F.col("id").alias("dst")), "dst", "left_semi")
+    while True:
+        before = None
+        for _ in range(3):  # long chains go by colours
+            open_ = links.select(F.col("src").alias("id")).intersect(links.select(F.col("dst").alias("id")))
+            links = write_shared(inside(links, open_), "open-links")
+            now = links.count()
+            if now in (0, before):
+                break
+            before = now
+        if now == 0:
+            break
+        left = links.select(F.col("src").alias("id")).union(links.select(F.col("dst").alias("id"))).distinct()
+        rank = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("of"))
+        colour = write_shared(left.select("id", rank.alias("c"), F.lit(True).alias("new")), "colours")
+        while True:
+            rounds += 1
+            if rounds > max_rounds:
+                raise RuntimeError(f"no end after {max_rounds} rounds")
+            sent = links.join(colour.filter("new").select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("s"))
+            better = F.coalesce(F.col("s") < F.col("c"), F.lit(False))
+            colour = write_shared(colour.join(sent, "id", "left").select("id", F.when(better, F.col("s")).otherwise(F.col("c")).alias("c"), better.alias("new")), "colours")
+            if colour.filter("new").isEmpty():
+                break
+        by = lambda name: colour.select(F.col("id").alias(name), F.col("c.of").alias(f"_{name}"))
+        links = write_shared(links.join(by("src"), "src").join(by("dst"), "dst").filter("_src = _dst").select("src", "dst"), "open-links")
+        front = write_shared(colour.filter(F.col("c.of") == F.col("id")).select("id", F.col("id").alias("component")), "component-front")
+        got = front
+        while True:
+            rounds += 1
+            back = links.join(front.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id"), "component").distinct()
+            front = write_shared(back.join(got.select("id"), "id", "left_anti"), "component-front")
+            if front.isEmpty():
+                break
+            got = got.unionByName(front)
+        got = write_shared(got, "components-found")
+        found = got if found is None else found.unionByName(got)
+        done = got.select(F.col("id").alias("_id"))
+        links = write_shared(links.join(done, F.col("src") == F.col("_id"), "left_anti").join(done, F.col("dst") == F.col("_id"), "left_anti"), "open-links")
+        turn += 1
+    if found is None:
+        return ids.withColumn("component", F.col("id"))
+    names = found.groupBy("component").agg(F.min("id").alias("_least"))
+    rows = found.join(names, "component").select("id", F.col("_least").alias("component"))
+    return ids.join(rows, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def collapsed_layers(nodes: DataFrame, edges: DataFrame, max_layers: int = 10_000) -> DataFrame:
+    """(id, component, layer) with each cycle taken as one: the members of a strongly connected component share a layer, which is
+    one more than the last layer among what any of them depends on outside it. The number of rounds grows with the layers, not with the cycles."""
+    groups = write_shared(strong_components(nodes, edges), "strong-components")
+    end = lambda name: groups.select(F.col("id").alias(name), F.col("component").alias(f"_{name}"))
+    between = edges.select("src", "dst").join(end("src"), "src").join(end("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).filter("src <> dst")
+    layers = topo_layers(groups.select(F.col("component").alias("id")), between, max_layers).withColumnRenamed("id", "component")
+    return groups.join(layers, "component").select("id", "component", "layer")
+
+
 def call_trees(roots: DataFrame, edges: DataFrame, max_depth: int = 10, max_nodes: int | None = None) -> DataFrame:
     """(root, node, parent, depth): nodes reached from each root, at their least depth; parent is the smallest at that depth.
 
@@ -220,25 +291,62 @@ def touching_edges(edges: DataFrame, found: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10, stats: dict | None = None) -> DataFrame:
     """(a, b, hops, path) for each pair that is connected within ``max_depth`` undirected hops; ties to the smallest path.
 
-    Distances are found from each distinct end ``b`` over the whole graph, once for all pairs that share it; all pairs then walk
-    together, each to its smallest neighbour that is one nearer to its end. An end whose pairs are all found is searched no further.
+    Searched from both ends: a pair lets the end with the smaller front go one step on, until the two sides meet; what one end has reached
+    serves all pairs that it is in. Only nodes on a shortest path are then followed back from where the sides meet, and all pairs walk
+    together, each to the smallest such neighbour. ``stats`` gets the number of rows reached from all ends.
     """
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"))
     both = write_shared(both.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("to"))).filter("node <> to").distinct(), "both-ways")
-    pairs = write_shared(pairs.select("a", "b").distinct(), "pairs")
-    front = write_shared(pairs.select("b", F.col("b").alias("node"), F.lit(0).alias("hops")).distinct(), "path-front")
-    seen, wanted = front, pairs
-    for d in range(1, max_depth + 1):
-        wanted = write_shared(wanted.join(front.select("b", F.col("node").alias("a")), ["a", "b"], "left_anti"), "open-pairs")
-        new = front.join(wanted.select("b").distinct(), "b", "left_semi").join(both, "node").select("b", F.col("to").alias("node")).distinct()
-        front = write_shared(new.join(seen.select("b", "node"), ["b", "node"], "left_anti").withColumn("hops", F.lit(d)), "path-front")
-        if front.isEmpty():
+    pairs = write_shared(pairs.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("end")).union(pairs.select(F.col("b").alias("end"))).distinct()
+    known = ends.join(both.select(F.col("node").alias("end")), "end", "left_semi").unionByName(pairs.filter("a = b").select(F.col("a").alias("end"))).distinct()
+    seen = front = write_shared(known.select("end", F.col("end").alias("node"), F.lit(0).alias("d")), "path-front")
+    sizes = write_shared(front.groupBy("end").agg(F.count("*").alias("n"), F.max("d").alias("depth")), "front-sizes")
+    open_, found, grown = pairs, None, front
+
+    def meet(x: str, y: str) -> DataFrame:
+        """Open pairs of which something new from end ``x`` has been reached from end ``y``."""
+        mine = open_.join(grown.select(F.col("end").alias(x), "node", F.col("d").alias("_x")), x)
+        return mine.join(seen.select(F.col("end").alias(y), "node", F.col("d").alias("_y")), [y, "node"]).select("a", "b", (F.col("_x") + F.col("_y")).alias("hops"))
+
+    for _ in range(2 * max_depth + 1):
+        met = meet("a", "b").unionByName(meet("b", "a")).groupBy("a", "b").agg(F.min("hops").alias("hops")).filter(F.col("hops") <= max_depth)
+        side = lambda x: sizes.select(F.col("end").alias(x), F.col("n").alias(f"n{x}"), F.col("depth").alias(f"d{x}"))
+        met = write_shared(met.join(side("a"), "a").select("a", "b", "hops", F.least("da", "hops").alias("split")), "met-pairs")
+        found = met if found is None else found.unionByName(met)
+        # a pair stays open while both ends have a front and may be near enough
+        rest = open_.join(met, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").filter((F.col("na") > 0) & (F.col("nb") > 0) & (F.col("da") + F.col("db") < max_depth))
+        rest = write_shared(rest, "open-pairs")
+        open_ = rest.select("a", "b")
+        if rest.isEmpty():
             break
-        seen = seen.unionByName(front)
-    walk = pairs.join(seen.withColumnRenamed("node", "a"), ["a", "b"]).select("a", "b", "hops", F.col("a").alias("node"), F.array("a").alias("path"))
+        go = write_shared(rest.select(F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("end")).distinct(), "growing-ends")
+        new = front.join(go, "end", "left_semi").join(both, "node").select("end", F.col("to").alias("node"), (F.col("d") + 1).alias("d")).distinct()
+        grown = write_shared(new.join(seen.select("end", "node"), ["end", "node"], "left_anti"), "path-front")
+        front = front.join(go, "end", "left_anti").unionByName(grown)
+        seen = seen.unionByName(grown)
+        steps = sizes.join(go.withColumn("_go", F.lit(True)), "end", "left").join(grown.groupBy("end").agg(F.count("*").alias("_n")), "end", "left")
+        moved = F.col("_go").isNotNull()
+        sizes = write_shared(steps.select("end", F.when(moved, F.coalesce("_n", F.lit(0))).otherwise(F.col("n")).alias("n"), (F.col("depth") + moved.cast("int")).alias("depth")), "front-sizes")
+        front = write_shared(front, "path-front")
+    if stats is not None:
+        stats["reached"] = seen.count()
+    at = lambda x, name: seen.select(F.col("end").alias(x), "node", F.col("d").alias(name))
+    found = write_shared(found, "found-pairs")
+    level = found.join(at("a", "_i"), "a").filter(F.col("_i") == F.col("split")).join(at("b", "_j"), ["b", "node"]).filter(F.col("_j") == F.col("hops") - F.col("split"))
+    level = write_shared(level.select("a", "b", "hops", "split", "node", F.col("split").alias("i")), "on-paths")
+    useful = level
+    for _ in range(max_depth):
+        level = level.filter("i > 1").join(both, "node").select("a", "b", "hops", "split", F.col("to").alias("node"), (F.col("i") - 1).alias("i")).distinct()
+        level = write_shared(level.join(at("a", "_i"), ["a", "node"]).filter("i = _i").select("a", "b", "hops", "split", "node", "i"), "on-paths")
+        if level.isEmpty():
+            break
+        useful = useful.unionByName(level)
+    useful = useful.select("a", "b", F.col("node").alias("to"), "i")
+    walk = found.select("a", "b", "hops", "split", F.col("a").alias("node"), F.array("a").alias("path"))
     done = None
     for d in range(max_depth + 1):
         walk = write_shared(walk, "walks")
@@ -247,9 +355,12 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10) -> D
         walk = walk.filter(F.col("hops") > d)
         if walk.isEmpty():
             break
-        nearer = seen.select("b", F.col("node").alias("to"), F.col("hops").alias("_left"))
-        step = walk.join(both, "node").join(nearer, ["b", "to"]).filter(F.col("_left") == F.col("hops") - d - 1)
-        walk = step.groupBy("a", "b", "hops", "path").agg(F.min("to").alias("node")).select("a", "b", "hops", "node", F.concat("path", F.array("node")).alias("path"))
+        step = walk.join(both, "node")
+        ahead = step.filter(F.col("split") > d).join(useful.filter(F.col("i") == d + 1), ["a", "b", "to"])
+        behind = step.filter(F.col("split") <= d).join(at("b", "_left").withColumnRenamed("node", "to"), ["b", "to"]).filter(F.col("_left") == F.col("hops") - d - 1)
+        keep = ["a", "b", "hops", "split", "path", "to"]
+        walk = ahead.select(*keep).unionByName(behind.select(*keep)).groupBy("a", "b", "hops", "split", "path").agg(F.min("to").alias("node"))
+        walk = walk.select("a", "b", "hops", "split", "node", F.concat("path", F.array("node")).alias("path"))
     return done
 
 
