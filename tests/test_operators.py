@@ -642,3 +642,40 @@ def test_smallest_of_the_shortest_paths(spark, seed):
     want = {(a, b): best(a, b) for a, b in asked if a is not None and best(a, b)}
     df = graph.shortest_paths(spark.createDataFrame(list(links), "src long, dst long"), spark.createDataFrame(asked, "a long, b long"), 5)
     assert {(r["a"], r["b"]): (r["hops"], r["path"]) for r in df.collect()} == want
+
+
+def test_ratios_are_computed_for_few_pairs_only():
+    rng = random.Random(1)
+    colours = [f"colour{chr(97 + i)}{chr(97 + i * 7 % 26)}" for i in range(26)]
+    names = [" ".join(rng.choices(colours, k=3)) for _ in range(600)]
+    tile = search.NameTile(names, [set(n.split()) for n in names])
+    tried = 0
+    for q in names[:20]:
+        found, n = tile.best(q, set(q.split()), 5)
+        tried += n
+        assert len(found) == 5 and names[max(found, key=lambda f: f[1])[0]] == q
+    assert tried < 20 * 600 / 3
+
+
+def test_fuzzy_search_with_odd_names(spark):
+    data = [(1, None), (2, ""), (3, "a"), (4, "A b"), (5, "ab"), (6, "日本語"), (7, "日 本"), (None, "ab"), (8, "ab")]
+    names = spark.createDataFrame(data, "id long, name string")
+    asked = spark.createDataFrame([("ab",), ("本語",), ("  ",), (None,), ("zzz",), ("ab",)], "query string")
+    got = {}
+    for r in search.fuzzy_search(names, asked, 3).collect():
+        got.setdefault(r["query"], []).append((-r["score"], r["id"]))
+    assert sorted(got["ab"]) == [(-1.0, 5), (-1.0, 8), (-0.66, 4)] and min(got["本語"])[1] == 6 and "zzz" not in got and "  " not in got
+    assert search.fuzzy_search(names.limit(0), asked, 3).count() == 0
+
+
+def test_keyword_index_finds_what_a_scan_finds(spark, tmp_path):
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abC dé", k=rng.randint(0, 30))) for _ in range(120)] + [None, "", "ab", texts_twice := "abc abc"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts_twice])], "id long, body string").repartition(3)
+    index = search.KeywordIndex(spark, str(tmp_path / "index"), buckets=4)
+    words = ["abc", "a", "é", "C d", "dabc", "nothing", "AB"]
+    assert index.search(df, "id", "body", words).count() == 0
+    assert index.add(df.filter("id % 2 = 0"), "body") + index.add(df, "body") == len({t for t in texts if t is not None}) and index.add(df, "body") == 0
+    assert rows(index.search(df, "id", "body", words)) == rows(search.keyword_search(df, "id", "body", words))
+    asked = spark.createDataFrame([("dabc",), ("nothing",)], "word string")
+    assert index.candidates(asked).count() < 20

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import heapq
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -128,10 +130,71 @@ def fuzzy_scores(names: DataFrame, queries: DataFrame, key: str = "id", name: st
     return rows.join(asked, ["_qb", "_bb"]).select(F.col("_q").alias(query), F.col("_k").alias(key), F.round(fuzzy_lower_score(F.col("_q"), F.col("_n")), 6).alias("score"))
 
 
+def _ratio(query: str, name: str) -> float:
+    return difflib.SequenceMatcher(None, query, name).ratio()
+
+
 @F.pandas_udf(DoubleType())
 def sequence_ratio(query: pd.Series, name: pd.Series) -> pd.Series:
     """difflib's ratio of (query, name), in this order."""
-    return pd.Series([difflib.SequenceMatcher(None, q, n).ratio() for q, n in zip(query, name, strict=True)], dtype=float)
+    return pd.Series([_ratio(q, n) for q, n in zip(query, name, strict=True)], dtype=float)
+
+
+class NameTile:
+    """Names of one tile as posting lists: by token, by three code points in a row without blanks, and a table of how often each letter occurs."""
+
+    GRAM = 3
+
+    def __init__(self, names: list[str], tokens: list[set]):
+        self.names, self.tokens, self.squeezed = names, tokens, [n.replace(" ", "") for n in names]
+        self.by_token, self.by_gram = defaultdict(list), defaultdict(list)
+        for i, (own, n) in enumerate(zip(tokens, self.squeezed, strict=True)):
+            for t in own:
+                self.by_token[t].append(i)
+            for g in {n[j : j + self.GRAM] for j in range(len(n) - self.GRAM + 1)}:
+                self.by_gram[g].append(i)
+        self.letter: dict[str, int] = {}
+        for c in "".join(names):
+            self.letter.setdefault(c, len(self.letter))
+        self.letters = np.zeros((len(names), len(self.letter)), np.int32)
+        for i, n in enumerate(names):
+            for c, x in Counter(n).items():
+                self.letters[i, self.letter[c]] = x
+        self.size = np.array([len(n) for n in names], np.int64)
+
+    def holding(self, squeezed: str) -> list[int]:
+        """Names that contain the query without blanks: those on its shortest posting list are looked at."""
+        if len(squeezed) < self.GRAM:
+            return [i for i, n in enumerate(self.squeezed) if squeezed in n]
+        lists = [self.by_gram.get(squeezed[j : j + self.GRAM], []) for j in range(len(squeezed) - self.GRAM + 1)]
+        return [i for i in min(lists, key=len) if squeezed in self.squeezed[i]]
+
+    def best(self, query: str, tokens: set, k: int) -> tuple[list[tuple[int, float]], int]:
+        """The ``k`` best (name, score) above zero, and how many ratios were computed.
+
+        Substring and tokens give a score from below; the letters that both have bound the ratio. Names are taken by their upper bound, the largest
+        first, until it is below the k-th best score.
+        """
+        low = np.zeros(len(self.names))
+        common = Counter(i for t in tokens for i in self.by_token.get(t, ()))
+        for i, c in common.items():
+            low[i] = 0.3 * (c / (len(tokens) + len(self.tokens[i]) - c))
+        for i in self.holding(query.replace(" ", "")):
+            low[i] = 0.5 + low[i]
+        mine = Counter(query)
+        known = [c for c in mine if c in self.letter]
+        shared = np.minimum(self.letters[:, [self.letter[c] for c in known]], [mine[c] for c in known]).sum(axis=1) if known else np.zeros(len(low), np.int64)
+        high = low + 0.4 * shared / np.maximum(self.size + len(query), 1)
+        found: list[tuple[float, int]] = []  # a heap of (score, -place): the worst first
+        tried = 0
+        for i in np.lexsort((np.arange(len(high)), -high)).tolist():
+            if high[i] <= 0 or (len(found) == k and high[i] < found[0][0] - 1e-12):
+                break
+            tried += 1
+            score = float(low[i]) + 0.2 * _ratio(query, self.names[i])
+            if score > 0:
+                (heapq.heappush if len(found) < k else heapq.heappushpop)(found, (score, -i))
+        return [(-i, score) for score, i in found], tried
 
 
 def fuzzy_search(
@@ -139,22 +202,103 @@ def fuzzy_search(
 ) -> DataFrame:
     """(query, key, score): the k best of 0.5 substring + 0.3 Jaccard + 0.2 sequence ratio, zero left out, ties by key.
 
-    The native part bounds the score from below, and the lengths bound the ratio; only rows whose upper bound reaches the k-th
-    best lower bound are handed to Python. Queries and names meet in tiles, and a rank is cut to ``k`` before rows are shuffled.
+    Queries and names meet in tiles, each pair once. A tile keeps its names as posting lists of tokens and of letter triples and
+    computes ratios in the order of their upper bounds only (``NameTile``), so most pairs cost a bound and no ratio; k rows a tile and query are
+    shuffled. Tokens are cut once a row, before tiles are dealt. Null names and queries, and empty queries, have no row.
+    """
+    asked = queries.select(F.col(query).alias("_q")).filter(F.trim("_q") != "").distinct()
+    asked = write_shared(asked.select("_q", F.lower("_q").alias("_low"), mixed_tokens(F.col("_q")).alias("_tokens")), "fuzzy-queries")
+    base = names.select(F.col(key).alias("_k"), F.lower(name).alias("_low"), mixed_tokens(F.col(name)).alias("_tokens")).filter("_low IS NOT NULL AND _k IS NOT NULL")
+    rows, dealt = deal_tiles(base, "_k", asked, "_q", query_block, base_block)
+    tile, kind = ["_qb", "_bb"], base.schema["_k"].dataType.simpleString()
+    both = dealt.select(*tile, F.lit(0).alias("_side"), F.lit(None).cast(kind).alias("_k"), "_q", "_low", "_tokens")
+    both = both.unionByName(rows.select(*tile, F.lit(1).alias("_side"), "_k", F.lit(None).cast("string").alias("_q"), "_low", "_tokens"))
+
+    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in by_key(parts, tile):
+            n = int((pdf["_side"] == 0).sum())
+            if n in (0, len(pdf)):
+                continue
+            low, tokens = pdf["_low"].to_list(), [set(t) for t in pdf["_tokens"]]
+            keys, here = pdf["_k"].to_list()[n:], NameTile(low[n:], tokens[n:])
+            out = [(q, keys[i], score) for q, x, t in zip(pdf["_q"].to_list()[:n], low[:n], tokens[:n], strict=True) for i, score in here.best(x, t, k)[0]]
+            yield pd.DataFrame(out, columns=["_q", "_k", "_s"])
+
+    # keys travel as text beside nulls, so that whole numbers stay whole
+    sent = both.repartition(*tile).sortWithinPartitions(*tile, "_side", "_k", "_low").withColumn("_k", F.col("_k").cast("string"))
+    found = sent.mapInPandas(best, "_q string, _k string, _s double").select("_q", F.col("_k").cast(kind).alias("_k"), "_s")
+    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("_s"), "_k"))
+    return found.withColumn("_r", rank).filter(F.col("_r") <= k).select(F.col("_q").alias(query), F.col("_k").alias(key), F.round("_s", 4).alias("score"))
+
+
+class KeywordIndex:
+    """Posting lists of three letters in a row, by the hash of a lower-case text, and the texts themselves: an index that grows with new texts only.
+
+    ``add`` reads texts, cuts those whose hash is not stored, and appends. ``search`` finds the texts on the lists of a word's letter triples
+    and looks for the word in these texts only; the result is that of ``keyword_search``. Words of one or two letters, which are
+    on no list, are looked for in all texts. Tables are Parquet below ``path``; lists lie in ``buckets`` folders by triple, so that a
+    search reads the folders of its own triples. A driver that stops between the two appends leaves texts without a list: lists go first.
     """
-    asked = write_shared(queries.select(F.col(query).alias("_q")).filter(F.trim("_q") != "").distinct(), "fuzzy-queries")
-    rows, dealt = deal_tiles(names.select(F.col(key).alias("_k"), F.col(name).alias("_n")), "_k", asked, "_q", query_block, base_block)
-    rows = rows.join(dealt, ["_qb", "_bb"]).drop("_qb", "_bb")
-    lo = fuzzy_lower_score(F.col("_q"), F.col("_n"))
-    a, b = F.length("_q"), F.length("_n")
-    hi = F.col("_lo") + 0.4 * F.least(a, b) / F.greatest(a + b, F.lit(1))
-    rows = rows.withColumn("_lo", lo).withColumn("_hi", hi)
-    rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("_lo"), "_k"))
-    floor = rows.select("_q", "_lo", rank.alias("_r"), "_k").filter(F.col("_r") <= k).groupBy(F.col("_q").alias("_fq")).agg(F.min("_lo").alias("_floor"), F.count("*").alias("_c"))
-    close = rows.join(floor, F.col("_q") == F.col("_fq")).filter((F.col("_c") < k) | (F.col("_hi") >= F.col("_floor") - 1e-12))
-    scored = close.withColumn("score", F.col("_lo") + 0.2 * sequence_ratio(F.lower("_q"), F.lower("_n"))).filter("score > 0")
-    best = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("score"), "_k"))
-    return scored.withColumn("_r", best).filter(F.col("_r") <= k).select(F.col("_q").alias(query), F.col("_k").alias(key), F.round("score", 4).alias("score"))
+
+    GRAM = 3
+
+    def __init__(self, spark, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _read(self, name: str, kind: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(kind).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
+        except Exception as e:  # nothing added yet
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return self.spark.createDataFrame([], kind)
+
+    def texts(self) -> DataFrame:
+        return self._read("texts", "hash string, text string").dropDuplicates(["hash"])
+
+    def lists(self) -> DataFrame:
+        return self._read("lists", "gram string, hash string, bucket int")
+
+    def _grams(self, low: Column) -> Column:
+        """Distinct letter triples, in time that grows with the text (Spark finds a place in a text by counting from its start)."""
+        bound_batches(self.spark)
+        n = self.GRAM
+
+        @F.pandas_udf("array<string>")
+        def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in parts:
+                yield pd.Series([sorted({t[i : i + n] for i in range(len(t) - n + 1)}) for t in texts], dtype=object)
+
+        return cut(low)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("gram"), F.lit(self.buckets)).cast("int")
+
+    def add(self, texts: DataFrame, text: str) -> int:
+        """Append the texts that are not stored yet; how many there were."""
+        new = texts.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct().withColumn("hash", content_hash(F.col("text")))
+        new = write_shared(new.join(self._read("texts", "hash string, text string").select("hash"), "hash", "left_anti").select("hash", "text"), "new-texts")
+        lists = new.select("hash", F.explode(self._grams(F.lower("text"))).alias("gram")).withColumn("bucket", self._bucket())
+        lists.select("gram", "hash", "bucket").repartition("bucket", "gram").sortWithinPartitions("bucket", "gram").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/lists")
+        new.write.mode("append").parquet(f"{self.path}/texts")
+        return new.count()
+
+    def candidates(self, words: DataFrame) -> DataFrame:
+        """(word, hash) of texts that are on the lists of all letter triples of a word; words shorter than three letters meet every text."""
+        asked = words.select("word").filter("word IS NOT NULL AND word <> ''").distinct().withColumn("_g", self._grams(F.lower("word")))
+        wanted = asked.select("word", F.size("_g").alias("_n"), F.explode("_g").alias("gram"))
+        buckets = [r[0] for r in wanted.select(self._bucket().alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
+        lists = self.lists().filter(F.col("bucket").isin(buckets)).select("gram", "hash").distinct()
+        hits = lists.join(wanted, "gram").groupBy("word", "hash").agg(F.count("*").alias("_c"), F.max("_n").alias("_n")).filter("_c = _n")
+        short = asked.filter(F.size("_g") == 0).select("word").join(self.texts().select("hash"), F.lit(True))
+        return hits.select("word", "hash").unionByName(short)
+
+    def search(self, rows: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
+        """(word, key, snippet) of ``rows``, whose texts were added: as ``keyword_search`` without a limit. Texts are read for candidates only."""
+        asked = self.spark.createDataFrame([(w,) for w in words], "word string")
+        found = self.candidates(asked).join(self.texts(), "hash").filter(F.contains(F.lower("text"), F.lower("word")))
+        found = found.select("word", "hash", snippet(F.col("text"), F.col("word")).alias("snippet"))
+        return rows.select(key, content_hash(F.col(text)).alias("hash")).join(found, "hash").select("word", key, "snippet")
 
 
 # ---------------------------------------------------------------- vectors

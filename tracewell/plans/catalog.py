@@ -341,6 +341,22 @@ def keyword_search(t):
     return search.keyword_search(t("documents"), "doc_id", "text", KEYWORDS)
 
 
+@query(ORACLE_SQL["keyword_search"])
+def keyword_indexed(t):
+    from tracewell.sources.shared import new_path
+
+    docs = t("documents")
+    index = search.KeywordIndex(docs.sparkSession, new_path(docs.sparkSession, "keyword-index"), buckets=8)
+    for some in (docs.filter("doc_id % 2 = 0"), docs):  # the second run adds what is new
+        index.add(some, "text")
+    return index.search(docs, "doc_id", "text", KEYWORDS)
+
+
+@query(ORACLE_SQL["keyword_search"] + " QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc_id) <= 20")
+def keyword_limited(t):
+    return search.keyword_search(t("documents"), "doc_id", "text", KEYWORDS, 20)
+
+
 @query("""SELECT doc_id, CASE WHEN lang = 'de' THEN 'excluded type' WHEN coalesce(trim(text), '') = '' THEN 'empty' WHEN length(trim(text)) < 400 THEN 'too short' END AS skip_reason FROM documents""")
 def index_entries(t):
     return search.index_entries(t("documents"), "text", F.coalesce("lang", F.lit("")), 400, ("de",)).select("doc_id", "skip_reason")
@@ -692,6 +708,16 @@ def cycle_layers(t):
     return graph.topo_layers(*_rings(t))
 
 
+@query(f"""WITH {RINGS} SELECT id, CASE WHEN id < 0 THEN id ELSE id // 4 * 4 END AS component FROM n""")
+def strong_components(t):
+    return graph.strong_components(*_rings(t))
+
+
+@query(f"""WITH {RINGS} SELECT id, CASE WHEN id < 0 THEN id ELSE id // 4 * 4 END AS component, CASE WHEN id < 0 THEN 1 ELSE 0 END::INTEGER AS layer FROM n""")
+def collapsed_layers(t):
+    return graph.collapsed_layers(*_rings(t))
+
+
 @query(f"""WITH {RINGS} SELECT id FROM n WHERE id < 0 UNION ALL SELECT p_partkey + 1 FROM part WHERE p_partkey % 8 = 4""")
 def cycle_roots(t):
     nodes, edges = _rings(t)
