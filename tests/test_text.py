@@ -1,9 +1,13 @@
 """Column helpers: round trips and one fault at a time."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as X
+from tracewell.operators.chunking import nested_block, nested_front_matter
 
 
 def one(spark, value, expr, kind="string"):
@@ -88,3 +92,52 @@ def test_problem_and_code(spark):
     df = spark.createDataFrame([([{"a": "", "b": "x"}, {"a": "y"}], {"f2": ["c"], "f1": ["a", "b"]})], "m array<map<string,string>>, c map<string,array<string>>")
     assert df.select(X.problem_text(F.col("m"), ("a", "b")).alias("x")).first()["x"] == "x; y"
     assert df.select(X.joined_code(F.col("c")).alias("x")).first()["x"] == "a\nb\nc"
+
+
+def test_reference_text(spark):
+    kind = "array<struct<filepath:string,fix_type:string,checker:array<string>,code_block:string>>"
+    cases = [
+        ([("a", "B", ["x", None, "y"], "z"), ("b", "A", [], "code"), ("a", "A", None, "new"), ("c", "B", [], "no"), ("", "A", ["lost"], ""), (None, "A", ["lost"], "")], "new\ncode"),
+        ([("c", "B", [], "no"), ("d", "A", [], "")], None), ([], None), (None, None), ([("a", None, [None], "z"), ("b", "A", None, "w")], "w"),
+    ]
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], f"i int, a {kind}")
+    assert [r["x"] for r in df.orderBy("i").select(X.reference_text(F.col("a")).alias("x")).collect()] == [w for _, w in cases]
+
+
+def test_nested_blocks_round_trip():
+    rng = random.Random(1)
+
+    def make(depth):
+        k = rng.random()
+        if depth == 0 or k < 0.4:
+            return rng.choice(["x", "two words", "1.5", "a: b", "http://q", ""])
+        if k < 0.75:
+            return {f"k{i}": make(depth - 1) for i in range(rng.randint(1, 4))}
+        return [make(depth - 1) for _ in range(rng.randint(1, 3))]
+
+    def render(value, indent):
+        pad, out = " " * indent, []
+        if isinstance(value, dict):
+            for k, x in value.items():
+                if isinstance(x, str):
+                    out.append(f'{pad}{k}: "{x}"' if x else f"{pad}{k}:")
+                else:
+                    out += [f"{pad}{k}:", *render(x, indent if isinstance(x, list) and rng.random() < 0.3 else indent + 2)]
+            return out
+        for x in value:
+            below = [f'{pad}- "{x}"'] if isinstance(x, str) else render(x, indent + 2)
+            out += [below[0] if isinstance(x, str) else f"{pad}- {below[0].lstrip()}", *below[1:]]
+        return out
+
+    for _ in range(500):
+        value = {f"t{i}": make(3) for i in range(rng.randint(1, 4))}
+        assert nested_block(render(value, 0)) == value
+    assert nested_block([]) == {} and nested_block(["a: 1", "a: 2", "  b: 3", "# c", "", "d"]) == {"a": "2"}
+    start = time.time()
+    assert len(nested_block([f"k{i}:" if i % 2 else f"k{i}: v" for i in range(100_000)])) == 100_000 and time.time() - start < 20
+
+
+def test_nested_front_matter(spark):
+    docs = spark.createDataFrame([(1, "---\nid: API-2\ntags:\n  - a\n  - b\n---\nbody"), (2, "no front"), (3, None)], "doc_id int, text string")
+    got = {r["doc_id"]: r["j"] for r in nested_front_matter(docs).select("doc_id", F.to_json("front").alias("j")).collect()}
+    assert got == {1: '{"id":"API-2","tags":["a","b"]}', 2: "{}", 3: "{}"}

@@ -282,6 +282,24 @@ def joined_code(blocks: Column) -> Column:
     return F.array_join(F.flatten(F.transform(F.array_sort(F.map_keys(blocks)), lambda k: F.element_at(blocks, k))), "\n")
 
 
+def reference_text(answers: Column) -> Column:
+    """The reference code of answers, an array of (filepath, fix_type, checker array, code_block): null if there is none.
+
+    An answer's code is its checker blocks, line by line, or without such blocks the code block of a fix of type A. Of several answers for one file
+    the last with code holds, at the place of the first; answers without a file are left out.
+    """
+    blocks = lambda a: F.array_compact(F.coalesce(a["checker"], F.array().cast("array<string>")))
+    code = lambda a: F.when(F.size(F.coalesce(a["checker"], F.array().cast("array<string>"))) > 0, F.array_join(blocks(a), "\n")).when(a["fix_type"] == "A", a["code_block"])
+    made = F.transform(answers, lambda a: F.struct(a["filepath"].alias("key"), code(a).alias("value")))
+    found = F.filter(made, lambda p: F.coalesce((p["key"] != "") & (p["value"] != ""), F.lit(False)))
+
+    def join(items: Column) -> Column:
+        files = F.array_distinct(F.transform(items, lambda p: p["key"]))
+        return bound(last_of_keys(items), lambda m: F.array_join(F.transform(files, lambda f: F.element_at(m, f)), "\n"))
+
+    return F.nullif(bound(found, join), F.lit(""))
+
+
 def elapsed_seconds(start: Column, end: Column) -> Column:
     return F.unix_micros(end.cast("timestamp")) / 1e6 - F.unix_micros(start.cast("timestamp")) / 1e6
 

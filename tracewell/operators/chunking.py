@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -47,6 +48,79 @@ def split_at_headings(text: str) -> list[tuple[list[str], str]]:
     return out
 
 
+PAIR = re.compile(r"([^\s:#\-\[{\"'][^:]*?|\"[^\"]*\"|'[^']*')\s*:(?:\s+(.*))?")
+
+
+def _plain(text: str) -> str:
+    text = text.strip()
+    return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'" else text
+
+
+def nested_block(lines: list[str]) -> dict | list | str | None:
+    """Maps, lists and texts of an indented block: ``key: value``, ``key:`` above deeper lines, ``- item`` and ``- key: value``.
+
+    One pass with a stack of the open maps and lists. All scalars stay texts, without surrounding quotes; of repeated keys the last holds; a key with nothing
+    below it is an empty text. Empty lines, comments and lines that fit nowhere are left out.
+    """
+    root: dict = {}
+    stack: list[tuple[int, object, object]] = [(-1, {None: root}, None)]  # indent, container, the key under which deeper lines go
+
+    def below(indent: int, kind: type):
+        """The open container of this indent, made under the key that waits for it."""
+        while stack[-1][0] > indent or (len(stack) > 1 and stack[-1][0] == stack[-2][0] == indent and not isinstance(stack[-1][1], kind)):
+            stack.pop()
+        depth, box, key = stack[-1]
+        if depth == indent and isinstance(box, kind):
+            return box
+        # a list may stand at its key's own indent
+        if (depth == indent and not (kind is list and isinstance(box, dict) and box.get(key) == "")) or (key is None and len(stack) > 1):
+            return None
+        made = box[key]
+        if not isinstance(made, kind):
+            if made not in ("", root) or (made is root and root):
+                return None
+            made = box[key] = kind()
+        stack.append((indent, made, None))
+        return made
+
+    for line in lines:
+        text = line.strip()
+        if not text or text.startswith("#"):
+            continue
+        indent = len(line) - len(line.lstrip(" "))
+        while text.startswith("- ") or text == "-":
+            box = below(indent, list)
+            if box is None:
+                text = ""
+                break
+            rest = text[1:].lstrip(" ")
+            box.append(_plain(rest))
+            stack[-1] = (indent, box, len(box) - 1)
+            if not PAIR.fullmatch(rest) and not rest.startswith("- "):
+                text = ""
+                break
+            box[-1] = ""
+            indent, text = indent + len(text) - len(rest), rest
+        if text and (found := PAIR.fullmatch(text)) and (box := below(indent, dict)) is not None:
+            key = _plain(found[1])
+            box[key] = _plain(found[2] or "")
+            stack[-1] = (indent, box, key)
+    return stack[0][1][None]
+
+
+def nested_front_matter(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, front variant): the front matter of each text with its lists and maps as they are nested; an empty map without one (``nested_block``)."""
+    bound_batches(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def parsed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            found = [FRONT.match(t or "") for t in texts]
+            yield pd.Series([json.dumps(nested_block(re.split(r"\r?\n", m[0])[1:-1]) if m else {}, ensure_ascii=False) for m in found], dtype=object)
+
+    return docs.select(key, F.try_parse_json(parsed(F.col(text).cast("string"))).alias("front"))
+
+
 def _windows(text: str, size: int, overlap: int) -> list[str]:
     step = max(1, size - overlap)
     last = step * -(-(len(text) - size) // step) if len(text) > size else 0

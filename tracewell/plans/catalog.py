@@ -1367,6 +1367,30 @@ def problem_and_code(t):
     return rows.select("l_orderkey", F.nullif(out, F.lit("")).alias("problem"), X.joined_code(blocks).alias("code"))
 
 
+@query("""WITH x AS (SELECT l_orderkey, 'f' || l_partkey % 3 AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r,
+CASE WHEN l_linenumber % 2 = 0 THEN l_partkey || chr(10) || l_suppkey WHEN l_returnflag = 'A' THEN 'b' || l_partkey END AS c FROM lineitem),
+p AS (SELECT l_orderkey, path, min(r) AS f, arg_max(c, r) AS c FROM x WHERE c IS NOT NULL GROUP BY ALL), o AS (SELECT DISTINCT l_orderkey FROM lineitem)
+SELECT l_orderkey, string_agg(c, chr(10) ORDER BY f) AS reference FROM o LEFT JOIN p USING (l_orderkey) GROUP BY 1""")
+def reference_text(t):
+    k, s = F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")
+    checker = F.when(F.col("l_linenumber") % 2 == 0, F.array(k, s)).otherwise(F.array().cast("array<string>"))
+    answer = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("f"), (F.col("l_partkey") % 3).cast("string")).alias("filepath"), F.col("l_returnflag").alias("fix_type"),
+        checker.alias("checker"), F.concat(F.lit("b"), k).alias("code_block"),
+    )
+    rows = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(answer)).alias("a"))
+    return rows.select("l_orderkey", X.reference_text(F.col("a")).alias("reference"))
+
+
+@query("""SELECT doc_id, coalesce(lang, '') AS lang, n_chars::VARCHAR AS second_size, 'name ' || doc_id AS name, 2::INTEGER AS people, 'flat: pair' AS flat FROM documents""")
+def nested_front_matter(t):
+    row = F.format_string("---\nflat: \"flat: pair\"\nmeta:\n  lang: %s\n  sizes:\n  - 1\n  - %d\n# note\npeople:\n  - name: name %d\n    role: author\n  - name: other\n---\n%s", F.coalesce("lang", F.lit("")), "n_chars", "doc_id", F.coalesce(F.substring("text", 1, 100), F.lit("")))
+    rows = chunking.nested_front_matter(t("documents").select("doc_id", row.alias("t")), "doc_id", "t")
+    at = lambda path, kind="string": F.try_variant_get("front", path, kind)
+    people = F.size(at("$.people", "array<variant>"))
+    return rows.select("doc_id", at("$.meta.lang").alias("lang"), at("$.meta.sizes[1]").alias("second_size"), at("$.people[0].name").alias("name"), people.alias("people"), at("$.flat").alias("flat"))
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'answered' WHEN event_type IN ('view', 'click') THEN 'looking' ELSE 'unknown' END AS label, CASE WHEN event_id % 3 = 0 THEN 0.9 WHEN event_type IN ('view', 'click') THEN 0.6 ELSE 0.0 END::DOUBLE AS confidence,
 CASE WHEN event_id % 3 = 0 THEN 'response' WHEN event_type IN ('view', 'click') THEN 'r' ELSE 'none' END AS basis FROM events""")
 def classify_with_responses(t):
