@@ -6,6 +6,8 @@ import time
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,40 @@ def test_divergence_of_nothing_and_of_huge_counts(spark):
     assert row.p == 1 + 10**9 * (10**11 + 1) // (3 * 10**11 + 7)
 
 
+def test_parts_do_not_depend_on_blocks():
+    rng = random.Random(1)
+    rows = sorted({(rng.randint(0, 50), rng.randint(0, 8)) for _ in range(900)})
+    rows = [(t, g, rng.randint(1, 50), 1000 + g, 26, 9000) for t, g in rows]
+    names = ["tid", "gid", "c", "total", "kinds", "every"]
+
+    def parts(cells, size):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + size], strict=True)], names=names) for i in range(0, len(rows), size)]
+        pairs, terms = Counter(), set()
+        for batch in divergence._compare(3, cells)(iter(batches)):
+            for r in batch.to_pylist():
+                if r["tid"] is None:
+                    pairs[r["gid"], r["other"]] += r["value"]
+                else:
+                    terms.add(tuple(r.values()))
+        return {k: v for k, v in pairs.items() if v}, terms
+
+    whole = parts(10**6, 10**6)
+    assert all(parts(cells, size) == whole for cells, size in ((10, 7), (1, 1), (50, 1000), (333, 50)))
+    number, sizes = np.arange(1200) % 1100, np.full(1200, 4)  # more sources than a dense table takes, few meetings at a time
+    starts, p, p0 = np.arange(1200) // 4 * 4, np.arange(1200) % 37 + 2, np.full(1200, 1)
+    codes, sums = divergence._pair_sums(number, 1100, starts, sizes, p, p0, chunk=10)
+    want = Counter()
+    gap = lambda a, b: (a - b) ** 2 // b
+    for i in range(1200):
+        for j in range(i // 4 * 4, i // 4 * 4 + 4):
+            if i != j:
+                want[number[i] * 1100 + number[j]] += gap(int(p[i]), int(p[j])) - gap(int(p[i]), 1) - gap(1, int(p[j])) + gap(1, 1)
+    got = Counter()
+    for x, v in zip(codes.tolist(), sums.tolist(), strict=True):
+        got[x] += v
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
 # ---------------------------------------------------------------- licenses
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")

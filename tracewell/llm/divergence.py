@@ -17,13 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewell.llm.tally import LETTERS, Tally, as_bytes, shipped_sets
+from tracewell.llm.tally import LETTERS, Tally, as_bytes, shipped_numbers, shipped_sets
 from tracewell.operators.batches import bound_batches, release_memory
 from tracewell.operators.bounded import broadcast_if_small
 from tracewell.sources.shared import write_shared
 
 HEADS = pa.schema([("lang", pa.binary()), ("head", pa.binary()), ("n", pa.int64())])
 COUNTS = pa.schema([("lang", pa.binary()), ("source", pa.binary()), ("term", pa.binary()), ("c", pa.int64())])
+NUMBERED = pa.schema([("gid", pa.int64()), ("tid", pa.int64()), ("c", pa.int64())])
 
 
 def _level(length: int, last: int, kept, bound: int):
@@ -36,11 +37,9 @@ def _level(length: int, last: int, kept, bound: int):
                 open_ = known.get(lang) if known is not None else None
                 if known is not None and not open_:
                     continue
-                terms = set(text.translate(LETTERS).split())
-                if known is not None:
-                    heads = {t[:length] for t in terms if t[:last] in open_}
-                else:
-                    heads = {t[:length] for t in terms if len(t) >= last}
+                terms = text.translate(LETTERS).split()
+                terms = {t for t in terms if len(t) >= last} if last else set(terms)
+                heads = {t[:length] for t in terms if open_ is None or t[:last] in open_}
                 tally.add((lang,), heads)
                 if tally.full:
                     yield from tally.drain()
@@ -50,7 +49,7 @@ def _level(length: int, last: int, kept, bound: int):
     return run
 
 
-def frequent_terms(docs: DataFrame, min_docs: int = 3, first: int = 8, max_shipped: int = 1_000_000, bound: int = 200_000) -> DataFrame:
+def frequent_terms(docs: DataFrame, min_docs: int = 3, first: int = 8, max_shipped: int = 1_000_000, bound: int = 600_000) -> DataFrame:
     """(lang binary, term binary) of ``docs`` (lang binary, text binary): the terms that at least ``min_docs`` rows of a language hold.
 
     Level k counts the rows that hold each prefix of ``first * 2**k`` bytes and drops those of fewer than ``min_docs``. A prefix
@@ -75,24 +74,45 @@ def frequent_terms(docs: DataFrame, min_docs: int = 3, first: int = 8, max_shipp
         last, length = length, 2 * length
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, max_shipped: int = 1_000_000, bound: int = 200_000) -> DataFrame:
-    """(lang, source, term, c): occurrences of the kept terms of a language in each of its sources; none is left out."""
-    shipped = shipped_sets(terms, "lang", "term", max_shipped)
+def term_counts(docs: DataFrame, terms: DataFrame, groups: DataFrame, max_shipped: int = 1_000_000, bound: int = 600_000) -> DataFrame:
+    """(gid, tid, c): occurrences of the kept terms of a language (lang, term, tid) in each of its sources (lang, source, gid); none is left out.
+
+    Tasks get terms and groups with their numbers if there are at most ``max_shipped`` of each; beyond that they send what they have
+    counted of all terms, and joins number the kept ones.
+    """
+    term_numbers = shipped_numbers(terms, "lang", "term", "tid", max_shipped)
+    group_numbers = shipped_numbers(groups, "lang", "source", "gid", max_shipped) if term_numbers is not None else None
+    numbered = group_numbers is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(COUNTS, bound)
-        wanted = None if shipped is None else lambda group: shipped.get(group[0])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if not numbered:
+                yield from tally.drain()
+                return
+            for (lang, source), own in tally.groups.items():
+                known = term_numbers.get(lang)
+                found = [(known[t], c) for t, c in own.items() if t in known]
+                pairs = np.array(found, np.int64).reshape(-1, 2)
+                gid = np.full(len(pairs), group_numbers.get(lang)[source], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(gid), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=NUMBERED)
+            tally.clear()
+
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 tally.add((lang, source), text.translate(LETTERS).split())
                 if tally.full:
-                    yield from tally.drain(wanted)
-        yield from tally.drain(wanted)
+                    yield from out()
+        yield from out()
         release_memory()
 
-    parts = docs.select("lang", "source", "text").mapInArrow(run, "lang binary, source binary, term binary, c long")
-    sums = parts.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"))
-    return sums if shipped is not None else sums.join(terms, ["lang", "term"], "left_semi")
+    kind = "gid long, tid long, c long" if numbered else "lang binary, source binary, term binary, c long"
+    parts = docs.select("lang", "source", "text").mapInArrow(run, kind)
+    if not numbered:
+        parts = parts.join(terms, ["lang", "term"]).join(groups, ["lang", "source"]).select("gid", "tid", "c")
+    # tasks have summed already: another sum before the shuffle would find next to nothing to add up
+    return parts.repartition("gid", "tid").groupBy("gid", "tid").agg(F.sum("c").alias("c"))
 
 
 def _share(count: str, total: str, kinds: str) -> Column:
@@ -105,7 +125,7 @@ def _gap(p: str, q: str) -> str:
     return f"(({p} - {q}) * ({p} - {q})) div {q}"
 
 
-FOUND = pa.schema([("lang", pa.binary()), ("source", pa.binary()), ("part", pa.string()), ("item", pa.binary()), ("value", pa.int64())])
+FOUND = pa.schema([("gid", pa.int64()), ("other", pa.int64()), ("tid", pa.int64()), ("value", pa.int64())])
 
 
 def _shares(c: np.ndarray, over: np.ndarray) -> np.ndarray:
@@ -153,79 +173,55 @@ def _pair_sums(source: np.ndarray, n_sources: int, starts: np.ndarray, sizes: np
 
 
 def _compare(top: int, cells: int = 40_000):
-    """Over cells (lang, term, source, c, total, kinds, every) that come sorted by language and term: parts of the distances of sources, and
-    each source's most overused terms so far. About ``cells`` cells are held, and at most ``top`` terms a source."""
+    """Over cells (tid, gid, c, total, kinds, every) that come sorted by term: parts (gid, other, null, value) of the distances of groups,
+    and (gid, null, tid, value) of each group's most overused terms so far. About ``cells`` cells are held, or those of one term, and at most ``top`` terms a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple, list] = defaultdict(list)
-        held: list[list] = [[] for _ in range(7)]
-
-        def block(n: int):
-            lang, term, source = (h[:n] for h in held[:3])
-            c, total, kinds, every = (np.array(h[:n], np.int64) for h in held[3:])
-            for h in held:
-                del h[:n]
-            names: dict[tuple, int] = {}
-            number = np.array([names.setdefault(x, len(names)) for x in zip(lang, source, strict=True)], np.int64)
-            first = np.array([i == 0 or term[i] != term[i - 1] or lang[i] != lang[i - 1] for i in range(n)])
-            at = np.flatnonzero(first)
-            size = np.diff([*at, n])
+        best: dict[int, list] = defaultdict(list)
+
+        def block(table: np.ndarray) -> pa.RecordBatch:
+            tid, gid, c, total, kinds, every = table
+            keys, number = np.unique(gid, return_inverse=True)
+            at = np.flatnonzero(np.concatenate([[True], tid[1:] != tid[:-1]]))
+            size = np.diff([*at, len(c)])
             starts, sizes = np.repeat(at, size), np.repeat(size, size)
-            p, p0 = _shares(c, total + kinds), _shares(np.zeros(n, np.int64), total + kinds)
+            p, p0 = _shares(c, total + kinds), _shares(np.zeros(len(c), np.int64), total + kinds)
             q = _shares(np.repeat(np.add.reduceat(c, at), size), every + kinds)
-            keys = list(names)
-            codes, sums = _pair_sums(number, len(keys), starts, sizes, p, p0)
-            pairs = [(keys[x // len(keys)], keys[x % len(keys)]) for x in codes.tolist()]
-            yield _rows([(g[0], g[1], "pair", o[1], v) for (g, o), v in zip(pairs, sums.tolist(), strict=True)])
             over = _gaps(p, q)
-            for i in np.flatnonzero(p > q).tolist():
-                own, new = best[lang[i], source[i]], (int(over[i]), _Last(term[i]))
+            least = np.array([best[g][0][0] if len(best[g]) >= top else -1 for g in keys.tolist()], np.int64)
+            for i in np.flatnonzero((p > q) & (over >= least[number])).tolist():
+                own, new = best[int(gid[i])], (int(over[i]), -int(tid[i]))  # terms are numbered in their order: ties go to the smaller
                 if len(own) < top:
                     heapq.heappush(own, new)
                 elif new > own[0]:
                     heapq.heapreplace(own, new)
+            codes, sums = _pair_sums(number, len(keys), starts, sizes, p, p0)
+            none = pa.nulls(len(codes), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(keys[codes // len(keys)]), pa.array(keys[codes % len(keys)]), none, pa.array(sums)], schema=FOUND)
 
+        held, n = [], 0
         for batch in batches:
-            for h, column in zip(held, batch.columns, strict=True):
-                h.extend(column.to_pylist())
-            if (n := len(held[0])) >= cells:
-                end = n - 1  # the last term may go on in the next batch
-                while end and held[1][end - 1] == held[1][-1] and held[0][end - 1] == held[0][-1]:
-                    end -= 1
+            held.append(np.stack([x.to_numpy(zero_copy_only=False).astype(np.int64) for x in batch.columns]))
+            n += len(batch)
+            if n >= cells:
+                table = np.concatenate(held, axis=1)
+                end = int(np.searchsorted(table[0], table[0][-1]))  # the last term may go on in the next batch
                 if end:
-                    yield from block(end)
-        if held[0]:
-            yield from block(len(held[0]))
-        for (lang, source), own in best.items():
-            yield _rows([(lang, source, "term", x.item, v) for v, x in own])
+                    yield block(table[:, :end])
+                held, n = [table[:, end:]], len(table[0]) - end
+        if n:
+            yield block(np.concatenate(held, axis=1))
+        rows = [(g, -t, v) for g, own in best.items() for v, t in own]
+        gids, tids, values = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(gids), pa.nulls(len(rows), pa.int64()), pa.array(tids), pa.array(values)], schema=FOUND)
         release_memory()
 
     return run
 
 
-class _Last:
-    """An item of which the larger comes first, for a heap whose smallest entry goes."""
-
-    __slots__ = ("item",)
-
-    def __init__(self, item: bytes):
-        self.item = item
-
-    def __lt__(self, other: _Last) -> bool:
-        return self.item > other.item
-
-    def __eq__(self, other: object) -> bool:
-        return self.item == other.item
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [[]] * len(FOUND)
-    return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, FOUND, strict=True)], schema=FOUND)
-
-
 def source_divergence(
     docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = 3, top: int = 200,
-    first: int = 8, max_shipped: int = 1_000_000, bound: int = 200_000,
+    first: int = 8, max_shipped: int = 1_000_000, bound: int = 600_000,
 ) -> DataFrame:
     """(lang, source, part, item, value, rank): the distance of each source from the others, and its most overused terms.
 
@@ -244,29 +240,35 @@ def source_divergence(
     """
     bound_batches(docs.sparkSession)
     docs = docs.select(as_bytes(lang).alias("lang"), as_bytes(source).alias("source"), as_bytes(text).alias("text"))
-    terms = write_shared(frequent_terms(docs, min_docs, first, max_shipped, bound), "kept-terms")
-    counts = write_shared(term_counts(docs, terms, max_shipped, bound), "term-counts")
+    # numbers in the order of the terms: ranges come in order, and so do the rows of a range
+    terms = write_shared(frequent_terms(docs, min_docs, first, max_shipped, bound), "kept-terms").repartitionByRange("lang", "term").sortWithinPartitions("lang", "term")
+    terms = write_shared(terms.withColumn("tid", F.monotonically_increasing_id()), "numbered-terms")
+    ids = write_shared(docs.select("lang", "source").distinct().withColumn("gid", F.monotonically_increasing_id()), "numbered-groups")
+    counts = write_shared(term_counts(docs, terms, ids, max_shipped, bound), "term-counts")
     kinds = terms.groupBy("lang").agg(F.count("*").alias("kinds"))
-    sums = counts.groupBy("lang", "source").agg(F.sum("c").alias("total"))
-    groups = docs.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(kinds, "lang", "left")
-    groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kinds", F.lit(0)).alias("kinds"))
+    groups = ids.join(counts.groupBy("gid").agg(F.sum("c").alias("total")), "gid", "left").join(kinds, "lang", "left")
+    groups = groups.select("gid", "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("kinds", F.lit(0)).alias("kinds"))
     groups = write_shared(groups.withColumn("p0", _share("CAST(0 AS BIGINT)", "total", "kinds")), "source-groups")
-    every = write_shared(groups.groupBy("lang").agg(F.sum("total").alias("every")), "languages")
-    cells = counts.join(broadcast_if_small(groups, 100_000), ["lang", "source"])
-    by_term = cells.join(broadcast_if_small(every, 100_000), "lang").select("lang", "term", "source", "c", "total", "kinds", "every")
-    by_term = by_term.repartition("lang", "term").sortWithinPartitions("lang", "term")
-    found = write_shared(by_term.mapInArrow(_compare(top), "lang binary, source binary, part string, item binary, value long"), "term-parts")
-
-    shares = cells.groupBy("lang", "source", "p0", _share("c", "total", "kinds").alias("p")).agg(F.count("*").alias("m"))
-    shares = write_shared(shares, "share-histogram")
+    every = groups.groupBy("lang").agg(F.sum("total").alias("every"))
+    known = write_shared(groups.join(every, "lang").select("gid", "p0", "total", "kinds", "every"), "group-totals")
+    cells = counts.join(broadcast_if_small(known, 100_000), "gid")
+    by_term = cells.select("tid", "gid", "c", "total", "kinds", "every").repartition("tid").sortWithinPartitions("tid")
+    found = write_shared(by_term.mapInArrow(_compare(top), "gid long, other long, tid long, value long"), "term-parts")
+
+    shares = write_shared(cells.groupBy("gid", "p0", _share("c", "total", "kinds").alias("p")).agg(F.count("*").alias("m")), "share-histogram")
+    named = groups.select("gid", "lang", "source")
+    shares = shares.join(named, "gid")
     rivals = groups.filter("kinds > 0").select("lang", F.col("source").alias("item"), F.col("p0").alias("o0"))
     mine = shares.join(rivals, "lang").filter("source <> item").groupBy("lang", "source", "item").agg(F.sum(F.expr(f"m * ({_gap('p', 'o0')} - {_gap('p0', 'o0')})")).alias("v"))
     theirs = shares.join(rivals, "lang").filter("source <> item").groupBy("lang", F.col("item").alias("source"), F.col("source").alias("item")).agg(F.sum(F.expr(f"m * ({_gap('o0', 'p')} - {_gap('o0', 'p0')})")).alias("v"))
     rest = groups.join(groups.select("lang", F.col("source").alias("item"), F.col("p0").alias("o0")), "lang").filter("source <> item")
     rest = rest.select("lang", "source", "item", F.expr(f"CASE WHEN kinds > 0 THEN kinds * ({_gap('p0', 'o0')}) ELSE 0 END").alias("v"))
-    both = found.filter("part = 'pair'").select("lang", "source", "item", F.col("value").alias("v"))
+    other = groups.select(F.col("gid").alias("other"), F.col("source").alias("item"))
+    both = found.filter("other IS NOT NULL").groupBy("gid", "other").agg(F.sum("value").alias("v")).join(named, "gid").join(other, "other").select("lang", "source", "item", "v")
     pairs = both.unionByName(mine).unionByName(theirs).unionByName(rest).groupBy("lang", "source", "item").agg(F.sum("v").alias("value"))
-    over = found.filter("part = 'term'").select("lang", "source", "item", "value")
+    top_by = Window.partitionBy("gid").orderBy(F.desc("value"), "tid")
+    over = found.filter("tid IS NOT NULL").withColumn("_r", F.row_number().over(top_by)).filter(F.col("_r") <= top).drop("_r")
+    over = over.join(named, "gid").join(terms.select("tid", F.col("term").alias("item")), "tid").select("lang", "source", "item", "value")
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = lambda rows, part: rows.withColumn("rank", F.row_number().over(order)).withColumn("part", F.lit(part))
     out = ranked(pairs, "pair").unionByName(ranked(over, "term").filter(F.col("rank") <= top))

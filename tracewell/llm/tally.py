@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,21 +47,19 @@ class Tally:
     def full(self) -> bool:
         return self.held >= self.bound
 
-    def drain(self, wanted=None, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-        """Batches of (*group, item, count); ``wanted(group)`` may give the set of items that are kept."""
+    def clear(self) -> None:
+        self.groups.clear()
+        self.held = 0
+
+    def drain(self, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+        """Batches of (*group, item, count)."""
         for group, own in self.groups.items():
-            if wanted is None:
-                items, counts = list(own), list(own.values())
-            else:
-                kept = wanted(group)
-                items = [x for x in own if x in kept]
-                counts = [own[x] for x in items]
+            items, counts = list(own), list(own.values())
             for at in range(0, len(items), rows):
                 part = items[at : at + rows]
                 columns = [[g] * len(part) for g in group] + [part, counts[at : at + rows]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, self.schema, strict=True)], schema=self.schema)
-        self.groups.clear()
-        self.held = 0
+        self.clear()
 
 
 class Shipped:
@@ -87,3 +86,33 @@ def shipped_sets(rows: DataFrame, group: str, item: str, max_rows: int) -> Shipp
         for g, items in part.items():
             joined[g].append(b" ".join(items))
     return Shipped(rows.sparkSession.sparkContext.broadcast({g: b" ".join(parts) for g, parts in joined.items()}))
+
+
+class ShippedNumbers:
+    """Numbers by group and item, sent to all tasks as joined bytes, ends and numbers of each group; a task makes the tables that it asks for."""
+
+    def __init__(self, sent):
+        self.sent, self.made = sent, {}
+
+    def get(self, group: bytes) -> dict[bytes, int]:
+        if group not in self.made:
+            joined, ends, numbers = self.sent.value.get(group, (b"", b"", b""))
+            cuts = np.frombuffer(ends, np.int64).tolist()
+            items = [joined[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+            self.made[group] = dict(zip(items, np.frombuffer(numbers, np.int64).tolist(), strict=True))
+        return self.made[group]
+
+
+def shipped_numbers(rows: DataFrame, group: str, item: str, number: str, max_rows: int) -> ShippedNumbers | None:
+    """The numbers of a written table (group, item, number) that has at most ``max_rows`` rows, else None. The driver holds their bytes."""
+    if rows.limit(max_rows + 1).count() > max_rows:
+        return None
+    parts: dict[bytes, list[tuple]] = defaultdict(list)
+    for batch in rows.select(group, item, number).toArrow().to_batches(max_chunksize=20_000):
+        own: dict[bytes, list[tuple]] = defaultdict(list)
+        for g, x, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own[g].append((x, n))
+        for g, found in own.items():
+            parts[g].append((b"".join(x for x, _ in found), np.array([len(x) for x, _ in found], np.int64), np.array([n for _, n in found], np.int64)))
+    sent = {g: (b"".join(p[0] for p in ps), np.cumsum(np.concatenate([p[1] for p in ps])).tobytes(), np.concatenate([p[2] for p in ps]).tobytes()) for g, ps in parts.items()}
+    return ShippedNumbers(rows.sparkSession.sparkContext.broadcast(sent))
