@@ -666,6 +666,8 @@ def test_fuzzy_search_with_odd_names(spark):
         got.setdefault(r["query"], []).append((-r["score"], r["id"]))
     assert sorted(got["ab"]) == [(-1.0, 5), (-1.0, 8), (-0.66, 4)] and min(got["本語"])[1] == 6 and "zzz" not in got and "  " not in got
     assert search.fuzzy_search(names.limit(0), asked, 3).count() == 0
+    pair = spark.createDataFrame([("tide", "diet"), ("diet", "tide")], "q string, n string")
+    assert [r["x"] for r in pair.select(search.sequence_ratio("q", "n").alias("x")).collect()] == [0.25, 0.5]
 
 
 def test_keyword_index_finds_what_a_scan_finds(spark, tmp_path):

@@ -645,6 +645,13 @@ def bfs(t):
     return graph.bfs_subgraph(edges, t("region").filter("r_regionkey = 0").select(F.concat(F.lit("r"), "r_regionkey").alias("id")), 3)
 
 
+@query(f"WITH RECURSIVE {GEO}, w AS (SELECT 'r0' AS node, 0 AS depth UNION SELECT b, depth + 1 FROM w JOIN u ON u.a = w.node WHERE depth < 2) SELECT src, dst, relation FROM g WHERE src IN (SELECT node FROM w) AND dst IN (SELECT node FROM w)")
+def touching_edges(t):
+    edges = _geo_edges(t)
+    found = graph.bfs_subgraph(edges, t("region").filter("r_regionkey = 0").select(F.concat(F.lit("r"), "r_regionkey").alias("id")), 2)
+    return graph.touching_edges(edges, found)
+
+
 @query(f"""WITH RECURSIVE {GEO}, w AS (SELECT 'c1' AS node, 0 AS d UNION SELECT u.b, d + 1 FROM w JOIN u ON u.a = w.node WHERE d < 6)
 SELECT 'c' || c_custkey AS a, 'c1' AS b, min(d) AS hops FROM customer JOIN w ON node = 'c' || c_custkey WHERE c_custkey % 100 = 0 GROUP BY 1, 2""")
 def shortest_path(t):
@@ -1367,6 +1374,17 @@ def problem_and_code(t):
     return rows.select("l_orderkey", F.nullif(out, F.lit("")).alias("problem"), X.joined_code(blocks).alias("code"))
 
 
+@query("""WITH s AS (SELECT event_id, floor(value * value)::BIGINT AS s FROM events) SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm ' || s % 60 || 's' ELSE s // 3600 || 'h ' || s % 3600 // 60 || 'm' END AS took FROM s""")
+def human_durations(t):
+    return t("events").select("event_id", X.human_duration(F.col("value") * F.col("value")).alias("took"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey >= 100 THEN 'API_' || o_orderkey END AS id FROM orders""")
+def ids_from_filenames(t):
+    mark = F.when(F.col("o_orderkey") % 2 == 0, "docs/api-").otherwise("a/b_c/API_")
+    return t("orders").select("o_orderkey", X.id_from_filename(F.concat(mark, F.col("o_orderkey").cast("string"), F.lit("-name.md"))).alias("id"))
+
+
 @query("""WITH x AS (SELECT l_orderkey, 'f' || l_partkey % 3 AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS r,
 CASE WHEN l_linenumber % 2 = 0 THEN l_partkey || chr(10) || l_suppkey WHEN l_returnflag = 'A' THEN 'b' || l_partkey END AS c FROM lineitem),
 p AS (SELECT l_orderkey, path, min(r) AS f, arg_max(c, r) AS c FROM x WHERE c IS NOT NULL GROUP BY ALL), o AS (SELECT DISTINCT l_orderkey FROM lineitem)
