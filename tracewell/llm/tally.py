@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -62,16 +63,29 @@ class Tally:
         self.clear()
 
 
+#: What this worker has made of the last two sets or tables of numbers that were sent to it; it outlives a task.
+_MADE: dict[str, dict] = {}
+
+
+def _made(key: str) -> dict:
+    if key not in _MADE:
+        while len(_MADE) > 1:  # a task asks for two at most
+            del _MADE[next(iter(_MADE))]
+        _MADE[key] = {}
+    return _MADE[key]
+
+
 class Shipped:
-    """Sets of letter-only items by group, sent to all tasks as one string of bytes a group; a task makes the sets that it asks for."""
+    """Sets of letter-only items by group, sent to all tasks as one string of bytes a group; a worker makes the sets that it asks for."""
 
     def __init__(self, joined):
-        self.joined, self.made = joined, {}
+        self.joined, self.key = joined, uuid.uuid4().hex
 
     def get(self, group: bytes) -> frozenset:
-        if group not in self.made:
-            self.made[group] = frozenset(self.joined.value.get(group, b"").split())
-        return self.made[group]
+        made = _made(self.key)
+        if group not in made:
+            made[group] = frozenset(self.joined.value.get(group, b"").split())
+        return made[group]
 
 
 def shipped_sets(rows: DataFrame, group: str, item: str, max_rows: int) -> Shipped | None:
@@ -89,18 +103,19 @@ def shipped_sets(rows: DataFrame, group: str, item: str, max_rows: int) -> Shipp
 
 
 class ShippedNumbers:
-    """Numbers by group and item, sent to all tasks as joined bytes, ends and numbers of each group; a task makes the tables that it asks for."""
+    """Numbers by group and item, sent to all tasks as joined bytes, ends and numbers of each group; a worker makes the tables that it asks for."""
 
     def __init__(self, sent):
-        self.sent, self.made = sent, {}
+        self.sent, self.key = sent, uuid.uuid4().hex
 
     def get(self, group: bytes) -> dict[bytes, int]:
-        if group not in self.made:
+        made = _made(self.key)
+        if group not in made:
             joined, ends, numbers = self.sent.value.get(group, (b"", b"", b""))
             cuts = np.frombuffer(ends, np.int64).tolist()
             items = [joined[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-            self.made[group] = dict(zip(items, np.frombuffer(numbers, np.int64).tolist(), strict=True))
-        return self.made[group]
+            made[group] = dict(zip(items, np.frombuffer(numbers, np.int64).tolist(), strict=True))
+        return made[group]
 
 
 def shipped_numbers(rows: DataFrame, group: str, item: str, number: str, max_rows: int) -> ShippedNumbers | None:
