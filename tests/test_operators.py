@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import text as X
 from tracewell.operators import catalog, chunking, consolidate, graph, quality, relations, rules, search, tracking
 from tracewell.operators.components import connected_components
+from tracewell.operators.vector_index import VectorIndex, fit_centres, open_cells
 from tracewell.sources import io
 
 
@@ -240,11 +241,28 @@ def test_lookup_and_declarations(spark):
     assert got == {"m": ("body", "i.c", ["y"], "private"), "n": ("d", "h", [], "public")}
 
 
-def test_mentions_against_contains(spark):
-    names = [(1, "alpha beta gamma"), (2, "one"), (3, ""), (4, "x  y"), (5, "beta gamma delta eps")]
-    texts = [(1, "zalpha beta gammaz"), (2, "none one"), (3, None), (4, "x  y"), (5, "beta gamma delta epsilon")]
-    got = graph.mention_edges(spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(names, "item_id int, text string"))
-    assert rows(got) == sorted([(d, n) for d, t in texts for n, m in names if t and m and m in t], key=str)
+@pytest.mark.parametrize("max_characters", [10**6, 0])
+def test_mentions_against_contains(spark, max_characters):
+    names = [(1, "alpha beta gamma"), (2, "one"), (3, ""), (4, "x  y"), (5, "beta gamma delta eps"), (6, "one"), (7, None), (8, "\U0001f600 x"), (9, "e o")]
+    texts = [(1, "zalpha beta gammaz"), (2, "none one"), (3, None), (4, "x  y"), (5, "beta gamma delta epsilon"), (6, ""), (2, "one"), (7, "\U0001f600 x " * 3000)]
+    t, n = spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(names, "item_id int, text string")
+    want = sorted({(d, i) for d, x in texts for i, m in names if x and m and m in x}, key=str)
+    assert rows(graph.mention_edges(t, n, max_characters=max_characters)) == want
+    assert rows(graph.mention_edges(t, n.limit(0), max_characters=max_characters)) == rows(graph.mention_edges(t.limit(0), n, max_characters=max_characters)) == []
+
+
+def test_loose_names_against_all_classes(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abC") for _ in range(rng.randint(1, n)))
+    elements = [(f"k{i:03}", rng.choice(["get", "run"]), rng.choice([None, "", word(6)]), "x.py") for i in range(120)]
+    calls = [(i, f"{word(4)}.{rng.choice(['get', 'run'])}", "c") for i in range(80)]
+    got = {r["call_id"]: r for r in graph.resolve_names(spark.createDataFrame(calls, "call_id int, name string, scope string"), spark.createDataFrame(elements, "key string, name string, class_name string, filename string"), loose=True).collect()}
+    for i, name, _ in calls:
+        o, m = name.split(".")
+        same = [k for k, n, c, _ in elements if n == m and c == o]
+        like = [k for k, n, c, _ in elements if n == m and c and o.lower() in c.lower()]
+        want = (min(same), 3) if same else (min(like), 6) if like else (min(k for k, n, *_ in elements if n == m), 5)
+        assert (got[i]["key"], got[i]["rule"]) == want
 
 
 # ---------------------------------------------------------------- search
@@ -681,3 +699,48 @@ def test_keyword_index_finds_what_a_scan_finds(spark, tmp_path):
     assert rows(index.search(df, "id", "body", words)) == rows(search.keyword_search(df, "id", "body", words))
     asked = spark.createDataFrame([("dabc",), ("nothing",)], "word string")
     assert index.candidates(asked).count() < 20
+
+
+# ---------------------------------------------------------------- stored vectors
+
+
+def test_vector_index_against_all_rows(spark, tmp_path):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(12, 8)) * 4
+    x = middle[rng.integers(0, 12, 900)] + rng.normal(scale=0.2, size=(900, 8))
+    x[100:160] = x[100]  # copies tie
+    data = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(2000, None), (2001, [1.0]), (2002, [float("nan")] * 8), (2003, [None] + [1.0] * 7), (2004, [float("inf")] * 8), (2005, []), (None, [9.0] * 8)]
+    df = spark.createDataFrame(data + odd, "id long, v array<double>")
+    asked = spark.createDataFrame([(i, v) for i, v in data if i % 20 == 0] + [(5000, [0.0] * 8)] + odd[:6], "query_id long, query_vector array<double>")
+    index = VectorIndex(spark, str(tmp_path / "cells"), 8, cells=16)
+    assert index.search(asked, "id").count() == 0
+    assert index.add(df.filter("id < 300"), "id", "v") == 300 and index.add(df, "id", "v") == 600 and index.add(df, "id", "v") == 0
+    good = df.filter("id < 1000")
+    for k, least, blocks in ((5, -1e9, (512, 4096)), (70, 3.0, (7, 50)), (2000, -1e9, (512, 4096))):
+        got = rows(index.search(asked, "id", k, least, query_block=blocks[0], base_block=blocks[1]))
+        assert got == rows(search.vector_search(good, asked.filter("query_id < 1000 OR query_id = 5000"), "id", "v", k, least))
+        if k == 5:
+            # all but the zero vector, which ties with everything, ask few cells
+            assert sum(f["pairs"] for f in index.figures) < 46 * 16 / 2
+    assert rows(index.search(asked.limit(0), "id")) == []
+
+
+def test_cells_left_out_hold_nothing_better():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 6))
+    centres = fit_centres(x, 20)
+    cell = np.argmin(((x[:, None] - centres) ** 2).sum(2), axis=1)
+    radius = np.array([np.linalg.norm(x[cell == c] - centres[c], axis=1).max(initial=0) for c in range(len(centres))])
+    q = rng.normal(size=(30, 6))
+    floor = np.sort(q @ x.T, axis=1)[:, -3]
+    left_out = 0
+    for v, f, here in zip(q, floor, open_cells(q, floor, centres, radius, 0, 20), strict=True):
+        assert all(cell[i] in here for i in np.flatnonzero(x @ v >= f))
+        left_out += 20 - len(here)
+    assert left_out > 100
+    assert len(fit_centres(np.ones((5, 3)), 4)) == 1

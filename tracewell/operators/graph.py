@@ -5,10 +5,16 @@ Loops run on written tables: a round is one join and one anti-join, and lineage
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import label_tokens
+from tracewell.operators.batches import bound_batches
 from tracewell.operators.bounded import broadcast_if_small
 from tracewell.operators.components import connected_components
 from tracewell.operators.search import deal_tiles
@@ -25,7 +31,8 @@ def resolve_names(calls: DataFrame, elements: DataFrame, loose: bool = False, pr
     element has the method the object's own name is looked up as rule 8.
 
     Elements are reduced to their smallest key a name, and a name and class, before any call meets them, so a method name that
-    many elements share costs one row. Only the loose rule on class names compares a call with the classes of its method.
+    many elements share costs one row. Only the loose rule on class names compares objects with classes: each distinct pair of method and object once, with those
+    of its method's classes that hold the first three letters of the object's name.
     """
     bare = F.regexp_extract("name", r"([^.:]+)$", 1)
     owner = F.regexp_extract("name", r"([^.:()]+)(?:\(\))?(?:\.|::)[^.:]+$", 1)
@@ -38,11 +45,15 @@ def resolve_names(calls: DataFrame, elements: DataFrame, loose: bool = False, pr
     tries = [(~owned, "_any", 1), (is_self & F.col("_key").isNotNull(), "_key", 2), (owned & ~is_self & F.col("_key").isNotNull(), "_key", 3)]
     if loose:
         o, k = F.lower("_owner"), F.lower("_class")
-        like = rows.filter(owned & F.col("_key").isNull() & ~is_self).select("call_id", "_last", "_owner").join(by_class, "_last").filter(F.contains(k, o))
-        like = like.groupBy("call_id").agg(F.min("_key").alias("_like"))
+        # a class that holds the object's name holds its first three letters: they join the method in the key, so that a common method is many keys
+        start = lambda n: F.transform(F.sequence(F.lit(1), F.length(k)), lambda i: F.substr(k, i, F.lit(n)))
+        grams = F.array_distinct(F.concat(start(1), start(2), start(3)))
+        held = by_class.filter(F.length("_class") > 0).select("_last", "_class", "_key", F.explode(grams).alias("_gram"))
+        open_ = rows.filter(owned & F.col("_key").isNull() & ~is_self).select("_last", "_owner").distinct().withColumn("_gram", F.left(o, F.lit(3)))
+        like = open_.join(held, ["_last", "_gram"]).filter(F.contains(k, o)).groupBy("_last", "_owner").agg(F.min("_key").alias("_like"))
         file = elements.filter(F.lower("filename").rlike(preferred_files)).groupBy(F.col("name").alias("_last")).agg(F.min("key").alias("_file"))
         name = elements.groupBy(F.col("name").alias("_owner")).agg(F.min("key").alias("_named"))
-        rows = rows.join(like, "call_id", "left").join(file, "_last", "left").join(name, "_owner", "left")
+        rows = rows.join(like, ["_last", "_owner"], "left").join(file, "_last", "left").join(name, "_owner", "left")
         tries += [(F.col("_like").isNotNull(), "_like", 6), (F.col("_n") == 1, "_any", 4), (F.col("_file").isNotNull(), "_file", 7), (F.col("_any").isNotNull(), "_any", 5), (F.col("_named").isNotNull(), "_named", 8)]
     else:
         tries += [(F.col("_n") == 1, "_any", 4), (F.col("_any").isNotNull(), "_any", 5)]
@@ -54,18 +65,58 @@ def resolve_names(calls: DataFrame, elements: DataFrame, loose: bool = False, pr
     return rows.select("call_id", key.alias("key"), rule.alias("rule")).filter("key IS NOT NULL")
 
 
-def mention_edges(texts: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name_key: str = "item_id", name: str = "text", max_broadcast: int = 100_000) -> DataFrame:
-    """(key, name_key) where the text contains the whole name; a text is compared only with names it can hold.
+@lru_cache(maxsize=1)
+def _automaton(names: tuple[str, ...]) -> ahocorasick.Automaton:
+    """One automaton over all names, kept by a worker from task to task."""
+    made = ahocorasick.Automaton()
+    for i, n in enumerate(names):
+        made.add_word(n, i)
+    made.make_automaton()
+    return made
+
+
+def mention_edges(
+    texts: DataFrame, names: DataFrame, key: str = "doc_id", text: str = "text", name_key: str = "item_id", name: str = "text", max_broadcast: int = 100_000, max_characters: int = 2_000_000
+) -> DataFrame:
+    """(key, name_key) where the text contains the whole name, each pair once; null and empty names are in no text.
+
+    Names of ``max_characters`` in all are sent to the tasks as one automaton that reads every text once: the work is the length of the
+    texts and what they hold, however common a name's words are, and no word is shuffled. More names than that are looked up
+    by their rarest inner word (``_mentions_by_word``).
+    """
+    want = write_shared(names.select(F.col(name_key).alias("_nk"), F.col(name).alias("_name")).filter(F.col("_name") != ""), "names")
+    docs = texts.select(F.col(key).alias("_dk"), F.col(text).alias("_text"))
+    distinct = want.select("_name").distinct()
+    characters = distinct.agg(F.sum(F.length("_name"))).first()[0] or 0
+    if characters <= max_characters:
+        bound_batches(texts.sparkSession)
+        patterns = tuple(sorted(r["_name"] for r in distinct.collect()))  # bounded by the sum of their lengths
+
+        @F.pandas_udf("array<int>")
+        def held(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            found = _automaton(patterns)
+            for some in parts:
+                yield pd.Series([sorted({i for _, i in found.iter(t)}) if t and patterns else [] for t in some], dtype=object)
+
+        numbered = texts.sparkSession.createDataFrame(list(enumerate(patterns)), "_i int, _name string")
+        of_name = broadcast_if_small(write_shared(want.join(numbered, "_name").select("_i", "_nk"), "numbered-names"), max_broadcast)
+        found = docs.select("_dk", F.explode(held("_text")).alias("_i")).join(of_name, "_i").select("_dk", "_nk")
+    else:
+        found = _mentions_by_word(docs, want, max_broadcast)
+    return found.select(F.col("_dk").alias(key), F.col("_nk").alias(name_key)).distinct()
+
+
+def _mentions_by_word(docs: DataFrame, names: DataFrame, max_broadcast: int) -> DataFrame:
+    """(_dk, _nk): a text is compared only with names it can hold.
 
     A word that stands between two spaces in the name stands between two spaces in every text that holds it, or at a
     text's end: of each name the inner word that the fewest texts have is looked up among the words of the texts, and only those pairs
     are tested. Names without an inner word are tested against all texts, in tiles.
     """
-    parts = F.split(F.col(name), " ", -1)
+    parts = F.split(F.col("_name"), " ", -1)
     inner = F.array_distinct(F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != ""))
-    want = write_shared(names.select(F.col(name_key).alias("_nk"), F.col(name).alias("_name"), inner.alias("_inner")).filter(F.col("_name") != ""), "names")
+    want = write_shared(names.withColumn("_inner", inner), "names")
     candidates = write_shared(want.select(F.explode("_inner").alias("_w")).distinct(), "name-words")
-    docs = texts.select(F.col(key).alias("_dk"), F.col(text).alias("_text"))
     words = docs.select("_dk", F.explode(F.array_distinct(F.split("_text", " ", -1))).alias("_w"))
     few = broadcast_if_small(candidates, max_broadcast)
     hits = write_shared(words.join(few, "_w", "left_semi"), "name-word-hits")
@@ -78,7 +129,7 @@ def mention_edges(texts: DataFrame, names: DataFrame, key: str = "doc_id", text:
     if not short.isEmpty():
         rows, asked = deal_tiles(docs, "_dk", short, "_nk")
         found = found.unionByName(rows.join(asked, ["_qb", "_bb"]).filter(F.contains("_text", "_name")).select("_dk", "_nk"))
-    return found.select(F.col("_dk").alias(key), F.col("_nk").alias(name_key)).distinct()
+    return found
 
 
 def lookup_element(df: DataFrame, elements: DataFrame, ref: str = "ref") -> DataFrame:

@@ -304,22 +304,8 @@ class KeywordIndex:
 # ---------------------------------------------------------------- vectors
 
 
-def vector_search(
-    vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k: int = 10, min_score: float = 0.0, scope: Column | None = None, text: str | None = None,
-    query_block: int = QUERY_BLOCK, base_block: int = BASE_BLOCK,
-) -> DataFrame:
-    """(query_id, rank, key, score[, snippet]): the k largest dot products, then those of at least ``min_score``.
-
-    ``queries`` (query_id, query_vector) and rows meet in tiles: a tile is one matrix product and gives up its own k best of a query,
-    so the shuffle after it carries k rows a tile and query. What a product puts near the k-th place is summed again in a fixed order, so
-    that equal vectors score the same in every tile. Ties to the smaller key. Every query meets every row: the work is their product.
-    """
-    bound_batches(vectors.sparkSession)
-    rows = vectors.filter(scope) if scope is not None else vectors
-    as_rows = lambda df, i, v: df.select(F.col(i).cast("long").alias("_k"), F.col(v).cast("array<double>").alias("_v")).filter("_v IS NOT NULL AND _k IS NOT NULL")
-    rows, asked = deal_tiles(as_rows(rows, key, embedding), "_k", as_rows(queries, "query_id", "query_vector"), "_k", query_block, base_block)
-    tile = ["_qb", "_bb"]
-    dealt = asked.select(*tile, F.lit(0).alias("_side"), "_k", "_v").unionByName(rows.select(*tile, F.lit(1).alias("_side"), "_k", "_v"))
+def best_of_tiles(dealt: DataFrame, tile: list[str], k: int) -> DataFrame:
+    """(query_id, _k, _s): the k best rows (_side 1) of each query (_side 0) of a tile; ``dealt`` has the tile's columns, _side, _k and _v."""
 
     def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in by_key(parts, tile):
@@ -337,7 +323,27 @@ def vector_search(
                 out.append(pd.DataFrame({"query_id": keys[j], "_k": names[near][top], "_s": exact[top]}))
             yield pd.concat(out)
 
-    found = dealt.repartition(*tile).sortWithinPartitions(*tile, "_side", "_k").mapInPandas(best, "query_id long, _k long, _s double")
+    return dealt.repartition(*tile).sortWithinPartitions(*tile, "_side", "_k").mapInPandas(best, "query_id long, _k long, _s double")
+
+
+def vector_search(
+    vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k: int = 10, min_score: float = 0.0, scope: Column | None = None, text: str | None = None,
+    query_block: int = QUERY_BLOCK, base_block: int = BASE_BLOCK,
+) -> DataFrame:
+    """(query_id, rank, key, score[, snippet]): the k largest dot products, then those of at least ``min_score``.
+
+    ``queries`` (query_id, query_vector) and rows meet in tiles: a tile is one matrix product and gives up its own k best of a query,
+    so the shuffle after it carries k rows a tile and query. What a product puts near the k-th place is summed again in a fixed order, so
+    that equal vectors score the same in every tile. Ties to the smaller key. Every query meets every row: the work is their product
+    (``VectorIndex`` leaves out what bounds exclude).
+    """
+    bound_batches(vectors.sparkSession)
+    rows = vectors.filter(scope) if scope is not None else vectors
+    as_rows = lambda df, i, v: df.select(F.col(i).cast("long").alias("_k"), F.col(v).cast("array<double>").alias("_v")).filter("_v IS NOT NULL AND _k IS NOT NULL")
+    rows, asked = deal_tiles(as_rows(rows, key, embedding), "_k", as_rows(queries, "query_id", "query_vector"), "_k", query_block, base_block)
+    tile = ["_qb", "_bb"]
+    dealt = asked.select(*tile, F.lit(0).alias("_side"), "_k", "_v").unionByName(rows.select(*tile, F.lit(1).alias("_side"), "_k", "_v"))
+    found = best_of_tiles(dealt, tile, k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_s"), "_k"))
     top = found.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("_s") >= min_score))
     out = top.select("query_id", "rank", F.col("_k").alias(key), F.round("_s", 4).alias("score"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as X
-from tracewell.operators import catalog, chunking, consolidate, graph, quality, relations, rules, search, tracking
+from tracewell.operators import catalog, chunking, consolidate, graph, quality, relations, rules, search, tracking, vector_index
 from tracewell.sources import io
 from tracewell.sources.tables import table
 
@@ -378,6 +378,19 @@ def vector_topk(t):
     return _vector_query(t)
 
 
+@query(VECTORS_SQL.format(where="true"))
+def vector_indexed(t):
+    from tracewell.sources.shared import new_path
+
+    rows = t("embeddings")
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    length = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    index = vector_index.VectorIndex(rows.sparkSession, new_path(rows.sparkSession, "vector-index"), length)
+    for some in (rows.filter("vec_id % 2 = 0"), rows):  # the second run adds what is new
+        index.add(some, "vec_id", "embedding")
+    return index.search(asked, "vec_id", 10, 0.3)
+
+
 @query(VECTORS_SQL.format(where="label IN (1, 2, 3)"))
 def vector_scoped(t):
     return _vector_query(t, F.col("label").isin(1, 2, 3))
