@@ -131,6 +131,21 @@ def test_links_against_brute_force(spark, block):
     assert vectors.link_vectors(df.limit(0)).count() == 0
 
 
+def test_wide_vectors_and_many_without_a_link(spark):
+    """Long vectors in many blocks, beside many rows that are null, zero or not finite."""
+    x = cloud(240, 300)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    bare = [(1000 + i, (None, [0.0] * 300, [float("nan")] * 300)[i % 3]) for i in range(600)]
+    df = spark.createDataFrame(rows + bare, "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.link_vectors(df, block=16).collect()}
+    d = x.astype(np.float64)
+    n = np.linalg.norm(d, axis=1)
+    like = d @ d.T / np.outer(n, n) >= 0.9
+    np.fill_diagonal(like, False)
+    group = vectors.local_components(len(x), *np.nonzero(like))
+    assert got == {i: (like[i].sum(), group[i], group[i] == i) for i in range(len(x))} | {i: (0, i, True) for i, _ in bare}
+
+
 def test_vectors_that_share_an_id_keep_their_own_links(spark):
     rows = [(3, [1.0, 0.0]), (5, [1.0, 0.1]), (5, [-1.0, 0.0]), (5, [0.0, 1.0]), (9, [0.1, 1.0]), (5, [1.0, 0.1]), (1, [0.0, -1e-200]), (8, [0.0, -3e-200])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
@@ -155,7 +170,7 @@ def test_links_without_pruning(spark):
     x = cloud(200)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
     key = lambda f: sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in f.collect())
-    assert key(vectors.link_vectors(df, block=32)) == key(vectors.link_vectors(df, block=32, max_pruned_blocks=0))
+    assert key(vectors.link_vectors(df, block=32)) == key(vectors.link_vectors(df, block=32, max_centre_bytes=0))
 
 
 def test_quantisation_bound_holds():

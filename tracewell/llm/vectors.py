@@ -66,6 +66,12 @@ def tile_products(a: Quantised, b: Quantised, threshold: float, same: bool, rows
         yield i, j, sure
 
 
+def _unit(centres: np.ndarray) -> np.ndarray:
+    """Centres as doubles of length one."""
+    c = centres.astype(np.float64)
+    return c / np.linalg.norm(c, axis=-1, keepdims=True)
+
+
 def _sums(cid: np.ndarray, weight: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
     """(cid, links, root) of the vectors that the pairs link: sums and a spanning forest."""
     links, labels = np.zeros(len(cid)), None
@@ -78,14 +84,14 @@ def _sums(cid: np.ndarray, weight: np.ndarray, pairs: Iterator[tuple[np.ndarray,
 
 def link_vectors(
     vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", threshold: float = 0.9,
-    block: int = 8192, max_pivots: int = 1024, max_pruned_blocks: int = 20_000, max_broadcast: int = 100_000,
+    block: int = 8192, max_pivots: int = 1024, max_centre_bytes: int = 64 << 20, max_broadcast: int = 100_000,
 ) -> DataFrame:
     """(key, n_links, component_id, kept): links are pairs of rows with cosine >= ``threshold`` in doubles.
 
     Equal vectors become one weighted row first, so copies cost no products. The rest is dealt into
     blocks around at most ``max_pivots`` sampled pivots; each pair of blocks is a tile, and a tile whose
     blocks are too far apart for any link (angle of centres less both radii) is left out, as long
-    as the block table is small enough to hand out (``max_pruned_blocks``); with more blocks all
+    as the centres are small enough to hand out (``max_centre_bytes`` in all, as single floats); beyond that all
     tiles are computed. Only int8 values, scales and error norms travel to the tiles. Pairs that the error bounds decide
     are counted there; for the others the tile names the vectors, which are then brought in full precision, once a tile, and
     only pairs that the bounds leave open are computed in doubles. A tile gives sums of links and a spanning forest, never its pairs.
@@ -139,39 +145,35 @@ def link_vectors(
         q, s, e = np.frombuffer(b"".join(pdf["q"]), np.int8).reshape(-1, dim), pdf["s"].to_numpy(), pdf["e"].to_numpy()
         about = q * s[:, None]  # each unit vector to within e
         centre = about.mean(axis=0)
-        centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else about[0] / np.linalg.norm(about[0])
-        radius = float(np.arccos(np.clip(about @ centre - e - 1e-9, -1, 1)).max())
+        centre = (centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else about[0] / np.linalg.norm(about[0])).astype("<f4")
+        # against the centre as it is read back, so that its rounding is in the radius
+        radius = float(np.arccos(np.clip(about @ _unit(centre) - e - 1e-9, -1, 1)).max())
         return pd.DataFrame([{
             "dim": dim, "block": f"{dim}/{at[1]}/{at[2]}", "cids": pdf["cid"].to_numpy("<i8").tobytes(), "ns": pdf["n"].to_numpy("<i8").tobytes(),
-            "q": q.tobytes(), "s": s.astype("<f8").tobytes(), "e": e.astype("<f8").tobytes(), "centre": centre.tolist(), "radius": radius,
+            "q": q.tobytes(), "s": s.astype("<f8").tobytes(), "e": e.astype("<f8").tobytes(), "centre": centre.tobytes(), "radius": radius,
         }])
 
     blocks = placed.groupBy("dim", "pivot", "part").applyInPandas(
-        bring, "dim int, block string, cids binary, ns binary, q binary, s binary, e binary, centre array<double>, radius double"
+        bring, "dim int, block string, cids binary, ns binary, q binary, s binary, e binary, centre binary, radius double"
     )
     blocks = write_shared(blocks, "blocks")
-    names = write_shared(
-        blocks.select("dim", "block", "centre", "radius").withColumn(
-            "no", F.row_number().over(Window.partitionBy("dim").orderBy("block")) - 1
-        ),
-        "block-names",
-    )
+    # short rows: one for thousands of vectors, without their centres
+    number = F.row_number().over(Window.partitionBy("dim").orderBy("block")) - 1
+    names = write_shared(blocks.select("dim", "block").withColumn("no", number), "block-names")
     reach = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-    few = names.limit(max_pruned_blocks + 1).count() <= max_pruned_blocks
+    few = (blocks.agg(F.sum(F.length("centre"))).first()[0] or 0) <= max_centre_bytes
     summary: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     if few:
-        for r in sorted(names.collect(), key=lambda r: r["no"]):
-            cs, rs = summary.setdefault(r["dim"], ([], []))
-            cs.append(r["centre"])
-            rs.append(r["radius"])
-        summary = {d: (np.array(c), np.array(r)) for d, (c, r) in summary.items()}
+        found = blocks.select("dim", "block", "centre", "radius").join(names, ["dim", "block"]).toPandas().sort_values("no")
+        for d, own in found.groupby("dim"):
+            summary[int(d)] = (np.frombuffer(b"".join(own["centre"]), "<f4").reshape(-1, int(d)), own["radius"].to_numpy())
 
     @F.pandas_udf("array<int>")
     def partners(dims: pd.Series, no: pd.Series) -> pd.Series:
         """Blocks that can hold a link with this one."""
-        out = []
+        out, units = [], {d: _unit(summary[d][0]) for d in set(dims)}
         for d, k in zip(dims, no, strict=True):
-            cs, rs = summary[d]
+            cs, rs = units[d], summary[d][1]
             apart = np.arccos(np.clip(cs @ cs[k], -1, 1))
             out.append(np.flatnonzero(apart - rs - rs[k] <= reach).astype(np.int32))
         return pd.Series(out)
@@ -238,8 +240,10 @@ def link_vectors(
         distinct.join(broadcast_if_small(write_shared(linked, "vector-links"), max_broadcast), "cid", "left")
         .select("_v", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("first", "rep").alias("component"), "n")
     )
+    # rows that link with nothing have no class: their ids join the key, so that they are not one hot key
     bare = raw.select("_id", F.when(good, F.col("_v")).alias("_v"))
-    joined = bare.join(classes, "_v", "left").select(
+    bare = bare.withColumn("_spread", F.when(F.col("_v").isNull(), F.xxhash64("_id")).otherwise(F.lit(0).cast("long")))
+    joined = bare.join(classes.withColumn("_spread", F.lit(0).cast("long")), ["_v", "_spread"], "left").select(
         F.col("_id").alias(key),
         F.coalesce(F.col("links") + F.col("n") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "_id").alias("component_id"),
