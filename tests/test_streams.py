@@ -213,3 +213,13 @@ def test_stale_and_late(spark):
     got = tracking.stale_sessions(log, "s", "t", F.col("d"), F.lit("2024-01-01 00:05:00").cast("timestamp"))
     assert {r["s"]: r["state"] for r in got.collect()} == {"a": "done", "b": "stale", "c": "running"}
     assert jobs.late_rows(log, "2024-01-01 00:02:00", "t").count() == 3
+
+
+def test_registered_streams_that_run_twice(spark, sf_dir):
+    """Both runs read the same files, so that the second goes on from the checkpoint of the first and adds nothing."""
+    from tracewell.plans.catalog import QUERIES
+
+    log = QUERIES["run_log_stream"](spark, sf_dir).select("detail").collect()
+    assert sorted(int(r[0]) for r in log) == sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect())
+    stored = [r[0] for r in QUERIES["index_stream"](spark, sf_dir).collect()]
+    assert stored and len(stored) == len(set(stored))
