@@ -89,13 +89,18 @@ def check_ontology(edges: DataFrame, nodes: DataFrame, ontology: DataFrame) -> D
 
 
 def map_tests(changed: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
-    """(path, test_path): existing test files that naming patterns derive from each changed file."""
+    """(path, test_path): existing test files that naming patterns derive from each changed file.
+
+    Both sides are shuffled whatever their files' sizes: twelve places a path are far more than the sizes of the tables tell, and paths are never
+    collected on the driver for a broadcast.
+    """
     folder, name = F.regexp_extract(path, r"^(.*?)[^/]*$", 1), F.regexp_extract(path, r"([^/]*?)(\.[^.]*)?$", 1)
     ext = F.regexp_extract(path, r"(\.[^./]*)$", 1)
     names = [F.concat(F.lit("test_"), name, ext), F.concat(name, F.lit("_test"), ext), F.concat(name, F.lit("Test"), ext), F.concat(name, F.lit(".test"), ext)]
     places = [F.concat(d, n) for n in names for d in (folder, F.concat(folder, F.lit("tests/")), F.lit("tests/"))]
     wanted = changed.select(path, F.explode(F.array_distinct(F.array(*places))).alias("test_path"))
-    return wanted.join(files.select(F.col(path).alias("test_path")).distinct(), "test_path").select(path, "test_path")
+    there = files.select(F.col(path).alias("test_path")).distinct()
+    return wanted.join(there.hint("merge"), "test_path").select(path, "test_path")
 
 
 def missing_roots(required: DataFrame, traces: DataFrame, key: str = "root_symbol") -> DataFrame:
