@@ -704,6 +704,24 @@ def test_keyword_index_finds_what_a_scan_finds(spark, tmp_path):
     assert index.candidates(asked).count() < 20
 
 
+def test_keyword_index_packs_its_lists(spark, tmp_path):
+    """One row a triple and chunk, not one a triple and text; lists of any gaps come back as they were."""
+    import numpy as np
+
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "".join(rng.choices("abcde", k=200)) + ("needle" if i % 50 == 0 else "")) for i in range(400)], "id long, body string").repartition(2)
+    index = search.KeywordIndex(spark, str(tmp_path / "index"), buckets=4, chunk=5000)
+    assert index.add(df, "body") == 400
+    stored = spark.read.parquet(str(tmp_path / "index"))
+    assert stored.filter("gram IS NOT NULL").count() < 400 * 125 / 5 and stored.select("chunk").distinct().count() > 4
+    assert sorted(r["id"] for r in index.search(df, "id", "body", ["NEEDLE"]).collect()) == list(range(0, 400, 50))
+    lists = [sorted(rng.sample(range(most), n)) for most, n in ((5, 5), (300, 3), (1 << 20, 40), (1 << 30, 9), (1, 1))]
+    flat, first = np.array([x for one in lists for x in one]), np.cumsum([0] + [len(one) for one in lists])[:-1]
+    raw, size = search.pack_numbers(flat, first)
+    cuts = np.append(np.cumsum(size) - size, len(raw))[np.append(first, len(flat))]
+    assert [search.unpack_numbers(raw[a:b].tobytes()).tolist() for a, b in zip(cuts, cuts[1:])] == lists
+
+
 # ---------------------------------------------------------------- stored vectors
 
 

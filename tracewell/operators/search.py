@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import heapq
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tracewell.functions.text import content_hash, head_snippet, labelled, mixed_tokens, snippet, token_jaccard
-from tracewell.operators.batches import bound_batches, by_key
+from tracewell.operators.batches import bound_batches, by_key, release_memory
+from tracewell.operators.bounded import broadcast_if_small
 from tracewell.sources.io import VectorStore
 from tracewell.sources.shared import write_shared
 
@@ -231,74 +233,145 @@ def fuzzy_search(
     return found.withColumn("_r", rank).filter(F.col("_r") <= k).select(F.col("_q").alias(query), F.col("_k").alias(key), F.round("_s", 4).alias("score"))
 
 
+def pack_numbers(rising: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of rising numbers as bytes, seven bits each, of the gaps in a list: all bytes, and how many each number takes. ``first`` marks where lists begin."""
+    gaps = np.diff(rising, prepend=0)
+    gaps[first] = rising[first]
+    size = np.ones(len(gaps), np.int64)
+    for k in range(7, 35, 7):
+        size += gaps >= 1 << k
+    start = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        on = size > k
+        out[start[on] + k] = (gaps[on] >> 7 * k & 127) | np.where(size[on] > k + 1, 128, 0)
+    return out, size
+
+
+def unpack_numbers(packed: bytes) -> np.ndarray:
+    """The rising numbers of one list of ``pack_numbers``."""
+    raw = np.frombuffer(packed, np.uint8).astype(np.int64)
+    if not len(raw):
+        return raw
+    new = np.concatenate([[True], raw[:-1] < 128])
+    start = np.flatnonzero(new)
+    shift = 7 * (np.arange(len(raw)) - start[np.cumsum(new) - 1])
+    return np.cumsum(np.add.reduceat((raw & 127) << shift, start))
+
+
 class KeywordIndex:
-    """Posting lists of three letters in a row, by the hash of a lower-case text, and the texts themselves: an index that grows with new texts only.
+    """Posting lists of three letters in a row over lower-case texts, by chunks of texts: an index that grows with new texts only.
 
-    ``add`` reads texts, cuts those whose hash is not stored, and appends. ``search`` finds the texts on the lists of a word's letter triples
-    and looks for the word in these texts only; the result is that of ``keyword_search``. Words of one or two letters, which are
-    on no list, are looked for in all texts. Tables are Parquet below ``path``; lists lie in ``buckets`` folders by triple, so that a
-    search reads the folders of its own triples. A driver that stops between the two appends leaves texts without a list: lists go first.
+    A task cuts its texts into chunks. A chunk is one list of the hashes of its texts and, for each letter triple, the packed places of
+    the texts that hold it: some bytes a text and triple, and neither postings nor the index are ever shuffled. ``search`` finds the texts
+    that are on the lists of all of a word's triples and looks for the word in these texts only; the result is that of ``keyword_search``. Words of
+    one or two letters, which are on no list, are looked for in all texts. ``add`` is one write to Parquet below ``path``, in ``buckets`` folders by triple, so that
+    a search reads the folders of its own triples, and none for a driver that stops in between.
     """
 
-    GRAM = 3
+    GRAM, HASHES, SHIP = 3, -1, 2_000_000
 
-    def __init__(self, spark, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    def __init__(self, spark, path: str, buckets: int = 64, chunk: int = 2_000_000):
+        self.spark, self.path, self.buckets, self.chunk = spark, path.rstrip("/"), buckets, chunk
 
-    def _read(self, name: str, kind: str) -> DataFrame:
+    def _lists(self, buckets: list[int]) -> DataFrame:
+        kind = "chunk string, gram string, packed binary, bucket int"
         try:
-            return self.spark.read.schema(kind).option("basePath", f"{self.path}/{name}").parquet(f"{self.path}/{name}")
+            rows = self.spark.read.schema(kind).option("basePath", self.path).parquet(self.path)
         except Exception as e:  # nothing added yet
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], kind)
+            rows = self.spark.createDataFrame([], kind)
+        return rows.filter(F.col("bucket").isin(buckets))
 
-    def texts(self) -> DataFrame:
-        return self._read("texts", "hash string, text string").dropDuplicates(["hash"])
-
-    def lists(self) -> DataFrame:
-        return self._read("lists", "gram string, hash string, bucket int")
-
-    def _grams(self, low: Column) -> Column:
-        """Distinct letter triples, in time that grows with the text (Spark finds a place in a text by counting from its start)."""
-        bound_batches(self.spark)
-        n = self.GRAM
+    def hashes(self) -> DataFrame:
+        """(chunk, place, hash) of the texts of each chunk."""
+        every = F.transform(F.sequence(F.lit(0), (F.octet_length("packed") / 32).cast("int") - 1), lambda i: F.lower(F.hex(F.substring("packed", i * 32 + 1, 32))))
+        return self._lists([self.HASHES]).select("chunk", F.posexplode(every).alias("place", "hash"))
 
-        @F.pandas_udf("array<string>")
-        def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in parts:
-                yield pd.Series([sorted({t[i : i + n] for i in range(len(t) - n + 1)}) for t in texts], dtype=object)
-
-        return cut(low)
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("gram"), F.lit(self.buckets)).cast("int")
+    def _bucket(self, gram: Column) -> Column:
+        return F.pmod(F.xxhash64(gram), F.lit(self.buckets)).cast("int")
 
     def add(self, texts: DataFrame, text: str) -> int:
-        """Append the texts that are not stored yet; how many there were."""
-        new = texts.select(F.col(text).alias("text")).filter("text IS NOT NULL").distinct().withColumn("hash", content_hash(F.col("text")))
-        new = write_shared(new.join(self._read("texts", "hash string, text string").select("hash"), "hash", "left_anti").select("hash", "text"), "new-texts")
-        lists = new.select("hash", F.explode(self._grams(F.lower("text"))).alias("gram")).withColumn("bucket", self._bucket())
-        lists.select("gram", "hash", "bucket").repartition("bucket", "gram").sortWithinPartitions("bucket", "gram").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/lists")
-        new.write.mode("append").parquet(f"{self.path}/texts")
-        return new.count()
+        """Append the texts that are not stored yet; how many there were.
+
+        Only hashes are shuffled to tell what is new. Up to ``SHIP`` of them go to all tasks as numbers, so that texts stay where they are read; a text that comes again in
+        another chunk, or that one number mistakes for a new one, is on lists twice and found once.
+        """
+        bound_batches(self.spark)
+        rows = texts.select(F.col(text).alias("text")).filter("text IS NOT NULL").withColumn("hash", content_hash(F.col("text")))
+        new = write_shared(rows.select("hash").distinct().join(self.hashes().select("hash"), "hash", "left_anti"), "new-hashes")
+        n = new.count()
+        wanted = broadcast_if_small(new.select(F.xxhash64("hash").alias("_h")), self.SHIP)
+        fresh = rows.withColumn("_h", F.xxhash64("hash")).join(wanted, "_h", "left_semi").select("hash", F.lower("text").alias("text"))
+        gram, most = self.GRAM, self.chunk
+
+        def whole(hashes: list[str], codes: list[np.ndarray]) -> pd.DataFrame:
+            place = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+            code = np.concatenate(codes)
+            order = np.argsort(code, kind="stable")
+            code, place = code[order], place[order]
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            raw, size = pack_numbers(place, first)
+            ends = np.concatenate([np.cumsum(size) - size, [len(raw)]])[np.append(first, len(place))]
+            data = raw.tobytes()
+            letters = np.stack([code[first] >> 21 * (gram - 1 - k) & 0x1FFFFF for k in range(gram)], axis=1)
+            names = letters.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            grams = [None] + [names[i : i + gram] for i in range(0, len(names), gram)]
+            packed = [bytes.fromhex("".join(hashes))] + [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+            return pd.DataFrame({"chunk": uuid.uuid4().hex, "gram": grams, "packed": packed})
+
+        def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Chunks of about ``most`` postings; a text's copies within a chunk are one."""
+            held: dict[str, np.ndarray] = {}
+            size = 0
+            for pdf in parts:
+                for h, t in zip(pdf["hash"], pdf["text"], strict=True):
+                    if h in held:
+                        continue
+                    a = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                    code = sum(a[k : max(len(a) - gram + 1 + k, k)] << 21 * (gram - 1 - k) for k in range(gram)) if len(a) >= gram else a[:0]
+                    held[h] = np.unique(code)
+                    size += len(held[h])
+                    if size >= most:
+                        yield whole(list(held), list(held.values()))
+                        held, size = {}, 0
+            if held:
+                yield whole(list(held), list(held.values()))
+            release_memory()
+
+        lists = fresh.mapInPandas(cut, "chunk string, gram string, packed binary")
+        bucket = F.when(F.col("gram").isNull(), self.HASHES).otherwise(self._bucket(F.col("gram")))
+        lists.withColumn("bucket", bucket).sortWithinPartitions("bucket", "gram").write.mode("append").partitionBy("bucket").parquet(self.path)
+        return n
 
     def candidates(self, words: DataFrame) -> DataFrame:
         """(word, hash) of texts that are on the lists of all letter triples of a word; words shorter than three letters meet every text."""
-        asked = words.select("word").filter("word IS NOT NULL AND word <> ''").distinct().withColumn("_g", self._grams(F.lower("word")))
-        wanted = asked.select("word", F.size("_g").alias("_n"), F.explode("_g").alias("gram"))
-        buckets = [r[0] for r in wanted.select(self._bucket().alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
-        lists = self.lists().filter(F.col("bucket").isin(buckets)).select("gram", "hash").distinct()
-        hits = lists.join(wanted, "gram").groupBy("word", "hash").agg(F.count("*").alias("_c"), F.max("_n").alias("_n")).filter("_c = _n")
-        short = asked.filter(F.size("_g") == 0).select("word").join(self.texts().select("hash"), F.lit(True))
-        return hits.select("word", "hash").unionByName(short)
+        asked = words.select("word").filter("word IS NOT NULL AND word <> ''").distinct()
+        low, n = F.lower("word"), self.GRAM
+        each = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - n + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(n))))
+        wanted = asked.filter(F.length(low) >= n).select("word", each.alias("_g")).select("word", F.size("_g").alias("_n"), F.explode("_g").alias("gram"))
+        buckets = [r[0] for r in wanted.select(self._bucket(F.col("gram")).alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
+
+        def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                for chunk, word, n, packed in pdf.itertuples(index=False):
+                    yield pd.DataFrame({"chunk": chunk, "word": word, "_n": n, "place": unpack_numbers(packed)})
+
+        lists = self._lists(buckets).join(wanted, "gram").select("chunk", "word", "_n", "packed")
+        hits = lists.mapInPandas(unpack, "chunk string, word string, _n int, place int")
+        hits = hits.groupBy("chunk", "word", "place").agg(F.count("*").alias("_c"), F.max("_n").alias("_n")).filter("_c = _n")
+        found = hits.join(self.hashes(), ["chunk", "place"]).select("word", "hash")
+        short = asked.filter(F.length(low) < n).join(self.hashes().select("hash"), F.lit(True))
+        return found.unionByName(short).distinct()
 
     def search(self, rows: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
-        """(word, key, snippet) of ``rows``, whose texts were added: as ``keyword_search`` without a limit. Texts are read for candidates only."""
+        """(word, key, snippet) of ``rows``, whose texts were added: as ``keyword_search`` without a limit. The word is looked for in candidates' texts only."""
         asked = self.spark.createDataFrame([(w,) for w in words], "word string")
-        found = self.candidates(asked).join(self.texts(), "hash").filter(F.contains(F.lower("text"), F.lower("word")))
-        found = found.select("word", "hash", snippet(F.col("text"), F.col("word")).alias("snippet"))
-        return rows.select(key, content_hash(F.col(text)).alias("hash")).join(found, "hash").select("word", key, "snippet")
+        found = self.candidates(asked).groupBy("hash").agg(F.collect_list("word").alias("words"))  # each asked word once at most
+        found = broadcast_if_small(write_shared(found, "keyword-candidates"), self.SHIP // 4)
+        here = rows.select(key, F.col(text).alias("_t"), content_hash(F.col(text)).alias("hash")).join(found, "hash").select(key, "_t", F.explode("words").alias("word"))
+        return here.filter(F.contains(F.lower("_t"), F.lower("word"))).select("word", key, snippet(F.col("_t"), F.col("word")).alias("snippet"))
 
 
 # ---------------------------------------------------------------- vectors
