@@ -640,6 +640,19 @@ def test_paths_from_both_ends_reach_less_of_a_hub_graph(spark):
     assert stats["reached"] < 320
 
 
+def test_paths_to_one_end_share_its_search(spark):
+    """Pairs with one end in common, two hubs away: that end is searched once for all, in whichever column it stands."""
+    links = [(f"h{k}", "top") for k in range(3)] + [(f"c{k}_{i}", f"h{k}") for k in range(3) for i in range(60)]
+    asked = [(f"c{k}_{i}", "c0_0") for k in range(3) for i in range(1, 60)]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    for way in (1, -1):
+        stats = {}
+        got = graph.shortest_paths(edges, spark.createDataFrame([p[::way] for p in asked], "a string, b string"), 6, stats)
+        got = {(r["a"], r["b"])[::way]: r["path"][::way] for r in got.collect()}
+        assert got == {(a, b): [a, f"h{a[1]}", *(["top", "h0"] if a[1] != "0" else []), b] for a, b in asked}
+        assert stats["reached"] < 3 * len(asked)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_smallest_of_the_shortest_paths(spark, seed):
     rng = random.Random(seed)

@@ -342,61 +342,94 @@ def touching_edges(edges: DataFrame, found: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("node", "src"), "src", "left_semi").join(ids.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10, stats: dict | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10, stats: dict | None = None, max_broadcast: int = 300_000) -> DataFrame:
     """(a, b, hops, path) for each pair that is connected within ``max_depth`` undirected hops; ties to the smallest path.
 
-    Searched from both ends: a pair lets the end with the smaller front go one step on, until the two sides meet; what one end has reached
-    serves all pairs that it is in. Only nodes on a shortest path are then followed back from where the sides meet, and all pairs walk
-    together, each to the smallest such neighbour. ``stats`` gets the number of rows reached from all ends.
+    Searched from both ends: a pair lets the end go one step on whose step costs it less, until the two sides meet. A step costs the links of the end's
+    front, shared by the open pairs of that end, so that an end of many pairs is searched once for all and a small front at a hub waits. Where sides
+    meet is looked up from the smaller one. Each step keeps the links by which a node was first reached: paths are followed
+    along these alone, never along all links of a node. ``stats`` gets the number of rows reached from all ends.
     """
     both = edges.select(F.col("src").alias("node"), F.col("dst").alias("to"))
     both = write_shared(both.unionByName(edges.select(F.col("dst").alias("node"), F.col("src").alias("to"))).filter("node <> to").distinct(), "both-ways")
+    degrees = write_shared(both.groupBy("node").agg(F.count("*").alias("w")), "degrees")
     pairs = write_shared(pairs.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL").distinct(), "pairs")
-    ends = pairs.select(F.col("a").alias("end")).union(pairs.select(F.col("b").alias("end"))).distinct()
-    known = ends.join(both.select(F.col("node").alias("end")), "end", "left_semi").unionByName(pairs.filter("a = b").select(F.col("a").alias("end"))).distinct()
-    seen = front = write_shared(known.select("end", F.col("end").alias("node"), F.lit(0).alias("d")), "path-front")
-    sizes = write_shared(front.groupBy("end").agg(F.count("*").alias("n"), F.max("d").alias("depth")), "front-sizes")
-    open_, found, grown = pairs, None, front
+    ends = write_shared(pairs.select(F.col("a").alias("end")).union(pairs.select(F.col("b").alias("end"))).distinct(), "path-ends")
+    few = lambda df: broadcast_if_small(df, max_broadcast)
+    known = degrees.select(F.col("node").alias("end")).join(few(ends), "end").unionByName(pairs.filter("a = b").select(F.col("a").alias("end"))).distinct()
+    none = F.lit(None).cast(both.schema["node"].dataType)
+    seen = front = grown = write_shared(known.select("end", F.col("end").alias("node"), F.lit(0).alias("d"), none.alias("up")), "path-front")
+    cost = lambda rows: degrees.join(few(rows.select("end", "node")), "node").groupBy("end").agg(F.sum("w").alias("_w"))
+    one = F.lit(1).cast("long")
+    sizes = front.join(cost(front), "end", "left").select("end", one.alias("n"), F.coalesce("_w", F.lit(0)).alias("w"), one.alias("all"), one.alias("new"), F.lit(0).alias("depth"))
+    found = links = None
+    sized = ["n", "w", "all", "new", "depth"]
+
+    def with_sizes(open_: DataFrame) -> DataFrame:
+        side = lambda x: sizes.select(F.col("end").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in sized])
+        return write_shared(open_.select("a", "b").join(side("a"), "a").join(side("b"), "b"), "open-pairs")
 
     def meet(x: str, y: str) -> DataFrame:
         """Open pairs of which something new from end ``x`` has been reached from end ``y``."""
-        mine = open_.join(grown.select(F.col("end").alias(x), "node", F.col("d").alias("_x")), x)
-        return mine.join(seen.select(F.col("end").alias(y), "node", F.col("d").alias("_y")), [y, "node"]).select("a", "b", (F.col("_x") + F.col("_y")).alias("hops"))
-
+        mine = grown.select(F.col("end").alias(x), "node", F.col("d").alias("_x"))
+        other = seen.select(F.col("end").alias(y), "node", F.col("d").alias("_y"))
+        rows = open_.filter(F.col(f"{x}_new") > 0).select("a", "b", "a_depth", (F.col(f"{x}_new") <= F.col(f"{y}_all")).alias("_less"))
+        met = rows.filter("_less").join(mine, x).join(other, [y, "node"]).select("a", "b", "a_depth", "_x", "_y")
+        met = met.unionByName(rows.filter("NOT _less").join(other, y).join(mine, [x, "node"]).select("a", "b", "a_depth", "_x", "_y"))
+        return met.select("a", "b", "a_depth", (F.col("_x") + F.col("_y")).alias("hops"))
+
+    sizes = write_shared(sizes, "front-sizes")
+    open_ = with_sizes(pairs)
     for _ in range(2 * max_depth + 1):
-        met = meet("a", "b").unionByName(meet("b", "a")).groupBy("a", "b").agg(F.min("hops").alias("hops")).filter(F.col("hops") <= max_depth)
-        side = lambda x: sizes.select(F.col("end").alias(x), F.col("n").alias(f"n{x}"), F.col("depth").alias(f"d{x}"))
-        met = write_shared(met.join(side("a"), "a").select("a", "b", "hops", F.least("da", "hops").alias("split")), "met-pairs")
+        met = meet("a", "b").unionByName(meet("b", "a")).groupBy("a", "b").agg(F.min("hops").alias("hops"), F.min("a_depth").alias("_da")).filter(F.col("hops") <= max_depth)
+        met = write_shared(met.select("a", "b", "hops", F.least("_da", "hops").alias("split")), "met-pairs")
         found = met if found is None else found.unionByName(met)
         # a pair stays open while both ends have a front and may be near enough
-        rest = open_.join(met, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").filter((F.col("na") > 0) & (F.col("nb") > 0) & (F.col("da") + F.col("db") < max_depth))
+        rest = open_.join(met, ["a", "b"], "left_anti").filter((F.col("a_n") > 0) & (F.col("b_n") > 0) & (F.col("a_depth") + F.col("b_depth") < max_depth))
         rest = write_shared(rest, "open-pairs")
-        open_ = rest.select("a", "b")
         if rest.isEmpty():
             break
-        go = write_shared(rest.select(F.when(F.col("na") <= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("end")).distinct(), "growing-ends")
-        new = front.join(go, "end", "left_semi").join(both, "node").select("end", F.col("to").alias("node"), (F.col("d") + 1).alias("d")).distinct()
-        grown = write_shared(new.join(seen.select("end", "node"), ["end", "node"], "left_anti"), "path-front")
-        front = front.join(go, "end", "left_anti").unionByName(grown)
+        times = rest.select(F.col("a").alias("end")).union(rest.select(F.col("b").alias("end"))).groupBy("end").agg(F.count("*").alias("m"))
+        share = rest.join(times.select(F.col("end").alias("a"), F.col("m").alias("_ma")), "a").join(times.select(F.col("end").alias("b"), F.col("m").alias("_mb")), "b")
+        go = F.when(F.col("a_w") / F.col("_ma") <= F.col("b_w") / F.col("_mb"), F.col("a")).otherwise(F.col("b"))
+        go = write_shared(share.select(go.alias("end")).distinct(), "growing-ends")
+        step = write_shared(front.join(few(go), "end", "left_semi").select("end", "node", "d"), "growing-front")
+        step = both.join(few(step), "node").select("end", F.col("to").alias("node"), F.col("node").alias("prev"), (F.col("d") + 1).alias("d"))
+        step = write_shared(step.join(seen.select("end", "node"), ["end", "node"], "left_anti"), "path-links")
+        links = step if links is None else links.unionByName(step)
+        grown = write_shared(step.groupBy("end", "node").agg(F.min("d").alias("d"), F.min("prev").alias("up")), "path-front")
+        front = write_shared(front.join(few(go), "end", "left_anti").unionByName(grown), "path-front")
         seen = seen.unionByName(grown)
-        steps = sizes.join(go.withColumn("_go", F.lit(True)), "end", "left").join(grown.groupBy("end").agg(F.count("*").alias("_n")), "end", "left")
-        moved = F.col("_go").isNotNull()
-        sizes = write_shared(steps.select("end", F.when(moved, F.coalesce("_n", F.lit(0))).otherwise(F.col("n")).alias("n"), (F.col("depth") + moved.cast("int")).alias("depth")), "front-sizes")
-        front = write_shared(front, "path-front")
+        steps = sizes.join(go.withColumn("_go", F.lit(True)), "end", "left").join(grown.groupBy("end").agg(F.count("*").alias("_n")), "end", "left").join(cost(grown), "end", "left")
+        moved, n = F.col("_go").isNotNull(), F.coalesce("_n", F.lit(0))
+        sizes = steps.select(
+            "end", F.when(moved, n).otherwise(F.col("n")).alias("n"), F.when(moved, F.coalesce("_w", F.lit(0))).otherwise(F.col("w")).alias("w"),
+            (F.col("all") + n).alias("all"), n.alias("new"), (F.col("depth") + moved.cast("int")).alias("depth"),
+        )
+        sizes = write_shared(sizes, "front-sizes")
+        open_ = with_sizes(rest)
     if stats is not None:
         stats["reached"] = seen.count()
-    at = lambda x, name: seen.select(F.col("end").alias(x), "node", F.col("d").alias(name))
-    found = write_shared(found, "found-pairs")
-    level = found.join(at("a", "_i"), "a").filter(F.col("_i") == F.col("split")).join(at("b", "_j"), ["b", "node"]).filter(F.col("_j") == F.col("hops") - F.col("split"))
-    level = write_shared(level.select("a", "b", "hops", "split", "node", F.col("split").alias("i")), "on-paths")
-    useful = level
+    found = write_shared(found.withColumn("left", F.col("hops") - F.col("split")), "found-pairs")
+    if links is None:  # no end made a step
+        return found.select("a", "b", "hops", F.array("a").alias("path"))
+    # nodes in the middle of each pair's shortest paths, from the side that has fewer at that depth
+    at_a, at_b = seen.select(F.col("end").alias("a"), "node", F.col("d").alias("split")), seen.select(F.col("end").alias("b"), "node", F.col("d").alias("left"))
+    held = write_shared(seen.groupBy("end", "d").agg(F.count("*").alias("n")), "level-sizes")
+    both_sizes = found.join(held.select(F.col("end").alias("a"), F.col("d").alias("split"), F.col("n").alias("_na")), ["a", "split"])
+    both_sizes = both_sizes.join(held.select(F.col("end").alias("b"), F.col("d").alias("left"), F.col("n").alias("_nb")), ["b", "left"])
+    level = both_sizes.filter("_na <= _nb").join(at_a, ["a", "split"]).join(at_b, ["b", "node", "left"]).select("a", "b", "split", "node")
+    level = level.unionByName(both_sizes.filter("_na > _nb").join(at_b, ["b", "left"]).join(at_a, ["a", "node", "split"]).select("a", "b", "split", "node"))
+    level = write_shared(level.select("a", "b", "node", F.col("split").alias("i")), "on-paths")
+    useful, back = level, links.select(F.col("end").alias("a"), "node", "prev")
     for _ in range(max_depth):
-        level = level.filter("i > 1").join(both, "node").select("a", "b", "hops", "split", F.col("to").alias("node"), (F.col("i") - 1).alias("i")).distinct()
-        level = write_shared(level.join(at("a", "_i"), ["a", "node"]).filter("i = _i").select("a", "b", "hops", "split", "node", "i"), "on-paths")
+        level = write_shared(level.filter("i > 1").join(back, ["a", "node"]).select("a", "b", F.col("prev").alias("node"), (F.col("i") - 1).alias("i")).distinct(), "on-paths")
         if level.isEmpty():
             break
         useful = useful.unionByName(level)
-    useful = useful.select("a", "b", F.col("node").alias("to"), "i")
+    ahead_of = useful.join(back, ["a", "node"]).select("a", "b", "i", F.col("prev").alias("node"), F.col("node").alias("to"))
+    ahead_of = write_shared(ahead_of, "steps-on-paths")
+    behind_of = seen.filter("up IS NOT NULL").select(F.col("end").alias("b"), "node", F.col("up").alias("to"))
     walk = found.select("a", "b", "hops", "split", F.col("a").alias("node"), F.array("a").alias("path"))
     done = None
     for d in range(max_depth + 1):
@@ -406,9 +439,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10, stat
         walk = walk.filter(F.col("hops") > d)
         if walk.isEmpty():
             break
-        step = walk.join(both, "node")
-        ahead = step.filter(F.col("split") > d).join(useful.filter(F.col("i") == d + 1), ["a", "b", "to"])
-        behind = step.filter(F.col("split") <= d).join(at("b", "_left").withColumnRenamed("node", "to"), ["b", "to"]).filter(F.col("_left") == F.col("hops") - d - 1)
+        ahead = walk.filter(F.col("split") > d).join(ahead_of.filter(F.col("i") == d + 1), ["a", "b", "node"])
+        behind = walk.filter(F.col("split") <= d).join(behind_of, ["b", "node"])
         keep = ["a", "b", "hops", "split", "path", "to"]
         walk = ahead.select(*keep).unionByName(behind.select(*keep)).groupBy("a", "b", "hops", "split", "path").agg(F.min("to").alias("node"))
         walk = walk.select("a", "b", "hops", "split", "node", F.concat("path", F.array("node")).alias("path"))
