@@ -778,3 +778,15 @@ def test_cells_left_out_hold_nothing_better():
         left_out += 20 - len(here)
     assert left_out > 100
     assert len(fit_centres(np.ones((5, 3)), 4)) == 1
+
+
+def test_coverage_is_one_pass_in_small_tasks(spark):
+    lines = spark.createDataFrame([(f"f{i % 9}", i // 9, i % 4, i % 3, i % 2) for i in range(900)], "path string, line int, hits int, b int, k int")
+    changed = lines.filter("path <> 'f8'").select("path")
+    got = quality.incremental_coverage(lines, changed, branches=("b", "k"), lines_a_task=50)
+    assert got.rdd.getNumPartitions() == 18
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1  # with the changed files only
+    assert rows(got) == rows(quality.incremental_coverage(lines, changed, branches=("b", "k")))
+    f0 = got.filter("path = 'f0'").first()
+    assert (f0["total"], f0["covered"], f0["gaps"]) == (100, 75, ",".join(str(i) for i in range(0, 100, 4))) and f0["branch_percent"] is None
