@@ -117,19 +117,31 @@ def keyword_search(df: DataFrame, key: str, text: str, words: list[str], limit:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy("word").orderBy(key))).filter(F.col("_r") <= limit).drop("_r")
 
 
-def fuzzy_lower_score(query: Column, name: Column) -> Column:
-    """0.5 for a substring, with or without blanks, and 0.3 times the token Jaccard."""
-    q, n = F.lower(query), F.lower(name)
-    squeeze = lambda c: F.replace(c, F.lit(" "), F.lit(""))
-    inside = F.contains(n, q) | F.contains(squeeze(n), squeeze(q))
-    return 0.5 * inside.cast("double") + 0.3 * token_jaccard(mixed_tokens(query), mixed_tokens(name))
+def _fuzzy_parts(text: Column, x: str) -> list[Column]:
+    """What the native score needs of a text: lower case, the same without blanks, and tokens."""
+    return [F.lower(text).alias(f"_{x}l"), F.replace(F.lower(text), F.lit(" "), F.lit("")).alias(f"_{x}s"), mixed_tokens(text).alias(f"_{x}t")]
+
+
+def fuzzy_lower_score() -> Column:
+    """0.5 for a substring, with or without blanks, and 0.3 times the token Jaccard, of the parts (``_fuzzy_parts``) of query q and name n."""
+    inside = F.contains("_nl", "_ql") | F.contains("_ns", "_qs")
+    return 0.5 * inside.cast("double") + 0.3 * token_jaccard(F.col("_qt"), F.col("_nt"))
 
 
 def fuzzy_scores(names: DataFrame, queries: DataFrame, key: str = "id", name: str = "name", query: str = "query", query_block: int = QUERY_BLOCK, base_block: int = BASE_BLOCK) -> DataFrame:
-    """(query, key, score): the native score of every distinct query against every name, in tiles; no table is broadcast on purpose."""
-    rows = names.select(F.col(key).alias("_k"), F.col(name).alias("_n"))
-    rows, asked = deal_tiles(rows, "_k", queries.select(F.col(query).alias("_q")).distinct(), "_q", query_block, base_block)
-    return rows.join(asked, ["_qb", "_bb"]).select(F.col("_q").alias(query), F.col("_k").alias(key), F.round(fuzzy_lower_score(F.col("_q"), F.col("_n")), 6).alias("score"))
+    """(query, key, score): the native score of every distinct query against every name, in tiles; no table is broadcast on purpose.
+
+    Texts are cut into tokens once a row, before tiles are dealt, and the keys of one name in a block of the base are one row there: a query is
+    scored against a name once a block, however many keys have it.
+    """
+    asked = queries.select(F.col(query).alias("_q")).distinct()
+    rows, asked = deal_tiles(names.select(F.col(key).alias("_k"), F.col(name).alias("_n")), "_k", asked, "_q", query_block, base_block)
+    # keys in structs, as lists leave out nulls
+    rows = rows.groupBy("_qb", "_bb", "_n").agg(F.collect_list(F.struct(F.col("_k").alias(key))).alias("_keys"))
+    rows = rows.select("_qb", "_bb", "_keys", *_fuzzy_parts(F.col("_n"), "n"))
+    asked = asked.select("_qb", "_bb", "_q", *_fuzzy_parts(F.col("_q"), "q"))
+    scored = rows.join(asked, ["_qb", "_bb"]).select(F.col("_q").alias(query), "_keys", F.round(fuzzy_lower_score(), 6).alias("score"))
+    return scored.select(query, F.inline("_keys"), "score")
 
 
 def _ratio(query: str, name: str) -> float:
