@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -130,41 +132,37 @@ def progress_stream(updates: DataFrame) -> DataFrame:
     return known.groupBy("item_id").transformWithStateInPandas(_StatusDelta(), "status string, delta long", "Append", "None")
 
 
+def _packed(numbers: Iterable[int]) -> bytes:
+    """Whole numbers as eight bytes each: a list in one value of state costs one call, where entries of a map cost one or two each."""
+    return array("q", numbers).tobytes()
+
+
+def _unpacked(raw: bytes | None) -> list[int]:
+    return array("q", bytes(raw or b"")).tolist()
+
+
 class _Attempts(StatefulProcessor):
-    """Failures since the last pass, by verdict number: a map of the failed numbers behind the last number that passed."""
+    """Failures since the last pass, by verdict number: the failed numbers behind the last number that passed, in one value of state."""
 
     def __init__(self, most: int, ttl_ms: int | None):
         self.most, self.ttl = most, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "attempts long, last_pass long, seq long", self.ttl)
-        self.failed = handle.getMapState("failed", "seq long", "n int", self.ttl)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        attempts, last_pass, seq = self.totals.get() if self.totals.exists() else (0, None, None)
-        best, new = last_pass, set()
-        for pdf in rows:  # of a batch only numbers behind its last pass are held
-            for s, ok in zip(pdf["seq"], pdf["passed"], strict=True):
-                s = int(s)
-                seq = s if seq is None else max(seq, s)
-                if ok:
-                    best = s if best is None else max(best, s)
-                elif best is None or s > best:
-                    new.add(s)
-            new = {s for s in new if best is None or s > best}
-        if best != last_pass and attempts:
-            held = [int(k[0]) for k in self.failed.keys()]
-            for s in held:
-                if s <= best:
-                    self.failed.removeKey((s,))
-            attempts = sum(s > best for s in held)
-        for s in sorted(new):
-            if not self.failed.containsKey((s,)):
-                self.failed.updateValue((s,), (1,))
-                attempts += 1
-        self.totals.update((int(attempts), best, seq))
-        outcome = "CONVERGED" if not attempts else "EXHAUSTED" if attempts >= self.most else "RETRY"
-        yield pd.DataFrame([(*key, seq, int(attempts), outcome)], columns=["key", "seq", "attempts", "outcome"])
+        self.state = handle.getValueState("verdicts", "last_pass long, seq long, failed binary", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        best, seq, failed = self.state.get() or (None, None, None)
+        new = set(_unpacked(failed))
+        for r in rows:
+            seq = r.seq if seq is None else max(seq, r.seq)
+            if r.passed:
+                best = r.seq if best is None else max(best, r.seq)
+            elif best is None or r.seq > best:
+                new.add(r.seq)
+        held = sorted(s for s in new if best is None or s > best)
+        self.state.update((best, seq, _packed(held)))
+        outcome = "CONVERGED" if not held else "EXHAUSTED" if len(held) >= self.most else "RETRY"
+        yield Row(key=key[0], seq=seq, attempts=len(held), outcome=outcome)
 
     def close(self) -> None:
         pass
@@ -174,12 +172,12 @@ def retry_controller(verdicts: DataFrame, max_attempts: int = 3, key_type: str =
     """(key, seq, attempts, outcome) of each key with verdicts (key, seq long, passed) in a batch, as ``attempt_counter`` of all so far.
 
     Numbers may come in any order and again: a failure that arrives after a later one counts, one before the last pass never does. State
-    is one entry a failure since the last pass. With ``ttl_ms`` a key without verdicts for so long (by the clock) starts anew;
+    is one number a failure since the last pass, read and written once a batch. With ``ttl_ms`` a key without verdicts for so long (by the clock) starts anew;
     without it state stays. A stream with a time to live wakes up by the clock: start it with a processing-time trigger, not with available-now.
     """
     schema = f"key {key_type}, seq long, attempts long, outcome string"
     known = verdicts.filter("seq IS NOT NULL AND passed IS NOT NULL")
-    return known.groupBy("key").transformWithStateInPandas(_Attempts(max_attempts, ttl_ms), schema, "Update", "ProcessingTime" if ttl_ms else "None")
+    return known.groupBy("key").transformWithState(_Attempts(max_attempts, ttl_ms), schema, "Update", "ProcessingTime" if ttl_ms else "None")
 
 
 class _Silence(StatefulProcessor):
@@ -190,13 +188,11 @@ class _Silence(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("session", "first long, last long, closed boolean")
-        self.waiting = handle.getMapState("waiting", "ms long", "done boolean")
+        # waiting events are 2 * ms + done; the timer that is set is kept, so that timers are never listed
+        self.state = handle.getValueState("session", "first long, last long, closed boolean, timer long, waiting binary")
 
-    def _fold(self, key, mark: int) -> Iterator[pd.DataFrame]:
+    def _fold(self, key, mark: int, first: int | None, last: int | None, timer: int | None, waiting: list[tuple[int, bool]]) -> Iterator[Row]:
         """What is certain at the watermark: no event before it can still come."""
-        first, last, closed = self.state.get() if self.state.exists() else (None, None, False)
-        waiting = sorted((int(k[0]), bool(v[0])) for k, v in self.waiting.iterator())
         ended, at = None, 0
         while at < len(waiting) and waiting[at][0] <= mark and ended is None:
             ms, done = waiting[at]
@@ -207,31 +203,33 @@ class _Silence(StatefulProcessor):
         due = None if first is None else min(last + self.silence, first + self.timeout)
         if ended is None and due is not None and due <= mark:
             ended = "timeout" if first + self.timeout <= last + self.silence else "stale"
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t[0] if isinstance(t, (tuple, list)) else t)
-        for ms, _ in waiting if ended else waiting[:at]:
-            self.waiting.removeKey((ms,))
-        self.state.update((first, last, ended is not None))
+        rest = [] if ended else waiting[at:]
+        wanted = None if ended else min(x for x in (due, *(ms for ms, _ in rest[:1])) if x is not None)
+        if timer is not None and timer != wanted:
+            self.handle.deleteTimer(timer)
+        if wanted is not None and timer != wanted:
+            self.handle.registerTimer(wanted)
+        self.state.update((first, last, ended is not None, wanted, _packed(2 * ms + done for ms, done in rest)))
         if ended:
-            yield pd.DataFrame([(*key, ended, last)], columns=["session", "state", "at_ms"])
-        else:
-            self.handle.registerTimer(min(x for x in (due, *(ms for ms, _ in waiting[at : at + 1])) if x is not None))
+            yield Row(session=key[0], state=ended, at_ms=last)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        closed = self.state.exists() and self.state.get()[2]
-        for pdf in rows:
-            if closed:
-                continue
-            unit = 1_000_000 if "[ns" in str(pdf["ts"].dtype) else 1_000
-            for ms, done in zip((pdf["ts"].astype("int64") // unit).tolist(), pdf["done"].fillna(False).tolist(), strict=True):
-                held = self.waiting.containsKey((ms,)) and self.waiting.getValue((ms,))[0]
-                self.waiting.updateValue((ms,), (bool(done or held),))
-        if not closed:
-            yield from self._fold(key, timerValues.getCurrentWatermarkInMs())
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first, last, closed, timer, raw = self.state.get() or (None, None, False, None, None)
+        if closed:
+            for _ in rows:  # not read
+                pass
+            return
+        waiting = {x >> 1: bool(x & 1) for x in _unpacked(raw)}
+        for r in rows:
+            waiting[r.ms] = bool(r.done) or waiting.get(r.ms, False)
+        yield from self._fold(key, timerValues.getCurrentWatermarkInMs(), first, last, timer, sorted(waiting.items()))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.get()[2]:
-            yield from self._fold(key, timerValues.getCurrentWatermarkInMs())
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        first, last, closed, timer, raw = self.state.get()
+        if not closed:
+            if timer == expiredTimerInfo.getExpiryTimeInMs():  # Spark deletes it itself
+                timer = None
+            yield from self._fold(key, timerValues.getCurrentWatermarkInMs(), first, last, timer, [(x >> 1, bool(x & 1)) for x in _unpacked(raw)])
 
     def close(self) -> None:
         pass
@@ -244,9 +242,9 @@ def stale_session_stream(events: DataFrame, silence: int = 120, timeout: int = 5
     not read. Events may come in any order within ``late``: they wait until the watermark has passed them, so the result does not
     depend on how events fall into batches. Older ones are dropped by the watermark: ``route_late`` keeps them in a table.
     """
-    marked = events.filter("ts IS NOT NULL").withWatermark("ts", late)
+    marked = events.filter("ts IS NOT NULL").withWatermark("ts", late).select("session", "ts", F.unix_millis("ts").alias("ms"), "done")
     schema = f"session {key_type}, state string, at_ms long"
-    return marked.groupBy("session").transformWithStateInPandas(_Silence(silence * 1000, timeout * 1000), schema, "Append", "EventTime")
+    return marked.groupBy("session").transformWithState(_Silence(silence * 1000, timeout * 1000), schema, "Append", "EventTime")
 
 
 class _Workflow(StatefulProcessor):
@@ -256,43 +254,31 @@ class _Workflow(StatefulProcessor):
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.now = handle.getValueState("now", "ts long, stage string, mode_ts long, mode_stage string, mode string", self.ttl)
-        self.done = handle.getMapState("done", "stage string", "ts long", self.ttl)
-        self.results = handle.getMapState("results", "name string", "ts long, stage string, value string", self.ttl)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first: dict[str, int] = {}  # one entry a stage
-        patch: dict[str, tuple] = {}  # one entry a result
-        last = moded = None
-        for pdf in rows:
-            for e in pdf.itertuples():
-                at = (int(e.ts), e.stage)
-                last = max(last or at, at)
-                if e.completed:
-                    first[e.stage] = min(first.get(e.stage, at[0]), at[0])
-                if e.flow_mode:
-                    moded = max(moded or (*at, e.flow_mode), (*at, e.flow_mode))
-                for name, value in _items(e.results):
-                    patch[name] = max(patch.get(name, (*at, value)), (*at, value))
-        ts, stage, *mode = self.now.get() if self.now.exists() else (None, None, None, None, None)
-        if ts is not None and (ts, stage) > last:
-            last = (ts, stage)
-        if mode[2] is not None and (moded is None or tuple(mode) > moded):
-            moded = tuple(mode)
-        self.now.update((*last, *(moded or (None, None, None))))
-        done = {k[0]: v[0] for k, v in self.done.iterator()}
-        for s, t in first.items():
-            if s not in done or t < done[s]:
-                self.done.updateValue((s,), (t,))
-                done[s] = t
-        results = {k[0]: tuple(v) for k, v in self.results.iterator()}
-        for name, new in patch.items():
-            if name not in results or new > results[name]:
-                self.results.updateValue((name,), new)
-                results[name] = new
-        stages = [s for _, s in sorted((t, s) for s, t in done.items())]
-        said = {name: results[name][2] for name in sorted(results)}
-        yield pd.DataFrame([(*key, last[1], moded[2] if moded else None, stages, said)], columns=["key", "current_stage", "flow_mode", "completed_stages", "results"])
+        # one value, as each output has all of it: {"now": [ts, stage], "mode": [ts, stage, mode], "done": {stage: [ts]}, "results": {name: [ts, stage, value]}}; each
+        # entry ends with the time at which it was written
+        self.state = handle.getValueState("workflow", "said string", self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        clock = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
+        kept = self.state.get()
+        held = json.loads(kept[0]) if kept else {}
+        fresh = lambda e: e is not None and (not self.ttl or e[-1] + self.ttl > clock)
+        last, moded = (tuple(held[x][:-1]) if fresh(held.get(x)) else None for x in ("now", "mode"))
+        done, results = ({k: e for k, e in held.get(x, {}).items() if fresh(e)} for x in ("done", "results"))
+        for e in rows:
+            at = (e.ts, e.stage)
+            last = max(last or at, at)
+            if e.completed and (e.stage not in done or e.ts < done[e.stage][0]):
+                done[e.stage] = [e.ts, clock]
+            if e.flow_mode:
+                moded = max(moded or (*at, e.flow_mode), (*at, e.flow_mode))
+            for name, value in _items(e.results):
+                if name not in results or (*at, value) > tuple(results[name][:-1]):
+                    results[name] = [*at, value, clock]
+        self.state.update((json.dumps({"now": [*last, clock], "mode": [*moded, clock] if moded else None, "done": done, "results": results}),))
+        stages = [s for _, s in sorted((t[0], s) for s, t in done.items())]
+        said = [(name, results[name][2]) for name in sorted(results)]
+        yield Row(key=key[0], current_stage=last[1], flow_mode=moded[2] if moded else None, completed_stages=stages, results=said)
 
     def close(self) -> None:
         pass
@@ -314,7 +300,7 @@ def workflow_state(events: DataFrame, key_type: str = "string", ttl_ms: int | No
     schema = f"key {key_type}, current_stage string, flow_mode string, completed_stages array<string>, results map<string,string>"
     results = F.col("results") if "results" in events.columns else F.lit(None)
     known = events.filter("stage IS NOT NULL AND ts IS NOT NULL").select("key", "stage", "ts", "completed", "flow_mode", results.cast("map<string,string>").alias("results"))
-    return known.groupBy("key").transformWithStateInPandas(_Workflow(ttl_ms), schema, "Update", "ProcessingTime" if ttl_ms else "None")
+    return known.groupBy("key").transformWithState(_Workflow(ttl_ms), schema, "Update", "ProcessingTime" if ttl_ms else "None")
 
 
 def stage_gate_stream(states: DataFrame, verdicts: DataFrame, workflow: DataFrame, sink: Callable[[DataFrame], None], checkpoint: str) -> StreamingQuery:
