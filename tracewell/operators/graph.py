@@ -160,14 +160,15 @@ def topo_layers(nodes: DataFrame, edges: DataFrame, max_layers: int = 10_000) ->
     ``edges`` (src depends on dst). Where no node is free, only cycles are left: of each connected group of open nodes the one with the
     fewest dependencies, done ones included, is released (ties to the smallest id), so that many separate cycles cost one round. Self links and
     links to unknown nodes are dropped. A round counts down the open dependencies and writes the nodes that are left; links are
-    written anew when half of the nodes are done. More than ``max_layers`` rounds are an error.
+    written anew when half of the nodes are done. Joins are merges: a broadcast in each round would pass through the driver. More than
+    ``max_layers`` rounds are an error.
     """
     ids = nodes.select("id").distinct()
     links = edges.select("src", "dst").filter("src <> dst").distinct()
-    links = links.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    links = links.join(ids.withColumnRenamed("id", "src").hint("merge"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst").hint("merge"), "dst", "left_semi")
     links = write_shared(links, "open-links")
     counts = links.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
-    left = write_shared(ids.join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n", F.lit(0)).alias("n0")), "open-nodes")
+    left = write_shared(ids.join(counts.hint("merge"), "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n", F.lit(0)).alias("n0")), "open-nodes")
     total, free = left.agg(F.count("*"), F.count_if(F.col("n") == 0)).first()
     compact, done = total, None
     for layer in range(max_layers + 1):
@@ -176,19 +177,19 @@ def topo_layers(nodes: DataFrame, edges: DataFrame, max_layers: int = 10_000) ->
         if layer == max_layers:
             raise RuntimeError(f"{total} nodes are left after {max_layers} layers")
         if free == 0:
-            inside = links.join(left.select(F.col("id").alias("dst")), "dst", "left_semi").join(left.select(F.col("id").alias("src")), "src", "left_semi")
+            inside = links.join(left.select(F.col("id").alias("dst")).hint("merge"), "dst", "left_semi").join(left.select(F.col("id").alias("src")).hint("merge"), "src", "left_semi")
             groups = connected_components(inside, "src", "dst").withColumnRenamed("node", "id")
-            head = left.join(groups, "id").groupBy("component").agg(F.min(F.struct("n0", "id")).alias("h")).select("h.id")
-            left = write_shared(left.join(head.withColumn("_r", F.lit(True)), "id", "left").select("id", F.when(F.col("_r"), 0).otherwise(F.col("n")).cast("long").alias("n"), "n0"), "open-nodes")
+            head = left.join(groups.hint("merge"), "id").groupBy("component").agg(F.min(F.struct("n0", "id")).alias("h")).select("h.id")
+            left = write_shared(left.join(head.withColumn("_r", F.lit(True)).hint("merge"), "id", "left").select("id", F.when(F.col("_r"), 0).otherwise(F.col("n")).cast("long").alias("n"), "n0"), "open-nodes")
         ready = left.filter("n = 0").select("id")
         now = ready.withColumn("layer", F.lit(layer))
         done = now if done is None else done.unionByName(now)
-        gone = links.join(ready.withColumnRenamed("id", "dst"), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_gone"))
-        left = write_shared(left.filter("n > 0").join(gone, "id", "left").select("id", (F.col("n") - F.coalesce("_gone", F.lit(0))).alias("n"), "n0"), "open-nodes")
+        gone = links.join(ready.withColumnRenamed("id", "dst").hint("merge"), "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_gone"))
+        left = write_shared(left.filter("n > 0").join(gone.hint("merge"), "id", "left").select("id", (F.col("n") - F.coalesce("_gone", F.lit(0))).alias("n"), "n0"), "open-nodes")
         total, free = left.agg(F.count("*"), F.count_if(F.col("n") == 0)).first()
         if total < compact / 2:
             compact = total
-            links = write_shared(links.join(left.select(F.col("id").alias("src")), "src", "left_semi"), "open-links")
+            links = write_shared(links.join(left.select(F.col("id").alias("src")).hint("merge"), "src", "left_semi"), "open-links")
     return done if done is not None else ids.withColumn("layer", F.lit(0))
 
 
@@ -289,26 +290,26 @@ def call_roots(nodes: DataFrame, edges: DataFrame, max_depth: int = 10, max_roun
     """Nodes from which calls start: every node is a root or within ``max_depth`` calls of one.
 
     All nodes that no other node calls are roots. What they do not reach (cycles without a caller, and what lies
-    too deep) gets further roots by layer (``topo_layers``), the highest first: all unreached nodes of that layer at once.
+    too deep) gets further roots by layer (``topo_layers``), the highest first: all unreached nodes of that layer at once. No join is a broadcast.
     """
     ids = write_shared(nodes.select("id").distinct(), "callable")
     calls = edges.select("src", "dst").filter("src <> dst").distinct()
-    calls = write_shared(calls.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "calls")
-    new = write_shared(ids.join(calls.select(F.col("dst").alias("id")), "id", "left_anti"), "roots")
+    calls = write_shared(calls.join(ids.withColumnRenamed("id", "src").hint("merge"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst").hint("merge"), "dst", "left_semi"), "calls")
+    new = write_shared(ids.join(calls.select(F.col("dst").alias("id")).hint("merge"), "id", "left_anti"), "roots")
     roots, left, layers = new, ids, None
     for _ in range(max_rounds):
         front = new
-        left = write_shared(left.join(front, "id", "left_anti"), "unreached")
+        left = write_shared(left.join(front.hint("merge"), "id", "left_anti"), "unreached")
         for _ in range(max_depth):
-            near = calls.join(front.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-            front = write_shared(near.join(left, "id", "left_semi"), "front")
+            near = calls.join(front.withColumnRenamed("id", "src").hint("merge"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+            front = write_shared(near.join(left.hint("merge"), "id", "left_semi"), "front")
             if front.isEmpty():
                 break
-            left = write_shared(left.join(front, "id", "left_anti"), "unreached")
+            left = write_shared(left.join(front.hint("merge"), "id", "left_anti"), "unreached")
         if left.isEmpty():
             return roots
         layers = layers if layers is not None else write_shared(topo_layers(ids, calls), "layers")
-        rest = layers.join(left, "id", "left_semi")
+        rest = layers.join(left.hint("merge"), "id", "left_semi")
         new = write_shared(rest.filter(F.col("layer") == rest.agg(F.max("layer")).first()[0]).select("id"), "roots")
         roots = roots.unionByName(new)
     raise RuntimeError(f"nodes are left after {max_rounds} rounds")
