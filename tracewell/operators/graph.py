@@ -178,7 +178,7 @@ def topo_layers(nodes: DataFrame, edges: DataFrame, max_layers: int = 10_000) ->
             raise RuntimeError(f"{total} nodes are left after {max_layers} layers")
         if free == 0:
             inside = links.join(left.select(F.col("id").alias("dst")).hint("merge"), "dst", "left_semi").join(left.select(F.col("id").alias("src")).hint("merge"), "src", "left_semi")
-            groups = connected_components(inside, "src", "dst").withColumnRenamed("node", "id")
+            groups = connected_components(inside, "src", "dst", merge=True).withColumnRenamed("node", "id")
             head = left.join(groups.hint("merge"), "id").groupBy("component").agg(F.min(F.struct("n0", "id")).alias("h")).select("h.id")
             left = write_shared(left.join(head.withColumn("_r", F.lit(True)).hint("merge"), "id", "left").select("id", F.when(F.col("_r"), 0).otherwise(F.col("n")).cast("long").alias("n"), "n0"), "open-nodes")
         ready = left.filter("n = 0").select("id")
