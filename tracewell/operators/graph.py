@@ -268,12 +268,26 @@ def call_trees(roots: DataFrame, edges: DataFrame, max_depth: int = 10, max_node
     """(root, node, parent, depth): nodes reached from each root, at their least depth; parent is the smallest at that depth.
 
     With ``max_nodes`` a tree that has more nodes than that grows no further; the depth that passed the number is whole.
+
+    The first depth is a mark on the written calls, which lie together by caller. Later ones meet only the calls of what is itself
+    called, and where no callee calls anything there are none.
     """
-    step = write_shared(edges.select(F.col("src").alias("node"), "dst").filter("node <> dst").distinct(), "calls")
-    first = roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct()
-    front = write_shared(first.withColumn("parent", F.lit(None).cast(dict(edges.dtypes)["src"])).withColumn("depth", F.lit(0)), "front")
-    seen = front
-    for depth in range(1, max_depth + 1):
+    kind = roots.schema["id"].dataType
+    first = write_shared(roots.select(F.col("id").alias("root")).distinct(), "tree-roots")
+    seen = first.select("root", F.col("root").alias("node"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent"), F.lit(0).alias("depth"))
+    if max_depth < 1 or (max_nodes is not None and max_nodes < 1):
+        return seen
+    step = edges.select(F.col("src").alias("node"), "dst").filter("node <> dst").distinct()
+    step = write_shared(step.join(first.select(F.col("root").alias("node"), F.lit(True).alias("starts")), "node", "left"), "calls")
+    front = step.filter("starts").select(F.col("node").cast(kind).alias("root"), F.col("dst").alias("node"), F.col("node").alias("parent"), F.lit(1).alias("depth"))
+    seen = seen.unionByName(front)
+    if max_depth == 1:
+        return seen
+    onward = write_shared(step.select(F.col("dst").alias("node")).distinct().join(step.select("node").distinct(), "node", "left_semi"), "called-callers")
+    if onward.isEmpty():
+        return seen
+    step = write_shared(step.select("node", "dst").join(onward, "node", "left_semi"), "calls")
+    for depth in range(2, max_depth + 1):
         if max_nodes is not None:
             full = seen.groupBy("root").count().filter(F.col("count") > max_nodes).select("root")
             front = front.join(full, "root", "left_anti")
